@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dropletry.llm import op01_bpe
+from dropletry.llm import op01_bpe, op02_toxicity, op05_tiff
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op01_bpe.query,
+    "op2_toxicity": op02_toxicity.query,
+    "op5_tiff": op05_tiff.query,
 }
 ORACLE_SQL: dict[str, str] = {}
