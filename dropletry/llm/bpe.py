@@ -16,6 +16,7 @@ import functools
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -336,18 +337,22 @@ class Codec:
         bounds = np.concatenate([[0], ends])[np.cumsum(per_text)]
         return np.split(ids, bounds[:-1])
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text."""
-        out: list[np.ndarray] = []
+    def encode_each(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text, a slice of texts at a time."""
         part: list[str] = []
         size = 0
         for t in texts:
             part.append(t or "")
             size += len(part[-1])
             if size >= SLICE_CHARS:
-                out += self._encode_slice(part)
+                yield from self._encode_slice(part)
                 part, size = [], 0
-        return out + self._encode_slice(part) if part else out
+        if part:
+            yield from self._encode_slice(part)
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text."""
+        return list(self.encode_each(texts))
 
     def decode(self, ids: np.ndarray) -> str:
         """Tokens joined by spaces, special ones kept: what a file without a decoder defines."""

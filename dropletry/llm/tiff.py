@@ -13,9 +13,10 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Fixed values of the format: tags, field types' sizes and compression codes.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
@@ -271,20 +272,20 @@ def read_pages(df: DataFrame, media: str = "media") -> DataFrame:
     """One row per page of each file; ``df``'s other columns stand before the page columns."""
     new = {f.name for f in PAGE_FIELDS}
     kept = [f for f in df.schema.fields if f.name not in new]
+    kinds = to_arrow_schema(T.StructType(PAGE_FIELDS))
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.name for f in kept]
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, of = [], []
-            for k, raw in enumerate(batch[media].tolist()):
-                for page in pages_of(bytes(raw)) if raw is not None else ():
+            rows, of, held = [], [], 0
+            for k, raw in enumerate(batch.column(media)):
+                for page in pages_of(raw.as_py()) if raw.is_valid else ():
                     rows.append(page)
                     of.append(k)
-            pages = pd.DataFrame(rows, columns=[f.name for f in PAGE_FIELDS], dtype=object)
-            for f in PAGE_FIELDS[:5]:
-                pages[f.name] = pages[f.name].astype("Int32")
-            for f in PAGE_FIELDS[6:9]:
-                pages[f.name] = pages[f.name].astype("float64")
-            yield pd.concat([batch[names].iloc[of].reset_index(drop=True), pages], axis=1)
+                    held += len(page[5] or b"")
+                if held > 32_000_000 or (k + 1 == batch.num_rows and rows):
+                    taken = [batch.column(f.name).take(pa.array(of)) for f in kept]
+                    pages = [pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)]
+                    yield pa.RecordBatch.from_arrays(taken + pages, names=[f.name for f in kept] + kinds.names)
+                    rows, of, held = [], [], 0
 
-    return df.mapInPandas(walk, T.StructType(kept + PAGE_FIELDS))
+    return df.mapInArrow(walk, T.StructType(kept + PAGE_FIELDS))
