@@ -34,7 +34,7 @@ class Settings:
 
     grams: tuple[int, ...] = (4, 5, 6)
     bits: int = 20
-    per_class: int = 6000
+    per_class: int = 4000
     smoothing: float = 1.0
     certain: float = 3.0
     decay: float = 1e-5
@@ -90,21 +90,15 @@ def fit(texts: list[str | None], labels: np.ndarray, row_weights: np.ndarray, se
     if not 0 < share < 1:
         return Model(settings, np.zeros(size, np.float32), float(np.log(share + 1e-300) - np.log(1 - share + 1e-300)) if total else -500.0)
     hashed = Hasher(settings)
-    rows = [hashed(t).astype(np.int32) for t in texts]
-    flat = np.concatenate(rows)
-    of_row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    log_counts, variance = [], 0.0
-    for label in (1, 0):
-        mine = labels == label
-        here = mine[of_row]
-        seen = np.bincount(flat[here], minlength=size) + settings.smoothing
-        variance = variance + 1 / seen
-        log_counts.append(np.log(seen / (mine.sum() + 2 * settings.smoothing)))
-    ratio = log_counts[0] - log_counts[1]
-    ratio = np.where(np.abs(ratio) >= settings.certain * np.sqrt(variance), ratio, 0.0).astype(np.float32)
-    used = ratio[flat] != 0
-    flat, lengths = flat[used], np.bincount(of_row[used], minlength=len(rows))
+    seen = np.full((2, size), settings.smoothing)
+    for t, label in zip(texts, labels):
+        seen[int(label), hashed(t)] += 1
+    ratio = np.log(seen[1] / ((labels == 1).sum() + 2 * settings.smoothing)) - np.log(seen[0] / ((labels == 0).sum() + 2 * settings.smoothing))
+    ratio = np.where(np.abs(ratio) >= settings.certain * np.sqrt((1 / seen).sum(axis=0)), ratio, 0.0).astype(np.float32)
+    rows = [b[ratio[b] != 0].astype(np.int32) for b in map(hashed, texts)]  # read again: few buckets remain
+    lengths = np.array([len(r) for r in rows])
     ends = np.cumsum(lengths)
+    flat = np.concatenate(rows)
     w, squares = np.zeros(size, np.float32), np.full(size, 1e-6, np.float32)
     bias = float(np.log(share / (1 - share)))
     order_of = np.random.default_rng(0)
