@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dropletry.llm import op01_bpe, op02_toxicity, op05_tiff, op06_jaccard, op09_packing
+from dropletry.llm import op01_bpe, op02_toxicity, op03_lines, op05_tiff, op06_jaccard, op09_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op01_bpe.query,
     "op2_toxicity": op02_toxicity.query,
+    "op3_lines": op03_lines.query,
     "op5_tiff": op05_tiff.query,
     "op6_jaccard": op06_jaccard.query,
     "op9_packing": op09_packing.query,

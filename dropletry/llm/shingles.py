@@ -11,17 +11,18 @@ import numpy as np
 SLICE_BYTES = 2_000_000
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
+def mixed(h: np.ndarray) -> np.ndarray:
     """The finishing steps of the splitmix64 generator: every input bit reaches every output bit."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts in a row (A-Z lower-cased), and each text's first word.
+def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in a row (A-Z lower-cased), and where words and texts start.
 
-    Words are runs of bytes other than the six ASCII white-space characters.
+    Words are runs of bytes other than the six ASCII white-space characters; texts stand one after
+    another, each followed by a line feed.
     """
     data = np.frombuffer(b"\n".join(raws) + b"\n", np.uint8)
     space = (data == 32) | ((data >= 9) & (data <= 13))
@@ -29,14 +30,13 @@ def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     inside = ~space
     starts = np.flatnonzero(inside & np.concatenate([[True], space[:-1]]))
     offsets = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raws])])
-    firsts = np.searchsorted(starts, offsets)
     if not len(starts):
-        return np.empty(0, np.uint64), firsts
+        return np.empty(0, np.uint64), starts, offsets
     sizes = np.diff(np.append(starts, len(data)))
     place = np.arange(starts[0], len(data)) - np.repeat(starts, sizes)
     powers = np.cumprod(np.full(int(place.max()) + 1, np.uint64(0x9E3779B97F4A7C15)))
     sums = np.add.reduceat(np.where(inside, data.astype(np.uint64) + np.uint64(1), np.uint64(0))[starts[0] :] * powers[place], starts - starts[0])
-    return _mixed(sums), firsts
+    return mixed(sums), starts, offsets
 
 
 def shingle_sets(texts: list[str | None], width: int = 5) -> Iterator[np.ndarray]:
@@ -44,28 +44,34 @@ def shingle_sets(texts: list[str | None], width: int = 5) -> Iterator[np.ndarray
 
     A text of fewer words has its whole sequence as its one shingle; one without words has none.
     """
+    for part in slices(texts):
+        yield from _sets(part, width)
+
+
+def slices(texts: list[str | None]) -> Iterator[list[bytes]]:
+    """The texts in UTF-8, about SLICE_BYTES at a time."""
     part: list[bytes] = []
     held = 0
     for t in texts:
-        part.append((t or "").encode("utf-8", "surrogatepass"))
+        part.append((t or "").encode())
         held += len(part[-1])
         if held >= SLICE_BYTES:
-            yield from _sets(part, width)
+            yield part
             part, held = [], 0
-    yield from _sets(part, width)
+    if part:
+        yield part
 
 
 def _sets(raws: list[bytes], width: int) -> Iterator[np.ndarray]:
-    if not raws:
-        return
-    words, firsts = word_hashes(raws)
+    words, starts, offsets = word_hashes(raws)
+    firsts = np.searchsorted(starts, offsets)
     n = max(0, len(words) - width + 1)
     sums = np.full(n, np.uint64(width))
     factor = np.uint64(1)
     for j in range(width):
         factor = np.uint64((int(factor) * 0xD1342543DE82EF95) & 0xFFFFFFFFFFFFFFFF)
         sums += words[j : j + n] * factor
-    windows = _mixed(sums).view(np.int64)
+    windows = mixed(sums).view(np.int64)
     for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist()):
         if b - a >= width:
             yield np.unique(windows[a : b - width + 1])
@@ -73,7 +79,7 @@ def _sets(raws: list[bytes], width: int) -> Iterator[np.ndarray]:
             whole = (b - a) * 0x9E3779B97F4A7C15
             for w in words[a:b].tolist():
                 whole = (whole * 0xD1342543DE82EF95 + w) & 0xFFFFFFFFFFFFFFFF
-            yield _mixed(np.array([whole], np.uint64)).view(np.int64)
+            yield mixed(np.array([whole], np.uint64)).view(np.int64)
         else:
             yield np.empty(0, np.int64)
 
