@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dropletry.llm import op01_bpe, op02_toxicity, op03_lines, op05_tiff, op06_jaccard, op09_packing
+from dropletry.llm import op01_bpe, op02_toxicity, op03_lines, op05_tiff, op06_jaccard, op08_mixing, op09_packing, op10_extraction
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op01_bpe.query,
@@ -14,6 +14,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_lines": op03_lines.query,
     "op5_tiff": op05_tiff.query,
     "op6_jaccard": op06_jaccard.query,
+    "op8_mixing": op08_mixing.query,
     "op9_packing": op09_packing.query,
+    "op10_extraction": op10_extraction.query,
 }
 ORACLE_SQL: dict[str, str] = {}
