@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dropletry.llm import tiff
 from dropletry.llm.tables import table
@@ -14,7 +15,7 @@ from dropletry.llm.tables import table
 UNIT, WIDTH = 576, 64
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def stored(texts: pd.Series) -> pd.Series:
     """The TIFF file of each text's UTF-8 bytes, filled up with 255."""
     out = []
