@@ -11,14 +11,14 @@ from dropletry.llm.tables import table
 THRESHOLD = 0.7
 
 
-def model(spark: SparkSession, folder: str) -> toxicity.Model:
+def model(spark: SparkSession, folder: str, docs: DataFrame) -> toxicity.Model:
     labels = table(spark, folder, "labels").where(toxicity.id_hash("doc_id", 3) != 1)
-    return toxicity.train(table(spark, folder, "documents"), labels)
+    return toxicity.train(docs, labels)
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return toxicity.score(docs, model(spark, folder)).select(
+    return toxicity.score(docs, model(spark, folder, docs)).select(
         "doc_id",
         (toxicity.id_hash("doc_id", 3) == 1).alias("held_out"),
         "score",

@@ -6,14 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dropletry.llm import op01_bpe, op02_toxicity, op03_lines, op05_tiff, op06_jaccard, op08_mixing, op09_packing, op10_extraction
+from dropletry.llm import (
+    op01_bpe,
+    op02_toxicity,
+    op03_lines,
+    op04_chat,
+    op05_tiff,
+    op06_jaccard,
+    op07_neighbours,
+    op08_mixing,
+    op09_packing,
+    op10_extraction,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op01_bpe.query,
     "op2_toxicity": op02_toxicity.query,
     "op3_lines": op03_lines.query,
+    "op4_chat": op04_chat.query,
     "op5_tiff": op05_tiff.query,
     "op6_jaccard": op06_jaccard.query,
+    "op7_neighbours": op07_neighbours.query,
     "op8_mixing": op08_mixing.query,
     "op9_packing": op09_packing.query,
     "op10_extraction": op10_extraction.query,
