@@ -30,9 +30,9 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 LATIN = r"a-z\xe0-\xf6\xf8-\u017f"
 END = "</w>"
 #: Characters handled at a time, so that lists of words stay small beside the batch.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_500_000
 #: Words kept between batches before the table starts afresh.
-TABLE_WORDS = 600_000
+TABLE_WORDS = 250_000
 #: Bytes of a word beyond which exact merging uses a heap.
 LONG_WORD = 100
 #: A rank later than every merge.

@@ -46,8 +46,8 @@ class Settings:
     long: int = 192
     stretch: int = 64
     unpadded: tuple[int, ...] = (512, 1024, 2048)
-    block: int = 3_000_000
-    range_bytes: int = 24_000_000
+    block: int = 1_500_000
+    range_bytes: int = 16_000_000
 
 
 def candidates(lengths: np.ndarray, ends_sentence: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
