@@ -1,0 +1,286 @@
+"""The variant filter language, compiled to one boolean column.
+
+A field is a column; a list of values (an INFO field with several) is an array column, and one value
+for each sample (a FORMAT field) an array over samples, declared as such.  Comparisons hold if any
+pair of elements meets them.  ``&`` and ``|`` join sample by sample, ``&&`` and ``||`` join whether
+any sample passes.  A missing value is null inside the array or an empty array: ``=`` holds between
+two missing values, ``!=`` when one is missing, every other comparison fails.  Numbers up to 2^24 are
+compared as 32-bit floats.
+
+    >>> Predicate({"QUAL": "number", "AC": "numbers", "DP": "samples", "ID": "string"}).compile('QUAL>30 && MAX(AC)>=2')
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+TOKEN = re.compile(r"""\s*(?:(?P<num>(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)|(?P<str>"[^"]*"(?:/i)?|'[^']*'(?:/i)?)|(?P<name>(?:(?:INFO|FORMAT|FMT)/)?[A-Za-z_][\w.]*)|(?P<op>&&|\|\||<=|>=|==|!=|!~|[<>=~&|+\-*/(),\[\]:!]))""")
+PREFIXES = ("INFO/", "FORMAT/", "FMT/")
+EXACT = float(1 << 24)
+BINDING = [{"||", "|"}, {"&&", "&"}, {"<", "<=", ">", ">=", "=", "==", "!=", "~", "!~"}, {"+", "-"}, {"*", "/"}]
+
+
+class PredicateError(ValueError):
+    """The text is not an expression over the declared fields."""
+
+
+@dataclass
+class Value:
+    """kind: numbers, strings or test; column: an array, or for a test a boolean; samples: for values
+    whether the array runs over samples, for tests the array of sample results or None."""
+
+    kind: str
+    column: Column
+    samples: object = None
+
+
+def _pairs(a: Value, b: Value, test: Callable[[Column, Column], Column]) -> Value:
+    """A comparison of any element with any element, or sample by sample."""
+    if a.samples or b.samples:
+        if a.samples and b.samples:
+            each = F.zip_with(a.column, b.column, test)
+        elif a.samples:
+            each = F.transform(a.column, lambda x: F.exists(b.column, lambda y: test(x, y)))
+        else:
+            each = F.transform(b.column, lambda y: F.exists(a.column, lambda x: test(x, y)))
+        return Value("test", F.exists(each, lambda x: x), each)
+    some = F.exists(a.column, lambda x: F.exists(b.column, lambda y: test(x, y)))
+    return Value("test", some)
+
+
+def _or_missing(values: Column) -> Column:
+    return F.when(F.size(values) > 0, values).otherwise(F.array(F.lit(None).cast("double")))
+
+
+def _compare(op: str, a: Value, b: Value) -> Value:
+    if a.kind != b.kind:
+        raise PredicateError("numbers and strings cannot be compared")
+    if a.kind == "strings":
+        if op not in ("=", "==", "!="):
+            raise PredicateError(f"strings cannot be compared by {op}")
+        equal = _pairs(a, b, lambda x, y: F.coalesce(x, F.lit(".")) == F.coalesce(y, F.lit(".")))
+        if op != "!=":
+            return equal
+        return Value("test", ~equal.column, None if equal.samples is None else F.transform(equal.samples, lambda x: ~x))
+    plain = {"=": lambda x, y: x == y, "==": lambda x, y: x == y, "!=": lambda x, y: x != y, "<": lambda x, y: x < y, "<=": lambda x, y: x <= y, ">": lambda x, y: x > y, ">=": lambda x, y: x >= y}[op]
+
+    def test(x: Column, y: Column) -> Column:
+        known = F.when((x > EXACT) | (y > EXACT), plain(x, y)).otherwise(plain(x.cast("float"), y.cast("float")))
+        missing = x.isNull().cast("int") + y.isNull().cast("int")
+        lacking = missing == 2 if op in ("=", "==") else missing == 1 if op == "!=" else F.lit(False)
+        return F.when(missing == 0, known).otherwise(lacking)
+
+    return _pairs(Value("numbers", _or_missing(a.column), a.samples), Value("numbers", _or_missing(b.column), b.samples), test)
+
+
+def _arithmetic(op: str, a: Value, b: Value) -> Value:
+    if a.kind != "numbers" or b.kind != "numbers":
+        raise PredicateError(f"{op} needs numbers")
+    do = {"+": lambda x, y: x + y, "-": lambda x, y: x - y, "*": lambda x, y: x * y, "/": lambda x, y: x / F.nullif(y, F.lit(0.0))}[op]
+    spread = lambda v, n: F.when((F.size(v) == 1) & (n > 1), F.array_repeat(v[0], n)).otherwise(v)
+    n = F.greatest(F.size(a.column), F.size(b.column))
+    return Value("numbers", F.zip_with(spread(a.column, n), spread(b.column, n), do), a.samples or b.samples)
+
+
+def _known(values: Column) -> Column:
+    return F.filter(values, lambda x: x.isNotNull())
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+
+
+def _mean(values: Column) -> Column:
+    return _sum(values) / F.nullif(F.size(values).cast("double"), F.lit(0.0))
+
+
+def _median(values: Column) -> Column:
+    v, n = F.array_sort(values), F.size(values)
+    middle = (F.get(v, F.floor((n - 1) / 2).cast("int")) + F.get(v, F.floor(n / 2).cast("int"))) / 2
+    return F.when(n > 0, middle)
+
+
+def _stdev(values: Column) -> Column:
+    m = _mean(values)
+    return F.sqrt(_mean(F.transform(values, lambda x: (x - m) * (x - m))))
+
+
+AGGREGATES: dict[str, Callable[[Column], Column]] = {
+    "MAX": F.array_max, "MIN": F.array_min, "AVG": _mean, "MEAN": _mean, "MEDIAN": _median, "STDEV": _stdev, "SUM": _sum, "COUNT": lambda v: F.size(v).cast("double"),
+}
+
+
+class Predicate:
+    """Compiles expressions over declared fields: name -> number, numbers, string, strings or samples.
+
+    ``columns`` gives the column of a field whose name is not its own.
+    """
+
+    def __init__(self, fields: dict[str, str], columns: dict[str, Column] | None = None):
+        self.fields, self.columns = fields, columns or {}
+
+    def compile(self, text: str) -> Column:
+        """True for the rows that pass; never null."""
+        self.tokens: list[tuple[str, str]] = []
+        at = 0
+        while at < len(text.rstrip()):
+            m = TOKEN.match(text, at)
+            if not m:
+                raise PredicateError(f"cannot read {text[at:]!r}")
+            self.tokens.append((m.lastgroup, m[m.lastgroup]))
+            at = m.end()
+        out = self._binary(0)
+        if self.tokens:
+            raise PredicateError(f"left over: {self.tokens[0][1]!r}")
+        if out.kind != "test":
+            raise PredicateError("not a condition")
+        return F.coalesce(out.column, F.lit(False))
+
+    def _peek(self) -> str:
+        return self.tokens[0][1] if self.tokens and self.tokens[0][0] == "op" else ""
+
+    def _take(self, op: str) -> None:
+        if self._peek() != op:
+            raise PredicateError(f"{op!r} expected")
+        self.tokens.pop(0)
+
+    def _binary(self, level: int) -> Value:
+        if level == len(BINDING):
+            return self._unary()
+        left = self._binary(level + 1)
+        while self._peek() in BINDING[level]:
+            op = self.tokens.pop(0)[1]
+            left = self._join(op, left, self._binary(level + 1))
+        return left
+
+    def _join(self, op: str, a: Value, b: Value) -> Value:
+        if op in ("&&", "||", "&", "|"):
+            if a.kind != "test" or b.kind != "test":
+                raise PredicateError(f"{op} needs conditions")
+            do = (lambda x, y: x & y) if op[0] == "&" else (lambda x, y: x | y)
+            if len(op) == 1 and a.samples is not None and b.samples is not None:
+                each = F.zip_with(a.samples, b.samples, do)
+                return Value("test", F.exists(each, lambda x: x), each)
+            site = do(a.column, b.column)
+            kept = a.samples if b.samples is None else b.samples if a.samples is None else None
+            if kept is not None and len(op) == 1:
+                other = b.column if b.samples is None else a.column
+                kept = F.transform(kept, lambda x: do(x, other))
+            return Value("test", site, kept)
+        if op in ("~", "!~"):
+            return self._matches(op, a, b)
+        return _arithmetic(op, a, b) if op in "+-*/" else _compare(op, a, b)
+
+    @staticmethod
+    def _matches(op: str, a: Value, b: Value) -> Value:
+        pattern = getattr(b, "pattern", None)
+        if a.kind != "strings" or pattern is None:
+            raise PredicateError("~ needs a text field and a pattern in quotes")
+        found = F.exists(a.column, lambda x: F.coalesce(x, F.lit(".")).rlike(pattern))
+        return Value("test", found if op == "~" else ~found)
+
+    def _unary(self) -> Value:
+        if self._peek() == "-":
+            self.tokens.pop(0)
+            v = self._unary()
+            return Value("numbers", F.transform(v.column, lambda x: -x), v.samples)
+        if self._peek() == "(":
+            self.tokens.pop(0)
+            out = self._binary(0)
+            self._take(")")
+            return out
+        if not self.tokens:
+            raise PredicateError("an expression ends too early")
+        kind, text = self.tokens.pop(0)
+        if kind == "num":
+            return Value("numbers", F.array(F.lit(float(text))))
+        if kind == "str":
+            fold = text.endswith("/i")
+            plain = text[1:-3] if fold else text[1:-1]
+            if plain == ".":
+                out = Value("missing", F.lit(None))
+                return self._missing(out)
+            out = Value("strings", F.array(*(F.lit(p) for p in plain.split(","))))
+            out.pattern = ("(?i)" if fold else "") + plain
+            return out
+        if kind == "name":
+            return self._call(text) if self._peek() == "(" else self._field(text)
+        raise PredicateError(f"unexpected {text!r}")
+
+    @staticmethod
+    def _missing(v: Value) -> Value:
+        v.kind, v.column = "strings", F.array(F.lit("."))
+        v.pattern = r"^\.$"
+        return v
+
+    def _call(self, name: str) -> Value:
+        self._take("(")
+        inner = self._binary(0)
+        self._take(")")
+        upper = name.upper()
+        if upper in ("N_PASS", "F_PASS"):
+            if inner.kind != "test" or inner.samples is None:
+                raise PredicateError(f"{name} needs a condition on samples")
+            n = F.size(F.filter(inner.samples, lambda x: x)).cast("double")
+            return Value("numbers", F.array(n if upper == "N_PASS" else n / F.nullif(F.size(inner.samples).cast("double"), F.lit(0.0))))
+        if upper == "STRLEN":
+            return Value("numbers", F.transform(inner.column, lambda x: F.length(x).cast("double")), inner.samples)
+        if inner.kind != "numbers":
+            raise PredicateError(f"{name} needs numbers")
+        if upper == "ABS":
+            return Value("numbers", F.transform(inner.column, F.abs), inner.samples)
+        if upper == "PHRED":
+            return Value("numbers", F.transform(inner.column, lambda x: -10 * F.log10(x)), inner.samples)
+        if upper in AGGREGATES:
+            return Value("numbers", F.array(AGGREGATES[upper](_known(inner.column))))
+        raise PredicateError(f"unknown function {name}")
+
+    def _field(self, name: str) -> Value:
+        plain = next((name[len(p) :] for p in PREFIXES if name.startswith(p)), name)
+        if plain not in self.fields:
+            raise PredicateError(f"unknown field {name}")
+        kind, column = self.fields[plain], self.columns.get(plain, F.col(plain))
+        one = kind in ("number", "string")
+        values = F.array(column) if one else F.coalesce(column, F.array())
+        if kind in ("number", "numbers", "samples"):
+            values = F.transform(values, lambda x: x.cast("double"))
+        out = Value("strings" if kind.startswith("string") else "numbers", values, True if kind == "samples" else None)
+        if self._peek() == "[":
+            out.column = self._subscript(out.column)
+            out.samples = None
+        return out
+
+    def _subscript(self, values: Column) -> Column:
+        self._take("[")
+        wanted: list[tuple[int, int | None]] = []
+        while self._peek() != "]":
+            if self._peek() == "*":
+                self.tokens.pop(0)
+                wanted.append((0, None))
+            elif self._peek() == ",":
+                self.tokens.pop(0)
+            else:
+                if not self.tokens or not self.tokens[0][1].isdigit():
+                    raise PredicateError("a place in [] expected")
+                first = int(self.tokens.pop(0)[1])
+                last: int | None = first
+                if self._peek() == "-":
+                    self.tokens.pop(0)
+                    last = int(self.tokens.pop(0)[1]) if self._peek() not in ("]", ",") else None
+                wanted.append((first, last))
+        self._take("]")
+        keep = lambda x, i: F.lit(False)
+        tests = [(a, b) for a, b in wanted]
+
+        def chosen(x: Column, i: Column) -> Column:
+            out = keep(x, i)
+            for a, b in tests:
+                out = out | ((i >= a) & (F.lit(True) if b is None else i <= b))
+            return out
+
+        return F.filter(values, chosen)

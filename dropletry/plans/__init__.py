@@ -1,0 +1 @@
+"""Registered queries: operators applied to the tables of a dataset folder, beside equivalent SQL."""

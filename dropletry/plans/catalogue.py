@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from dropletry.plans import counting, single_cell
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {**single_cell.QUERIES, **counting.QUERIES}
+ORACLE_SQL = {**single_cell.ORACLE_SQL, **counting.ORACLE_SQL}
