@@ -16,8 +16,8 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     pair = lambda t: F.struct(F.substring(t, 1, 2).alias("key"), F.substring(t, 6, 1 << 30).alias("value"))
     tags = F.map_from_entries(F.transform(F.slice(f, 12, 1 << 20), pair))
     return lines.select(
-        f[0].alias("qname"), f[1].cast("int").alias("flag"), f[2].alias("chrom"), (f[3].cast("long") - 1).alias("pos0"), f[4].cast("int").alias("mapq"),
-        f[5].alias("cigar"), f[9].alias("seq"), f[10].alias("qual"), tags.alias("tags"),
+        F.get(f, F.lit(0)).alias("qname"), F.get(f, F.lit(1)).try_cast("int").alias("flag"), F.get(f, F.lit(2)).alias("chrom"), (F.get(f, F.lit(3)).try_cast("long") - 1).alias("pos0"), F.get(f, F.lit(4)).try_cast("int").alias("mapq"),
+        F.get(f, F.lit(5)).alias("cigar"), F.get(f, F.lit(9)).alias("seq"), F.get(f, F.lit(10)).alias("qual"), tags.alias("tags"),
     )
 
 

@@ -13,13 +13,13 @@ def read_gtf(spark: SparkSession, path: str, gene_types: tuple[str, ...] | None
     """chrom, feature, beg, end (1-based, closed), strand, attributes (map); both kinds of UTR are UTR."""
     lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.col("value") != ""))
     f = F.split("value", "\t")
-    pairs = F.regexp_extract_all(f[8], F.lit(r'(\w+ "[^"]*")'), 1)
+    pairs = F.regexp_extract_all(F.get(f, F.lit(8)), F.lit(r'(\w+ "[^"]*")'), 1)
     pair = lambda x: F.struct(F.regexp_extract(x, r"^(\w+)", 1).alias("key"), F.regexp_extract(x, r'"([^"]*)"', 1).alias("value"))
     # Of a key given twice the first counts.
     attributes = F.aggregate(F.transform(pairs, pair), F.create_map().cast("map<string,string>"), lambda m, p: F.when(F.map_contains_key(m, p["key"]), m).otherwise(F.map_concat(m, F.map_from_entries(F.array(p)))))
-    chrom = F.when(F.lit(remove_chr), F.regexp_replace(f[0], "^chr", "")).when(F.lit(add_chr), F.concat(F.lit("chr"), f[0])).otherwise(f[0])
+    chrom = F.when(F.lit(remove_chr), F.regexp_replace(F.get(f, F.lit(0)), "^chr", "")).when(F.lit(add_chr), F.concat(F.lit("chr"), F.get(f, F.lit(0)))).otherwise(F.get(f, F.lit(0)))
     rows = lines.select(
-        chrom.alias("chrom"), F.when(f[2].isin("five_prime_utr", "three_prime_utr"), "UTR").otherwise(f[2]).alias("feature"), f[3].cast("long").alias("beg"), f[4].cast("long").alias("end"), f[6].alias("strand"), attributes.alias("attributes"),
+        chrom.alias("chrom"), F.when(F.get(f, F.lit(2)).isin("five_prime_utr", "three_prime_utr"), "UTR").otherwise(F.get(f, F.lit(2))).alias("feature"), F.get(f, F.lit(3)).try_cast("long").alias("beg"), F.get(f, F.lit(4)).try_cast("long").alias("end"), F.get(f, F.lit(6)).alias("strand"), attributes.alias("attributes"),
     )
     kind = F.coalesce(F.col("attributes")["gene_type"], F.col("attributes")["gene_biotype"])
     return rows.where(kind.isin(*gene_types)) if gene_types else rows
@@ -40,7 +40,7 @@ def genes(gtf: DataFrame, create_missing: bool = False) -> DataFrame:
 def read_bed(spark: SparkSession, path: str) -> DataFrame:
     """chrom, beg, end as 1-based closed intervals."""
     f = F.split("value", "\t")
-    return spark.read.text(path).where(F.col("value") != "").select(f[0].alias("chrom"), (f[1].cast("long") + 1).alias("beg"), f[2].cast("long").alias("end"))
+    return spark.read.text(path).where(F.col("value") != "").select(F.get(f, F.lit(0)).alias("chrom"), (F.get(f, F.lit(1)).try_cast("long") + 1).alias("beg"), F.get(f, F.lit(2)).try_cast("long").alias("end"))
 
 
 def read_list(spark: SparkSession, path: str, column: str = "barcode") -> DataFrame:
@@ -51,7 +51,7 @@ def read_list(spark: SparkSession, path: str, column: str = "barcode") -> DataFr
 def read_initial_clusters(spark: SparkSession, path: str) -> DataFrame:
     """barcode and cluster; negative clusters are unassigned and left out."""
     f = F.split("value", r"\s+")
-    return spark.read.text(path).where(F.col("value") != "").select(f[0].alias("barcode"), F.try_to_number(f[1], F.lit("S999999999")).cast("int").alias("cluster")).where("cluster >= 0")
+    return spark.read.text(path).where(F.col("value") != "").select(F.get(f, F.lit(0)).alias("barcode"), F.try_to_number(F.get(f, F.lit(1)), F.lit("S999999999")).cast("int").alias("cluster")).where("cluster >= 0")
 
 
 def write_pileup(path: str, cells: DataFrame, snps: DataFrame, rows: DataFrame) -> None:
@@ -94,4 +94,4 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).where(~F.col("value").startswith("%")).withColumn("at", F.struct(F.input_file_name(), F.monotonically_increasing_id()))
     first = lines.agg(F.min("at").alias("first"))
     f = F.split("value", " ")
-    return lines.join(F.broadcast(first)).where(F.col("at") != F.col("first")).select(f[0].cast("long").alias("i"), f[1].cast("long").alias("j"), f[2].cast("long").alias("n"))
+    return lines.join(F.broadcast(first)).where(F.col("at") != F.col("first")).select(F.get(f, F.lit(0)).try_cast("long").alias("i"), F.get(f, F.lit(1)).try_cast("long").alias("j"), F.get(f, F.lit(2)).try_cast("long").alias("n"))

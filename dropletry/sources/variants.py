@@ -13,12 +13,12 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     f = F.split("value", "\t")
     known = lambda c: F.when(c != ".", c)
     pair = lambda x: F.struct(F.split(x, "=", 2)[0].alias("key"), F.coalesce(F.get(F.split(x, "=", 2), F.lit(1)), F.lit("")).alias("value"))
-    info = F.map_from_entries(F.transform(F.filter(F.split(f[7], ";"), lambda x: (x != ".") & (x != "")), pair))
-    keys = F.split(f[8], ":")
+    info = F.map_from_entries(F.transform(F.filter(F.split(F.get(f, F.lit(7)), ";"), lambda x: (x != ".") & (x != "")), pair))
+    keys = F.split(F.get(f, F.lit(8)), ":")
     sample = lambda x: F.map_from_arrays(F.slice(keys, 1, F.size(F.split(x, ":"))), F.split(x, ":"))
     return lines.select(
-        f[0].alias("chrom"), f[1].cast("long").alias("pos"), known(f[2]).alias("id"), f[3].alias("ref"), F.split(f[4], ",").alias("alts"), known(f[5]).cast("float").alias("qual"),
-        F.when(f[6] == ".", F.array().cast("array<string>")).otherwise(F.split(f[6], ";")).alias("filters"), info.alias("info"),
+        F.get(f, F.lit(0)).alias("chrom"), F.get(f, F.lit(1)).try_cast("long").alias("pos"), known(F.get(f, F.lit(2))).alias("id"), F.get(f, F.lit(3)).alias("ref"), F.split(F.get(f, F.lit(4)), ",").alias("alts"), known(F.get(f, F.lit(5))).try_cast("float").alias("qual"),
+        F.when(F.get(f, F.lit(6)) == ".", F.array().cast("array<string>")).otherwise(F.split(F.get(f, F.lit(6)), ";")).alias("filters"), info.alias("info"),
         F.when(F.size(f) > 9, F.transform(F.slice(f, 10, 1 << 20), sample)).alias("samples"),
     )
 
