@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dropletry.llm.shingles import mixed, slices, word_hashes
@@ -131,38 +131,42 @@ def near_lines(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     """All lines (id, number, a, b: hashes) and, of the distinct ones with an earlier near line, (a, b)."""
     spark = docs.sparkSession
 
-    def first_pass(ids: np.ndarray, x: Lines) -> dict:
+    def describe(ids: np.ndarray, x: Lines) -> dict:
+        return {"id": ids, "number": x.number, "a": x.whole(0), "b": x.whole(1)}
+
+    def halve(ids: np.ndarray, x: Lines) -> dict:
         line, key = x.halves(s.edit_words)
-        order = np.argsort(line, kind="stable")
-        keys = np.split(key[order], np.cumsum(np.bincount(line, minlength=len(x.n)))[:-1]) if len(x.n) else []
-        return {"id": ids, "number": x.number, "n": x.n, "a": x.whole(0), "b": x.whole(1), "halves": pd.Series(keys, dtype=object)}
+        a = x.whole(0)[line]
+        once = np.unique(np.stack([key, a]), axis=1) if len(key) else np.empty((2, 0), np.int64)
+        return {"half": once[0], "a": once[1]}
 
-    lines = checkpointed(_over_lines(docs, s, first_pass, "id long, number long, n long, a long, b long, halves array<long>"))
-    halves = lines.where(F.size("halves") > 0).select("a", F.explode("halves").alias("half")).groupBy("half").agg(F.min("a").alias("x"), F.max("a").alias("y")).where("x <> y").select("half")
-    partnered = lines.select("a", F.explode("halves").alias("half")).join(halves, "half", "left_semi").select("a").distinct()
-    wanted = spark.sparkContext.broadcast(np.packbits(_map(partnered, F.col("a"), s)))
+    lines = checkpointed(_over_lines(docs, s, describe, "id long, number int, a long, b long"))
+    of_half = Window.partitionBy("half")
+    halves = _over_lines(docs, s, halve, "half long, a long").withColumns({"x": F.min("a").over(of_half), "y": F.max("a").over(of_half)})
+    wanted = spark.sparkContext.broadcast(np.packbits(_map(halves.where("x <> y"), F.col("a"), s)))
 
     def emit(ids: np.ndarray, x: Lines) -> dict:
         a = x.whole(0)
         m = a % s.marks
         at = np.flatnonzero((x.n >= s.edit_words) & ((wanted.value[m >> 3] >> (7 - (m & 7))) & 1 == 1))
-        at = at[np.unique(a[at], return_index=True)[1]] if len(ids) and bool(np.all(ids[1:] >= ids[:-1])) else at
+        # Equal lines of a slice send one row: that of the least id, of equal ids the first.
+        at = at[np.lexsort((x.number[at], ids[at]))]
+        at = at[np.unique(a[at], return_index=True)[1]]
         line, place, key = x.variants(at)
         line, place, key = np.concatenate([line, at]), np.concatenate([place, np.full(len(at), -1)]), np.concatenate([key, a[at]])
-        return {"key": key, "place": place, "id": ids[line], "number": x.number[line], "a": a[line], "n": x.n[line]}
+        return {"key": key, "place": place.astype(np.int32), "id": ids[line], "number": x.number[line].astype(np.int32), "a": a[line]}
 
-    rows = _over_lines(docs, s, emit, "key long, place long, id long, number long, a long, n long")
-    least = rows.groupBy("key", "place").agg(F.min(F.struct("id", "number", "a", "n")).alias("p"), F.min("a").alias("x"), F.max("a").alias("y"))
+    rows = _over_lines(docs, s, emit, "key long, place int, id long, number int, a long").withColumn("p", F.struct("id", "number", "a"))
     # Variants that one distinct line alone has are met by no other.
-    shared = least.groupBy("key").agg(
-        F.min("x").alias("x"), F.max("y").alias("y"),
-        F.min(F.when(F.col("place") < 0, F.col("p"))).alias("self"), F.min(F.when(F.col("place") >= 0, F.col("p"))).alias("less"),
-    ).where("x <> y").select("key", "self", "less")
-    mine = rows.join(shared, "key").join(least.select("key", "place", "p"), ["key", "place"])
-    witness = F.when(F.col("place") < 0, F.least("p", "less")).otherwise(F.least("p", "self"))
-    met = mine.groupBy("a", "n").agg(F.min(F.struct("id", "number")).alias("own"), F.min(witness).alias("w"))
-    pairs = checkpointed(met.where((F.col("w.a") != F.col("a")) & (F.struct("w.id", "w.number") < F.col("own"))).select("a", "own", F.struct("w.id", "w.number").alias("other")))
-    return lines.drop("halves"), pairs.select("a", "own.id", "own.number").join(_verified(docs, pairs, s), ["id", "number"]).join(lines.select("id", "number", "b"), ["id", "number"]).select("a", "b").distinct()
+    of_key, of_place = Window.partitionBy("key"), Window.partitionBy("key", "place")
+    met = rows.withColumns({"x": F.min("a").over(of_key), "y": F.max("a").over(of_key)}).where("x <> y")
+    met = met.withColumns({
+        "self": F.min(F.when(F.col("place") < 0, F.col("p"))).over(of_key), "less": F.min(F.when(F.col("place") >= 0, F.col("p"))).over(of_key), "like": F.min("p").over(of_place),
+    })
+    witness = F.when(F.col("place") < 0, F.least("like", "less")).otherwise(F.least("like", "self"))
+    found = met.groupBy("a").agg(F.min(F.struct("id", "number")).alias("own"), F.min(witness).alias("w"))
+    pairs = checkpointed(found.where((F.col("w.a") != F.col("a")) & (F.struct("w.id", "w.number") < F.col("own"))).select("own", F.struct("w.id", "w.number").alias("other")))
+    return lines, _verified(docs, pairs, s).join(lines, ["id", "number"]).select("a", "b").distinct()
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
@@ -177,7 +181,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
         return pd.Series((needed.value[at >> 3] >> (7 - (at & 7))) & 1 == 1, index=m.index)
 
     texts = docs.where(is_needed(F.pmod(F.xxhash64("id"), F.lit(s.marks)))).select("id", F.posexplode(F.split("text", "\n")).alias("number", "line"))
-    texts = texts.select("id", F.col("number").cast("long"), "line").join(ends.distinct(), ["id", "number"], "left_semi").dropDuplicates(["id", "number"]).select(place.alias("p"), "line")
+    texts = texts.select("id", "number", "line").join(ends.distinct(), ["id", "number"], "left_semi").dropDuplicates(["id", "number"]).select(place.alias("p"), "line")
 
     @F.pandas_udf("boolean")
     def within_one(a: pd.Series, b: pd.Series) -> pd.Series:
