@@ -127,7 +127,7 @@ class Codec:
         self.split = re.compile(f"({special})") if special else None
         self.plain = re.compile(rf"[\x00-\x7f{LATIN}]*").fullmatch
         self.words_plain = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[0-9]|[^\t-\r {LATIN}0-9]+").findall
-        self.words_any = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+").findall
+        self.path = path
 
     def _trie(self, parts: dict[int, tuple[int, ...]]) -> None:
         """The trie of all tokens that exact merging leaves whole when they stand alone."""
@@ -305,8 +305,38 @@ class Codec:
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         lower = text.replace("Σ", "σ").lower()
-        find = self.words_plain if self.plain(lower) else self.words_any
-        return find(lower)
+        if self.plain(lower):
+            return self.words_plain(lower)
+        unassigned, find = self.general
+        return self._library_words(text) if unassigned(text) else find(lower)
+
+    @functools.cached_property
+    def general(self):
+        """Matchers of characters that this Python's Unicode leaves unassigned, and of any words."""
+        ranges: dict[str, list[str]] = {"L": [], "N": [], "C": []}
+        last, start = "", 0
+        for c in range(0x110001):
+            kind = unicodedata.category(chr(c)) if c < 0x110000 else ""
+            kind = "C" if kind == "Cn" else kind[:1] if kind[:1] in ("L", "N") else ""
+            if kind != last:
+                if last:
+                    ranges[last].append(f"\\U{start:08x}-\\U{c - 1:08x}")
+                last, start = kind, c
+        letters, numbers = "".join(ranges["L"]), "".join(ranges["N"])
+        words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{SPACE}{letters}{numbers}]+")
+        return regex.compile(f"[{''.join(ranges['C'])}]").search, words.findall
+
+    @functools.cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(self.path)
+        return t.normalizer, t.pre_tokenizer, {c: b for b, c in enumerate(_byte_chars())}
+
+    def _library_words(self, text: str) -> list[str]:
+        """Words of a text with characters newer than this Python, as the library cuts them."""
+        normalizer, cut, byte_of = self.library
+        return [bytes(byte_of[c] for c in w).decode() for w, _ in cut.pre_tokenize_str(normalizer.normalize_str(text))]
 
     def pieces(self, text: str) -> list[str]:
         if "<|" not in text or self.split is None:

@@ -8,12 +8,16 @@
    shingles are frequent, their least frequent-shingle hash.  The token-group matrix has a row for
    each shingle of the union of a group's prefixes.
 4. A class qualifies for a group when it shares a row with it and their sizes allow the threshold.
-   Qualifying groups are opened: first their leader (earliest document) is compared, then, among those
-   that share a shingle, the classes that are not yet in the same component.
-5. Pairs are verified on whole sets; links become components.
+   It is compared with the leader (earliest document) of each group that it qualifies for, and links
+   become components.
+5. Groups that still hold classes of other components than a qualifying class are opened in blocks:
+   of a block's pairs, only those of different components are compared, and only those come out that
+   can reach the threshold.
+6. Comparisons first use bitmaps with some bits for each shingle: a set bit that the other lacks is a
+   shingle that the other lacks.  Pairs that still can reach the threshold are verified on whole sets.
 
 A large group of near copies costs one comparison for each copy, not one for each pair.  No candidate
-is dropped: what step 4 leaves out already is in one component.
+is dropped: what step 5 leaves out already is in one component.
 
 Defined results: texts that are null or have no words have no shingles and link with nothing; rows
 with a null id are left out; of repeated ids each row is returned; extra columns are ignored.
@@ -26,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dropletry.llm.components import components
@@ -38,12 +42,17 @@ from dropletry.llm.tables import checkpointed
 class Settings:
     """width: words of a shingle; percent: least similarity; frequent: count from which a shingle is
     ordered by its count; table: most frequent shingles that are broadcast (they only order);
-    marks: bits of the map of documents whose sets are needed (it may only let too many through)."""
+    bits: of a bitmap for each shingle, at least; members, visitors: classes of a group, and classes that
+    qualify for it, that are compared in one block; marks: bits of the map of documents whose sets are
+    needed (it may only let too many through)."""
 
     width: int = 5
     percent: int = 80
     frequent: int = 16
     table: int = 300_000
+    bits: int = 4
+    members: int = 512
+    visitors: int = 2048
     marks: int = 1 << 21
 
 
@@ -52,27 +61,47 @@ def least_overlap(size: np.ndarray | int, percent: int):
     return -(-size * percent // 100)
 
 
+def bitmap(shingles: np.ndarray, per_shingle: int) -> bytes:
+    """Bits at the shingles' low bits; its size is a power of two of bytes, so that larger maps fold."""
+    size = 1 << max(3, int(per_shingle * len(shingles) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[shingles & (size - 1)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def most_overlap(x: bytes, nx: int, y: bytes, ny: int) -> int:
+    """At most so many shingles are common to sets with these bitmaps and sizes."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    return min(nx - int(np.bitwise_count(a & ~b).sum()), ny - int(np.bitwise_count(b & ~a).sum()))
+
+
 def _classes_and_counts(docs: DataFrame, s: Settings) -> DataFrame:
-    """A row (id, size, class) for each document; rows (token, n) for shingles that repeat in a slice."""
+    """A row (id, size, class, map) for each document (the map once for equal sets of a batch); rows (token, n) for shingles that repeat in a slice."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, keys, sizes, seen, tokens = [], [], [], set(), []
+            ids, keys, sizes, maps, seen, tokens = [], [], [], [], set(), []
             for i, shingles in zip(batch["id"].tolist(), shingle_sets(batch["text"].tolist(), s.width)):
                 ids.append(i)
                 keys.append(set_key(shingles))
                 sizes.append(len(shingles))
+                maps.append(None)
                 if keys[-1] not in seen:
                     seen.add(keys[-1])
                     tokens.append(shingles)
-            yield pd.DataFrame({"id": ids, "size": sizes, "class": keys, "token": None, "n": None})
+                    maps[-1] = bitmap(shingles, s.bits)
+            yield pd.DataFrame({"id": ids, "size": sizes, "class": keys, "map": maps, "token": None, "n": None})
             if tokens:
                 flat = np.sort(np.concatenate(tokens))
                 at = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.empty(0, int)
                 n = np.diff(np.append(at, len(flat)))
-                yield pd.DataFrame({"id": None, "size": None, "class": None, "token": flat[at[n > 1]], "n": n[n > 1]})
+                yield pd.DataFrame({"id": None, "size": None, "class": None, "map": None, "token": flat[at[n > 1]], "n": n[n > 1]})
 
-    return docs.mapInPandas(run, "id long, size long, class long, token long, n long")
+    return docs.mapInPandas(run, "id long, size long, class long, map binary, token long, n long")
 
 
 def _prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], s: Settings) -> DataFrame:
@@ -124,14 +153,71 @@ def _sets(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
     return docs.where(is_marked(mark)).mapInPandas(run, "id long, shingles array<long>")
 
 
-def _links(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+def _possible(pairs: DataFrame, maps: DataFrame, s: Settings) -> DataFrame:
+    """The pairs (u, v) that their bitmaps do not rule out."""
+
+    @F.pandas_udf("boolean")
+    def can_link(x: pd.Series, nx: pd.Series, y: pd.Series, ny: pd.Series) -> pd.Series:
+        return pd.Series([(100 + s.percent) * most_overlap(a, na, b, nb) >= s.percent * (na + nb) for a, na, b, nb in zip(x, nx, y, ny)], index=x.index)
+
+    a, b = maps.toDF("u", "x", "nx"), maps.toDF("v", "y", "ny")
+    return pairs.join(a, "u").join(b, "v").where(can_link("x", "nx", "y", "ny")).select("u", "v")
+
+
+def _links(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     """The pairs (u, v) whose whole sets reach the threshold."""
-    a = sets.select(F.col("id").alias("u"), F.col("shingles").alias("su"))
-    b = sets.select(F.col("id").alias("v"), F.col("shingles").alias("sv"))
+    sets = _sets(docs, pairs.select(F.explode(F.array("u", "v")).alias("id")), s).dropDuplicates(["id"])
+    a, b = sets.toDF("u", "su"), sets.toDF("v", "sv")
     common = F.size(F.array_intersect("su", "sv"))
     return pairs.join(a, "u").join(b, "v").where(100 * common >= s.percent * (F.size("su") + F.size("sv") - common)).select("u", "v")
 
 
+def open_room(visitors: list[tuple], members: list[tuple], s: Settings) -> list[tuple[int, int]]:
+    """Pairs of a visitor and a member, (id, component, size, bitmap) each, of different components
+    that their bitmaps do not rule out."""
+    found = []
+    by_width: dict[int, list[tuple]] = {}
+    for m in members:
+        by_width.setdefault(len(m[3]), []).append(m)
+    for width, group in by_width.items():
+        theirs = np.frombuffer(b"".join(m[3] for m in group), np.uint8).reshape(len(group), width)
+        ids, components, sizes = (np.array([m[k] for m in group]) for k in range(3))
+        for i, c, n, raw in visitors:
+            bits, others = np.frombuffer(raw, np.uint8), theirs
+            while len(bits) > width:
+                bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
+            while others.shape[1] > len(bits):
+                others = others[:, : others.shape[1] // 2] | others[:, others.shape[1] // 2 :]
+            most = np.minimum(n - np.bitwise_count(bits & ~others).sum(axis=1, dtype=np.int64), sizes - np.bitwise_count(others & ~bits).sum(axis=1, dtype=np.int64))
+            hit = (components != c) & ((100 + s.percent) * most >= s.percent * (n + sizes))
+            found += [(min(i, j), max(i, j)) for j in ids[hit].tolist()]
+    return found
+
+
+def _opened(rows: DataFrame, qualifying: DataFrame, maps: DataFrame, found: DataFrame, s: Settings) -> DataFrame:
+    """The pairs (u, v) that opening groups leaves to verify, beyond the components ``found``."""
+    home = rows.select("group", "rep").distinct().join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    home = checkpointed(home.join(maps, "rep"))
+    groups = home.groupBy("group").agg(F.count("*").alias("n"), F.min("component").alias("a"), F.max("component").alias("b")).where("n > 1")
+    visits = qualifying.select("rep", "group").join(groups, "group").join(home.select("rep", "component"), "rep").where("a <> b or component <> a")
+    visits = checkpointed(visits.select("group", "rep", "component", "n"))
+    rooms = visits.groupBy("group").agg(F.count("*").alias("v"), F.first("n").alias("n"))
+    rooms = rooms.select("group", F.ceil(F.col("n") / s.members).cast("int").alias("m_blocks"), F.ceil(F.col("v") / s.visitors).cast("int").alias("v_blocks"))
+    block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    come = visits.select("group", "rep", "component").join(rooms, "group").withColumn("v_block", block("v_blocks")).withColumn("m_block", every("m_blocks")).join(maps, "rep")
+    stay = home.join(rooms, "group").withColumn("m_block", block("m_blocks")).withColumn("v_block", every("v_blocks"))
+
+    def compare(visitors: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        as_rows = lambda x: list(zip(*(x.iloc[:, k].tolist() for k in range(3, 7))))
+        return pd.DataFrame(open_room(as_rows(visitors), as_rows(members), s), columns=["u", "v"], dtype="int64")
+
+    room = ["group", "m_block", "v_block"]
+    columns = [*room, "rep", "component", "size", "map"]
+    stay = stay.select(columns).toDF(*(f"{c}_" for c in columns))
+    return come.select(columns).groupBy(*room).cogroup(stay.groupBy(*(f"{c}_" for c in room))).applyInPandas(compare, "u long, v long").distinct()
+
+
 def classes(docs: DataFrame, settings: Settings | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, size, class, component) for every document with an id; component: the smallest linked id."""
     s = settings or Settings()
@@ -144,26 +230,21 @@ def classes(docs: DataFrame, settings: Settings | None = None, key: str = "doc_i
     order = np.argsort(tokens)
     rows = _prefixes(docs, (tokens[order], counts[order]), s)
     # Shingles of one class alone match nothing.
-    several = rows.groupBy("token").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("token")
-    rows = checkpointed(rows.join(several, "token").distinct().join(earliest, "class").select("token", "rep", "size", "group"))
+    of_token = Window.partitionBy("token")
+    shared = rows.withColumns({"a": F.min("class").over(of_token), "b": F.max("class").over(of_token)}).where("a <> b").drop("a", "b").distinct()
+    rows = checkpointed(shared.join(earliest, "class").select("token", "class", "rep", "size", "group"))
     matrix = rows.groupBy("token", "group").agg(F.min("size").alias("least"), F.max("size").alias("most"))
     fits = lambda a, b: (100 * F.col(a) >= s.percent * F.col(b))
     qualifying = rows.select("token", "rep", "size").join(matrix, "token").where(fits("most", "size") & fits("size", "least")).select("rep", "size", "group").distinct()
-    leaders = rows.groupBy("group").agg(F.min(F.struct("rep", "size")).alias("l"), F.max("rep").alias("last")).select("group", F.col("l.rep").alias("leader"), F.col("l.size").alias("leader_size"), "last")
-    # A class that is all there is in its group opens nothing.
-    opened = checkpointed(qualifying.join(leaders, "group").where((F.col("rep") != F.col("leader")) | (F.col("rep") != F.col("last"))))
-    pairs = opened.where(fits("leader_size", "size") & fits("size", "leader_size") & (F.col("leader") != F.col("rep")))
-    pairs = checkpointed(pairs.select(F.least("rep", "leader").alias("u"), F.greatest("rep", "leader").alias("v")).distinct())
-    every = pairs.select(F.col("u").alias("id")).unionByName(opened.select(F.col("rep").alias("id")))
-    sets = checkpointed(_sets(docs, every, s).dropDuplicates(["id"]))
-    links = checkpointed(_links(pairs, sets, s))
+    qualifying = checkpointed(qualifying)
+    leaders = rows.groupBy("group").agg(F.min(F.struct("rep", "size")).alias("l")).select("group", F.col("l.rep").alias("leader"), F.col("l.size").alias("leader_size"))
+    opened = qualifying.join(leaders, "group").where(fits("leader_size", "size") & fits("size", "leader_size") & (F.col("leader") != F.col("rep")))
+    pairs = checkpointed(opened.select(F.least("rep", "leader").alias("u"), F.greatest("rep", "leader").alias("v")).distinct())
+    maps = first.where("map is not null").join(rows.select("class", "rep").distinct(), "class").dropDuplicates(["rep"]).select("rep", "map", "size")
+    maps = checkpointed(maps)
+    links = checkpointed(_links(checkpointed(_possible(pairs, maps, s)), docs, s))
     found = components(links)
-    placed = rows.join(found, rows["rep"] == found["node"], "left").select("token", "rep", "size", F.coalesce("component", "rep").alias("component"))
-    open_tokens = placed.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("token")
-    placed = placed.join(open_tokens, "token", "left_semi")
-    x, y = placed.toDF("token", "u", "nu", "cu"), placed.toDF("token", "v", "nv", "cv")
-    rest = x.join(y, "token").where((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & fits("nu", "nv") & fits("nv", "nu")).select("u", "v").distinct()
-    more = _links(rest.join(pairs, ["u", "v"], "left_anti"), sets, s)
+    more = _links(checkpointed(_opened(rows, qualifying, maps, found, s)), docs, s)
     found = checkpointed(components(links.unionByName(more)))
     of_class = earliest.join(found, earliest["rep"] == found["node"], "left").select("class", F.coalesce("component", "rep").alias("component"))
     return members.join(of_class, "class", "left").select("id", "size", "class", F.coalesce("component", "id").alias("component"))
