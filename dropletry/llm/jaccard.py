@@ -44,7 +44,7 @@ class Settings:
     ordered by its count; table: most frequent shingles that are broadcast (they only order);
     bits: of a bitmap for each shingle, at least; members, visitors: classes of a group, and classes that
     qualify for it, that are compared in one block; marks: bits of the map of documents whose sets are
-    needed (it may only let too many through)."""
+    needed (it may only let too many through); slice_tokens: shingles held by a task at a time."""
 
     width: int = 5
     percent: int = 80
@@ -54,6 +54,7 @@ class Settings:
     members: int = 512
     visitors: int = 2048
     marks: int = 1 << 21
+    slice_tokens: int = 1_000_000
 
 
 def least_overlap(size: np.ndarray | int, percent: int):
@@ -82,9 +83,16 @@ def most_overlap(x: bytes, nx: int, y: bytes, ny: int) -> int:
 def _classes_and_counts(docs: DataFrame, s: Settings) -> DataFrame:
     """A row (id, size, class, map) for each document (the map once for equal sets of a batch); rows (token, n) for shingles that repeat in a slice."""
 
+    def repeated(tokens: list[np.ndarray]) -> pd.DataFrame:
+        flat = np.concatenate(tokens)
+        flat.sort()
+        at = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.empty(0, int)
+        n = np.diff(np.append(at, len(flat)))
+        return pd.DataFrame({"id": None, "size": None, "class": None, "map": None, "token": flat[at[n > 1]], "n": n[n > 1]})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, keys, sizes, maps, seen, tokens = [], [], [], [], set(), []
+            ids, keys, sizes, maps, seen, tokens, held = [], [], [], [], set(), [], 0
             for i, shingles in zip(batch["id"].tolist(), shingle_sets(batch["text"].tolist(), s.width)):
                 ids.append(i)
                 keys.append(set_key(shingles))
@@ -94,12 +102,13 @@ def _classes_and_counts(docs: DataFrame, s: Settings) -> DataFrame:
                     seen.add(keys[-1])
                     tokens.append(shingles)
                     maps[-1] = bitmap(shingles, s.bits)
+                    held += len(shingles)
+                    if held > s.slice_tokens:
+                        yield repeated(tokens)
+                        tokens, held = [], 0
             yield pd.DataFrame({"id": ids, "size": sizes, "class": keys, "map": maps, "token": None, "n": None})
             if tokens:
-                flat = np.sort(np.concatenate(tokens))
-                at = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.empty(0, int)
-                n = np.diff(np.append(at, len(flat)))
-                yield pd.DataFrame({"id": None, "size": None, "class": None, "map": None, "token": flat[at[n > 1]], "n": n[n > 1]})
+                yield repeated(tokens)
 
     return docs.mapInPandas(run, "id long, size long, class long, map binary, token long, n long")
 
@@ -111,11 +120,19 @@ def _prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], s: Settings)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hot_tokens, hot_counts = shared.value
         done: set[int] = set()
+
+        def frame(out: list[np.ndarray], keys: list, sizes: list, groups: list) -> pd.DataFrame:
+            n = [len(p) for p in out]
+            return pd.DataFrame({"token": np.concatenate(out), "class": np.repeat(keys, n), "size": np.repeat(sizes, n).astype(np.int32), "group": np.repeat(groups, n)})
+
         for batch in batches:
-            out, keys, sizes, groups = [], [], [], []
+            out, keys, sizes, groups, held = [], [], [], [], 0
             for shingles in shingle_sets(batch["text"].tolist(), s.width):
                 if not len(shingles) or (key := set_key(shingles)) in done:
                     continue
+                if held > s.slice_tokens // 4:
+                    yield frame(out, keys, sizes, groups)
+                    out, keys, sizes, groups, held = [], [], [], [], 0
                 done.add(key)
                 size = len(shingles)
                 at = np.minimum(np.searchsorted(hot_tokens, shingles), max(0, len(hot_tokens) - 1))
@@ -127,9 +144,9 @@ def _prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], s: Settings)
                 keys.append(key)
                 sizes.append(size)
                 groups.append(common[0] if 2 * len(common) >= size else prefix[0])
+                held += len(prefix)
             if out:
-                n = [len(p) for p in out]
-                yield pd.DataFrame({"token": np.concatenate(out), "class": np.repeat(keys, n), "size": np.repeat(sizes, n).astype(np.int32), "group": np.repeat(groups, n)})
+                yield frame(out, keys, sizes, groups)
 
     return docs.mapInPandas(run, "token long, class long, size int, group long")
 
