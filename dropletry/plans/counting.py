@@ -128,7 +128,7 @@ def records(s: SparkSession, f: str) -> DataFrame:
     lines = table(s, f, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_quantity", "l_suppkey").alias("x"))
     many = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     ac = F.transform("xs", lambda x: F.when(x["l_partkey"] % 5 != 0, x["l_quantity"]))
-    dp = F.transform("xs", lambda x: (x["l_suppkey"] % 40).cast("double"))
+    dp = F.transform("xs", lambda x: (x["l_partkey"] % 40).cast("double"))
     return table(s, f, "orders").join(many, F.col("o_orderkey") == F.col("l_orderkey")).select(
         "o_orderkey", (F.col("o_totalprice") / 1000).alias("QUAL"), F.col("o_orderstatus").alias("STATUS"), F.col("o_orderpriority").alias("ID"), ac.alias("AC"), dp.alias("DP"), F.transform("xs", lambda x: x["l_quantity"]).alias("GQ")
     )
@@ -176,7 +176,7 @@ _SEGMENTS = f"""seg AS (SELECT l_suppkey AS cell_id, l_orderkey AS umi, l_return
   hit AS (SELECT * FROM seg JOIN gene USING (chrom, strand) WHERE a_beg <= b_end AND b_beg <= a_end)"""
 _HASH = "list_reduce(list_prepend({1}::BIGINT, list_transform(string_split({0}, ''), lambda c: ord(c)::BIGINT)), lambda h, c: (h * 101 + c) % 4294967296)"
 _RECORDS = """x AS (SELECT l_orderkey, list(CASE WHEN l_partkey % 5 <> 0 THEN l_quantity END ORDER BY l_linenumber, l_partkey, l_quantity, l_suppkey) AS ac,
-    list(CAST(l_suppkey % 40 AS DOUBLE) ORDER BY l_linenumber, l_partkey, l_quantity, l_suppkey) AS dp, list(l_quantity ORDER BY l_linenumber, l_partkey, l_quantity, l_suppkey) AS gq FROM lineitem GROUP BY 1),
+    list(CAST(l_partkey % 40 AS DOUBLE) ORDER BY l_linenumber, l_partkey, l_quantity, l_suppkey) AS dp, list(l_quantity ORDER BY l_linenumber, l_partkey, l_quantity, l_suppkey) AS gq FROM lineitem GROUP BY 1),
   rec AS (SELECT o_orderkey, CAST(o_totalprice / 1000 AS FLOAT) AS qual, o_orderstatus AS status, o_orderpriority AS id, ac, dp, gq FROM orders JOIN x ON o_orderkey = l_orderkey)"""
 ORACLE_SQL = {
     "merge_intervals": f"WITH {_MERGED} SELECT * FROM merged",
