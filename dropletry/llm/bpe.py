@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 #: Characters that Unicode calls white space; Python's \s has four control characters more.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Letters of western European languages after lower-casing, which the faster matcher knows.
-LATIN = r"a-z\xe0-\xf6\xf8-\u017f"
+LATIN = r"a-z\xdf-\xf6\xf8-\u017f"
 END = "</w>"
 #: Characters handled at a time, so that lists of words stay small beside the batch.
 SLICE_CHARS = 1_500_000
@@ -127,6 +127,7 @@ class Codec:
         self.split = re.compile(f"({special})") if special else None
         self.plain = re.compile(rf"[\x00-\x7f{LATIN}]*").fullmatch
         self.words_plain = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[0-9]|[^\t-\r {LATIN}0-9]+").findall
+        self.assigned: set[str] = set()  # characters met so far that this Python's Unicode knows
         self.path = path
 
     def _trie(self, parts: dict[int, tuple[int, ...]]) -> None:
@@ -307,24 +308,26 @@ class Codec:
         lower = text.replace("Σ", "σ").lower()
         if self.plain(lower):
             return self.words_plain(lower)
-        unassigned, find = self.general
-        return self._library_words(text) if unassigned(text) else find(lower)
+        new = set(text) - self.assigned
+        if any(unicodedata.category(c) == "Cn" for c in new):
+            return self._library_words(text)
+        self.assigned |= new
+        return self.general(lower)
 
     @functools.cached_property
     def general(self):
-        """Matchers of characters that this Python's Unicode leaves unassigned, and of any words."""
-        ranges: dict[str, list[str]] = {"L": [], "N": [], "C": []}
+        """The matcher of words of any characters that this Python's Unicode assigns."""
+        ranges: dict[str, list[str]] = {"L": [], "N": []}
         last, start = "", 0
         for c in range(0x110001):
             kind = unicodedata.category(chr(c)) if c < 0x110000 else ""
-            kind = "C" if kind == "Cn" else kind[:1] if kind[:1] in ("L", "N") else ""
+            kind = kind[:1] if kind[:1] in ranges else ""
             if kind != last:
                 if last:
                     ranges[last].append(f"\\U{start:08x}-\\U{c - 1:08x}")
                 last, start = kind, c
         letters, numbers = "".join(ranges["L"]), "".join(ranges["N"])
-        words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{SPACE}{letters}{numbers}]+")
-        return regex.compile(f"[{''.join(ranges['C'])}]").search, words.findall
+        return regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{SPACE}{letters}{numbers}]+").findall
 
     @functools.cached_property
     def library(self):
