@@ -111,7 +111,8 @@ def labelled_page(seed: int) -> tuple[str, list[str]]:
     parts += [lambda q: _side(q, ["header", "div"], HEADER_NAMES, 1, 10, 2, 0.5)] * (r.random() < 0.4)
     before = [x for x in parts]
     r.shuffle(before)
-    for part in before:
+    bare = seed % 12 == 11  # some pages are an article alone
+    for part in [] if bare else before:
         part(p)
     wraps = r.choice([["article"], ["main"], ["main", "article"], ["div"], ["div", "div"], ["section"], ["article", "div"], ["table", "tr", "td"]])
     for t in wraps:
@@ -119,7 +120,7 @@ def labelled_page(seed: int) -> tuple[str, list[str]]:
     _body(p)
     comments_inside = r.random() < 0.2
     comments = lambda: _side(p, ["div", "section", "ul", "ol"], COMMENT_NAMES, 2, 60, 5, 0.15)
-    if comments_inside:
+    if comments_inside and not bare:
         comments()
     for t in reversed(wraps):
         p.put(f"</{t}>")
@@ -128,9 +129,9 @@ def labelled_page(seed: int) -> tuple[str, list[str]]:
     after += [lambda: _side(p, ["form", "div"], ["form", "search", "contact", "login"], 1, 12, 3, 0.1)] * (r.random() < 0.3)
     after += [lambda: _side(p, ["div"], AD_NAMES, 1, 35, 2)] * (r.random() < 0.3)
     r.shuffle(after)
-    for part in after:
+    for part in [] if bare else after:
         part()
-    if r.random() < 0.9:
+    if not bare and r.random() < 0.9:
         _side(p, ["footer", "footer", "div"], FOOTER_NAMES, 2, 25, 3, 0.3)
     if r.random() < 0.8:
         p.put("</body></html>")
