@@ -1,6 +1,7 @@
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 
 from dropletry.llm import components, jaccard, op06_jaccard
@@ -79,4 +80,8 @@ def test_components_of_a_chain(spark):
 def test_query(spark):
     folder = "/root/testdata/sf0.001"
     docs = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
-    check(op06_jaccard.query(spark, folder).collect(), docs)
+    rows = op06_jaccard.query(spark, folder).collect()
+    check(rows, docs)
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{folder}/documents.parquet'")
+    assert sorted(map(tuple, rows)) == sorted(db.execute(op06_jaccard.SQL).fetchall())
