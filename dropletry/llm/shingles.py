@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes of text handled at a time.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 750_000
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
