@@ -54,7 +54,7 @@ class Settings:
     members: int = 512
     visitors: int = 2048
     marks: int = 1 << 21
-    slice_tokens: int = 1_000_000
+    slice_tokens: int = 5_000_000
 
 
 def least_overlap(size: np.ndarray | int, percent: int):
