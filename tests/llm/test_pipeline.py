@@ -1,7 +1,7 @@
 from collections import defaultdict
 
 import corpus_pipeline
-from dropletry.llm import jaccard, lines, op02_toxicity, op09_packing, toxicity
+from dropletry.llm import jaccard, lines, op02_toxicity, toxicity
 from dropletry.llm.tables import table
 
 FOLDER = "/root/testdata/sf0.001"
@@ -33,7 +33,7 @@ def test_stages_in_turn(spark, tmp_path):
             used = defaultdict(int)
             for r in rows:
                 used[r["sequence_id"]] += r["length"]
-            assert max(used.values()) <= op09_packing.digest.__defaults__[0].window if op09_packing.digest.__defaults__ else max(used.values()) <= 4096
+            assert max(used.values()) <= 4096
 
 
 def test_run_equals_the_stages(spark):
