@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -76,40 +79,167 @@ def em(gl: DataFrame, snps: DataFrame, assigned: DataFrame, k: int, rounds: int
     return found
 
 
-def greedy_seeds(gl: DataFrame, snps: DataFrame, order: DataFrame, k: int, seeds: int = 1000) -> DataFrame:
-    """(cell_id, cluster) of the first ``seeds`` droplets of ``order`` (cell_id, rank), one after another.
+def _score(own: list[float], prior: list[float], held: list[float]) -> float:
+    """The log likelihood ratio of the same against unrelated genotypes at one variant."""
+    same = sum(a * c * p for a, c, p in zip(own, held, prior))
+    return math.log(same) - math.log(sum(a * p for a, p in zip(own, prior)) * sum(c * p for c, p in zip(held, prior)))
+
+
+def _taken(own: list[float], held: list[float] | None) -> list[float]:
+    """A cluster's likelihoods at a variant after it takes a droplet's in, floored."""
+    m = [a * c for a, c in zip(own, held or (1.0, 1.0, 1.0))]
+    total = sum(m)
+    m = [max(x / total, FLOOR) for x in m]
+    total = sum(m)
+    return [x / total for x in m]
+
+
+def _observed(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """(snp_id, rank, cell_id, cluster or -1, own, prior, state or None) row by row; state rows have rank 0."""
+    for rows in batches:
+        prior = np.stack([(1 - rows["af"]) ** 2, 2 * rows["af"] * (1 - rows["af"]), rows["af"] ** 2], axis=1).tolist()
+        own = rows[["g0", "g4", "g8"]].to_numpy().tolist()
+        yield from zip(rows["snp_id"].tolist(), rows["rank"].tolist(), rows["cell_id"].tolist(), rows["cluster"].tolist(), own, prior, rows["state"])
+
+
+def _with_state(rows: DataFrame, state: DataFrame | None) -> DataFrame:
+    """Rows of droplets (rank, cell_id, snp_id, af, g0, g4, g8, cluster) and, as rank 0, the clusters' state before them."""
+    rows = rows.withColumn("state", F.lit(None).cast("array<double>"))
+    if state is None:
+        return rows
+    none = {"rank": F.lit(0), "cell_id": F.lit(-1), "cluster": F.lit(-1), "af": F.lit(0.0), "g0": F.lit(0.0), "g4": F.lit(0.0), "g8": F.lit(0.0)}
+    covered = state.join(rows.select("snp_id").distinct(), "snp_id", "left_semi")
+    return rows.unionByName(covered.select("snp_id", "state", *(x.cast(dict(rows.dtypes)[c]).alias(c) for c, x in none.items())))
+
+
+def _unpacked(state, k: int) -> list[list[float] | None]:
+    """The likelihoods of each cluster at a variant, None where no member covers it."""
+    return [None if state[3 * j] < 0 else [float(x) for x in state[3 * j : 3 * j + 3]] for j in range(k)]
+
+
+def walked(rows: DataFrame, state: DataFrame | None, k: int) -> DataFrame:
+    """(cell_id, rank, cluster) of the droplets of ``rows``, one after another in one task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list[list[float] | None]] = {}
+        out: list[tuple[int, int, int]] = []
+
+        def place(rank: int, cell: list[tuple]) -> None:
+            terms: list[list[float]] = [[] for _ in range(k)]
+            for snp, own, prior, _ in cell:
+                for j, c in enumerate(held.get(snp, ())):
+                    if c is not None:
+                        terms[j].append(_score(own, prior, c))
+            scores = [math.fsum(x) for x in terms]
+            best = scores.index(max(scores))
+            for snp, own, _, _ in cell:
+                at = held.setdefault(snp, [None] * k)
+                at[best] = _taken(own, at[best])
+            out.append((cell[0][3], rank, best))
+
+        now, cell = 0, []
+        for snp, rank, cell_id, _, own, prior, before in _observed(batches):
+            if rank == 0:
+                held[snp] = _unpacked(before, k)
+                continue
+            if rank != now and cell:
+                place(now, cell)
+                cell = []
+            now = rank
+            cell.append((snp, own, prior, cell_id))
+        if cell:
+            place(now, cell)
+        yield pd.DataFrame(out, columns=["cell_id", "rank", "cluster"])
+
+    return _with_state(rows, state).repartition(1).sortWithinPartitions("rank", "snp_id").mapInPandas(run, "cell_id long, rank long, cluster int")
+
+
+def replayed(rows: DataFrame, state: DataFrame | None, k: int, scores: bool) -> DataFrame:
+    """Each variant's droplets in order of rank, taken in by the clusters that ``rows`` names (-1: none).
+
+    With ``scores`` (cell_id, rank, s: each cluster's score before the droplet came), else the state
+    after them all (snp_id, state).  Variants are independent, so this runs in parallel and streams.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held, out = None, [None] * k, []
+
+        def frame() -> pd.DataFrame:
+            return pd.DataFrame(out, columns=["cell_id", "rank", "s"] if scores else ["snp_id", "state"])
+
+        def close() -> None:
+            if now is not None and not scores:
+                out.append((now, [x for c in held for x in (c or (-1.0, -1.0, -1.0))]))
+
+        for snp, rank, cell_id, cluster, own, prior, before in _observed(batches):
+            if snp != now:
+                close()
+                now, held = snp, [None] * k
+            if rank == 0:
+                held = _unpacked(before, k)
+                continue
+            if scores:
+                out.append((cell_id, rank, [0.0 if c is None else _score(own, prior, c) for c in held]))
+            if cluster >= 0:
+                held[cluster] = _taken(own, held[cluster])
+            if len(out) >= 20_000:
+                yield frame()
+                out = []
+        close()
+        if out:
+            yield frame()
+
+    schema = "cell_id long, rank long, s array<double>" if scores else "snp_id long, state array<double>"
+    return _with_state(rows, state).repartition("snp_id").sortWithinPartitions("snp_id", "rank").mapInPandas(run, schema)
+
+
+def greedy_seeds(gl: DataFrame, snps: DataFrame, order: DataFrame, k: int, seeds: int = 1000, fraction: float = 1.0, rounds: int = 8) -> DataFrame:
+    """(cell_id, cluster) of the droplets of ``order`` (cell_id, rank), as if they came one after another.
 
     Each goes to the cluster with the largest log likelihood ratio of the same against unrelated
     genotypes; an empty cluster scores 0 and the first of equals wins; then the cluster takes its
-    likelihoods in.  The order matters, so one task does it, and ``seeds`` bounds what it holds: all
-    other droplets are assigned by the refinement, in parallel.
+    likelihoods in.  ``fraction``: of the droplets to take; ``seeds``: droplets that one task walks at
+    a time.  The first ``seeds`` are walked.  The others come in blocks that double: all droplets of a
+    block are scored at once behind those that a guess puts before them, which gives the next guess.
+    Up to the first droplet whose cluster changed, a guess is the result of strict order; so a block
+    is done when nothing changes.  One that isn't after ``rounds`` keeps what is certain, and walks
+    the next ``seeds`` where that is more.
     """
-    chosen = gl.join(F.broadcast(order.where(F.col("rank") <= seeds).select("cell_id", "rank")), "cell_id").join(snps, "snp_id").select("cell_id", "rank", "snp_id", "af", "g0", "g4", "g8")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        held: list[dict[int, np.ndarray]] = [{} for _ in range(k)]
-        out = []
-        for _, cell in rows.sort_values(["rank", "snp_id"]).groupby("rank", sort=True):
-            af, snp = cell["af"].to_numpy(), cell["snp_id"].tolist()
-            prior = np.stack([(1 - af) ** 2, 2 * af * (1 - af), af**2], axis=1)
-            own = cell[["g0", "g4", "g8"]].to_numpy()
-            scores = []
-            for cluster in held:
-                at = [i for i, x in enumerate(snp) if x in cluster]
-                if not at:
-                    scores.append(0.0)
-                    continue
-                a, p, c = own[at], prior[at], np.array([cluster[snp[i]] for i in at])
-                scores.append(float(np.log((a * c * p).sum(1)).sum() - np.log((a * p).sum(1) * (c * p).sum(1)).sum()))
-            best = int(np.argmax(scores))
-            for i, x in enumerate(snp):
-                m = held[best].get(x, np.ones(3)) * own[i]
-                m = np.maximum(m / m.sum(), FLOOR)
-                held[best][x] = m / m.sum()
-            out.append((int(cell["cell_id"].iloc[0]), best))
-        return pd.DataFrame(out, columns=["cell_id", "cluster"])
-
-    return chosen.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(lambda rows: run(rows), "cell_id long, cluster int")
+    total = order.count()
+    order = saved(order.where(F.col("rank") - 1 <= total * fraction).select(F.col("cell_id").cast("long"), F.col("rank").cast("long")))
+    total, done, block = order.count(), min(seeds, total), seeds
+    rows = gl.join(order, "cell_id").join(snps, "snp_id")
+    rows = saved(rows.select(F.col("snp_id").cast("long"), "rank", "cell_id", F.col("af").cast("double"), "g0", "g4", "g8").withColumn("cluster", F.lit(-1)))
+    found = saved(walked(rows.where(F.col("rank") <= done), None, k))
+    state, last = None, 0
+    while done < total:
+        # The settled droplets join the state; their guesses are the result of strict order.
+        newly = rows.where((F.col("rank") > last) & (F.col("rank") <= done)).drop("cluster").join(found.select("cell_id", "cluster"), "cell_id")
+        after = replayed(newly, state, k, scores=False)
+        state = saved(after if state is None else after.unionByName(state.join(after.select("snp_id"), "snp_id", "left_anti")))
+        last, end = done, min(total, done + block)
+        part = saved(rows.where((F.col("rank") > done) & (F.col("rank") <= end)))
+        guess, certain = None, done
+        for _ in range(rounds):
+            guessed = part if guess is None else part.drop("cluster").join(guess.select("cell_id", "cluster"), "cell_id")
+            # Sums of decimals don't depend on the order of rows, so equal guesses give equal results.
+            sums = replayed(guessed, state, k, scores=True).groupBy("cell_id", "rank").agg(*(F.sum(F.col("s")[j].cast("decimal(38,18)")).alias(f"s{j}") for j in range(k)))
+            top = F.greatest(*(f"s{j}" for j in range(k))) if k > 1 else F.col("s0")
+            now = saved(sums.select("cell_id", "rank", F.coalesce(*(F.when(F.col(f"s{j}") == top, j) for j in range(k))).alias("cluster")))
+            if guess is not None:
+                other = now.join(guess.select("cell_id", F.col("cluster").alias("was")), "cell_id").where("cluster != was").agg(F.min("rank")).first()[0]
+                certain = end if other is None else other
+            guess = now
+            if certain == end:
+                break
+        if certain - done < min(seeds, end - done):
+            certain = min(total, done + seeds)
+            guess = walked(rows.where((F.col("rank") > done) & (F.col("rank") <= certain)), state, k)
+        found = saved(found.unionByName(guess.where(F.col("rank") <= certain)))
+        block = 2 * (certain - done)
+        done = certain
+    # A droplet without variants scores 0 everywhere.
+    return order.select("cell_id").join(found.select("cell_id", "cluster"), "cell_id", "left").select("cell_id", F.coalesce("cluster", F.lit(0)).alias("cluster"))
 
 
 def votes(links: DataFrame) -> DataFrame:

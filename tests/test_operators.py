@@ -72,6 +72,46 @@ def test_greedy_seeds_open_an_empty_cluster(spark):
     assert {r["cell_id"]: r["cluster"] for r in clusters.greedy_seeds(gl, snps, order, 2).collect()} == {1: 0, 2: 1, 3: 0}
 
 
+def test_greedy_seeds_place_every_droplet_in_strict_order(spark):
+    r = random.Random(5)
+    gl, af, kinds = [], {s: r.uniform(0.1, 0.9) for s in range(30)}, [[r.randint(0, 2) for _ in range(30)] for _ in range(3)]
+    for c in range(60):
+        for s in r.sample(range(30), 8):
+            # Half of the droplets tell little, so that their place depends on those before them.
+            g = [r.uniform(0.3, 0.5) if c % 2 else 0.05 + 0.9 * (kinds[c % 3][s] == x) for x in range(3)]
+            gl.append((c, s, 1, *[g[k // 4] / sum(g) if k % 4 == 0 else 0.01 for k in range(9)]))
+    rank = {c: i + 1 for i, c in enumerate(r.sample(range(60), 60))}
+
+    def strict(last):
+        held, out = [{} for _ in range(3)], {}
+        for c in sorted(rank, key=rank.get)[:last]:
+            mine = {x[1]: (x[3], x[7], x[11]) for x in gl if x[0] == c}
+            scores = []
+            for h in held:
+                score = 0.0
+                for s in sorted(mine.keys() & h.keys()):
+                    p = ((1 - af[s]) ** 2, 2 * af[s] * (1 - af[s]), af[s] ** 2)
+                    score += math.log(sum(a * b * q for a, b, q in zip(mine[s], h[s], p))) - math.log(sum(a * q for a, q in zip(mine[s], p)) * sum(b * q for b, q in zip(h[s], p)))
+                scores.append(score)
+            out[c] = scores.index(max(scores))
+            for s, own in mine.items():
+                m = [a * b for a, b in zip(own, held[out[c]].get(s, (1, 1, 1)))]
+                m = [max(x / sum(m), 1e-6) for x in m]
+                held[out[c]][s] = [x / sum(m) for x in m]
+        return out
+
+    frame = spark.createDataFrame(gl, "cell_id long, snp_id long, n_obs long, " + ", ".join(f"g{k} double" for k in range(9)))
+    snps = spark.createDataFrame(list(af.items()), "snp_id long, af double")
+    order = spark.createDataFrame(list(rank.items()), "cell_id long, rank int")
+
+    def got(**settings):
+        return {x["cell_id"]: x["cluster"] for x in clusters.greedy_seeds(frame, snps, order, 3, **settings).collect()}
+
+    assert len(set(strict(60).values())) == 3
+    assert got(seeds=10) == got(seeds=10, rounds=2) == got() == strict(60)
+    assert got(seeds=10, fraction=0.5) == strict(31)  # the reference takes the droplet at the fraction in
+
+
 RECORDS = [(1, 50.0, [1.0, None], ["hom", "x"], [10.0, 30.0], [5.0, 50.0]), (2, None, [], None, [40.0, 1.0], [1.0, 60.0]), (3, 20000000.0, [3.0], ["y"], [None, 2.0], [7.0, 8.0])]
 
 
