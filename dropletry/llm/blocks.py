@@ -12,7 +12,9 @@ BREAKING = frozenset(
     "header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements whose content is no text of the page.
-HIDDEN = frozenset("script style noscript template iframe object svg math canvas audio video head title textarea".split())
+HIDDEN = frozenset("script style noscript template iframe object svg canvas audio video head title textarea".split())
+#: Start tags that a head may hold; any other one, or text, ends it.
+IN_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
 #: Elements that have no end tag.
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is not parsed: it ends at their own end tag only.
@@ -22,7 +24,8 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 FENCES = frozenset("ul ol dl table select div section article aside nav main".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]+)")
 NAME_PART = re.compile(r"[a-z]+")
 
 
@@ -43,7 +46,7 @@ def blocks(page: str | None) -> list[Block]:
     out: list[Block] = []
     if not page:
         return out
-    opened: list[tuple[str, tuple[str, ...]]] = []
+    opened: list[tuple[str, tuple[str, ...], bool]] = []
     text: list[str] = []
     hidden = linked = links = 0
 
@@ -53,22 +56,28 @@ def blocks(page: str | None) -> list[Block]:
             # Character references are decoded before white space collapses; both may join or part words.
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
-                tag = next((t for t, _ in reversed(opened) if t in BREAKING), "")
-                out.append(Block(whole, tag, frozenset(t for t, _ in opened), frozenset(n for _, names in opened for n in names), links))
+                tag = next((t for t, _, _ in reversed(opened) if t in BREAKING), "")
+                out.append(Block(whole, tag, frozenset(t for t, _, _ in opened), frozenset(n for _, names, _ in opened for n in names), links))
             text.clear()
         links = 0
 
     def pop(n: int) -> None:
         nonlocal hidden, linked
-        for t, names in opened[n:]:
-            hidden -= t in HIDDEN or "hidden" in names
+        for t, _, hides in opened[n:]:
+            hidden -= hides
             linked -= t == "a"
         del opened[n:]
 
+    def end_head() -> None:
+        while opened and opened[-1][0] == "head":
+            pop(len(opened) - 1)
+
     at, size = 0, len(page)
     while at < size:
         m = TOKEN.search(page, at)
         end = m.start() if m else size
+        if hidden and opened[-1][0] == "head" and page[at:end].strip():
+            end_head()
         if end > at and not hidden:
             text.append(page[at:end])
             if linked:
@@ -91,34 +100,44 @@ def blocks(page: str | None) -> list[Block]:
             if not hidden:
                 text.append(" ")
             continue
-        if tag in BREAKING and not hidden:
-            close_block()
+        if tag not in IN_HEAD:
+            end_head()
+        if tag in BREAKING:
+            if not hidden:
+                close_block()
+            # Inside a hidden element starts end what is open there, and a hidden one ends like any other.
+            low = next((k + 1 for k in range(len(opened) - 1, -1, -1) if opened[k][0] in HIDDEN), 0) if hidden else 0
             if tag in CLOSES:
-                n = next((k for k in range(len(opened) - 1, -1, -1) if opened[k][0] in CLOSES[tag] or opened[k][0] in FENCES), None)
+                n = next((k for k in range(len(opened) - 1, low - 1, -1) if opened[k][0] in CLOSES[tag] or opened[k][0] in FENCES), None)
                 if n is not None and opened[n][0] in CLOSES[tag]:
+                    close_block()
                     pop(n)
-            n = next((k for k in range(len(opened) - 1, -1, -1) if opened[k][0] in BREAKING), None)
+            n = next((k for k in range(len(opened) - 1, low - 1, -1) if opened[k][0] in BREAKING), None)
             if n is not None and opened[n][0] == "p":
+                close_block()
                 pop(n)  # a paragraph ends where a block starts
         if tag in EMPTY or m[3].endswith("/"):
             continue
         names: tuple[str, ...] = ()
+        hides = tag in HIDDEN
         if m[3]:
             found: list[str] = []
             for a in ATTRIBUTE.finditer(m[3]):
-                key, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
-                if key == "hidden" or (key == "style" and re.search(r"display\s*:\s*none", value)):
-                    found.append("hidden")
-                elif key != "style":
-                    found += NAME_PART.findall(value)
+                key = a[1].lower()
+                if key == "hidden":
+                    hides = True
+                elif key == "style":
+                    hides |= DISPLAY.findall(html.unescape(a[2] or a[3] or a[4] or "").lower())[-1:] == ["none"]
+                elif key in ("class", "id", "role"):
+                    found += NAME_PART.findall((a[2] or a[3] or a[4] or "").lower())
             names = tuple(found)
         if tag in RAW:
             close = RAW[tag].search(page, at)
             at = page.find(">", close.end()) + 1 if close else size
             at = at or size
             continue
-        opened.append((tag, names))
-        hidden += tag in HIDDEN or "hidden" in names
+        opened.append((tag, names, hides))
+        hidden += hides
         linked += tag == "a"
     close_block()
     return out

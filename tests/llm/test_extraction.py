@@ -17,6 +17,23 @@ def test_blocks():
     assert blocks.blocks(None) == blocks.blocks("") == [] and blocks.blocks("<<<>>>")[0].text == "<<<>>>"
 
 
+def test_only_what_is_hidden_is_hidden():
+    def texts(page):
+        return [b.text for b in blocks.blocks(page)]
+
+    for attribute in ('href="/hidden-gems"', 'alt="a hidden door"', 'aria-hidden="false"', 'class="overflow-hidden"', "data-hidden", 'title="style=display:none"', 'style="--display:none"', "style='display:none;display:block'"):
+        assert texts(f"<p>a <a {attribute}>b</a> c") == ["a b c"], attribute
+    for attribute in ("hidden", "class=x hidden", "HIDDEN=''", 'id="a"hidden', "style='color:red; display: none'", "style=display:none"):
+        assert texts(f"<p>a <a {attribute}>b</a> c") == ["a c"], attribute
+    assert texts("<html><head><title>t</title><meta charset=x><style>s</style><body><p>a") == ["a"]
+    assert texts("<head><link rel=x><div>a</div><p>b") == ["a", "b"] and texts("<head><title>t</title>a<p>b") == ["a", "b"]
+    assert texts("<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.") == ["So x=2 holds."]
+    assert texts("<ul><li hidden>a<li>b</ul><p hidden>c<p>d<p>e<template><p>f</template>g") == ["b", "d", "eg"]
+    field, whole = extraction.trained(), "<p>First text of it, a long one.<p>Second text of it, long too."
+    plain = extraction.main_text(f"<html><body><article><h1>Head line</h1>{whole}</article></body>", field)
+    assert extraction.main_text(f"<html><head><title>t</title><body><div class=overflow-hidden><article><h1>Head line</h1>{whole}</article></div></body>", field) == plain != ""
+
+
 def test_article_among_boilerplate():
     page = "<html><body><nav><a href=x>Home</a></nav><div class=ad>Buy it now.</div><article><h1>Head line</h1><p>First text of it.<p>Second &lt;text&gt;.</article><div id=comments><p>I liked it.</p></div><form><p>Sign in here</p></form><footer>&copy; someone</footer>"
     assert extraction.main_text(page, extraction.trained()) == "Head line\n\nFirst text of it.\n\nSecond <text>."
