@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from dropletry.llm import neighbours, op07_neighbours
@@ -39,6 +41,21 @@ def test_recall_over_partitions(spark):
     assert len(rows) == 1200 and hit / 1200 > 0.9
 
 
+@pytest.mark.parametrize("clusters", [0, 300])
+def test_recall_of_the_default_settings(spark, clusters):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((40_000, 64))
+    if clusters:
+        x = rng.standard_normal((clusters, 64))[rng.integers(0, clusters, len(x))] + 0.3 * x
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 64).cast(pa.list_(pa.float64()))}))
+    rows = neighbours.search(df, F.col("id") % 400 == 0).collect()
+    score = x[::400] @ x.T
+    score[np.arange(100), np.arange(0, 40_000, 400)] = -np.inf
+    wanted = np.argpartition(-score, 19, axis=1)[:, :20]
+    hit = sum(r["vec_id"] in wanted[r["query_id"] // 400] for r in rows)
+    assert len(rows) == 2000 and hit / 2000 >= 0.9, hit
+
+
 def test_balanced_parts():
     x = np.random.default_rng(0).standard_normal((777, 8))
     sizes = np.bincount(neighbours.balanced_parts(neighbours.neighbour_graph(x, 8), 8))
