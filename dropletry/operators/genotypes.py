@@ -17,6 +17,14 @@ def allele_counts(calls: DataFrame) -> DataFrame:
     })
 
 
+def dosage_counts(dosages: DataFrame) -> DataFrame:
+    """Per variant from (snp_id, ds: dosage of the alternative allele or null): samples, alleles told,
+    their dosage and frequency."""
+    told = F.when(~F.isnan("ds"), F.col("ds"))
+    out = dosages.groupBy("snp_id").agg(F.count("*").alias("n_sample"), (2 * F.count(told)).alias("an"), F.coalesce(F.sum(told), F.lit(0.0)).alias("ac"))
+    return out.withColumn("af", F.when(F.col("an") > 0, F.col("ac") / F.col("an")))
+
+
 def passing_variants(counts: DataFrame, min_mac: int = 1, min_callrate: float = 0.5) -> DataFrame:
     """Variants whose rarer allele and call rate are frequent enough."""
     return counts.withColumn("mac", F.least("ac", F.col("an") - F.col("ac"))).where((F.col("mac") >= min_mac) & (F.col("callrate") >= min_callrate))

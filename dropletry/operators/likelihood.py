@@ -56,6 +56,30 @@ def distances(gl: DataFrame, clusters: DataFrame, snps: DataFrame) -> DataFrame:
     return rows.groupBy("cell_id", "cluster").agg(F.count("*").alias("n_snp"), F.sum(F.ln(apart)).alias("llk0"), F.sum(F.ln(same)).alias("llk2"))
 
 
+def pair_distances(gl: DataFrame, snps: DataFrame) -> DataFrame:
+    """Of each two droplets, the larger id first, what ``distances`` gives of a droplet and a cluster; a
+    variant's pairs grow with the square of the droplets that cover it."""
+    p = hardy_weinberg(F.col("af"))
+    other = gl.select("snp_id", F.col("cell_id").alias("other_id"), *(F.col(f"g{4 * g}").alias(f"c{g}") for g in range(3)))
+    same = added([F.col(f"g{4 * g}") * F.col(f"c{g}") * p[g] for g in range(3)])
+    apart = added([F.col(f"g{4 * a}") * F.col(f"c{b}") * p[a] * p[b] for a in range(3) for b in range(3)])
+    rows = gl.join(other, "snp_id").where("cell_id > other_id").join(snps, "snp_id")
+    return rows.groupBy("cell_id", "other_id").agg(F.count("*").alias("n_snp"), F.sum(F.ln(apart)).alias("llk0"), F.sum(F.ln(same)).alias("llk2"))
+
+
+def removed(gl: DataFrame, other: DataFrame) -> DataFrame:
+    """``gl`` without the likelihoods of ``other`` (cell_id, snp_id, n_obs, g0 ... g8), one row at most for
+    each of ``gl``'s: quotients scaled to 1, floored and scaled again."""
+    taken = other.select("cell_id", "snp_id", F.col("n_obs").alias("m_obs"), *(F.col(f"g{k}").alias(f"o{k}") for k in range(9)))
+    rows = gl.join(taken, ["cell_id", "snp_id"], "left")
+    total = added([F.col(f"g{k}") / F.col(f"o{k}") for k in range(9)])
+    floored = rows.withColumns({f"h{k}": F.greatest(F.col(f"g{k}") / F.col(f"o{k}") / total, F.lit(FLOOR)) for k in range(9)})
+    total = added([F.col(f"h{k}") for k in range(9)])
+    # A row that nothing is taken from stays as it is.
+    left = [F.when(F.col("m_obs").isNull(), F.col(f"g{k}")).otherwise(F.col(f"h{k}") / total).alias(f"g{k}") for k in range(9)]
+    return floored.select("cell_id", "snp_id", (F.col("n_obs") - F.coalesce("m_obs", F.lit(0))).alias("n_obs"), *left)
+
+
 def mixtures(unique: DataFrame, alphas: list[float]) -> DataFrame:
     """(cell_id, snp_id, m: for each alpha nine likelihoods), relative to the largest over all alphas.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from dropletry.functions.phred import error_probability
 from dropletry.functions.predicate import Predicate, PredicateError
-from dropletry.operators import clusters, demux, intervals, likelihood, pileup, reads
+from dropletry.operators import clusters, demux, genotypes, intervals, likelihood, pileup, reads
 
 
 def test_phred_edges(spark):
@@ -112,6 +112,38 @@ def test_greedy_seeds_place_every_droplet_in_strict_order(spark):
     assert got(seeds=10, fraction=0.5) == strict(31)  # the reference takes the droplet at the fraction in
 
 
+GL = "cell_id long, snp_id long, n_obs long, " + ", ".join(f"g{k} double" for k in range(9))
+
+
+def test_pair_distances(spark):
+    r = random.Random(3)
+    gl = [(c, s, 1, *[r.random() for _ in range(9)]) for c in range(4) for s in range(5) if (c + s) % 4]
+    af = {s: 0.1 + 0.15 * s for s in range(5)}
+    got = {(x["cell_id"], x["other_id"]): (x["n_snp"], x["llk0"], x["llk2"]) for x in likelihood.pair_distances(spark.createDataFrame(gl, GL), spark.createDataFrame(list(af.items()), "snp_id long, af double")).collect()}
+    wanted = {}
+    for a in gl:
+        for b in gl:
+            if a[1] == b[1] and a[0] > b[0]:
+                q = af[a[1]]
+                p, u, v = ((1 - q) ** 2, 2 * q * (1 - q), q * q), a[3::4], b[3::4]
+                n, x, y = wanted.get((a[0], b[0]), (0, 0, 0))
+                wanted[a[0], b[0]] = (n + 1, x + math.log(sum(u[i] * v[j] * p[i] * p[j] for i in range(3) for j in range(3))), y + math.log(sum(u[i] * v[i] * p[i] for i in range(3))))
+    assert got.keys() == wanted.keys() and all(got[k] == pytest.approx(wanted[k]) for k in got)
+
+
+def test_removed_pileup(spark):
+    a, b = [0.02 * (k + 1) for k in range(9)], [0.03 * (9 - k) for k in range(9)]
+    both = [x * y / sum(p * q for p, q in zip(a, b)) for x, y in zip(a, b)]
+    gl = spark.createDataFrame([(1, 1, 5, *both), (1, 2, 3, *a)], GL)
+    got = {x["snp_id"]: tuple(x)[2:] for x in likelihood.removed(gl, spark.createDataFrame([(1, 1, 2, *b)], GL)).collect()}
+    assert got[1] == pytest.approx((3, *(x / sum(a) for x in a))) and got[2] == pytest.approx((3, *a))
+
+
+def test_dosage_counts(spark):
+    rows = spark.createDataFrame([(1, 0.5), (1, 2.0), (1, None), (1, float("nan")), (2, None)], "snp_id long, ds double")
+    assert sorted(map(tuple, genotypes.dosage_counts(rows).collect())) == [(1, 4, 4, 2.5, 0.625), (2, 1, 0, 0.0, None)]
+
+
 RECORDS = [(1, 50.0, [1.0, None], ["hom", "x"], [10.0, 30.0], [5.0, 50.0]), (2, None, [], None, [40.0, 1.0], [1.0, 60.0]), (3, 20000000.0, [3.0], ["y"], [None, 2.0], [7.0, 8.0])]
 
 
