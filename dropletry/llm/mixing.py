@@ -1,31 +1,38 @@
 """Language-model scoring by online logistic mixing of hashed-context bit predictors.
 
-The model reads a text as words (A-Z lower-cased, split at ASCII white space) and an end.  It spells a
-word by its bytes and a closing space, the end as an empty word.  Every byte is eight binary
-decisions.  For each decision several contexts (the last 1, 2, 3 and 5 bytes of the word) look up in
-hashed tables how often the spellings of the training vocabulary went either way there.  A logistic
-mix of the predictors' log odds, whose weights are gated by the confidence of each predictor and the
-number of confident ones, gives a probability, and an adaptive probability map corrects it.  Weights
-and map are learnt online, task by task over all training words, with each word's own occurrence
-taken out of the counts, and averaged; scoring then uses them as they are, so that a score depends on
-the text and the training texts alone, in no order.
-
-Above the spelling two gates mix whole words.  A word is spelt with the share that first occurrences
-have in training, and else recalled by its frequency; and as texts differ in language and kind,
-frequencies are counted in classes of documents (clusters of byte pairs of a bounded sample, which
-only divide the counts), and a text's probability is the mean over the classes.
-
-As contexts stay within a word, a word's score is the same wherever it stands.  So each distinct
-word is scored once, and the scores return to the texts by a join: texts are dealt into chunks by
-hash, each chunk asks for its distinct words only, and no vocabulary is broadcast.
-
-Defined results: a null text is an empty one; a row with a null id counts as training text;
-equal texts get equal scores; without training texts every decision has probability 1/2; extra
-columns are ignored.
+A text is a sequence of words (A-Z lower-cased, split at ASCII white space) and an end.  It is coded
+in binary decisions, and the product of the decisions' probabilities is the text's:
+
+1. Each token is a symbol: one of the most frequent words of training, else the first two bytes of the
+   word, or the end.  A symbol is the path of decisions through a Huffman tree.  Several contexts of
+   the running text (none, the last frequent word, the last two of those, the symbol before, the two
+   before) look up in hashed tables how often training went either way at such a place.  A logistic
+   mix of these predictors' log odds gives the probability; its weights are gated by the number of
+   contexts that training knows, and are learnt online along the text, as is a map that refines the
+   mixed probability.
+2. A word that is not a symbol was met in training or is new: one decision, whose odds come from the
+   words that training met once among those with these first bytes (Good and Turing), mixed and
+   learnt online in the same way.  A known word has its share of the training tokens with these bytes.
+3. A new word is spelt byte by byte, and each byte is eight decisions.  Contexts of the word's last 1
+   to 4 and 6 bytes look up how the spellings of the training vocabulary went on; gated weights and
+   an adaptive map mix them.  These are learnt online over the vocabulary in fixed shards, each in a
+   fixed order, with a word's own occurrence taken out of the counts, and averaged.
+
+So contexts cross the borders of words in step 1 and stay within a word in step 3: a word is spelt
+once, however often it occurs, and its result returns to the texts by a join.  All counts are those
+of all training texts.  The tables of contexts grow with the input up to a bound (they are broadcast);
+counts of words are exact, joined, and have none.  A score depends on the text and the training texts
+alone: not on partitions, nor on the texts beside it.
+
+Defined results: a null text is an empty one; a row with a null id counts as training text; equal
+texts get equal scores; without training texts every decision but the symbol's has even odds; very
+long texts are read in pieces, with what was learnt carried on; extra columns are ignored; an empty
+table has no rows.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import zlib
 from collections import Counter
@@ -44,31 +51,303 @@ from dropletry.llm.tables import checkpointed
 
 @dataclass(frozen=True)
 class Settings:
-    """orders: bytes of each context, 0 for the whole word so far; bits: of each order's table;
-    prior: added to either count; levels: of confidence, by powers of two; rate, map_rate: of
-    learning; lanes: decisions learnt from at a time; words: of a scoring step; chunk_bytes: of text
-    that ask for their words together; slice_slots: of a table's piece when counts are summed;
-    classes: of documents; own_class: share of a class's own frequencies, the rest being those of all;
-    class_sample: documents that the classes are fitted on."""
-
-    orders: tuple[int, ...] = (1, 2, 3, 5)
-    bits: tuple[int, ...] = (16, 18, 19, 19)
-    classes: int = 6
-    own_class: float = 0.97
-    class_sample: int = 1500
+    """frequent: words that are symbols; heads: of them, those that the contexts of frequent words keep;
+    text_bits: most bits of the table of each context of the running text; text_prior: added to its
+    counts; first_block, last_block: decisions after which weights are learnt, doubling from the one to
+    the other; caution: of what a block teaches, as so much evidence for the weights before it;
+    piece: bytes of a text read at a time; orders: bytes of each context in a word; bits: of its table;
+    prior: added to either count; levels: of confidence, by powers of two; rate, map_rate: of learning
+    from the vocabulary; lanes: decisions learnt from at a time; words: of a spelling step; shards: of
+    the vocabulary; chunk_bytes: of text that ask for their words together; slice_slots: of a table's
+    piece when counts are summed; fan: tasks whose pieces are summed at a time."""
+
+    frequent: int = 16_384
+    heads: int = 256
+    text_bits: tuple[int, ...] = (19, 20, 21, 21)
+    text_prior: float = 0.3
+    first_block: int = 64
+    last_block: int = 1 << 11
+    caution: float = 15.0
+    piece: int = 1_000_000
+    orders: tuple[int, ...] = (1, 2, 3, 4, 6)
+    bits: tuple[int, ...] = (16, 18, 19, 19, 19)
     prior: float = 0.4
     levels: int = 12
-    rate: float = 0.02
+    rate: float = 0.03
     map_rate: float = 0.02
-    lanes: int = 8192
+    lanes: int = 1024
     words: int = 40_000
+    shards: int = 32
     chunk_bytes: int = 16_000_000
     slice_slots: int = 1 << 18
+    fan: int = 64
 
 
-#: Knots of the adaptive map, in log odds.
+#: Knots of the adaptive maps, in log odds.
 KNOTS = np.linspace(-12, 12, 33)
 CLIP = 1 / 65536
+#: The weights that a text starts with: of no context and of the four, by how many of those training met
+#: more than once; chosen on held-out texts.
+START = np.array([[0.9, 0.3, 0.1, 0.1, 0.0], [0.6, 0.45, 0.1, 0.15, 0.0], [0.5, 0.5, 0.1, 0.2, 0.05], [0.0, 0.5, 0.1, 0.3, 0.12], [-0.3, 0.57, 0.2, 0.42, 0.3]])
+#: No symbol before the text.
+NOTHING = 1 << 30
+
+
+# ---- Step 1 and 2: running text ----
+
+
+@dataclass
+class Code:
+    """The symbols of running text and their decisions.
+
+    hashes, symbol: of frequent words, by hash; count: of each frequent word; of_head: symbol of two
+    first bytes, -1 for those that training lacks; tokens, new: of training tokens with these bytes
+    their number and the log odds that one is new; depth, first: of each symbol's path in node and
+    bit; odds: log odds at each node.  The last two symbols are the end and other first bytes.
+    """
+
+    hashes: np.ndarray
+    symbol: np.ndarray
+    count: np.ndarray
+    of_head: np.ndarray
+    tokens: np.ndarray
+    new: np.ndarray
+    depth: np.ndarray
+    first: np.ndarray
+    node: np.ndarray
+    bit: np.ndarray
+    odds: np.ndarray
+
+
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    return word_hashes([b"\n".join(words)])[0].view(np.int64)
+
+
+def head_of(word: bytes) -> int:
+    """The first two bytes of a word as a number; the second is 0 if there is none."""
+    return word[0] << 8 | (word[1] if len(word) > 1 else 0) if word else 0
+
+
+def code_of(words: list[bytes], counts: np.ndarray, heads: np.ndarray, tokens: np.ndarray, once: np.ndarray, ends: int, s: Settings) -> Code:
+    """The code of frequent words with their counts, and of heads with their tokens and single words."""
+    hashes = hashes_of(words)
+    order = np.argsort(hashes)
+    of_head, total, new = np.full(1 << 16, -1, np.int32), np.zeros(1 << 16), np.zeros(1 << 16, np.float32)
+    of_head[heads] = len(words) + np.arange(len(heads))
+    total[heads] = tokens
+    new[heads] = np.log((once + 0.5) / (tokens - once + 0.5))
+    weight = np.concatenate([counts, tokens, [ends, 0]]).astype(np.int64) + 1
+    n = len(weight)
+    heap = [(int(w), k) for k, w in enumerate(weight)]
+    heapq.heapify(heap)
+    left, right, size = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(2 * n, np.int64)
+    size[:n] = weight
+    for k in range(n - 1):
+        (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
+        left[k], right[k], size[n + k] = x, y, a + b
+        heapq.heappush(heap, (a + b, n + k))
+    above, side, depth = np.zeros(2 * n, np.int64), np.zeros(2 * n, np.uint8), np.zeros(2 * n, np.int64)
+    for k in range(n - 2, -1, -1):
+        for child, b in ((left[k], 0), (right[k], 1)):
+            above[child], side[child], depth[child] = k, b, depth[n + k] + 1
+    depth = depth[:n].astype(np.int32)
+    first = (np.cumsum(depth) - depth).astype(np.int64)
+    node, bit = np.zeros(int(depth.sum()), np.int32), np.zeros(int(depth.sum()), np.uint8)
+    at, here = np.arange(n), np.arange(n)
+    for d in range(int(depth.max())):  # from the leaves up
+        at, here = at[depth[at] > d], here[depth[at] > d]
+        place = first[at] + depth[at] - 1 - d
+        node[place], bit[place] = above[here], side[here]
+        here = n + above[here]
+    inner = np.arange(max(1, n - 1))
+    odds = np.log(size[right[inner]] / size[left[inner]]).astype(np.float32)
+    return Code(hashes[order], order.astype(np.int32), counts, of_head, total, new, depth, first, node, bit, odds)
+
+
+@dataclass
+class Carry:
+    """What a piece of a text hands to the next: learning, the last symbols and frequent words."""
+
+    mixers: list
+    before: tuple[int, int] = (NOTHING, NOTHING)
+    frequent: tuple[int, int] = (NOTHING, NOTHING)
+
+
+class Reading:
+    """The tokens of some texts, each followed by an end unless ``open_end``."""
+
+    def __init__(self, raws: list[bytes], code: Code, s: Settings, carry: Carry | None = None, open_end: bool = False):
+        found, starts, offsets = word_hashes(raws)
+        data = np.frombuffer(b"\n".join(raws) + b"\n\n", np.uint8)
+        low = lambda b: np.where((b >= 65) & (b <= 90), b + 32, b).astype(np.int64)
+        second = data[starts + 1]
+        head = low(data[starts]) << 8 | np.where((second == 32) | ((second >= 9) & (second <= 13)), 0, low(second))
+        text = np.searchsorted(offsets, starts, side="right") - 1
+        ends = 0 if open_end else len(raws)
+        n = len(found) + ends
+        place = np.arange(len(found)) + (text if ends else 0)
+        self.text = np.zeros(n, np.int64)
+        self.symbol = np.full(n, len(code.depth) - 2, np.int64)
+        self.hash, self.head = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.is_word = np.zeros(n, bool)
+        hashes = found.view(np.int64)
+        at = np.minimum(np.searchsorted(code.hashes, hashes), max(0, len(code.hashes) - 1))
+        known = code.hashes[at] == hashes if len(code.hashes) else np.zeros(len(hashes), bool)
+        symbol = np.where(known, code.symbol[at], code.of_head[head]) if len(code.hashes) else code.of_head[head]
+        self.symbol[place] = np.where(symbol < 0, len(code.depth) - 1, symbol)
+        self.text[place], self.hash[place], self.head[place], self.is_word[place] = text, hashes, head, True
+        if ends:
+            last = np.cumsum(np.bincount(text, minlength=len(raws))) + np.arange(len(raws))
+            self.text[last] = np.arange(len(raws))
+        self.rare = self.is_word & (self.symbol >= len(code.hashes))
+        carry = carry or Carry([])
+        self.opens = np.concatenate([[True], self.text[1:] != self.text[:-1]]) if n else np.zeros(0, bool)
+        before, second = self._back(self.symbol, carry.before)
+        frequent = np.flatnonzero(self.symbol < min(s.heads, len(code.hashes)))
+        self.contexts = [self._hash(1, *self._frequent(frequent, carry.frequent, 1)), self._hash(2, *self._frequent(frequent, carry.frequent, 2)), self._hash(3, before), self._hash(4, before, second)]
+        tail = [*self.symbol[-2:].tolist()][::-1]
+        self.before = tuple([*tail, *carry.before][:2])
+        self.frequent = tuple([*self.symbol[frequent[-2:]].tolist()[::-1], *carry.frequent][:2])
+
+    def _back(self, symbol: np.ndarray, carried: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol before each and the one before that; at a text's start those carried on."""
+        one, two = np.full(len(symbol), NOTHING), np.full(len(symbol), NOTHING)
+        one[1:], two[2:] = symbol[:-1], symbol[:-2]
+        start = np.flatnonzero(self.opens)
+        one[start], two[start] = carried
+        start = start[start + 1 < len(symbol)] + 1
+        start = start[~self.opens[start]]
+        two[start] = carried[0]
+        return one, two
+
+    def _frequent(self, at: np.ndarray, carried: tuple[int, int], n: int) -> list[np.ndarray]:
+        """The last ``n`` frequent words before each token of its text."""
+        count = np.searchsorted(at, np.arange(len(self.symbol)))  # of them before each token
+        first = np.searchsorted(at, np.flatnonzero(self.opens))[np.cumsum(self.opens) - 1] if len(self.opens) else count
+        symbols = np.append(self.symbol[at], NOTHING)
+        out = []
+        for k in range(1, n + 1):
+            seen = count - first
+            own = symbols[np.where(seen >= k, count - k, len(at))]
+            out.append(np.where(seen >= k, own, np.array([*carried, NOTHING])[np.minimum(k - 1 - np.minimum(seen, k - 1), 2)]))
+        return out
+
+    @staticmethod
+    def _hash(salt: int, *symbols: np.ndarray) -> np.ndarray:
+        h = np.full(len(symbols[0]), salt, np.uint32)
+        for x in symbols:
+            h = (h ^ (x.astype(np.uint32) + np.uint32(1))) * np.uint32(0x9E3779B1)
+            h ^= h >> np.uint32(15)
+        return h
+
+    def decisions(self, code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many decisions each token has, and the node and bit of all decisions."""
+        depth = code.depth[self.symbol]
+        ends = np.cumsum(depth, dtype=np.int64)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(code.first[self.symbol] - (ends - depth), depth)
+        return depth, code.node[at], code.bit[at]
+
+    def slots(self, depth: np.ndarray, node: np.ndarray, bits: list[int]) -> Iterator[np.ndarray]:
+        """The slot of each decision in the table of each context."""
+        salt = (node.astype(np.uint32) + np.uint32(1)) * np.uint32(0x85EBCA6B)
+        for c, b in zip(self.contexts, bits):
+            h = (np.repeat(c, depth) ^ salt) * np.uint32(0x2C1B3C6D)
+            h ^= h >> np.uint32(13)
+            yield ((h * np.uint32(0x9E3779B1)) >> np.uint32(32 - b)).astype(np.int64)
+
+
+def table_bits(tokens: int, s: Settings) -> list[int]:
+    """The bits of the tables of running text: about eight slots for a training token, up to the bounds."""
+    return [min(b, max(12, (8 * tokens).bit_length())) for b in s.text_bits]
+
+
+def packed(counts: np.ndarray, s: Settings) -> np.ndarray:
+    """The log odds of each slot in 1/512, the last bit telling whether it was met more than once."""
+    zeros, ones = counts[0::2].astype(np.float32), counts[1::2].astype(np.float32)
+    odds = np.clip(np.log((ones + np.float32(s.text_prior)) / (zeros + np.float32(s.text_prior))), -12, 12)
+    return ((odds * 512).astype(np.int16) << 1) | (zeros + ones >= 2).astype(np.int16)
+
+
+class Mixer:
+    """Weights of each text by gate and input, and its map; learnt block by block along the texts."""
+
+    def __init__(self, texts: int, start: np.ndarray, s: Settings):
+        self.s, self.gates, self.inputs = s, *start.shape
+        self.weights = np.tile(start.astype(np.float64).T[:, None, :], (1, texts, 1)).reshape(self.inputs, -1)
+        self.evidence = np.full((self.inputs, texts * self.gates), s.caution)
+        self.map, self.map_evidence = np.zeros(texts * len(KNOTS)), np.full(texts * len(KNOTS), s.caution / 3)
+        self.done = np.zeros(texts, np.int64)
+
+    def score(self, inputs: list[np.ndarray], gate: np.ndarray, bit: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """The log10 probability of each decision; decisions of a text stand together and in order."""
+        out = np.zeros(len(bit))
+        if not len(bit):
+            return out
+        opens = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+        place = np.arange(len(bit)) - np.repeat(opens, np.diff(np.append(opens, len(bit)))) + self.done[text]
+        doublings = int(math.log2(self.s.last_block / self.s.first_block))
+        block = np.minimum(np.log2(place / self.s.first_block + 1), doublings).astype(np.int64) + np.maximum(place // self.s.last_block - 1, 0)
+        self.done += np.bincount(text, minlength=len(self.done))
+        order = np.argsort(block.astype(np.int32), kind="stable")
+        edges = np.concatenate([[0], np.cumsum(np.bincount(block[order]))])
+        cell_of, step = text * self.gates + gate, KNOTS[1] - KNOTS[0]
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            if a == b:
+                continue
+            at = order[a:b]
+            x, cell, y, t = [i[at] for i in inputs], cell_of[at], bit[at], text[at]
+            z = np.zeros(len(at))
+            for w, i in zip(self.weights, x):
+                z += w[cell] * i
+            z = np.clip(z, KNOTS[0], KNOTS[-1])
+            knot = t * len(KNOTS) + np.rint((z - KNOTS[0]) / step).astype(np.int64)
+            p, q = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-z - self.map[knot]))
+            both = np.clip((p + q) / 2, CLIP, 1 - CLIP)
+            out[at] = np.log10(np.where(y == 1, both, 1 - both))
+            # A step of Newton for each weight alone, shared among the inputs, and for each knot.
+            err, curve = y - p, p * (1 - p)
+            for k, i in enumerate(x):
+                self.evidence[k] += np.bincount(cell, curve * i * i, self.evidence.shape[1])
+                self.weights[k] += np.bincount(cell, err * i, self.evidence.shape[1]) / (self.inputs * self.evidence[k])
+            self.map_evidence += np.bincount(knot, q * (1 - q), len(self.map))
+            self.map += np.bincount(knot, y - q, len(self.map)) / self.map_evidence
+        return out
+
+
+def running(reading: Reading, code: Code, tables: list[np.ndarray], known: np.ndarray, mixers: list[Mixer]) -> np.ndarray:
+    """The log10 probability of each token's symbol and, of a rare word, of being known or not."""
+    depth, node, bit = reading.decisions(code)
+    inputs, sure = [code.odds[node]], np.zeros(len(node), np.int64)
+    bits = [len(t).bit_length() - 1 for t in tables]
+    for table, slot in zip(tables, reading.slots(depth, node, bits)):
+        raw = table[slot]
+        sure += raw & 1
+        inputs.append((raw >> 1).astype(np.float32) * np.float32(1 / 512))
+    lp = mixers[0].score(inputs, sure, bit, np.repeat(reading.text, depth))
+    out = np.bincount(np.repeat(np.arange(len(depth)), depth), lp, len(depth))
+    other = reading.symbol == len(code.depth) - 1
+    out[other] -= 16 * math.log10(2)  # which first bytes
+    flag = np.flatnonzero(reading.rare & ~other)
+    odds = code.new[reading.head[flag]].astype(np.float64)
+    out[flag] += mixers[1].score([odds, np.ones(len(flag))], np.zeros(len(flag), np.int64), (~known[flag]).astype(np.int64), reading.text[flag])
+    return out
+
+
+def fresh_mixers(texts: int, s: Settings) -> list[Mixer]:
+    return [Mixer(texts, START, s), Mixer(texts, np.array([[1.0, 0.0]]), s)]
+
+
+def pieces_of(raw: bytes, size: int) -> list[bytes]:
+    """A text cut behind white space into pieces of about ``size`` bytes, or longer where a word is."""
+    out, at = [], 0
+    while len(raw) - at > size:
+        cut = min((c for c in (raw.find(b, at + size) for b in (b" ", b"\n", b"\t", b"\r", b"\v", b"\f")) if c >= 0), default=len(raw) - 1) + 1
+        out.append(raw[at:cut])
+        at = cut
+    return [*out, raw[at:]]
+
+
+# ---- Step 3: spelling ----
 
 
 @dataclass
@@ -86,29 +365,28 @@ def fresh(s: Settings) -> Weights:
 
 
 class Spelling:
-    """The byte decisions of some words and the hashes of their contexts."""
+    """The byte decisions of some words behind their first bytes, and the hashes of their contexts."""
 
     def __init__(self, words: list[bytes], s: Settings):
         lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        self.bytes = np.frombuffer(b" ".join(words) + b" ", np.uint8).astype(np.int64)
-        self.word = np.repeat(np.arange(len(words)), lengths)
+        data = np.frombuffer(b" ".join(words) + b" ", np.uint8).astype(np.int64)
+        word = np.repeat(np.arange(len(words)), lengths)
         first = np.cumsum(lengths) - lengths
-        place = np.arange(len(self.bytes)) - first[self.word]
-        sums = np.zeros(len(self.bytes), np.uint64)
-        self.contexts: list[np.ndarray] = []
+        place = np.arange(len(data)) - first[word]
+        sums = np.zeros(len(data), np.uint64)
         by_order = {}
         for back in range(1, max(s.orders) + 1):
             # A context that reaches the word's start keeps a mark of it and does not grow on.
-            seen = np.zeros(len(self.bytes), np.uint64)
-            seen[back:] = self.bytes[:-back].astype(np.uint64) + np.uint64(2)
+            seen = np.zeros(len(data), np.uint64)
+            seen[back:] = data[:-back].astype(np.uint64) + np.uint64(2)
             seen = np.where(place > back - 1, seen, np.where(place == back - 1, np.uint64(1), np.uint64(0)))
             sums = sums * np.uint64(0x9E3779B97F4A7C15) + seen
-            by_order[back] = mixed(sums)
-        if 0 in s.orders:
-            power = np.cumprod(np.full(int(place.max()) + 2, np.uint64(0xD1342543DE82EF95)))
-            run = np.concatenate([[np.uint64(0)], np.cumsum((self.bytes.astype(np.uint64) + np.uint64(2)) * power[place])])
-            by_order[0] = mixed(run[:-1] - run[first[self.word]] + place.astype(np.uint64))
-        self.contexts = [by_order[o] for o in s.orders]
+            if back in s.orders:
+                by_order[back] = mixed(sums)
+        known = np.minimum(lengths - 1, 2) - np.fromiter((len(w) > 1 and w[1] == 0 for w in words), np.int64, len(words))
+        keep = place >= known[word]
+        self.bytes, self.word = data[keep], word[keep]
+        self.contexts = [by_order[o][keep] for o in s.orders]
 
     def decisions(self, s: Settings) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
         """For each of the eight bits of all bytes: its value, and its slot in each table."""
@@ -122,11 +400,11 @@ class Spelling:
 
 def count(words: list[bytes], s: Settings) -> list[np.ndarray]:
     """How often each slot's decision was 0 and 1 in spelling the words: slots x 2 for each table."""
-    tables = [np.zeros(2 << b, np.float32) for b in s.bits]
+    tables = [np.zeros(2 << b, np.int32) for b in s.bits]
     for a in range(0, len(words), s.words):
         for bit, slots in Spelling(words[a : a + s.words], s).decisions(s):
             for table, slot in zip(tables, slots):
-                table += np.bincount(slot * 2 + bit, minlength=len(table)).astype(np.float32)
+                np.add.at(table, slot * 2 + bit, np.ones(len(slot), np.int32))
     return tables
 
 
@@ -138,7 +416,7 @@ def _inputs(tables: list[np.ndarray], slots: list[np.ndarray], bit: np.ndarray |
     k, n = len(slots), len(slots[0])
     odds, level = np.empty((k, n), np.float32), np.empty((k, n), np.int64)
     for i, (table, slot) in enumerate(zip(tables, slots)):
-        zeros, ones = table[slot * 2], table[slot * 2 + 1]
+        zeros, ones = table[slot * 2].astype(np.float32), table[slot * 2 + 1].astype(np.float32)
         if own is not None:
             ones = np.maximum(ones - own * bit, 0)
             zeros = np.maximum(zeros - own * (1 - bit), 0)
@@ -154,7 +432,7 @@ def _mapped(w: Weights, sure: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np
     return w.map[sure, low] * (1 - part) + w.map[sure, low + 1] * part, low, part
 
 
-def _probability(w: Weights, sure: np.ndarray, z: np.ndarray, mapped: np.ndarray) -> np.ndarray:
+def _probability(z: np.ndarray, mapped: np.ndarray) -> np.ndarray:
     return np.clip((1 / (1 + np.exp(-z)) + mapped) / 2, CLIP, 1 - CLIP)
 
 
@@ -182,7 +460,7 @@ def learn(w: Weights, tables: list[np.ndarray], words: list[bytes], s: Settings)
 
 
 def log10_probability(w: Weights, tables: list[np.ndarray], words: list[bytes], s: Settings) -> np.ndarray:
-    """The log10 probability of each word with its closing space."""
+    """The log10 probability of each word with its closing space, its first bytes given."""
     rows = np.arange(len(s.orders))[:, None]
     out = np.zeros(len(words))
     for a in range(0, len(words), s.words):
@@ -191,195 +469,293 @@ def log10_probability(w: Weights, tables: list[np.ndarray], words: list[bytes],
         for bit, slots in x.decisions(s):
             odds, level, sure = _inputs(tables, slots, None, None, s)
             z = np.clip((w.mix[sure[None, :], rows, level] * odds).sum(axis=0), -20, 20)
-            p = _probability(w, sure, z, _mapped(w, sure, z)[0])
+            p = _probability(z, _mapped(w, sure, z)[0])
             total += np.log10(np.where(bit == 1, p, 1 - p))
         out[a : a + s.words] = np.bincount(x.word, total, len(words[a : a + s.words]))
     return out
 
 
-def byte_pairs(raw: bytes) -> np.ndarray:
-    """A text's shares of hashed byte pairs (A-Z lower-cased), as root of the share."""
-    data = np.frombuffer(raw.lower(), np.uint8).astype(np.int64)
-    counts = np.bincount((data[:-1] * 31 + data[1:] * 7) & 511, minlength=512) if len(data) > 1 else np.zeros(512)
-    return np.sqrt(counts / max(1, counts.sum()))
-
-
-def centres_of(texts: list[str], s: Settings) -> np.ndarray:
-    """Centres of document classes; a class that loses all its texts restarts at the worst placed one."""
-    x = np.stack([byte_pairs(t.encode()) for t in sorted(texts)] or [np.zeros(512)])
-    centres = x[:1]
-    while len(centres) < min(s.classes, len(x)):
-        centres = np.concatenate([centres, x[[(x @ centres.T).max(axis=1).argmin()]]])
-    for _ in range(12):
-        near = (x @ centres.T).argmax(axis=1)
-        sums = np.stack([x[near == k].sum(axis=0) if (near == k).any() else x[(x @ centres.T).max(axis=1).argmin()] for k in range(len(centres))])
-        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-    return np.concatenate([centres, np.zeros((s.classes - len(centres), 512))])
+# ---- Spark ----
 
 
-def vocabulary(docs: DataFrame, centres: np.ndarray) -> DataFrame:
-    """(word, n: occurrences in training texts of each class) for the words of all texts, and for the
-    empty word the training texts; docs: text, held_out."""
-    k = len(centres)
+def vocabulary(docs: DataFrame) -> DataFrame:
+    """(hash, word, head, n: occurrences in training texts) for the words of all texts, and for the empty
+    word the training texts; docs: text, held_out."""
 
-    def frames(held: list[Counter]) -> Iterator[pd.DataFrame]:
-        for c, words in enumerate(held):
-            if words:
-                n = np.fromiter(words.values(), np.int64, len(words))
-                yield pd.DataFrame({"word": list(words), "c": np.full(len(words), c, np.int32), "n": n if c < k else np.zeros_like(n)})
-                words.clear()
+    def frames(held: Counter) -> Iterator[pd.DataFrame]:
+        words = list(held)
+        for a in range(0, len(words), 50_000):
+            part = words[a : a + 50_000]
+            spelt = [w for w in part if w]
+            hashes = dict(zip(spelt, hashes_of(spelt).tolist()))
+            yield pd.DataFrame({"hash": [hashes.get(w, 0) for w in part], "word": part, "head": [head_of(w) for w in part], "n": [held[w] for w in part]})
+        held.clear()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [Counter() for _ in range(k + 1)]  # the last one's words are those of held-out texts
+        held: Counter = Counter()
         for batch in batches:
             flags, at = batch["held_out"].to_numpy(), 0
             for raws in slices(batch["text"].tolist()):
-                of = np.array([k if f else int((centres @ byte_pairs(r)).argmax()) for r, f in zip(raws, flags[at : at + len(raws)])])
+                out = flags[at : at + len(raws)]
                 at += len(raws)
-                for c in np.unique(of).tolist():
-                    mine = [raws[i] for i in np.flatnonzero(of == c).tolist()]
-                    # bytes.lower() changes A-Z alone and bytes.split() cuts at the six ASCII white-space characters.
-                    held[c].update(b"\n".join(mine).lower().split())
-                    held[c][b""] += len(mine)
-                if sum(map(len, held)) > 400_000:
+                # bytes.lower() changes A-Z alone and bytes.split() cuts at the six ASCII white-space characters.
+                held.update(b"\n".join([r for r, o in zip(raws, out) if not o]).lower().split())
+                held[b""] += int((~out).sum())
+                for w in set(b"\n".join([r for r, o in zip(raws, out) if o]).lower().split()):
+                    held[w] += 0
+                if len(held) > 300_000:
                     yield from frames(held)
         yield from frames(held)
 
-    rows = docs.select("text", "held_out").mapInPandas(run, "word binary, c int, n long")
-    sums = [F.sum(F.when(F.col("c") == c, F.col("n")).otherwise(0)) for c in range(k)]
-    return rows.groupBy("word").agg(F.array(*sums).alias("n"))
+    rows = docs.select("text", "held_out").mapInPandas(run, "hash long, word binary, head int, n long")
+    return rows.groupBy("hash", "word", "head").agg(F.sum("n").alias("n"))
 
 
-def tables_of(words: DataFrame, s: Settings) -> list[np.ndarray]:
-    """The count tables of all training words: summed in pieces; their size is fixed by the settings."""
-    edges = np.concatenate([[0], np.cumsum([2 << b for b in s.bits])])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
-        for batch in batches:
-            part = count([bytes(w) for w in batch["word"]], s)
-            total = part if total is None else [a + b for a, b in zip(total, part)]
-        if total is not None:
-            flat = np.concatenate(total)
-            for k, a in enumerate(range(0, len(flat), s.slice_slots)):
-                yield pd.DataFrame({"piece": [k], "counts": [zlib.compress(flat[a : a + s.slice_slots].tobytes(), 1)]})
+def summed(rows: DataFrame, shapes: list[int], s: Settings) -> list[np.ndarray]:
+    """Tables of these lengths, summed over the tasks of ``rows`` (task, piece, counts); the sizes are
+    fixed by the settings, and no task sums more than ``fan`` pieces before the last round."""
+    flat = np.zeros(sum(shapes), np.int32)
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: np.ndarray | None = None
         for batch in batches:
             for raw in batch.column("counts"):
-                part = np.frombuffer(zlib.decompress(raw.as_buffer()), np.float32)
+                part = np.frombuffer(zlib.decompress(raw.as_buffer()), np.int32)
                 total = part.copy() if total is None else total + part
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["piece", "counts"])
-
-    parts = words.mapInPandas(run, "piece int, counts binary")
-    flat = np.zeros(int(edges[-1]), np.float32)
-    for piece, counts in zip(*(c.to_pylist() for c in parts.groupBy("piece").applyInArrow(add, "piece int, counts binary").toArrow().columns)):
-        flat[piece * s.slice_slots : piece * s.slice_slots + len(counts) // 4] = np.frombuffer(counts, np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([key[1].as_py()], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["task", "piece", "counts"])
+
+    schema = "task long, piece int, counts binary"
+    for fan in (s.fan, s.fan * s.fan):
+        rows = rows.withColumn("task", F.expr(f"task div {fan}")).groupBy("task", "piece").applyInArrow(add, schema)
+    rows = rows.withColumn("task", F.lit(0).cast("long")).groupBy("task", "piece").applyInArrow(add, schema)
+    found = rows.toArrow()
+    for piece, counts in zip(found["piece"].to_pylist(), found["counts"].to_pylist()):
+        part = np.frombuffer(zlib.decompress(counts), np.int32)
+        flat[piece * s.slice_slots : piece * s.slice_slots + len(part)] = part
+    edges = np.concatenate([[0], np.cumsum(shapes)])
     return [flat[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
 
 
+def sliced(tables: list[np.ndarray], task: int, s: Settings) -> Iterator[pd.DataFrame]:
+    flat = np.concatenate(tables)
+    for k, a in enumerate(range(0, len(flat), s.slice_slots)):
+        part = flat[a : a + s.slice_slots]
+        if part.any():
+            yield pd.DataFrame({"task": [task], "piece": [k], "counts": [zlib.compress(part.tobytes(), 1)]})
+
+
+def gathered(batches: Iterator[pd.DataFrame], column: str, size: int) -> Iterator[list[bytes]]:
+    """The values of a binary column, about ``size`` at a time."""
+    held: list[bytes] = []
+    for batch in batches:
+        held += [bytes(w) for w in batch[column]]
+        if len(held) >= size:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def text_tables(docs: DataFrame, shared, bits: list[int], s: Settings) -> list[np.ndarray]:
+    """The packed tables of the contexts of running text, over all training texts."""
+    from pyspark import TaskContext
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        code = shared.value
+        tables = [np.zeros(2 << b, np.int32) for b in bits]
+        for batch in batches:
+            for raws in slices(batch["text"].tolist(), 200_000):
+                for part, carry, more in portions(raws, s):
+                    reading = Reading(part, code, s, carry[0], more)
+                    carry[0] = Carry([], reading.before, reading.frequent)
+                    depth, node, bit = reading.decisions(code)
+                    one = np.ones(len(node), np.int32)
+                    for table, slot in zip(tables, reading.slots(depth, node, bits)):
+                        np.add.at(table, slot * 2 + bit, one)
+        yield from sliced(tables, TaskContext.get().partitionId(), s)
+
+    rows = docs.where(~F.col("held_out")).select("text").mapInPandas(run, "task long, piece int, counts binary")
+    return [packed(t, s) for t in summed(rows, [2 << b for b in bits], s)]
+
+
+def portions(raws: list[bytes], s: Settings) -> Iterator[tuple[list[bytes], list, bool]]:
+    """Texts to read together; a very long text alone and in pieces, with a place for what they carry on."""
+    short: list[bytes] = []
+    for r in raws:
+        if len(r) > s.piece:
+            if short:
+                yield short, [None], False
+                short = []
+            carry, parts = [None], pieces_of(r, s.piece)
+            for k, p in enumerate(parts):
+                yield [p], carry, k + 1 < len(parts)
+        else:
+            short.append(r)
+    if short:
+        yield short, [None], False
+
+
+def spelling_tables(words: DataFrame, s: Settings) -> list[np.ndarray]:
+    from pyspark import TaskContext
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for part in gathered(batches, "word", s.words):
+            found = count(part, s)
+            total = found if total is None else [a + b for a, b in zip(total, found)]
+        if total is not None:
+            yield from sliced(total, TaskContext.get().partitionId(), s)
+
+    return summed(words.select("word").mapInPandas(run, "task long, piece int, counts binary"), [2 << b for b in s.bits], s)
+
+
 def weights_of(words: DataFrame, shared, s: Settings) -> Weights:
-    """Each task's learnt weights, averaged by the words they saw; a row of fixed size for each task."""
+    """Weights learnt in each shard of the vocabulary, averaged by the words they saw; a row for a shard."""
     shape, map_shape = fresh(s).mix.shape, fresh(s).map.shape
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w, seen = fresh(s), 0
+        learnt: tuple | None = None
+
+        def row() -> pd.DataFrame:
+            number, w, seen = learnt
+            return pd.DataFrame({"shard": [number], "seen": [float(seen)], "v": [np.concatenate([w.mix.ravel(), w.map.ravel()])]})
+
+        held: list[bytes] = []
         for batch in batches:
-            batch = batch.sample(frac=1.0, random_state=0)
-            learn(w, shared.value, [bytes(b) for b in batch["word"]], s)
-            seen += len(batch)
-        if seen:
-            yield pd.DataFrame({"seen": [float(seen)], "v": [np.concatenate([w.mix.ravel(), w.map.ravel()])]})
-
-    learnt = words.mapInPandas(run, "seen double, v array<double>")
-    mean = learnt.select("seen", F.posexplode("v").alias("at", "x")).groupBy("at").agg((F.sum(F.col("x") * F.col("seen")) / F.sum("seen")).alias("x")).orderBy("at").toArrow()["x"].to_numpy()
-    if not len(mean):
+            for number, rows in batch.groupby("shard", sort=True):
+                if learnt is None or learnt[0] != number:
+                    if learnt is not None:
+                        learn(learnt[1], shared.value, held, s)
+                        yield row()
+                    learnt, held = (number, fresh(s), 0), []
+                held += [bytes(w) for w in rows["word"]]
+                learnt = (number, learnt[1], learnt[2] + len(rows))
+                while len(held) >= s.words:
+                    learn(learnt[1], shared.value, held[: s.words], s)
+                    held = held[s.words :]
+        if learnt is not None:
+            learn(learnt[1], shared.value, held, s)
+            yield row()
+
+    dealt = words.select("word", "hash", F.pmod("hash", F.lit(s.shards)).cast("int").alias("shard")).repartition(s.shards, "shard").sortWithinPartitions("shard", "hash", "word")
+    found = dealt.select("shard", "word").mapInPandas(run, "shard int, seen double, v array<double>").toArrow().to_pylist()
+    if not found:
         return fresh(s)
+    found.sort(key=lambda r: r["shard"])
+    mean = np.average(np.array([r["v"] for r in found]), axis=0, weights=[r["seen"] for r in found])
     return Weights(mean[: math.prod(shape)].reshape(shape), mean[math.prod(shape) :].reshape(map_shape))
 
 
+@dataclass
+class Lookup:
+    """Of the words that a chunk asked for, by hash: training count and log10 probability of the spelling."""
+
+    hashes: np.ndarray
+    n: np.ndarray
+    lp: np.ndarray
+
+    def __call__(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.hashes, hashes)
+        return self.n[at], self.lp[at]
+
+
+def scored(raws: list[bytes], code: Code, tables: list[np.ndarray], words: Lookup, train_docs: int, base: float, s: Settings) -> tuple[np.ndarray, ...]:
+    """n_tokens, n_known, base_score, score of some texts."""
+    parts: list[tuple] = []
+    for part, carry, more in portions(raws, s):
+        reading = Reading(part, code, s, carry[0], more)
+        mixers = carry[0].mixers if carry[0] else fresh_mixers(len(part), s)
+        rare = np.flatnonzero(reading.rare)
+        n = np.full(len(reading.symbol), train_docs, np.int64)
+        often = reading.is_word & ~reading.rare
+        n[often] = code.count[reading.symbol[often]]
+        n[rare], spelt = words(reading.hash[rare])
+        lp = running(reading, code, tables, n > 0, mixers)
+        own = np.where(n[rare] > 0, np.log10(np.maximum(n[rare], 1) / np.maximum(code.tokens[reading.head[rare]], 1)), spelt)
+        lp[rare] += own
+        size = len(part)
+        sums = (np.bincount(reading.text, minlength=size), np.bincount(reading.text, n > 0, size), np.bincount(reading.text, np.log10(n + 1.0) - base, size), np.bincount(reading.text, lp, size))
+        if carry[0]:
+            parts[-1] = tuple(a + b for a, b in zip(parts[-1], sums))
+        else:
+            parts.append(sums)
+        carry[0] = Carry(mixers, reading.before, reading.frequent)
+    return tuple(np.concatenate(c) for c in zip(*parts))
+
+
 def score(docs: DataFrame, held_out: Column, settings: Settings | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row."""
+    """(key, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row.
+
+    bits_per_byte: of the whole text in UTF-8; null for an empty one.
+    """
     s = settings or Settings()
     spark = docs.sparkSession
     docs = docs.select(key, F.coalesce(text, F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     chunks = max(1, -(-int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // s.chunk_bytes))
-    drawn = docs.where(~F.col("held_out")).orderBy(F.xxhash64("text")).select("text").limit(s.class_sample).toArrow()["text"].to_pylist()
-    centres = centres_of(drawn, s)
-    words = checkpointed(vocabulary(docs, centres))
-    every = F.aggregate("n", F.lit(0).cast("long"), lambda a, b: a + b)
-    words = words.withColumn("c", every)
-    sums = [F.sum(F.col("n")[k]).alias(f"n{k}") for k in range(s.classes)]
-    totals = words.agg(F.sum("c").alias("tokens"), F.sum((F.col("c") > 0).cast("long")).alias("distinct"), F.max(F.when(F.col("word") == b"", F.col("c"))).alias("docs"), F.max(F.when(F.col("word") == b"", F.col("n"))).alias("ends"), F.sum((F.col("c") == 1).cast("long")).alias("once"), *sums).first()
+    words = checkpointed(vocabulary(docs))
+    totals = words.agg(F.sum("n").alias("tokens"), F.count_if(F.col("n") > 0).alias("distinct"), F.max(F.when(F.octet_length("word") == 0, F.col("n"))).alias("docs")).first()
     tokens, distinct, train_docs = (int(totals[c] or 0) for c in ("tokens", "distinct", "docs"))
-    in_class = np.array([totals[f"n{k}"] or 0 for k in range(s.classes)], np.float64)
-    ends = np.array(totals["ends"] or [0] * s.classes, np.float64)
-    # The share of words seen once is that of words never seen (Good and Turing); it stays within bounds.
-    new = min(max(int(totals["once"] or 0) / max(1, tokens), 1e-4), 0.9999) if tokens else 1.0
-    prior = (ends + 1 / s.classes) / (ends.sum() + 1)
-    trained = words.where("c > 0 and octet_length(word) > 0").select("word")
-    shared = spark.sparkContext.broadcast(tables_of(trained, s))
+    spelt = words.where("octet_length(word) > 0")
+    frequent = spelt.where("n > 0").orderBy(F.desc("n"), "word").limit(s.frequent).select("word", "n").toArrow()
+    often = [bytes(w) for w in frequent["word"].to_pylist()]
+    listed = F.broadcast(spark.createDataFrame([(h,) for h in hashes_of(often).tolist()], "hash long"))
+    rare = spelt.join(listed, "hash", "left_anti")
+    heads = rare.where("n > 0").groupBy("head").agg(F.sum("n").alias("n"), F.count_if(F.col("n") == 1).alias("once")).orderBy("head").toArrow()
+    head_arrays = [heads[c].to_numpy() for c in ("head", "n", "once")]
+    code = spark.sparkContext.broadcast(code_of(often, frequent["n"].to_numpy(), *head_arrays, train_docs, s))
+    tables = spark.sparkContext.broadcast(text_tables(docs, code, table_bits(tokens, s), s))
+    trained = rare.where("n > 0")
+    shared = spark.sparkContext.broadcast(spelling_tables(trained, s))
     weights = spark.sparkContext.broadcast(weights_of(trained, shared, s))
 
-    def hashes(words: list[bytes]) -> np.ndarray:
-        return word_hashes([b"\n".join(words)])[0].view(np.int64)
-
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def frame() -> pd.DataFrame:
+            rows = pd.concat(held)
+            new = (rows["n"] == 0).to_numpy()
+            lp = np.zeros(len(rows))
+            lp[new] = log10_probability(weights.value, shared.value, [bytes(w) for w in rows["word"][new]], s)
+            return pd.DataFrame({"hash": rows["hash"], "n": rows["n"], "lp": lp})
+
         for batch in batches:
-            spelt = [bytes(w) for w in batch["word"]]
-            yield pd.DataFrame({"hash": hashes(spelt), "n": batch["n"], "lp": log10_probability(weights.value, shared.value, spelt, s)})
+            held.append(batch)
+            if sum(map(len, held)) >= s.words:
+                yield frame()
+                held = []
+        if held:
+            yield frame()
 
-    judged = words.where("octet_length(word) > 0").select("word", "n").mapInPandas(judge, "hash long, n array<long>, lp double")
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64(key, "text"), F.lit(chunks))).repartition(chunks, "chunk")
+    judged = rare.select("word", "hash", "n").mapInPandas(judge, "hash long, n long, lp double")
+    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64(key, "text"), F.lit(chunks))).repartition("chunk")
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for chunk, rows in batch.groupby("chunk"):
                 parts = [np.unique(word_hashes(raws)[0]) for raws in slices(rows["text"].tolist())]
                 found = np.unique(np.concatenate(parts)).view(np.int64)
+                found = found[~np.isin(found, code.value.hashes)]
                 yield pd.DataFrame({"chunk": np.full(len(found), chunk), "hash": found})
 
     # All columns, though two are read: so the texts are exchanged once, for this pass and the last.
     asked = dealt.mapInPandas(ask, "chunk long, hash long").join(judged, "hash").select("chunk", "hash", "n", "lp")
-    end_lp = float(log10_probability(weights.value, shared.value, [b""], s)[0])
     base = math.log10(tokens + distinct + 1)
 
-    def logs(counts: np.ndarray, overall: np.ndarray, spelt: np.ndarray, k: int) -> np.ndarray:
-        """log10 of a word's probability in class k: recalled from the class or all classes, or spelt."""
-        mine = s.own_class if in_class[k] else 0.0
-        recalled = mine * counts / max(1.0, in_class[k]) + (1 - mine) * overall / max(1, tokens)
-        known = np.log10(np.maximum((1 - new) * recalled, 1e-300))
-        return np.where(overall > 0, np.maximum(known, spelt) + np.log10(1 + 10.0 ** -np.abs(known - spelt)), spelt)
-
-    end_logs = [float(logs(ends[k : k + 1], ends.sum(keepdims=True), np.array([end_lp + math.log10(new)]), k)[0]) for k in range(s.classes)]
-
     def combine(texts: pa.Table, known: pa.Table) -> pa.Table:
-        order = np.argsort(known["hash"].to_numpy())
-        table, lp = known["hash"].to_numpy()[order], known["lp"].to_numpy()[order]
-        n = known["n"].combine_chunks().flatten().to_numpy().reshape(-1, s.classes)[order] if known.num_rows else np.zeros((0, s.classes), np.int64)
-        total = n.sum(axis=1)
-        base_of = np.log10(total + 1.0) - base
-        of_class = [logs(n[:, k].astype(np.float64), total.astype(np.float64), lp + math.log10(new), k) for k in range(s.classes)]
+        hashes, first = np.unique(known["hash"].to_numpy(), return_index=True)
+        lookup = Lookup(hashes, known["n"].to_numpy()[first], known["lp"].to_numpy()[first])
         parts = []
-        for raws in slices(texts["text"].to_pylist()):
-            found, starts, offsets = word_hashes(raws)
-            at = np.searchsorted(table, found.view(np.int64))
-            doc = np.searchsorted(offsets, starts, side="right") - 1
-            size = len(raws)
-            ways = np.stack([np.bincount(doc, of_class[k][at], size) + end_logs[k] + math.log10(prior[k]) for k in range(s.classes)])
-            best = ways.max(axis=0)
-            parts.append((
-                np.bincount(doc, minlength=size) + 1,
-                np.bincount(doc, total[at] > 0, size) + (train_docs > 0),
-                np.bincount(doc, base_of[at], size) + math.log10(train_docs + 1.0) - base,
-                best + np.log10((10.0 ** (ways - best)).sum(axis=0)),
-            ))
-        n_tokens, n_known, base_score, model = (np.concatenate(c) for c in zip(*parts)) if parts else ([], [], [], [])
+        for a in range(0, texts.num_rows, 256):
+            for raws in slices(texts["text"].slice(a, 256).to_pylist(), 150_000):
+                parts.append((*scored(raws, code.value, tables.value, lookup, train_docs, base, s), [len(r) for r in raws]))
+        n_tokens, n_known, base_score, model, size = (np.concatenate(c) for c in zip(*parts)) if parts else ([], [], [], [], [])
+        size = np.asarray(size, np.float64)
+        bits = np.where(size > 0, -np.asarray(model) * math.log2(10) / np.maximum(size, 1), np.nan)
         return pa.table({
             key: texts[key], "held_out": texts["held_out"], "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(np.asarray(n_known, np.int64), pa.int64()),
             "train_tokens": pa.array([tokens] * len(n_tokens), pa.int64()), "base_score": pa.array(base_score, pa.float64()), "score": pa.array(model, pa.float64()),
+            "bits_per_byte": pa.array(bits, pa.float64(), from_pandas=True),
         })
 
-    schema = f"`{key}` {dict(docs.dtypes)[key]}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = f"`{key}` {dict(docs.dtypes)[key]}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     return dealt.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(combine, schema)

@@ -48,14 +48,14 @@ def shingle_sets(texts: list[str | None], width: int = 5) -> Iterator[np.ndarray
         yield from _sets(part, width)
 
 
-def slices(texts: list[str | None]) -> Iterator[list[bytes]]:
-    """The texts in UTF-8, about SLICE_BYTES at a time."""
+def slices(texts: list[str | None], size: int = SLICE_BYTES) -> Iterator[list[bytes]]:
+    """The texts in UTF-8, about ``size`` bytes at a time."""
     part: list[bytes] = []
     held = 0
     for t in texts:
         part.append((t or "").encode())
         held += len(part[-1])
-        if held >= SLICE_BYTES:
+        if held >= size:
             yield part
             part, held = [], 0
     if part:

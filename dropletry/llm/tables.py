@@ -2,21 +2,38 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that Spark hands to Python at a time, where the session keeps Spark's own default: texts are
+#: long, and several workers share an executor's memory.
+BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the rows of a batch for this session, unless its user has chosen a number."""
+    name, default, rows = BATCH
+    if spark.conf.get(name, default) == default:
+        spark.conf.set(name, rows)
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, so that no later loss of executors repeats its work.
 
-    The cluster names the folder in spark.checkpoint.dir; only where that is unset, as in tests,
-    a local one is used.
+    The cluster names the folder in spark.checkpoint.dir.  Only a local session, as in tests, may leave
+    that unset and gets a folder of its own; elsewhere it is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/dropletry-checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
