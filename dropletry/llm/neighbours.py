@@ -4,7 +4,11 @@ A bounded sample of the vectors gives a neighbour graph, which recursive spectra
 partitions of equal size; swaps across each cut then raise the edges inside.  A small network learns,
 from a vector, in which partitions its neighbours lie.  It indexes every row under its most probable
 partition, and sends each query to the most probable partitions, whose rows are all reranked by the
-exact inner product.
+exact inner product.  Where the table needs more partitions than one network tells apart, each is cut
+again in the same way, by a network fitted on a sample of its own; all of these are fitted in tasks.
+
+How many partitions a query looks into depends on how sure the networks are: few where vectors lie in
+clusters, most where they have no structure, as recall would be lost otherwise.
 
 Equal vectors are one candidate with its smallest ids, so many as a result can hold; that loses
 nothing, as of equal vectors smaller ids come first.  Partitions are dealt out in blocks, so that no
@@ -12,7 +16,8 @@ task holds a whole one; queries meet blocks, never each other.
 
 Defined results: rows whose id or vector is null, or whose vector is zero or has null or non-finite
 components or not the most frequent length take no part; of rows that share id and vector one
-counts; extra columns are ignored; without candidates a query has no rows.
+counts; scores that are equal stand in the order of their ids, however many they are; vectors of any
+length are taken whole; extra columns are ignored; without candidates a query has no rows.
 """
 
 from __future__ import annotations
@@ -30,14 +35,16 @@ from dropletry.llm.tables import checkpointed
 
 @dataclass(frozen=True)
 class Settings:
-    """k: neighbours; sample: vectors that the partitions are fitted on; rows: wanted in a partition,
-    and most: partitions; edges: of a vector in the graph; hidden, epochs, rate: of the network; mass:
-    of probability that the probed partitions of a query hold; least: share of partitions probed at
+    """k: neighbours; sample: vectors that a network and its partitions are fitted on; rows: wanted in a
+    partition; fewest: partitions, unless they would have under eight vectors; most: that one network
+    tells apart; edges: of a vector in the graph; hidden, epochs, rate: of the network; mass: of
+    probability that the probed partitions of a query hold; least: share of partitions probed at
     least; block: candidates and queries in a block."""
 
     k: int = 20
     sample: int = 8192
     rows: int = 2048
+    fewest: int = 8
     most: int = 128
     edges: int = 16
     hidden: int = 96
@@ -51,8 +58,9 @@ class Settings:
 def neighbour_graph(x: np.ndarray, edges: int) -> np.ndarray:
     """The nearest other rows of each row by inner product: rows x edges."""
     out = []
-    for a in range(0, len(x), 1024):
-        score = x[a : a + 1024] @ x.T
+    x = x.astype(np.float32)
+    for a in range(0, len(x), 256):
+        score = x[a : a + 256] @ x.T
         score[np.arange(len(score)), np.arange(a, a + len(score))] = -np.inf
         out.append(np.argpartition(-score, min(edges, len(x) - 1) - 1, axis=1)[:, :edges])
     return np.concatenate(out)
@@ -139,6 +147,36 @@ def fit(x: np.ndarray, parts: int, s: Settings) -> Router:
     return Router(*w)
 
 
+@dataclass(frozen=True)
+class Routers:
+    """The first network and, by its partitions, the second ones; partitions are numbered through."""
+
+    first: Router
+    second: dict[int, Router]
+    parts: int
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        log_p = self.first(x)
+        if not self.second:
+            return log_p
+        out = np.full((len(x), log_p.shape[1], self.parts), -np.inf)
+        for p in range(log_p.shape[1]):
+            below = self.second[p](x) if p in self.second else np.zeros((len(x), 1))
+            out[:, p, : below.shape[1]] = log_p[:, [p]] + below
+        return out.reshape(len(x), -1)
+
+    def part(self, x: np.ndarray) -> np.ndarray:
+        """The partition that holds each vector: the most probable one, network by network."""
+        out = self.first(x).argmax(axis=1)
+        if self.second:
+            below = np.zeros(len(x), np.int64)
+            for p in np.unique(out).tolist():
+                at = np.flatnonzero(out == p)
+                below[at] = self.second[p](x[at]).argmax(axis=1) if p in self.second else 0
+            out = out * self.parts + below
+        return out
+
+
 def probes(log_p: np.ndarray, s: Settings) -> list[np.ndarray]:
     """The partitions each query looks into: the most probable ones, up to the mass."""
     order = np.argsort(-log_p, axis=1, kind="stable")
@@ -164,6 +202,55 @@ def usable(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
     return rows.where(F.size("vector") == (sizes[0]["size"] if sizes else 0))
 
 
+def fitted(drawn: DataFrame, parts: int, s: Settings) -> dict[int, Router]:
+    """The network of each part's sample, fitted in a task; drawn: part, vector."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        r = fit(matrix(rows["vector"]), min(parts, power_below(rows.num_rows // 8)), s)
+        flat = [np.ascontiguousarray(w, np.float64).tobytes() for w in (r.w1, r.b1, r.w2, r.b2)]
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), **{n: pa.array([w], pa.binary()) for n, w in zip(("w1", "b1", "w2", "b2"), flat)}})
+
+    def router(r: dict) -> Router:
+        w1, b1, w2, b2 = (np.frombuffer(r[n]) for n in ("w1", "b1", "w2", "b2"))
+        return Router(w1.reshape(-1, s.hidden), b1, w2.reshape(s.hidden, -1), b2)
+
+    found = drawn.groupBy("part").applyInArrow(run, "part int, w1 binary, b1 binary, w2 binary, b2 binary").toArrow().to_pylist()
+    return {r["part"]: router(r) for r in found}
+
+
+def power_below(n: int) -> int:
+    """The largest power of two up to n, at least 1."""
+    return 1 << max(0, n.bit_length() - 1)
+
+
+def index(distinct: DataFrame, s: Settings) -> Routers | None:
+    """The networks of a table of distinct vectors."""
+    total = distinct.count()
+    if not total:
+        return None
+    wanted = max(power_below(total // s.rows), min(s.fewest, power_below(total // 8)))
+    hashed = F.xxhash64("vector")
+    drawn = distinct.orderBy(hashed, "vector").limit(s.sample).select(F.lit(0).alias("part"), "vector")
+    first = fitted(drawn, min(s.most, wanted), s)[0]
+    parts = min(s.most, wanted // s.most)
+    if parts < 2:
+        return Routers(first, {}, 1)
+    top = distinct.sparkSession.sparkContext.broadcast(first)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(top.value(matrix(batch.column("vector"))).argmax(axis=1), pa.int32()), batch.column("vector")], names=["part", "vector"])
+
+    kind = dict(distinct.dtypes)["vector"]
+    placed = checkpointed(distinct.select("vector").mapInArrow(place, f"part int, vector {kind}"))
+    # By hash, about ``sample`` vectors of each part; a row for each part comes to the driver.
+    shares = [(r["part"], min(1.0, s.sample / r["count"])) for r in placed.groupBy("part").count().collect()]
+    share = F.broadcast(distinct.sparkSession.createDataFrame(shares, "part int, share double"))
+    own = placed.join(share, "part").where(F.pmod(hashed, F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    return Routers(first, fitted(own.select("part", "vector"), parts, s), parts)
+
+
 def search(vectors: DataFrame, is_query: Column, settings: Settings | None = None, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest of each query by inner product, from rank 1.
 
@@ -176,35 +263,36 @@ def search(vectors: DataFrame, is_query: Column, settings: Settings | None = Non
     of_vector = Window.partitionBy(F.xxhash64("vector"), "vector").orderBy("id")
     kept = rows.dropDuplicates(["id", "vector"]).withColumn("n", F.row_number().over(of_vector)).where(F.col("n") <= s.k + 1)
     distinct = checkpointed(kept.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids")))
-    total = distinct.count()
-    parts = min(s.most, 1 << max(0, (max(1, total // s.rows)).bit_length() - 1))
-    drawn = distinct.orderBy(F.xxhash64("vector"), "vector").limit(s.sample).toArrow()
-    if not len(drawn):
+    routers = index(distinct, s)
+    if routers is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    shared = spark.sparkContext.broadcast(fit(matrix(drawn["vector"]), parts, s))
+    shared = spark.sparkContext.broadcast(routers)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                best = shared.value(matrix(batch.column("vector"))).argmax(axis=1)
+                best = shared.value.part(matrix(batch.column("vector")))
                 yield pa.RecordBatch.from_arrays([batch.column("vector"), batch.column("ids"), pa.array(best, pa.int32())], names=["vector", "ids", "part"])
 
     kind = dict(rows.dtypes)["vector"]
     placed = checkpointed(distinct.select("vector", "ids").mapInArrow(place, f"vector {kind}, ids array<long>, part int"))
-    sizes = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}  # a row for each partition
+    # A row for each partition, whose number the settings bound.
+    sizes = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}
     blocks = {p: -(-n // s.block) for p, n in sizes.items()}
-    count_of = F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair])
+    count_of = spark.createDataFrame(list(blocks.items()), "part int, blocks int")
     query_rows = rows.dropDuplicates(["id", "vector"]).where(is_query)
     teams = max(1, -(-query_rows.count() // (4 * s.block)))  # queries that meet a block at a time
-    candidates = placed.withColumn("block", F.pmod(F.xxhash64("vector"), count_of[F.col("part")]).cast("int")).withColumn("team", F.explode(F.sequence(F.lit(0), F.lit(teams - 1))))
+    numbered = placed.join(F.broadcast(count_of), "part").withColumn("block", F.pmod(F.xxhash64("vector"), F.col("blocks")).cast("int"))
+    candidates = numbered.select("vector", "ids", "part", "block", F.explode(F.sequence(F.lit(0), F.lit(teams - 1))).alias("team"))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                ids, wanted = batch.column("id").to_pylist(), probes(shared.value(matrix(batch.column("vector"))), s)
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                ids, wanted = part.column("id").to_pylist(), probes(shared.value(matrix(part.column("vector"))), s)
                 at = [(i, p, b) for i, ps in enumerate(wanted) for p in ps.tolist() for b in range(blocks.get(p, 0))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[i] for i, _, _ in at], pa.int64()), batch.column("vector").take(pa.array([i for i, _, _ in at], pa.int64())), pa.array([p for _, p, _ in at], pa.int32()), pa.array([b for _, _, b in at], pa.int32())],
+                    [pa.array([ids[i] for i, _, _ in at], pa.int64()), part.column("vector").take(pa.array([i for i, _, _ in at], pa.int64())), pa.array([p for _, p, _ in at], pa.int32()), pa.array([b for _, _, b in at], pa.int32())],
                     names=["id", "vector", "part", "block"],
                 )
 
@@ -214,16 +302,19 @@ def search(vectors: DataFrame, is_query: Column, settings: Settings | None = Non
         out: list[tuple[int, int, float]] = []
         if queries.num_rows and found.num_rows:
             c, ids = matrix(found["vector"]), found["ids"].to_pylist()
-            for a in range(0, queries.num_rows, 512):
-                part = queries.slice(a, 512)
+            longest = np.sqrt((c * c).sum(axis=1).max())
+            for a in range(0, queries.num_rows, 256):
+                part = queries.slice(a, 256)
                 q = matrix(part["vector"])
                 rough = q @ c.T
-                width = min(len(c), 2 * s.k + 4)
-                top = np.argpartition(-rough, width - 1, axis=1)[:, :width]
-                # Summed in one fixed order, so that a score does not depend on the block it is found in.
-                exact = (q[:, None, :] * c[top]).sum(axis=2)
+                # All that may be among the k best by the exact score: ties and rounding included.
+                last = max(0, len(c) - s.k - 1)
+                least = np.partition(rough, last, axis=1)[:, last] - 1e-12 * longest * np.sqrt((q * q).sum(axis=1)) * q.shape[1]
                 for i, own in enumerate(part["id"].to_pylist()):
-                    best = sorted((-e, j) for t, e in zip(top[i].tolist(), exact[i].tolist()) for j in ids[t] if j != own)[: s.k]
+                    top = np.flatnonzero(rough[i] >= least[i])
+                    # Summed in one fixed order, so that a score does not depend on the block it is found in.
+                    exact = (q[i] * c[top]).sum(axis=1)
+                    best = sorted((-e, j) for t, e in zip(top.tolist(), exact.tolist()) for j in ids[t] if j != own)[: s.k]
                     out += [(own, j, -e) for e, j in best]
         columns = list(zip(*out)) or [[], [], []]
         return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})

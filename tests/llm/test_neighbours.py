@@ -30,6 +30,25 @@ def test_one_partition_is_exact_with_ties_and_bad_rows(spark):
     assert neighbours.search(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def test_more_ties_than_neighbours(spark):
+    df = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(400)] + [(1000, [1.0, 0.0])], "vec_id long, embedding array<float>")
+    rows = neighbours.search(df, F.col("id") == 1000, neighbours.Settings(fewest=1)).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in rows] == [(i, 1.0) for i in range(20)]
+
+
+def test_two_levels_of_partitions(spark):
+    rng = np.random.default_rng(3)
+    x = (rng.standard_normal((60, 16))[rng.integers(0, 60, 6000)] + 0.3 * rng.standard_normal((6000, 16))).astype(np.float32)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    s = neighbours.Settings(rows=100, most=8, sample=600, block=100)
+    routers = neighbours.index(neighbours.usable(df, "vec_id", "embedding").select("vector"), s)
+    assert routers.parts == 4 and len(routers.second) == 8 and np.exp(routers(x[:9].astype(float))).sum(axis=1) == pytest.approx(1)
+    rows = neighbours.search(df, F.col("id") % 100 == 0, s).collect()
+    wanted = exact(list(range(6000)), x.astype(np.float64), range(0, 6000, 100), 20)
+    hit = sum(r["vec_id"] in wanted[r["query_id"]] for r in rows)
+    assert len(rows) == 1200 and hit / 1200 > 0.9
+
+
 def test_recall_over_partitions(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((6000, 16)).astype(np.float32)
@@ -63,5 +82,15 @@ def test_balanced_parts():
 
 
 def test_query(spark):
-    rows = op07_neighbours.query(spark, "/root/testdata/sf0.001").collect()
-    assert rows and all(r["query_id"] % 20 == 0 and r["query_id"] != r["vec_id"] for r in rows)
+    """The registered query, whose partitions are learnt on small tables too, against brute force."""
+    folder = "/root/testdata/sf0.01"
+    table = spark.read.parquet(f"{folder}/embeddings.parquet").toArrow()
+    ids, x = table["vec_id"].to_pylist(), np.array(table["embedding"].to_pylist(), np.float64)
+    assert neighbours.index(neighbours.usable(spark.read.parquet(f"{folder}/embeddings.parquet"), "vec_id", "embedding").select("vector"), neighbours.Settings()).first.w2.shape[1] == 8
+    rows = op07_neighbours.query(spark, folder).collect()
+    queries = [i for i in ids if i % 20 == 0]
+    wanted = exact(ids, x, queries, 20)
+    assert len(rows) == 20 * len(queries)
+    assert sum(r["vec_id"] in wanted[r["query_id"]] for r in rows) >= 0.9 * len(rows)
+    for r in rows:
+        assert r["score"] == pytest.approx((x[ids.index(r["query_id"])] * x[ids.index(r["vec_id"])]).sum(), abs=1e-12) and r["query_id"] != r["vec_id"]
