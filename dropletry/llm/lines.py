@@ -2,12 +2,13 @@
 
 A line is its words (A-Z lower-cased, split at white space).  Two lines are near when they are equal
 or, if both have at least ``Settings.edit_words`` words, when one insertion, deletion or replacement
-of a word turns one into the other.  A line of at least ``least_words`` words goes when an earlier
-line (by document id, then place) of any document is near; the earliest of all stays.
+of a word turns one into the other.  A line of at least ``least_words`` words, or of fewer that have
+``least_bytes`` bytes together, goes when an earlier line (by document id, then place) of any document
+is near; the earliest of all stays.
 
 1. Equal lines meet on their hash; the earliest stands for them.
 2. A pair that one edit tells apart shares the first or the second half of its words.  Lines that
-   share no half with another line have no partner and emit no variants.
+   share no half with another line have no partner and emit no variants; a bounded bit map tells them.
 3. The others emit the hash of every variant with one word deleted, and of themselves.  Lines meet
    that have the same variant with the word gone from the same place (a replacement), or of which one
    is a variant of the other (a deletion or insertion).  Each meeting keeps the least position only,
@@ -16,7 +17,9 @@ line (by document id, then place) of any document is near; the earliest of all s
 
 Defined results: a null text stays null, an empty one empty; a text whose lines all go becomes
 empty, and its row stays; empty lines and short lines stay; rows with a null id are kept as they are
-and take no part; rows that share an id are cleaned alike; other columns are kept.
+and take no part; rows that share an id are cleaned alike; very long texts and lines are taken whole;
+other columns are kept, whatever their names, but ``counts`` replaces columns of its own names; an empty
+table has no rows.
 """
 
 from __future__ import annotations
@@ -26,21 +29,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dropletry.llm.marks import bit_map, is_marked, map_bits, marked
 from dropletry.llm.shingles import mixed, slices, word_hashes
-from dropletry.llm.tables import checkpointed
+from dropletry.llm.tables import checkpointed, free_name
 
 
 @dataclass(frozen=True)
 class Settings:
-    """least_words: of a line that may go; edit_words: from which one edit is allowed; marks: bits of
-    the maps that tell which lines a later pass needs (they may only let too many through)."""
+    """least_words, least_bytes: of a line that may go, one or the other; edit_words: from which one edit
+    is allowed; salts: parts that the copies of one line are spread over."""
 
     least_words: int = 2
+    least_bytes: int = 24
     edit_words: int = 8
-    marks: int = 1 << 22
+    salts: int = 8
 
 
 _FACTORS = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
@@ -54,7 +59,7 @@ class Lines:
     that running sums give the hash of every part and of every variant with a part left out.
     """
 
-    def __init__(self, raws: list[bytes], least_words: int):
+    def __init__(self, raws: list[bytes], s: Settings):
         words, starts, offsets = word_hashes(raws)
         data = np.frombuffer(b"\n".join(raws) + b"\n", np.uint8)
         feeds = np.flatnonzero(data == 10)
@@ -63,7 +68,9 @@ class Lines:
         n = np.diff(np.append(first, len(line)))
         text = np.searchsorted(offsets, starts[first], side="right") - 1
         self.number = line[first] - np.searchsorted(feeds, offsets[:-1])[text]
-        keep = n >= least_words
+        used = np.concatenate([[0], np.cumsum((data != 32) & ((data < 9) | (data > 13)))])
+        begins = np.concatenate([[0], feeds + 1])
+        keep = (n >= s.least_words) | (used[feeds[line[first]]] - used[begins[line[first]]] >= s.least_bytes)
         self.first, self.n, self.text, self.number = first[keep], n[keep], text[keep], self.number[keep]
         self.powers, self.backs, self.sums = [], [], []
         longest = int(n.max()) + 1 if len(n) else 1
@@ -113,20 +120,13 @@ def _over_lines(docs: DataFrame, s: Settings, make: Callable[[np.ndarray, Lines]
         for batch in batches:
             ids, at = batch["id"].to_numpy(), 0
             for raws in slices(batch["text"].tolist()):
-                lines = Lines(raws, s.least_words)
+                lines = Lines(raws, s)
                 yield pd.DataFrame(make(ids[at : at + len(raws)][lines.text], lines))
                 at += len(raws)
 
     return docs.mapInPandas(run, schema)
 
 
-def _map(values: DataFrame, column: Column, s: Settings) -> np.ndarray:
-    """A map of fixed size with a bit for each value's hash."""
-    bits = np.zeros(s.marks, bool)
-    bits[values.select(F.pmod(column, F.lit(s.marks)).cast("int").alias("m")).distinct().toArrow()["m"].to_numpy()] = True
-    return bits
-
-
 def near_lines(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     """All lines (id, number, a, b: hashes) and, of the distinct ones with an earlier near line, (a, b)."""
     spark = docs.sparkSession
@@ -141,14 +141,14 @@ def near_lines(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
         return {"half": once[0], "a": once[1]}
 
     lines = checkpointed(_over_lines(docs, s, describe, "id long, number int, a long, b long"))
-    of_half = Window.partitionBy("half")
-    halves = _over_lines(docs, s, halve, "half long, a long").withColumns({"x": F.min("a").over(of_half), "y": F.max("a").over(of_half)})
-    wanted = spark.sparkContext.broadcast(np.packbits(_map(halves.where("x <> y"), F.col("a"), s)))
+    bits = map_bits(lines.count())
+    shared = _over_lines(docs, s, halve, "half long, a long").groupBy("half").agg(F.min("a").alias("x"), F.max("a").alias("y")).where("x <> y")
+    wanted = spark.sparkContext.broadcast(bit_map(shared, F.col("half"), bits))
 
     def emit(ids: np.ndarray, x: Lines) -> dict:
         a = x.whole(0)
-        m = a % s.marks
-        at = np.flatnonzero((x.n >= s.edit_words) & ((wanted.value[m >> 3] >> (7 - (m & 7))) & 1 == 1))
+        line, key = x.halves(s.edit_words)
+        at = np.unique(line[marked(wanted.value, key % bits)])
         # Equal lines of a slice send one row: that of the least id, of equal ids the first.
         at = at[np.lexsort((x.number[at], ids[at]))]
         at = at[np.unique(a[at], return_index=True)[1]]
@@ -173,14 +173,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
     """(id, number) of each pair's own line, where its words are within one edit of the other's."""
     place = F.struct(F.col("id"), F.col("number"))
     ends = pairs.select(F.col("own").alias("p")).unionByName(pairs.select(F.col("other").alias("p"))).select("p.id", "p.number")
-    needed = docs.sparkSession.sparkContext.broadcast(np.packbits(_map(ends, F.xxhash64("id"), s)))
-
-    @F.pandas_udf("boolean")
-    def is_needed(m: pd.Series) -> pd.Series:
-        at = m.to_numpy()
-        return pd.Series((needed.value[at >> 3] >> (7 - (at & 7))) & 1 == 1, index=m.index)
-
-    texts = docs.where(is_needed(F.pmod(F.xxhash64("id"), F.lit(s.marks)))).select("id", F.posexplode(F.split("text", "\n")).alias("number", "line"))
+    bits = map_bits(2 * pairs.count())
+    needed = docs.sparkSession.sparkContext.broadcast(bit_map(ends, F.xxhash64("id"), bits))
+    texts = docs.where(is_marked(needed, F.xxhash64("id"), bits)).select("id", F.posexplode(F.split("text", "\n")).alias("number", "line"))
     texts = texts.select("id", "number", "line").join(ends.distinct(), ["id", "number"], "left_semi").dropDuplicates(["id", "number"]).select(place.alias("p"), "line")
 
     @F.pandas_udf("boolean")
@@ -213,14 +208,19 @@ def dropped_lines(docs: DataFrame, settings: Settings | None = None, key: str =
     s = settings or Settings()
     docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
     lines, near = near_lines(docs, s)
-    earliest = lines.groupBy("a", "b").agg(F.min(F.struct("id", "number")).alias("first"))
-    judged = earliest.join(near.withColumn("near", F.lit(True)), ["a", "b"], "left")
-    return lines.join(judged, ["a", "b"]).where(F.col("near").isNotNull() | (F.struct("id", "number") != F.col("first"))).select("id", "number").distinct()
+    earliest = lines.groupBy("a", "b").agg(F.min(F.struct("id", "number")).alias("first"), F.count("*").alias("n"))
+    judged = earliest.join(near.withColumn("near", F.lit(True)), ["a", "b"], "left").where("n > 1 or near")
+    # One line may be a third of all: its copies and its judgement are dealt over the salts.
+    judged = judged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(s.salts - 1))))
+    salted = lines.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(s.salts)).cast("int"))
+    found = salted.join(judged, ["a", "b", "salt"]).where(F.col("near").isNotNull() | (F.struct("id", "number") != F.col("first")))
+    return found.select("id", "number").distinct()
 
 
 def dedup(df: DataFrame, settings: Settings | None = None, key: str = "doc_id", text: str = "text", counts: bool = False) -> DataFrame:
     """``df`` with its texts less the lines that go; ``counts`` adds n_lines and n_dropped."""
-    gone = dropped_lines(df, settings, key, text).groupBy("id").agg(F.collect_list("number").alias("_gone")).withColumnRenamed("id", "_id")
+    own_id, numbers = free_name(df, "_id"), free_name(df, "_gone")
+    gone = dropped_lines(df, settings, key, text).groupBy("id").agg(F.collect_list("number").alias(numbers)).withColumnRenamed("id", own_id)
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, numbers: pd.Series) -> pd.Series:
@@ -232,9 +232,8 @@ def dedup(df: DataFrame, settings: Settings | None = None, key: str = "doc_id",
             out.append(t)
         return pd.Series(out, index=texts.index, dtype=object)
 
-    both = df.join(gone, df[key].cast("long") == gone["_id"], "left")
-    more = {}
+    both = df.join(gone, df[key].cast("long") == gone[own_id], "left")
+    columns = {c: F.col(f"`{c}`") for c in df.columns} | {text: without(text, numbers).alias(text)}
     if counts:
-        more = {"n_lines": F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).cast("long"), "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}
-        both = both.withColumns(more)
-    return both.withColumn(text, without(text, "_gone")).select(*df.columns, *more)
+        columns |= {"n_lines": F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).cast("long").alias("n_lines"), "n_dropped": F.coalesce(F.size(numbers), F.lit(0)).cast("long").alias("n_dropped")}
+    return both.select(*columns.values())

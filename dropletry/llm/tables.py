@@ -30,6 +30,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     that unset and gets a folder of its own; elsewhere it is an error.
     """
     spark = df.sparkSession
+    small_batches(spark)
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -37,3 +38,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as it takes to clash with no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

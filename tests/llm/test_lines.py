@@ -10,7 +10,7 @@ def expected(docs, s=lines.Settings()):
     for d, text in sorted((d, t) for d, t in docs if d is not None and t is not None):
         for k, line in enumerate(text.split("\n")):
             w = lines.line_words(line)
-            if len(w) < s.least_words:
+            if len(w) < s.least_words and sum(map(len, w)) < s.least_bytes:
                 continue
             if any(w == v or (min(len(w), len(v)) >= s.edit_words and lines.one_edit(line, x)) for v, x in seen):
                 gone[d].add(k)
@@ -54,6 +54,16 @@ def test_edges(spark):
     assert lines.dedup(df.limit(0)).count() == 0
 
 
+def test_clashing_names_and_long_words(spark):
+    df = spark.createDataFrame([(1, "a line of some words", 1, 2, 3, 4), (2, "a line of some words\nx", 5, 6, 7, 8)], "doc_id long, text string, _gone int, _id int, n_lines int, id int")
+    rows = sorted(lines.dedup(df).collect())
+    assert rows == [(1, "a line of some words", 1, 2, 3, 4), (2, "x", 5, 6, 7, 8)]
+    counted = lines.dedup(df, counts=True)
+    assert counted.columns == ["doc_id", "text", "_gone", "_id", "n_lines", "id", "n_dropped"] and sorted(r["n_lines"] for r in counted.collect()) == [1, 2]
+    words = spark.createDataFrame([(1, "y" * 30), (2, "Y" * 30 + "\nshort"), (3, "short")], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in lines.dedup(words).collect()} == {1: "y" * 30, 2: "short", 3: "short"}
+
+
 def test_query(spark):
     folder = "/root/testdata/sf0.001"
     docs = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
