@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dropletry.llm.components import components
+from dropletry.llm.marks import bit_map, is_marked, map_bits
 from dropletry.llm.shingles import set_key, shingle_sets
 from dropletry.llm.tables import checkpointed
 
@@ -43,8 +44,8 @@ class Settings:
     """width: words of a shingle; percent: least similarity; frequent: count from which a shingle is
     ordered by its count; table: most frequent shingles that are broadcast (they only order);
     bits: of a bitmap for each shingle, at least; members, visitors: classes of a group, and classes that
-    qualify for it, that are compared in one block; marks: bits of the map of documents whose sets are
-    needed (it may only let too many through); slice_tokens: shingles held by a task at a time."""
+    qualify for it, that are compared in one block; salts: parts that the rows of a frequent shingle, and
+    those that meet a group's leader, are spread over; slice_tokens: shingles held by a task at a time."""
 
     width: int = 5
     percent: int = 80
@@ -53,8 +54,8 @@ class Settings:
     bits: int = 4
     members: int = 512
     visitors: int = 2048
-    marks: int = 1 << 21
-    slice_tokens: int = 5_000_000
+    salts: int = 32
+    slice_tokens: int = 3_000_000
 
 
 def least_overlap(size: np.ndarray | int, percent: int):
@@ -81,93 +82,90 @@ def most_overlap(x: bytes, nx: int, y: bytes, ny: int) -> int:
 
 
 def _classes_and_counts(docs: DataFrame, s: Settings) -> DataFrame:
-    """A row (id, size, class, map) for each document (the map once for equal sets of a batch); rows (token, n) for shingles that repeat in a slice."""
+    """A row (id, size, class, check, map) for each document (the map once for equal sets of a batch); rows (token, n) for shingles that repeat in a slice."""
 
     def repeated(tokens: list[np.ndarray]) -> pd.DataFrame:
         flat = np.concatenate(tokens)
         flat.sort()
         at = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.empty(0, int)
         n = np.diff(np.append(at, len(flat)))
-        return pd.DataFrame({"id": None, "size": None, "class": None, "map": None, "token": flat[at[n > 1]], "n": n[n > 1]})
+        return pd.DataFrame({"id": None, "size": None, "class": None, "check": None, "map": None, "token": flat[at[n > 1]], "n": n[n > 1]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokens, held = [], 0
         for batch in batches:
-            ids, keys, sizes, maps, seen, tokens, held = [], [], [], [], set(), [], 0
+            ids, keys, checks, sizes, maps, seen = [], [], [], [], [], set()
             for i, shingles in zip(batch["id"].tolist(), shingle_sets(batch["text"].tolist(), s.width)):
+                key = set_key(shingles)
                 ids.append(i)
-                keys.append(set_key(shingles))
+                keys.append(key[0])
+                checks.append(key[1])
                 sizes.append(len(shingles))
                 maps.append(None)
-                if keys[-1] not in seen:
-                    seen.add(keys[-1])
+                if key not in seen:
+                    seen.add(key)
                     tokens.append(shingles)
                     maps[-1] = bitmap(shingles, s.bits)
                     held += len(shingles)
                     if held > s.slice_tokens:
                         yield repeated(tokens)
                         tokens, held = [], 0
-            yield pd.DataFrame({"id": ids, "size": sizes, "class": keys, "map": maps, "token": None, "n": None})
-            if tokens:
-                yield repeated(tokens)
+            yield pd.DataFrame({"id": ids, "size": sizes, "class": keys, "check": checks, "map": maps, "token": None, "n": None})
+        if tokens:
+            yield repeated(tokens)
 
-    return docs.mapInPandas(run, "id long, size long, class long, map binary, token long, n long")
+    return docs.mapInPandas(run, "id long, size long, class long, check long, map binary, token long, n long")
 
 
 def _prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], s: Settings) -> DataFrame:
-    """Rows (token, class, size, group) for the shingles in each class's prefix; once a task."""
+    """Rows (token, class, size, group, part) for the shingles in each class's prefix, once a batch; part: 0
+    but for the rows of frequent shingles, which it spreads."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hot_tokens, hot_counts = shared.value
-        done: set[int] = set()
 
-        def frame(out: list[np.ndarray], keys: list, sizes: list, groups: list) -> pd.DataFrame:
+        def frame(out: list[np.ndarray], keys: list, sizes: list, groups: list, parts: list[np.ndarray]) -> pd.DataFrame:
             n = [len(p) for p in out]
-            return pd.DataFrame({"token": np.concatenate(out), "class": np.repeat(keys, n), "size": np.repeat(sizes, n).astype(np.int32), "group": np.repeat(groups, n)})
+            return pd.DataFrame({"token": np.concatenate(out), "class": np.repeat(keys, n), "size": np.repeat(sizes, n).astype(np.int32), "group": np.repeat(groups, n), "part": np.concatenate(parts)})
 
         for batch in batches:
-            out, keys, sizes, groups, held = [], [], [], [], 0
+            out, keys, sizes, groups, parts, held, done = [], [], [], [], [], 0, set()
             for shingles in shingle_sets(batch["text"].tolist(), s.width):
                 if not len(shingles) or (key := set_key(shingles)) in done:
                     continue
                 if held > s.slice_tokens // 4:
-                    yield frame(out, keys, sizes, groups)
-                    out, keys, sizes, groups, held = [], [], [], [], 0
+                    yield frame(out, keys, sizes, groups, parts)
+                    out, keys, sizes, groups, parts, held = [], [], [], [], [], 0
                 done.add(key)
                 size = len(shingles)
                 at = np.minimum(np.searchsorted(hot_tokens, shingles), max(0, len(hot_tokens) - 1))
                 count = np.where(hot_tokens[at] == shingles, hot_counts[at], 0) if len(hot_tokens) else np.zeros(size, np.int64)
-                order = np.lexsort((shingles, count))
-                prefix = shingles[order[: size - least_overlap(size, s.percent) + 1]]
+                order = np.lexsort((shingles, count))[: size - least_overlap(size, s.percent) + 1]
+                prefix = shingles[order]
                 common = shingles[count > 0]
                 out.append(prefix)
-                keys.append(key)
+                keys.append(key[0])
                 sizes.append(size)
                 groups.append(common[0] if 2 * len(common) >= size else prefix[0])
+                parts.append(np.where(count[order] > 0, 1 + key[0] % s.salts, 0).astype(np.int32))
                 held += len(prefix)
             if out:
-                yield frame(out, keys, sizes, groups)
+                yield frame(out, keys, sizes, groups, parts)
 
-    return docs.mapInPandas(run, "token long, class long, size int, group long")
+    return docs.mapInPandas(run, "token long, class long, size int, group long, part int")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
     """(id, shingles) of the documents in ``wanted`` and, by the map's chance hits, a few others."""
-    mark = F.pmod(F.xxhash64("id"), F.lit(s.marks)).cast("int")
-    bits = np.zeros(s.marks, bool)  # the map has a fixed size, whatever the number of documents
-    bits[wanted.select(mark.alias("m")).distinct().toArrow()["m"].to_numpy()] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
-
-    @F.pandas_udf("boolean")
-    def is_marked(m: pd.Series) -> pd.Series:
-        at = m.to_numpy()
-        return pd.Series((shared.value[at >> 3] >> (7 - (at & 7))) & 1 == 1, index=m.index)
+    bits = map_bits(wanted.count())
+    shared = docs.sparkSession.sparkContext.broadcast(bit_map(wanted, F.xxhash64("id"), bits))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "shingles": list(shingle_sets(batch["text"].tolist(), s.width))})
 
-    return docs.where(is_marked(mark)).mapInPandas(run, "id long, shingles array<long>")
+    return docs.where(is_marked(shared, F.xxhash64("id"), bits)).mapInPandas(run, "id long, shingles array<long>")
 
 
 def _possible(pairs: DataFrame, maps: DataFrame, s: Settings) -> DataFrame:
@@ -240,31 +238,35 @@ def classes(docs: DataFrame, settings: Settings | None = None, key: str = "doc_i
     s = settings or Settings()
     docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
     first = checkpointed(_classes_and_counts(docs, s))
-    members = first.where("id is not null").select("id", "size", "class")
-    earliest = checkpointed(members.where("size > 0").groupBy("class").agg(F.min("id").alias("rep")))
+    members = first.where("id is not null").select("id", "size", "class", "check")
+    # Different sets may share a class by chance: each is one of its own there.
+    earliest = checkpointed(members.where("size > 0").groupBy("class", "check").agg(F.min("id").alias("rep")))
     hot = first.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= s.frequent).orderBy(F.desc("n"), "token").limit(s.table).toArrow()
     tokens, counts = hot["token"].to_numpy(), hot["n"].to_numpy()
     order = np.argsort(tokens)
     rows = _prefixes(docs, (tokens[order], counts[order]), s)
-    # Shingles of one class alone match nothing.
-    of_token = Window.partitionBy("token")
-    shared = rows.withColumns({"a": F.min("class").over(of_token), "b": F.max("class").over(of_token)}).where("a <> b").drop("a", "b").distinct()
-    rows = checkpointed(shared.join(earliest, "class").select("token", "class", "rep", "size", "group"))
+    # Shingles of one class alone match nothing.  Frequent ones are shared, so that their rows need not meet.
+    of_token = Window.partitionBy("token", "part")
+    shared = rows.withColumns({"a": F.min("class").over(of_token), "b": F.max("class").over(of_token)}).where("part > 0 or a <> b").drop("a", "b", "part").distinct()
+    rows = checkpointed(shared.join(earliest, "class").select("token", "class", "check", "rep", "size", "group"))
     matrix = rows.groupBy("token", "group").agg(F.min("size").alias("least"), F.max("size").alias("most"))
     fits = lambda a, b: (100 * F.col(a) >= s.percent * F.col(b))
     qualifying = rows.select("token", "rep", "size").join(matrix, "token").where(fits("most", "size") & fits("size", "least")).select("rep", "size", "group").distinct()
     qualifying = checkpointed(qualifying)
     leaders = rows.groupBy("group").agg(F.min(F.struct("rep", "size")).alias("l")).select("group", F.col("l.rep").alias("leader"), F.col("l.size").alias("leader_size"))
-    opened = qualifying.join(leaders, "group").where(fits("leader_size", "size") & fits("size", "leader_size") & (F.col("leader") != F.col("rep")))
+    # A group may hold a third of all classes: both sides are dealt over the salts.
+    everywhere = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(s.salts - 1))))
+    salted = qualifying.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(s.salts)).cast("int"))
+    opened = salted.join(everywhere, ["group", "salt"]).where(fits("leader_size", "size") & fits("size", "leader_size") & (F.col("leader") != F.col("rep")))
     pairs = checkpointed(opened.select(F.least("rep", "leader").alias("u"), F.greatest("rep", "leader").alias("v")).distinct())
-    maps = first.where("map is not null").join(rows.select("class", "rep").distinct(), "class").dropDuplicates(["rep"]).select("rep", "map", "size")
+    maps = first.where("map is not null").join(rows.select("class", "check", "rep").distinct(), ["class", "check"]).dropDuplicates(["rep"]).select("rep", "map", "size")
     maps = checkpointed(maps)
     links = checkpointed(_links(checkpointed(_possible(pairs, maps, s)), docs, s))
     found = components(links)
     more = _links(checkpointed(_opened(rows, qualifying, maps, found, s)), docs, s)
     found = checkpointed(components(links.unionByName(more)))
-    of_class = earliest.join(found, earliest["rep"] == found["node"], "left").select("class", F.coalesce("component", "rep").alias("component"))
-    return members.join(of_class, "class", "left").select("id", "size", "class", F.coalesce("component", "id").alias("component"))
+    of_class = earliest.join(found, earliest["rep"] == found["node"], "left").select("class", "check", F.coalesce("component", "rep").alias("component"))
+    return members.join(of_class, ["class", "check"], "left").select("id", "size", "class", F.coalesce("component", "id").alias("component"))
 
 
 def first_of_each(docs: DataFrame, settings: Settings | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:

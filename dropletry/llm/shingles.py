@@ -84,6 +84,7 @@ def _sets(raws: list[bytes], width: int) -> Iterator[np.ndarray]:
             yield np.empty(0, np.int64)
 
 
-def set_key(shingles: np.ndarray) -> int:
-    """A 64-bit key that equal sets share."""
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_key(shingles: np.ndarray) -> tuple[int, int]:
+    """A 128-bit key that equal sets share, as two numbers."""
+    raw = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
