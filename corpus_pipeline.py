@@ -1,5 +1,12 @@
 """The corpus pipeline: toxic documents go, repeated lines go, one document of each group of near
-copies stays, and what is left is packed into training sequences."""
+copies stays, and what is left is packed into training sequences.
+
+Defined results, stage by stage: a null text counts as an empty one and stays null; rows with a null id
+stay through the first three stages; rows that share an id are judged alike, and near copies leave all
+rows of the id that stays; of equal texts the smallest id stays; empty texts are no copies of each other;
+a text whose lines all go becomes empty; columns of any other name come through unchanged until packing,
+which has its own; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dropletry.llm import jaccard, lines, op02_toxicity, op09_packing, toxicity
-from dropletry.llm.tables import checkpointed, table
+from dropletry.llm.tables import checkpointed, free_name, small_batches, table
 
 #: SQL expresses neither the classifier nor the packing; tests hold the rows against brute force.
 ORACLE_SQL = None
@@ -15,8 +22,10 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is under the threshold, as they came."""
-    scored = toxicity.score(docs, op02_toxicity.model(spark, sf_dir, docs), score_column="_toxicity")
-    return scored.where(F.col("_toxicity") < op02_toxicity.THRESHOLD).select(docs.columns)
+    small_batches(spark)
+    column = free_name(docs, "_toxicity")
+    scored = toxicity.score(docs, op02_toxicity.model(spark, sf_dir, docs), score_column=column)
+    return scored.where(F.col(column) < op02_toxicity.THRESHOLD).select(docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
