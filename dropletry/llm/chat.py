@@ -8,16 +8,19 @@ the automaton of legal turns finds the cheapest repair, and the repaired turns a
 A turn acts on the automaton's four states as a small matrix over (min, +), and such matrices combine
 in any grouping.  So a conversation of any length is cut into blocks of turns: each block's matrix is
 computed by itself, the states at the blocks' borders follow from the few matrices, and each block then
-traces its own turns between known states.  No task holds more than a block of turns.
+traces its own turns between known states.  A task walks its blocks one after another, in the order that
+Spark has sorted them in.
 
 Defined results: roles are trimmed and lower-cased, ``ROLE_NAMES`` maps other spellings, and null or
 unknown ones cost nothing to relabel; a null text is an empty one; turns are ordered by turn, then role
 and text, null turns first; exactly repeated rows count once for each time; rows with a null
-conversation are left out; an empty table gives no rows; extra columns are ignored.
+conversation are left out; of repairs of equal cost the one of lower states wins, and a merge before an
+insertion; very long texts are taken whole; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -132,13 +135,38 @@ def between(before: int, after: int, role: int, s: Settings) -> tuple[bool, list
 
 def role_number(role: Column) -> Column:
     """0 system, 1 user, 2 assistant, 3 unknown."""
-    plain = F.lower(F.trim(role))
-    for other, name in ROLE_NAMES.items():
-        plain = F.when(plain == other, name).otherwise(plain)
-    out = F.lit(3)
-    for n, name in enumerate(ROLES):
-        out = F.when(plain == name, n).otherwise(out)
-    return out.cast("int")
+    numbers = {name: n for n, name in enumerate(ROLES)} | {other: ROLES.index(name) for other, name in ROLE_NAMES.items()}
+    known = F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair])
+    return F.coalesce(F.element_at(known, F.lower(F.trim(role))), F.lit(3)).cast("int")
+
+
+def groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """The rows of each key, of rows that are sorted by the keys; a group may go over several batches."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        fresh = (batch[keys] != batch[keys].shift()).any(axis=1).to_numpy()
+        if held and (held[-1][keys].iloc[-1] == batch[keys].iloc[0]).all():
+            fresh[0] = False
+        edges = np.flatnonzero(fresh).tolist()
+        begin = 0
+        for e in [*edges, None]:
+            part = batch.iloc[begin:e]
+            if e is None:
+                if len(part):
+                    held.append(part)
+                break
+            if len(part):
+                held.append(part)
+            if held:
+                rows = pd.concat(held) if len(held) > 1 else held[0]
+                yield tuple(rows[k].iloc[0] for k in keys), rows
+                held = []
+            begin = e
+    if held:
+        rows = pd.concat(held) if len(held) > 1 else held[0]
+        yield tuple(rows[k].iloc[0] for k in keys), rows
 
 
 def numbered(turns: DataFrame, s: Settings, conversation: str, turn: str, role: str, text: str) -> DataFrame:
@@ -168,49 +196,57 @@ def repair(turns: DataFrame, settings: Settings | None = None, conversation: str
     table, end = moves(s), finish(s)
     dealt = checkpointed(numbered(turns, s, conversation, turn, role, text).withColumn("block", F.expr(f"place div {s.block}")))
 
-    def cost(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        m = block_cost(rows.sort_values("place")["role"].to_numpy(), table)
-        return pd.DataFrame({"conversation": [key[0]], "block": [key[1]], "m": [m.ravel().tolist()]})
-
     kind = dict(dealt.dtypes)["conversation"]
-    costs = dealt.select("conversation", "block", "place", "role").groupBy("conversation", "block").applyInPandas(cost, f"conversation {kind}, block long, m array<long>")
-
-    def borders(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("block")
-        ms = [np.array(m).reshape(4, 4) for m in rows["m"]]
-        cost, back = np.array([0, FAR, FAR, FAR]), []
-        for m in ms:
-            total = cost[:, None] + m
-            back.append(total.argmin(axis=0))
-            cost = np.minimum(total.min(axis=0), FAR)
-        states = [int((cost + end).argmin())]
-        for b in reversed(back):
-            states.append(int(b[states[-1]]))
-        states = states[::-1]
-        n = len(ms)
-        return pd.DataFrame({"conversation": [key[0]] * n, "block": rows["block"].tolist(), "first": states[:-1], "last": states[1:], "final": [k == n - 1 for k in range(n)]})
-
-    ways = costs.groupBy("conversation").applyInPandas(borders, f"conversation {kind}, block long, first int, last int, final boolean")
-
-    def pieces(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("place")
-        roles = rows["role"].to_numpy()
-        state, last = int(rows["first"].iloc[0]), int(rows["last"].iloc[0])
+    by_block = dealt.repartition("conversation", "block").sortWithinPartitions("conversation", "block", "place")
+
+    def cost(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = [(*key, block_cost(rows["role"].to_numpy(), table).ravel().tolist()) for key, rows in groups(batches, ["conversation", "block"])]
+        yield pd.DataFrame(out, columns=["conversation", "block", "m"])
+
+    costs = by_block.select("conversation", "block", "role").mapInPandas(cost, f"conversation {kind}, block long, m array<long>")
+
+    def borders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
-        for after, r, place, t in zip(trace(roles, state, last, table), roles.tolist(), rows["place"].tolist(), rows["text"].tolist()):
-            merged, added = between(state, after, r, s)
-            out += [(place, k, ROLES[a - 1], "", False, False, True) for k, a in enumerate(added)]
-            out.append((place, len(added), ROLES[after - 1], t, merged, r != 3 and r + 1 != after and not merged, False))
-            state = after
-        if rows["final"].iloc[0]:
-            for k, a in enumerate({SYSTEM: [USER, ASSISTANT], USER: [ASSISTANT]}.get(state, [])):
-                out.append((out[-1][0] + 1, k, ROLES[a - 1], "", False, False, True))
-        frame = pd.DataFrame(out, columns=["place", "part", "role", "text", "merged", "relabelled", "inserted"])
-        frame.insert(0, "conversation", [key[0]] * len(frame))
-        return frame
+        for (conversation,), rows in groups(batches, ["conversation"]):
+            ms = [np.array(m).reshape(4, 4) for m in rows["m"]]
+            cost, back = np.array([0, FAR, FAR, FAR]), []
+            for m in ms:
+                total = cost[:, None] + m
+                back.append(total.argmin(axis=0))
+                cost = np.minimum(total.min(axis=0), FAR)
+            states = [int((cost + end).argmin())]
+            for b in reversed(back):
+                states.append(int(b[states[-1]]))
+            states = states[::-1]
+            out += [(conversation, b, states[k], states[k + 1], k + 1 == len(ms)) for k, b in enumerate(rows["block"].tolist())]
+        yield pd.DataFrame(out, columns=["conversation", "block", "first", "last", "final"])
+
+    ordered = costs.repartition("conversation").sortWithinPartitions("conversation", "block")
+    ways = ordered.mapInPandas(borders, f"conversation {kind}, block long, first int, last int, final boolean")
+
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        step = functools.cache(lambda before, after, role: between(before, after, role, s))
+        columns = ["conversation", "place", "part", "role", "text", "merged", "relabelled", "inserted"]
+        out: list[tuple] = []
+        for (conversation, _), rows in groups(batches, ["conversation", "block"]):
+            roles = rows["role"].to_numpy()
+            state, last = int(rows["first"].iloc[0]), int(rows["last"].iloc[0])
+            for after, r, place, t in zip(trace(roles, state, last, table), roles.tolist(), rows["place"].tolist(), rows["text"].tolist()):
+                merged, added = step(state, after, r)
+                out += [(conversation, place, k, ROLES[a - 1], "", False, False, True) for k, a in enumerate(added)]
+                out.append((conversation, place, len(added), ROLES[after - 1], t, merged, r != 3 and r + 1 != after and not merged, False))
+                state = after
+            if rows["final"].iloc[0]:
+                for k, a in enumerate({SYSTEM: [USER, ASSISTANT], USER: [ASSISTANT]}.get(state, [])):
+                    out.append((conversation, out[-1][1] + 1, k, ROLES[a - 1], "", False, False, True))
+            if len(out) > 4096:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+        yield pd.DataFrame(out, columns=columns)
 
     schema = f"conversation {kind}, place long, part int, role string, text string, merged boolean, relabelled boolean, inserted boolean"
-    return dealt.join(ways, ["conversation", "block"]).groupBy("conversation", "block").applyInPandas(pieces, schema)
+    joined = dealt.join(ways, ["conversation", "block"]).repartition("conversation", "block").sortWithinPartitions("conversation", "block", "place")
+    return joined.mapInPandas(pieces, schema)
 
 
 def render(pieces: DataFrame, settings: Settings | None = None) -> DataFrame:

@@ -6,8 +6,9 @@ trained by the gradient of the conditional likelihood on labelled pages; Viterbi
 best labels of a page, and the blocks labelled main are joined in page order.
 
 Defined results: a null or empty page, or one without main blocks, has an empty text; broken markup
-is read as far as it goes; white space of any kind inside a block becomes one space; extra columns are
-carried through, and those named like the result's are replaced.
+is read as far as it goes, in time that grows in proportion to the page; white space of any kind inside
+a block becomes one space; very long pages are taken whole; equal pages have equal texts; extra columns
+are carried through, and those named like the result's are replaced; an empty table has no rows.
 """
 
 from __future__ import annotations
@@ -58,6 +59,11 @@ class Field:
     weights: dict[str, float]
     change: np.ndarray
 
+    @functools.cached_property
+    def names(self) -> frozenset[str]:
+        """The names of elements that have a weight."""
+        return frozenset(x.removeprefix("named ") for x in self.weights if x.startswith("named "))
+
     def scores(self, page: list[Block]) -> list[float]:
         get = self.weights.get
         return [sum(get(x, 0.0) for x in f) for f in features(page)]
@@ -147,7 +153,7 @@ def trained(s: Settings = Settings()) -> Field:
 
 
 def main_text(page: str | None, field: Field) -> str:
-    found = blocks(page)
+    found = blocks(page, field.names)
     return "\n\n".join(b.text for b, label in zip(found, field.labels(found)) if label)
 
 

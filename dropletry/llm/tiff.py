@@ -2,8 +2,10 @@
 
 ``read_pages`` turns a binary column into one row per page.  Defined results: a null value gives no
 row; a broken file gives its readable pages and then one row with ``error`` set and no pixels;
-a directory that points back to an earlier one ends the walk; extra columns are carried through,
-and those whose names clash with the page columns are replaced by them.
+a directory that points back to an earlier one ends the walk; a page whose header asks for more samples
+than its strips or tiles can hold, or than ``LARGEST`` bytes, is broken; very long values are decoded
+whole up to that; an empty table has no rows; extra columns are carried through, and those whose names
+clash with the page columns are replaced by them.
 """
 
 from __future__ import annotations
@@ -25,6 +27,11 @@ PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_SIZES = 317, 322, 323, 32
 FIELD_CODES = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 
+#: Bytes of a page's samples at most: what a binary value holds.
+LARGEST = 1 << 30
+#: Bytes that one byte of a part can become, at most, by compression.
+EXPANSION = {NONE: 1, LZW: 2800, DEFLATE: 1040, OLD_DEFLATE: 1040, PACKBITS: 64}
+
 PAGE_FIELDS = [
     T.StructField("page", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()),
     T.StructField("channels", T.IntegerType()), T.StructField("bits", T.IntegerType()), T.StructField("pixels", T.BinaryType()),
@@ -33,9 +40,9 @@ PAGE_FIELDS = [
 ]
 
 
-def unpack_packbits(data: bytes) -> bytes:
+def unpack_packbits(data: bytes, most: int = LARGEST) -> bytes:
     out, i = bytearray(), 0
-    while i < len(data):
+    while i < len(data) and len(out) < most:
         n = data[i]
         if n < 128:
             out += data[i + 1 : i + 2 + n]
@@ -66,7 +73,7 @@ def pack_packbits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unpack_lzw(data: bytes) -> bytes:
+def unpack_lzw(data: bytes, most: int = LARGEST) -> bytes:
     """Codes of 9 to 12 bits, high bits first; 256 clears, 257 ends; widths grow one code early."""
     out = bytearray()
     table = [bytes((i,)) for i in range(256)] + [b"", b""]
@@ -78,7 +85,7 @@ def unpack_lzw(data: bytes) -> bytes:
         have -= width
         code = held >> have
         held &= (1 << have) - 1
-        if code == 257:
+        if code == 257 or len(out) >= most:
             return bytes(out)
         if code == 256:
             del table[258:]
@@ -134,16 +141,15 @@ def pack_lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
-def _unpacked(data: bytes, compression: int) -> bytes:
+def _unpacked(data: bytes, compression: int, most: int) -> bytes:
+    """The first ``most`` bytes, or a few more, that a part holds."""
     if compression == NONE:
         return data
     if compression in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, most)
     if compression == LZW:
-        return unpack_lzw(data)
-    if compression == PACKBITS:
-        return unpack_packbits(data)
-    raise ValueError(f"compression {compression} is not supported")
+        return unpack_lzw(data, most)
+    return unpack_packbits(data, most)
 
 
 def _field(raw: bytes, order: str, entry: int) -> tuple[int, list[int]]:
@@ -183,16 +189,24 @@ def image(raw: bytes, order: str, fields: dict[int, list[int]]) -> np.ndarray:
     part_w = one(TILE_WIDTH, 0) if tiled else width
     part_h = one(TILE_HEIGHT, 0) if tiled else min(one(STRIP_ROWS, height), height)
     offsets, sizes = (fields[TILE_OFFSETS], fields[TILE_SIZES]) if tiled else (fields[STRIP_OFFSETS], fields[STRIP_SIZES])
-    if not (part_w and part_h and width and height):
+    compression = one(COMPRESSION, NONE)
+    if compression not in EXPANSION:
+        raise ValueError(f"compression {compression} is not supported")
+    if not (part_w and part_h and width and height and channels):
         raise ValueError("an image without extent")
     across, down = -(-width // part_w), -(-height // part_h)
+    if min(len(offsets), len(sizes)) < planes * across * down:
+        raise ValueError("fewer parts than the image has")
+    held = sum(max(0, min(size, len(raw) - at)) for at, size in zip(offsets, sizes))
+    if width * height * channels * kind.itemsize > min(LARGEST, held * EXPANSION[compression]) or part_w * part_h * deep * kind.itemsize > LARGEST:
+        raise ValueError("more samples than the file can hold")
     out = np.empty((height, width, channels), kind.newbyteorder("="))
     for plane in range(planes):
         for k in range(across * down):
             row, col = k // across * part_h, k % across * part_w
             rows = part_h if tiled else min(part_h, height - row)
             at, size = offsets[plane * across * down + k], sizes[plane * across * down + k]
-            data = _unpacked(raw[at : at + size], one(COMPRESSION, NONE))
+            data = _unpacked(raw[at : at + size], compression, rows * part_w * deep * kind.itemsize)
             part = np.frombuffer(data, kind, rows * part_w * deep).reshape(rows, part_w, deep)
             if one(PREDICTOR, 1) == 2:
                 part = np.cumsum(part, axis=1, dtype=kind.newbyteorder("="))
@@ -264,7 +278,7 @@ def pages_of(raw: bytes) -> Iterator[tuple]:
             p = counts[counts > 0]
             yield (n, w, h, c, pixels.dtype.itemsize * 8, pixels.tobytes(), mean, float(np.sqrt(max(0.0, counts @ (levels - mean) ** 2))), float(-(p @ np.log2(p))), None)
             n += 1
-    except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
+    except (ValueError, KeyError, IndexError, OverflowError, struct.error, zlib.error) as e:
         yield (n, None, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}")
 
 

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from dropletry.llm import op05_tiff, tiff
 
 
-@pytest.mark.parametrize("compression, predictor, tile, order", itertools.product([1, 5, 8, 32773], [1, 2], [None, (16, 32)], "<>"))
+@pytest.mark.parametrize("compression, predictor, tile, order", list(itertools.product([1, 5, 8, 32773], [1, 2], [None, (16, 32)], "<>")))
 def test_round_trip(compression, predictor, tile, order):
     r = np.random.default_rng(1)
     for kind, channels in itertools.product([np.uint8, np.uint16], [1, 3]):
@@ -45,6 +45,33 @@ def test_broken_and_looping_files(spark):
     assert by[1][0]["width"] == 4 and by[1][1]["page"] == 1
 
 
+def test_headers_that_ask_for_too_much(spark):
+    good = tiff.encode([np.arange(12, dtype=np.uint8).reshape(3, 4, 1)])
+    first = int.from_bytes(good[4:8], "little")
+    fields = {int.from_bytes(good[a : a + 2], "little"): a for a in range(first + 2, first + 2 + 12 * int.from_bytes(good[first : first + 2], "little"), 12)}
+    huge, none = bytearray(good), bytearray(good)
+    for tag in (tiff.WIDTH, tiff.HEIGHT, tiff.STRIP_ROWS):
+        huge[fields[tag] + 8 : fields[tag] + 12] = (1 << 24).to_bytes(4, "little")
+    none[fields[tiff.SAMPLES] + 8 : fields[tiff.SAMPLES] + 10] = b"\0\0"
+    for raw in (huge, none):
+        assert [(p[5], p[9][:10]) for p in tiff.pages_of(bytes(raw))] == [(None, "ValueError")]
+    assert tiff.read_pages(spark.createDataFrame([], "doc_id long, media binary")).count() == 0
+    long = np.tile(np.arange(200, dtype=np.uint8), 50_000).reshape(-1, 100, 1)
+    assert [p[5] for p in tiff.pages_of(tiff.encode([long]))] == [long.tobytes()]
+
+
+def test_stored_form_is_read_by_its_definition():
+    """The file taken apart by hand: header, directory and deflated strips, without the reader."""
+    page = np.arange(300, dtype=np.uint8).reshape(30, 10, 1)
+    raw = tiff.encode([page], strip_bytes=100)
+    num = lambda a, n: int.from_bytes(raw[a : a + n], "little")
+    at = num(4, 4)
+    entries = {num(a, 2): (num(a + 2, 2), num(a + 4, 4), a + 8) for a in range(at + 2, at + 2 + 12 * num(at, 2), 12)}
+    values = lambda tag: [num((num(entries[tag][2], 4) if entries[tag][1] > 1 else entries[tag][2]) + 4 * k, 4) for k in range(entries[tag][1])]
+    assert raw[:4] == b"II*\0" and (values(256), values(257)) == ([10], [30])
+    assert b"".join(zlib.decompress(raw[a : a + n]) for a, n in zip(values(273), values(279))) == page.tobytes()
+
+
 def test_query(spark):
     folder = "/root/testdata/sf0.001"
     texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
