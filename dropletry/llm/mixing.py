@@ -4,18 +4,17 @@ A text is a sequence of words (A-Z lower-cased, split at ASCII white space) and
 in binary decisions, and the product of the decisions' probabilities is the text's:
 
 1. Each token is a symbol: one of the most frequent words of training, else the first two bytes of the
-   word, or the end.  A symbol is the path of decisions through a Huffman tree.  Several contexts of
-   the running text (none, the last frequent word, the last two of those, the symbol before, the two
-   before) look up in hashed tables how often training went either way at such a place.  A logistic
-   mix of these predictors' log odds gives the probability; its weights are gated by the number of
-   contexts that training knows, and are learnt online along the text, as is a map that refines the
-   mixed probability.
+   word, or the end.  A symbol is the path of decisions through a Huffman tree.  Three contexts of the
+   running text (the last very frequent word, the symbol before, the two before) look up in hashed
+   tables how often training went either way at such a place.  A logistic mix of these predictors' log
+   odds gives the probability; its weights are gated by the number of contexts that training knows,
+   and are learnt online along the text, as is a map that refines the mixed probability.
 2. A word that is not a symbol was met in training or is new: one decision, whose odds come from the
    words that training met once among those with these first bytes (Good and Turing), mixed and
    learnt online in the same way.  A known word has its share of the training tokens with these bytes.
-3. A new word is spelt byte by byte, and each byte is eight decisions.  Contexts of the word's last 1
-   to 4 and 6 bytes look up how the spellings of the training vocabulary went on; gated weights and
-   an adaptive map mix them.  These are learnt online over the vocabulary in fixed shards, each in a
+3. A new word is spelt byte by byte, each byte a path through another Huffman tree.  Contexts of the
+   word's last 2, 3, 4 and 6 bytes look up how the spellings of the training vocabulary went on; gated
+   weights and an adaptive map mix them.  These are learnt online over the vocabulary in fixed shards, each in a
    fixed order, with a word's own occurrence taken out of the counts, and averaged.
 
 So contexts cross the borders of words in step 1 and stay within a word in step 3: a word is spelt
@@ -54,8 +53,7 @@ class Settings:
     """frequent: words that are symbols; heads: of them, those that the contexts of frequent words keep;
     text_bits: most bits of the table of each context of the running text; text_prior: added to its
     counts; first_block, last_block: decisions after which weights are learnt, doubling from the one to
-    the other; caution: of what a block teaches, as so much evidence for the weights before it;
-    piece: bytes of a text read at a time; orders: bytes of each context in a word; bits: of its table;
+    the other; step: of that learning; caution: decisions that the weights at the start count for; piece: bytes of a text read at a time; orders: bytes of each context in a word; bits: of its table;
     prior: added to either count; levels: of confidence, by powers of two; rate, map_rate: of learning
     from the vocabulary; lanes: decisions learnt from at a time; words: of a spelling step; shards: of
     the vocabulary; chunk_bytes: of text that ask for their words together; slice_slots: of a table's
@@ -63,20 +61,21 @@ class Settings:
 
     frequent: int = 16_384
     heads: int = 256
-    text_bits: tuple[int, ...] = (19, 20, 21, 21)
+    text_bits: tuple[int, ...] = (19, 21, 21)
     text_prior: float = 0.3
     first_block: int = 64
     last_block: int = 1 << 11
+    step: float = 1.0
     caution: float = 15.0
     piece: int = 1_000_000
-    orders: tuple[int, ...] = (1, 2, 3, 4, 6)
-    bits: tuple[int, ...] = (16, 18, 19, 19, 19)
+    orders: tuple[int, ...] = (2, 3, 4, 6)
+    bits: tuple[int, ...] = (18, 19, 19, 19)
     prior: float = 0.4
     levels: int = 12
     rate: float = 0.03
     map_rate: float = 0.02
-    lanes: int = 1024
-    words: int = 40_000
+    lanes: int = 2048
+    words: int = 16_000
     shards: int = 32
     chunk_bytes: int = 16_000_000
     slice_slots: int = 1 << 18
@@ -84,11 +83,10 @@ class Settings:
 
 
 #: Knots of the adaptive maps, in log odds.
-KNOTS = np.linspace(-12, 12, 33)
-CLIP = 1 / 65536
-#: The weights that a text starts with: of no context and of the four, by how many of those training met
-#: more than once; chosen on held-out texts.
-START = np.array([[0.9, 0.3, 0.1, 0.1, 0.0], [0.6, 0.45, 0.1, 0.15, 0.0], [0.5, 0.5, 0.1, 0.2, 0.05], [0.0, 0.5, 0.1, 0.3, 0.12], [-0.3, 0.57, 0.2, 0.42, 0.3]])
+KNOTS = np.linspace(-12, 12, 33, dtype=np.float32)
+CLIP = np.float32(1 / 65536)
+#: The weights that a text starts with: of the three contexts, by how many of them training met more than once; chosen on held-out texts.
+START = np.array([[0.35, 0.2, 0.05], [0.48, 0.3, 0.1], [0.55, 0.3, 0.15], [0.58, 0.48, 0.33]], np.float32)
 #: No symbol before the text.
 NOTHING = 1 << 30
 
@@ -102,8 +100,8 @@ class Code:
 
     hashes, symbol: of frequent words, by hash; count: of each frequent word; of_head: symbol of two
     first bytes, -1 for those that training lacks; tokens, new: of training tokens with these bytes
-    their number and the log odds that one is new; depth, first: of each symbol's path in node and
-    bit; odds: log odds at each node.  The last two symbols are the end and other first bytes.
+    their number and the log odds that one is new; paths: of symbols, the last two of which are the end
+    and other first bytes; spelling: paths of bytes.
     """
 
     hashes: np.ndarray
@@ -112,39 +110,40 @@ class Code:
     of_head: np.ndarray
     tokens: np.ndarray
     new: np.ndarray
-    depth: np.ndarray
-    first: np.ndarray
-    node: np.ndarray
-    bit: np.ndarray
-    odds: np.ndarray
+    paths: Paths
+    spelling: Paths
 
 
 def hashes_of(words: list[bytes]) -> np.ndarray:
     return word_hashes([b"\n".join(words)])[0].view(np.int64)
 
 
-def head_of(word: bytes) -> int:
-    """The first two bytes of a word as a number; the second is 0 if there is none."""
-    return word[0] << 8 | (word[1] if len(word) > 1 else 0) if word else 0
+@dataclass
+class Paths:
+    """The way to each leaf of a binary tree: its depth and where it begins in node and bit."""
 
+    depth: np.ndarray
+    first: np.ndarray
+    node: np.ndarray
+    bit: np.ndarray
 
-def code_of(words: list[bytes], counts: np.ndarray, heads: np.ndarray, tokens: np.ndarray, once: np.ndarray, ends: int, s: Settings) -> Code:
-    """The code of frequent words with their counts, and of heads with their tokens and single words."""
-    hashes = hashes_of(words)
-    order = np.argsort(hashes)
-    of_head, total, new = np.full(1 << 16, -1, np.int32), np.zeros(1 << 16), np.zeros(1 << 16, np.float32)
-    of_head[heads] = len(words) + np.arange(len(heads))
-    total[heads] = tokens
-    new[heads] = np.log((once + 0.5) / (tokens - once + 0.5))
-    weight = np.concatenate([counts, tokens, [ends, 0]]).astype(np.int64) + 1
+    def __call__(self, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many decisions each leaf has, and the node and bit of all decisions."""
+        depth = self.depth[leaves]
+        ends = np.cumsum(depth, dtype=np.int64)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.first[leaves] - (ends - depth), depth)
+        return depth, self.node[at], self.bit[at]
+
+
+def huffman(weight: np.ndarray) -> Paths:
+    """The tree of least mean depth for leaves of these weights; ties to lower numbers."""
     n = len(weight)
     heap = [(int(w), k) for k, w in enumerate(weight)]
     heapq.heapify(heap)
-    left, right, size = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(2 * n, np.int64)
-    size[:n] = weight
+    left, right = np.zeros(n, np.int64), np.zeros(n, np.int64)
     for k in range(n - 1):
         (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
-        left[k], right[k], size[n + k] = x, y, a + b
+        left[k], right[k] = x, y
         heapq.heappush(heap, (a + b, n + k))
     above, side, depth = np.zeros(2 * n, np.int64), np.zeros(2 * n, np.uint8), np.zeros(2 * n, np.int64)
     for k in range(n - 2, -1, -1):
@@ -152,16 +151,27 @@ def code_of(words: list[bytes], counts: np.ndarray, heads: np.ndarray, tokens: n
             above[child], side[child], depth[child] = k, b, depth[n + k] + 1
     depth = depth[:n].astype(np.int32)
     first = (np.cumsum(depth) - depth).astype(np.int64)
-    node, bit = np.zeros(int(depth.sum()), np.int32), np.zeros(int(depth.sum()), np.uint8)
+    node, bit = np.zeros(int(depth.sum()), np.uint32), np.zeros(int(depth.sum()), np.uint8)
     at, here = np.arange(n), np.arange(n)
     for d in range(int(depth.max())):  # from the leaves up
         at, here = at[depth[at] > d], here[depth[at] > d]
         place = first[at] + depth[at] - 1 - d
         node[place], bit[place] = above[here], side[here]
         here = n + above[here]
-    inner = np.arange(max(1, n - 1))
-    odds = np.log(size[right[inner]] / size[left[inner]]).astype(np.float32)
-    return Code(hashes[order], order.astype(np.int32), counts, of_head, total, new, depth, first, node, bit, odds)
+    return Paths(depth, first, node, bit)
+
+
+def code_of(words: list[bytes], counts: np.ndarray, heads: np.ndarray, tokens: np.ndarray, once: np.ndarray, ends: int, s: Settings) -> Code:
+    """The code of frequent words with their counts, and of heads with their tokens and single words."""
+    hashes = hashes_of(words)
+    order = np.argsort(hashes)
+    of_head, total, new = np.full(1 << 16, -1, np.int32), np.zeros(1 << 16), np.zeros(1 << 16, np.float32)
+    of_head[heads] = len(words) + np.arange(len(heads))
+    total[heads] = tokens
+    new[heads] = np.log((once + 0.5) / (tokens - once + 0.5))
+    paths = huffman(np.concatenate([counts, tokens, [ends, 0]]).astype(np.int64) + 1)
+    spelling = huffman(np.bincount(np.frombuffer(b" ".join(words) + b" ", np.uint8), minlength=256) + 1)
+    return Code(hashes[order], order.astype(np.int32), counts, of_head, total, new, paths, spelling)
 
 
 @dataclass
@@ -170,7 +180,7 @@ class Carry:
 
     mixers: list
     before: tuple[int, int] = (NOTHING, NOTHING)
-    frequent: tuple[int, int] = (NOTHING, NOTHING)
+    frequent: int = NOTHING
 
 
 class Reading:
@@ -187,14 +197,14 @@ class Reading:
         n = len(found) + ends
         place = np.arange(len(found)) + (text if ends else 0)
         self.text = np.zeros(n, np.int64)
-        self.symbol = np.full(n, len(code.depth) - 2, np.int64)
+        self.symbol = np.full(n, len(code.paths.depth) - 2, np.int64)
         self.hash, self.head = np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.is_word = np.zeros(n, bool)
         hashes = found.view(np.int64)
         at = np.minimum(np.searchsorted(code.hashes, hashes), max(0, len(code.hashes) - 1))
         known = code.hashes[at] == hashes if len(code.hashes) else np.zeros(len(hashes), bool)
         symbol = np.where(known, code.symbol[at], code.of_head[head]) if len(code.hashes) else code.of_head[head]
-        self.symbol[place] = np.where(symbol < 0, len(code.depth) - 1, symbol)
+        self.symbol[place] = np.where(symbol < 0, len(code.paths.depth) - 1, symbol)
         self.text[place], self.hash[place], self.head[place], self.is_word[place] = text, hashes, head, True
         if ends:
             last = np.cumsum(np.bincount(text, minlength=len(raws))) + np.arange(len(raws))
@@ -204,10 +214,10 @@ class Reading:
         self.opens = np.concatenate([[True], self.text[1:] != self.text[:-1]]) if n else np.zeros(0, bool)
         before, second = self._back(self.symbol, carry.before)
         frequent = np.flatnonzero(self.symbol < min(s.heads, len(code.hashes)))
-        self.contexts = [self._hash(1, *self._frequent(frequent, carry.frequent, 1)), self._hash(2, *self._frequent(frequent, carry.frequent, 2)), self._hash(3, before), self._hash(4, before, second)]
+        self.contexts = [self._hash(1, self._frequent(frequent, carry.frequent)), self._hash(2, before), self._hash(3, before, second)]
         tail = [*self.symbol[-2:].tolist()][::-1]
         self.before = tuple([*tail, *carry.before][:2])
-        self.frequent = tuple([*self.symbol[frequent[-2:]].tolist()[::-1], *carry.frequent][:2])
+        self.frequent = int(self.symbol[frequent[-1]]) if len(frequent) else carry.frequent
 
     def _back(self, symbol: np.ndarray, carried: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """The symbol before each and the one before that; at a text's start those carried on."""
@@ -220,17 +230,12 @@ class Reading:
         two[start] = carried[0]
         return one, two
 
-    def _frequent(self, at: np.ndarray, carried: tuple[int, int], n: int) -> list[np.ndarray]:
-        """The last ``n`` frequent words before each token of its text."""
+    def _frequent(self, at: np.ndarray, carried: int) -> np.ndarray:
+        """The last frequent word before each token of its text."""
         count = np.searchsorted(at, np.arange(len(self.symbol)))  # of them before each token
         first = np.searchsorted(at, np.flatnonzero(self.opens))[np.cumsum(self.opens) - 1] if len(self.opens) else count
-        symbols = np.append(self.symbol[at], NOTHING)
-        out = []
-        for k in range(1, n + 1):
-            seen = count - first
-            own = symbols[np.where(seen >= k, count - k, len(at))]
-            out.append(np.where(seen >= k, own, np.array([*carried, NOTHING])[np.minimum(k - 1 - np.minimum(seen, k - 1), 2)]))
-        return out
+        symbols = np.append(self.symbol[at], carried)
+        return symbols[np.where(count > first, count - 1, len(at))]
 
     @staticmethod
     def _hash(salt: int, *symbols: np.ndarray) -> np.ndarray:
@@ -240,16 +245,9 @@ class Reading:
             h ^= h >> np.uint32(15)
         return h
 
-    def decisions(self, code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """How many decisions each token has, and the node and bit of all decisions."""
-        depth = code.depth[self.symbol]
-        ends = np.cumsum(depth, dtype=np.int64)
-        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(code.first[self.symbol] - (ends - depth), depth)
-        return depth, code.node[at], code.bit[at]
-
     def slots(self, depth: np.ndarray, node: np.ndarray, bits: list[int]) -> Iterator[np.ndarray]:
         """The slot of each decision in the table of each context."""
-        salt = (node.astype(np.uint32) + np.uint32(1)) * np.uint32(0x85EBCA6B)
+        salt = (node + np.uint32(1)) * np.uint32(0x85EBCA6B)
         for c, b in zip(self.contexts, bits):
             h = (np.repeat(c, depth) ^ salt) * np.uint32(0x2C1B3C6D)
             h ^= h >> np.uint32(13)
@@ -273,51 +271,52 @@ class Mixer:
 
     def __init__(self, texts: int, start: np.ndarray, s: Settings):
         self.s, self.gates, self.inputs = s, *start.shape
-        self.weights = np.tile(start.astype(np.float64).T[:, None, :], (1, texts, 1)).reshape(self.inputs, -1)
-        self.evidence = np.full((self.inputs, texts * self.gates), s.caution)
-        self.map, self.map_evidence = np.zeros(texts * len(KNOTS)), np.full(texts * len(KNOTS), s.caution / 3)
+        self.weights = np.tile(start.astype(np.float32).T[:, None, :], (1, texts, 1)).reshape(self.inputs, -1)
+        self.seen = np.full(texts * self.gates, s.caution, np.float32)
+        self.map, self.map_seen = np.zeros(texts * len(KNOTS), np.float32), np.full(texts * len(KNOTS), s.caution / 3, np.float32)
         self.done = np.zeros(texts, np.int64)
 
     def score(self, inputs: list[np.ndarray], gate: np.ndarray, bit: np.ndarray, text: np.ndarray) -> np.ndarray:
         """The log10 probability of each decision; decisions of a text stand together and in order."""
-        out = np.zeros(len(bit))
+        out = np.zeros(len(bit), np.float32)
         if not len(bit):
             return out
         opens = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
-        place = np.arange(len(bit)) - np.repeat(opens, np.diff(np.append(opens, len(bit)))) + self.done[text]
+        place = np.arange(len(bit)) - np.repeat(opens - self.done[text[opens]], np.diff(np.append(opens, len(bit))))
         doublings = int(math.log2(self.s.last_block / self.s.first_block))
-        block = np.minimum(np.log2(place / self.s.first_block + 1), doublings).astype(np.int64) + np.maximum(place // self.s.last_block - 1, 0)
-        self.done += np.bincount(text, minlength=len(self.done))
-        order = np.argsort(block.astype(np.int32), kind="stable")
-        edges = np.concatenate([[0], np.cumsum(np.bincount(block[order]))])
-        cell_of, step = text * self.gates + gate, KNOTS[1] - KNOTS[0]
+        limits = np.cumsum(self.s.first_block << np.arange(doublings + 1))
+        block = np.searchsorted(limits, place, side="right") + np.maximum(place - limits[-1], 0) // self.s.last_block
+        np.add.at(self.done, text[opens], np.diff(np.append(opens, len(bit))))
+        order = np.argsort(block.astype(np.int16) if block.max() < 1 << 15 else block, kind="stable")
+        edges = np.concatenate([[0], np.cumsum(np.bincount(block))])
+        inputs, cells, bits, texts = [i[order] for i in inputs], (text * self.gates + gate)[order], bit[order].astype(np.float32), text[order]
+        step, half = np.float32(1 / (KNOTS[1] - KNOTS[0])), np.float32(0.5)
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
             if a == b:
                 continue
-            at = order[a:b]
-            x, cell, y, t = [i[at] for i in inputs], cell_of[at], bit[at], text[at]
-            z = np.zeros(len(at))
+            x, cell, y = [i[a:b] for i in inputs], cells[a:b], bits[a:b]
+            z = np.zeros(b - a, np.float32)
             for w, i in zip(self.weights, x):
                 z += w[cell] * i
-            z = np.clip(z, KNOTS[0], KNOTS[-1])
-            knot = t * len(KNOTS) + np.rint((z - KNOTS[0]) / step).astype(np.int64)
+            np.clip(z, KNOTS[0], KNOTS[-1], out=z)
+            knot = texts[a:b] * len(KNOTS) + ((z - KNOTS[0]) * step + half).astype(np.int64)
             p, q = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-z - self.map[knot]))
-            both = np.clip((p + q) / 2, CLIP, 1 - CLIP)
-            out[at] = np.log10(np.where(y == 1, both, 1 - both))
-            # A step of Newton for each weight alone, shared among the inputs, and for each knot.
-            err, curve = y - p, p * (1 - p)
-            for k, i in enumerate(x):
-                self.evidence[k] += np.bincount(cell, curve * i * i, self.evidence.shape[1])
-                self.weights[k] += np.bincount(cell, err * i, self.evidence.shape[1]) / (self.inputs * self.evidence[k])
-            self.map_evidence += np.bincount(knot, q * (1 - q), len(self.map))
-            self.map += np.bincount(knot, y - q, len(self.map)) / self.map_evidence
+            both = (p + q) * half
+            out[order[a:b]] = np.log10(np.clip(np.where(y > 0, both, 1 - both), CLIP, 1 - CLIP))
+            # The mean error of all decisions so far moves each weight, and each knot in log odds.
+            err = y - p
+            self.seen += np.bincount(cell, minlength=len(self.seen)).astype(np.float32)
+            for w, i in zip(self.weights, x):
+                w += (self.s.step * np.bincount(cell, err * i, len(self.seen)) / self.seen).astype(np.float32)
+            self.map_seen += np.bincount(knot, minlength=len(self.map)).astype(np.float32)
+            self.map += (6 * np.bincount(knot, y - q, len(self.map)) / self.map_seen).astype(np.float32)
         return out
 
 
 def running(reading: Reading, code: Code, tables: list[np.ndarray], known: np.ndarray, mixers: list[Mixer]) -> np.ndarray:
     """The log10 probability of each token's symbol and, of a rare word, of being known or not."""
-    depth, node, bit = reading.decisions(code)
-    inputs, sure = [code.odds[node]], np.zeros(len(node), np.int64)
+    depth, node, bit = code.paths(reading.symbol)
+    inputs, sure = [], np.zeros(len(node), np.int64)
     bits = [len(t).bit_length() - 1 for t in tables]
     for table, slot in zip(tables, reading.slots(depth, node, bits)):
         raw = table[slot]
@@ -325,11 +324,11 @@ def running(reading: Reading, code: Code, tables: list[np.ndarray], known: np.nd
         inputs.append((raw >> 1).astype(np.float32) * np.float32(1 / 512))
     lp = mixers[0].score(inputs, sure, bit, np.repeat(reading.text, depth))
     out = np.bincount(np.repeat(np.arange(len(depth)), depth), lp, len(depth))
-    other = reading.symbol == len(code.depth) - 1
+    other = reading.symbol == len(code.paths.depth) - 1
     out[other] -= 16 * math.log10(2)  # which first bytes
     flag = np.flatnonzero(reading.rare & ~other)
-    odds = code.new[reading.head[flag]].astype(np.float64)
-    out[flag] += mixers[1].score([odds, np.ones(len(flag))], np.zeros(len(flag), np.int64), (~known[flag]).astype(np.int64), reading.text[flag])
+    odds = code.new[reading.head[flag]]
+    out[flag] += mixers[1].score([odds, np.ones(len(flag), np.float32)], np.zeros(len(flag), np.int64), (~known[flag]).astype(np.int64), reading.text[flag])
     return out
 
 
@@ -367,14 +366,16 @@ def fresh(s: Settings) -> Weights:
 class Spelling:
     """The byte decisions of some words behind their first bytes, and the hashes of their contexts."""
 
-    def __init__(self, words: list[bytes], s: Settings):
+    def __init__(self, words: list[bytes], paths: Paths, s: Settings):
         lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        data = np.frombuffer(b" ".join(words) + b" ", np.uint8).astype(np.int64)
-        word = np.repeat(np.arange(len(words)), lengths)
+        data = np.frombuffer(b" ".join(words) + b" ", np.uint8)
         first = np.cumsum(lengths) - lengths
-        place = np.arange(len(data)) - first[word]
-        sums = np.zeros(len(data), np.uint64)
-        by_order = {}
+        place = np.arange(len(data)) - np.repeat(first, lengths)
+        one_byte = np.concatenate([data, [0]])[first + 1] == 0  # a second byte of 0 is not in the head
+        known = np.minimum(lengths - 1, 2) - (one_byte & (lengths > 2))
+        keep = place >= np.repeat(known, lengths)
+        word = np.repeat(np.arange(len(words)), lengths)[keep]
+        sums, contexts = np.zeros(len(data), np.uint64), []
         for back in range(1, max(s.orders) + 1):
             # A context that reaches the word's start keeps a mark of it and does not grow on.
             seen = np.zeros(len(data), np.uint64)
@@ -382,47 +383,43 @@ class Spelling:
             seen = np.where(place > back - 1, seen, np.where(place == back - 1, np.uint64(1), np.uint64(0)))
             sums = sums * np.uint64(0x9E3779B97F4A7C15) + seen
             if back in s.orders:
-                by_order[back] = mixed(sums)
-        known = np.minimum(lengths - 1, 2) - np.fromiter((len(w) > 1 and w[1] == 0 for w in words), np.int64, len(words))
-        keep = place >= known[word]
-        self.bytes, self.word = data[keep], word[keep]
-        self.contexts = [by_order[o][keep] for o in s.orders]
-
-    def decisions(self, s: Settings) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-        """For each of the eight bits of all bytes: its value, and its slot in each table."""
-        node = np.ones(len(self.bytes), np.int64)
-        for shift in range(7, -1, -1):
-            bit = (self.bytes >> shift) & 1
-            salt = node.astype(np.uint64) * np.uint64(0xAF251AF3B0F025B5)
-            yield bit, [(((c ^ salt) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - b)).astype(np.int64) for c, b in zip(self.contexts, s.bits)]
-            node = node * 2 + bit
-
-
-def count(words: list[bytes], s: Settings) -> list[np.ndarray]:
+                contexts.append((mixed(sums[keep]) >> np.uint64(32)).astype(np.uint32))
+        depth, node, self.bit = paths(data[keep])
+        self.word = np.repeat(word, depth)
+        salt = (node + np.uint32(1)) * np.uint32(0x85EBCA6B)
+        self.slots = []
+        for c, b in zip(contexts, s.bits):
+            h = (np.repeat(c, depth) ^ salt) * np.uint32(0x2C1B3C6D)
+            h ^= h >> np.uint32(13)
+            self.slots.append(((h * np.uint32(0x9E3779B1)) >> np.uint32(32 - b)).astype(np.int64))
+
+
+def count(words: list[bytes], paths: Paths, s: Settings) -> list[np.ndarray]:
     """How often each slot's decision was 0 and 1 in spelling the words: slots x 2 for each table."""
     tables = [np.zeros(2 << b, np.int32) for b in s.bits]
     for a in range(0, len(words), s.words):
-        for bit, slots in Spelling(words[a : a + s.words], s).decisions(s):
-            for table, slot in zip(tables, slots):
-                np.add.at(table, slot * 2 + bit, np.ones(len(slot), np.int32))
+        x = Spelling(words[a : a + s.words], paths, s)
+        one = np.ones(len(x.bit), np.int32)
+        for table, slot in zip(tables, x.slots):
+            np.add.at(table, slot * 2 + x.bit, one)
     return tables
 
 
-def _inputs(tables: list[np.ndarray], slots: list[np.ndarray], bit: np.ndarray | None, own: np.ndarray | None, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _inputs(tables: list[np.ndarray], slots: list[np.ndarray], own: np.ndarray | None, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each predictor's log odds and confidence level, and how many are confident.
 
-    ``own`` is taken out of the counts of the decision that ``bit`` tells.
+    ``own``: bits whose own occurrence is taken out of the counts.
     """
     k, n = len(slots), len(slots[0])
     odds, level = np.empty((k, n), np.float32), np.empty((k, n), np.int64)
     for i, (table, slot) in enumerate(zip(tables, slots)):
-        zeros, ones = table[slot * 2].astype(np.float32), table[slot * 2 + 1].astype(np.float32)
+        zeros, ones = table[slot * 2], table[slot * 2 + 1]
         if own is not None:
-            ones = np.maximum(ones - own * bit, 0)
-            zeros = np.maximum(zeros - own * (1 - bit), 0)
-        odds[i] = np.log((ones + np.float32(s.prior)) / (zeros + np.float32(s.prior)))
-        level[i] = np.minimum(np.frexp(zeros + ones)[1], s.levels - 1)
-    return odds, np.maximum(level, 0), (level >= 2).sum(axis=0)
+            ones = np.maximum(ones - own, 0)
+            zeros = np.maximum(zeros - (1 - own.astype(np.int32)), 0)
+        odds[i] = np.log((ones + np.float32(s.prior)).astype(np.float32) / (zeros + np.float32(s.prior)).astype(np.float32))
+        level[i] = np.minimum(np.frexp((zeros + ones).astype(np.float32))[1], s.levels - 1)
+    return odds, level, (level >= 2).sum(axis=0)
 
 
 def _mapped(w: Weights, sure: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -436,42 +433,39 @@ def _probability(z: np.ndarray, mapped: np.ndarray) -> np.ndarray:
     return np.clip((1 / (1 + np.exp(-z)) + mapped) / 2, CLIP, 1 - CLIP)
 
 
-def learn(w: Weights, tables: list[np.ndarray], words: list[bytes], s: Settings) -> None:
+def learn(w: Weights, tables: list[np.ndarray], words: list[bytes], paths: Paths, s: Settings) -> None:
     """Online learning of the weights over the words."""
     rows = np.arange(len(s.orders))[:, None]
     for a in range(0, len(words), s.words):
-        for bit_all, slots_all in Spelling(words[a : a + s.words], s).decisions(s):
-            for b in range(0, len(bit_all), s.lanes):
-                part = slice(b, b + s.lanes)
-                bit = bit_all[part]
-                odds, level, sure = _inputs(tables, [t[part] for t in slots_all], bit, np.float32(1), s)
-                z = np.clip((w.mix[sure[None, :], rows, level] * odds).sum(axis=0), -20, 20)
-                mapped, low, frac = _mapped(w, sure, z)
-                err = (bit - 1 / (1 + np.exp(-z))) / len(bit)
-                cell = ((sure[None, :] * len(s.orders) + rows) * s.levels + level).ravel()
-                g = np.bincount(cell, (odds * err).ravel(), w.mix.size).reshape(w.mix.shape)
-                w.squares += g * g
-                w.mix += s.rate * g / np.sqrt(w.squares)
-                cell = sure * len(KNOTS) + low
-                for shift, share in ((0, 1 - frac), (1, frac)):
-                    total = np.bincount(cell + shift, share, w.map.size)
-                    move = np.bincount(cell + shift, share * (bit - mapped), w.map.size)
-                    w.map += s.map_rate * (move / np.maximum(total, 1e-9)).reshape(w.map.shape)
-
-
-def log10_probability(w: Weights, tables: list[np.ndarray], words: list[bytes], s: Settings) -> np.ndarray:
+        x = Spelling(words[a : a + s.words], paths, s)
+        odds_all, level_all, sure_all = _inputs(tables, x.slots, x.bit, s)
+        for b in range(0, len(x.bit), s.lanes):
+            part = slice(b, b + s.lanes)
+            bit, odds, level, sure = x.bit[part], odds_all[:, part], level_all[:, part], sure_all[part]
+            cell = (sure[None, :] * len(s.orders) + rows) * s.levels + level
+            z = np.clip((w.mix.ravel()[cell] * odds).sum(axis=0), -20, 20)
+            mapped, low, frac = _mapped(w, sure, z)
+            err = (bit - 1 / (1 + np.exp(-z))) / len(bit)
+            g = np.bincount(cell.ravel(), (odds * err).ravel(), w.mix.size).reshape(w.mix.shape)
+            w.squares += g * g
+            w.mix += s.rate * g / np.sqrt(w.squares)
+            cell = sure * len(KNOTS) + low
+            for shift, share in ((0, 1 - frac), (1, frac)):
+                total = np.bincount(cell + shift, share, w.map.size)
+                move = np.bincount(cell + shift, share * (bit - mapped), w.map.size)
+                w.map += s.map_rate * (move / np.maximum(total, 1e-9)).reshape(w.map.shape)
+
+
+def log10_probability(w: Weights, tables: list[np.ndarray], words: list[bytes], paths: Paths, s: Settings) -> np.ndarray:
     """The log10 probability of each word with its closing space, its first bytes given."""
     rows = np.arange(len(s.orders))[:, None]
     out = np.zeros(len(words))
     for a in range(0, len(words), s.words):
-        x = Spelling(words[a : a + s.words], s)
-        total = np.zeros(len(x.bytes))
-        for bit, slots in x.decisions(s):
-            odds, level, sure = _inputs(tables, slots, None, None, s)
-            z = np.clip((w.mix[sure[None, :], rows, level] * odds).sum(axis=0), -20, 20)
-            p = _probability(z, _mapped(w, sure, z)[0])
-            total += np.log10(np.where(bit == 1, p, 1 - p))
-        out[a : a + s.words] = np.bincount(x.word, total, len(words[a : a + s.words]))
+        x = Spelling(words[a : a + s.words], paths, s)
+        odds, level, sure = _inputs(tables, x.slots, None, s)
+        z = np.clip((w.mix[sure[None, :], rows, level] * odds).sum(axis=0), -20, 20)
+        p = _probability(z, _mapped(w, sure, z)[0])
+        out[a : a + s.words] = np.bincount(x.word, np.log10(np.where(x.bit == 1, p, 1 - p)), len(words[a : a + s.words]))
     return out
 
 
@@ -479,20 +473,20 @@ def log10_probability(w: Weights, tables: list[np.ndarray], words: list[bytes],
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
-    """(hash, word, head, n: occurrences in training texts) for the words of all texts, and for the empty
-    word the training texts; docs: text, held_out."""
+    """(hash, word, n: occurrences in training texts) for the words of all texts, and for the empty word,
+    of hash 0, the training texts; docs: text, held_out."""
 
-    def frames(held: Counter) -> Iterator[pd.DataFrame]:
+    def frames(held: Counter, texts: int) -> Iterator[pd.DataFrame]:
         words = list(held)
         for a in range(0, len(words), 50_000):
             part = words[a : a + 50_000]
-            spelt = [w for w in part if w]
-            hashes = dict(zip(spelt, hashes_of(spelt).tolist()))
-            yield pd.DataFrame({"hash": [hashes.get(w, 0) for w in part], "word": part, "head": [head_of(w) for w in part], "n": [held[w] for w in part]})
+            yield pd.DataFrame({"hash": hashes_of(part), "word": part, "n": np.fromiter((held[w] for w in part), np.int64, len(part))})
+        yield pd.DataFrame({"hash": [0], "word": [b""], "n": [texts]})
         held.clear()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: Counter = Counter()
+        texts = 0
         for batch in batches:
             flags, at = batch["held_out"].to_numpy(), 0
             for raws in slices(batch["text"].tolist()):
@@ -500,15 +494,34 @@ def vocabulary(docs: DataFrame) -> DataFrame:
                 at += len(raws)
                 # bytes.lower() changes A-Z alone and bytes.split() cuts at the six ASCII white-space characters.
                 held.update(b"\n".join([r for r, o in zip(raws, out) if not o]).lower().split())
-                held[b""] += int((~out).sum())
+                texts += int((~out).sum())
                 for w in set(b"\n".join([r for r, o in zip(raws, out) if o]).lower().split()):
                     held[w] += 0
-                if len(held) > 300_000:
-                    yield from frames(held)
-        yield from frames(held)
-
-    rows = docs.select("text", "held_out").mapInPandas(run, "hash long, word binary, head int, n long")
-    return rows.groupBy("hash", "word", "head").agg(F.sum("n").alias("n"))
+                if len(held) > 500_000:
+                    yield from frames(held, texts)
+                    texts = 0
+        yield from frames(held, texts)
+
+    rows = docs.select("text", "held_out").mapInPandas(run, "hash long, word binary, n long")
+    return rows.groupBy("hash", "word").agg(F.sum("n").alias("n"))
+
+
+def most_frequent(words: DataFrame, most: int) -> tuple[list[bytes], np.ndarray]:
+    """The words that training has most often, and their counts: as many whole bins of a fine histogram of
+    counts as make up to ``most``, by count and then word; the driver gets the histogram and them."""
+    spelt = words.where("n > 0 and octet_length(word) > 0")
+    bin_of = F.floor(F.log2("n") * 64)
+    sizes = sorted(((r["bin"], r["count"]) for r in spelt.groupBy(bin_of.alias("bin")).count().collect()), reverse=True)
+    held, least = 0, None
+    for b, size in sizes:
+        if held + size > most:
+            break
+        held, least = held + size, b
+    if least is None:
+        return [], np.zeros(0, np.int64)
+    found = spelt.where(bin_of >= least).select("word", "n").toArrow()
+    order = sorted(zip((-n for n in found["n"].to_pylist()), map(bytes, found["word"].to_pylist())))
+    return [w for _, w in order], np.array([-n for n, _ in order], np.int64)
 
 
 def summed(rows: DataFrame, shapes: list[int], s: Settings) -> list[np.ndarray]:
@@ -568,7 +581,7 @@ def text_tables(docs: DataFrame, shared, bits: list[int], s: Settings) -> list[n
                 for part, carry, more in portions(raws, s):
                     reading = Reading(part, code, s, carry[0], more)
                     carry[0] = Carry([], reading.before, reading.frequent)
-                    depth, node, bit = reading.decisions(code)
+                    depth, node, bit = code.paths(reading.symbol)
                     one = np.ones(len(node), np.int32)
                     for table, slot in zip(tables, reading.slots(depth, node, bits)):
                         np.add.at(table, slot * 2 + bit, one)
@@ -595,13 +608,13 @@ def portions(raws: list[bytes], s: Settings) -> Iterator[tuple[list[bytes], list
         yield short, [None], False
 
 
-def spelling_tables(words: DataFrame, s: Settings) -> list[np.ndarray]:
+def spelling_tables(words: DataFrame, shared, s: Settings) -> list[np.ndarray]:
     from pyspark import TaskContext
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
         for part in gathered(batches, "word", s.words):
-            found = count(part, s)
+            found = count(part, shared.value.spelling, s)
             total = found if total is None else [a + b for a, b in zip(total, found)]
         if total is not None:
             yield from sliced(total, TaskContext.get().partitionId(), s)
@@ -609,7 +622,7 @@ def spelling_tables(words: DataFrame, s: Settings) -> list[np.ndarray]:
     return summed(words.select("word").mapInPandas(run, "task long, piece int, counts binary"), [2 << b for b in s.bits], s)
 
 
-def weights_of(words: DataFrame, shared, s: Settings) -> Weights:
+def weights_of(words: DataFrame, code, shared, s: Settings) -> Weights:
     """Weights learnt in each shard of the vocabulary, averaged by the words they saw; a row for a shard."""
     shape, map_shape = fresh(s).mix.shape, fresh(s).map.shape
 
@@ -625,16 +638,16 @@ def weights_of(words: DataFrame, shared, s: Settings) -> Weights:
             for number, rows in batch.groupby("shard", sort=True):
                 if learnt is None or learnt[0] != number:
                     if learnt is not None:
-                        learn(learnt[1], shared.value, held, s)
+                        learn(learnt[1], shared.value, held, code.value.spelling, s)
                         yield row()
                     learnt, held = (number, fresh(s), 0), []
                 held += [bytes(w) for w in rows["word"]]
                 learnt = (number, learnt[1], learnt[2] + len(rows))
                 while len(held) >= s.words:
-                    learn(learnt[1], shared.value, held[: s.words], s)
+                    learn(learnt[1], shared.value, held[: s.words], code.value.spelling, s)
                     held = held[s.words :]
         if learnt is not None:
-            learn(learnt[1], shared.value, held, s)
+            learn(learnt[1], shared.value, held, code.value.spelling, s)
             yield row()
 
     dealt = words.select("word", "hash", F.pmod("hash", F.lit(s.shards)).cast("int").alias("shard")).repartition(s.shards, "shard").sortWithinPartitions("shard", "hash", "word")
@@ -696,17 +709,17 @@ def score(docs: DataFrame, held_out: Column, settings: Settings | None = None, k
     totals = words.agg(F.sum("n").alias("tokens"), F.count_if(F.col("n") > 0).alias("distinct"), F.max(F.when(F.octet_length("word") == 0, F.col("n"))).alias("docs")).first()
     tokens, distinct, train_docs = (int(totals[c] or 0) for c in ("tokens", "distinct", "docs"))
     spelt = words.where("octet_length(word) > 0")
-    frequent = spelt.where("n > 0").orderBy(F.desc("n"), "word").limit(s.frequent).select("word", "n").toArrow()
-    often = [bytes(w) for w in frequent["word"].to_pylist()]
+    often, counts = most_frequent(words, s.frequent)
     listed = F.broadcast(spark.createDataFrame([(h,) for h in hashes_of(often).tolist()], "hash long"))
     rare = spelt.join(listed, "hash", "left_anti")
-    heads = rare.where("n > 0").groupBy("head").agg(F.sum("n").alias("n"), F.count_if(F.col("n") == 1).alias("once")).orderBy("head").toArrow()
+    first_two = F.conv(F.hex(F.substring("word", 1, 2)), 16, 10).cast("int") * F.when(F.octet_length("word") == 1, 256).otherwise(1)
+    heads = rare.where("n > 0").groupBy(first_two.alias("head")).agg(F.sum("n").alias("n"), F.count_if(F.col("n") == 1).alias("once")).orderBy("head").toArrow()
     head_arrays = [heads[c].to_numpy() for c in ("head", "n", "once")]
-    code = spark.sparkContext.broadcast(code_of(often, frequent["n"].to_numpy(), *head_arrays, train_docs, s))
+    code = spark.sparkContext.broadcast(code_of(often, counts, *head_arrays, train_docs, s))
     tables = spark.sparkContext.broadcast(text_tables(docs, code, table_bits(tokens, s), s))
     trained = rare.where("n > 0")
-    shared = spark.sparkContext.broadcast(spelling_tables(trained, s))
-    weights = spark.sparkContext.broadcast(weights_of(trained, shared, s))
+    shared = spark.sparkContext.broadcast(spelling_tables(trained, code, s))
+    weights = spark.sparkContext.broadcast(weights_of(trained, code, shared, s))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -715,7 +728,7 @@ def score(docs: DataFrame, held_out: Column, settings: Settings | None = None, k
             rows = pd.concat(held)
             new = (rows["n"] == 0).to_numpy()
             lp = np.zeros(len(rows))
-            lp[new] = log10_probability(weights.value, shared.value, [bytes(w) for w in rows["word"][new]], s)
+            lp[new] = log10_probability(weights.value, shared.value, [bytes(w) for w in rows["word"][new]], code.value.spelling, s)
             return pd.DataFrame({"hash": rows["hash"], "n": rows["n"], "lp": lp})
 
         for batch in batches:
