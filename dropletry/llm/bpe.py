@@ -24,15 +24,17 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dropletry.llm.tables import release
+
 #: Characters that Unicode calls white space; Python's \s has four control characters more.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Letters of western European languages after lower-casing, which the faster matcher knows.
 LATIN = r"a-z\xdf-\xf6\xf8-\u017f"
 END = "</w>"
 #: Characters handled at a time, so that lists of words stay small beside the batch.
-SLICE_CHARS = 1_500_000
+SLICE_CHARS = 400_000
 #: Words kept between batches before the table starts afresh.
-TABLE_WORDS = 250_000
+TABLE_WORDS = 150_000
 #: Bytes of a word beyond which exact merging uses a heap.
 LONG_WORD = 100
 #: A rank later than every merge.
@@ -402,7 +404,9 @@ def encode(text: Column | str, path: str) -> Column:
 
     @F.pandas_udf("array<int>")
     def bpe_encode(texts: pd.Series) -> pd.Series:
-        return pd.Series(codec(path).encode(texts.tolist()), index=texts.index, dtype=object)
+        out = pd.Series(codec(path).encode(texts.tolist()), index=texts.index, dtype=object)
+        release()
+        return out
 
     return bpe_encode(text)
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from dropletry.llm.components import components
 from dropletry.llm.marks import bit_map, is_marked, map_bits
 from dropletry.llm.shingles import set_key, shingle_sets
-from dropletry.llm.tables import checkpointed
+from dropletry.llm.tables import checkpointed, release
 
 
 @dataclass(frozen=True)
@@ -111,6 +111,7 @@ def _classes_and_counts(docs: DataFrame, s: Settings) -> DataFrame:
                         yield repeated(tokens)
                         tokens, held = [], 0
             yield pd.DataFrame({"id": ids, "size": sizes, "class": keys, "check": checks, "map": maps, "token": None, "n": None})
+            release()
         if tokens:
             yield repeated(tokens)
 
@@ -152,6 +153,7 @@ def _prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], s: Settings)
                 held += len(prefix)
             if out:
                 yield frame(out, keys, sizes, groups, parts)
+            release()
 
     return docs.mapInPandas(run, "token long, class long, size int, group long, part int")
 
@@ -164,6 +166,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "shingles": list(shingle_sets(batch["text"].tolist(), s.width))})
+            release()
 
     return docs.where(is_marked(shared, F.xxhash64("id"), bits)).mapInPandas(run, "id long, shingles array<long>")
 

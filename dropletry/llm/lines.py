@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from dropletry.llm.marks import bit_map, is_marked, map_bits, marked
 from dropletry.llm.shingles import mixed, slices, word_hashes
-from dropletry.llm.tables import checkpointed, free_name
+from dropletry.llm.tables import checkpointed, free_name, release
 
 
 @dataclass(frozen=True)
@@ -123,6 +123,7 @@ def _over_lines(docs: DataFrame, s: Settings, make: Callable[[np.ndarray, Lines]
                 lines = Lines(raws, s)
                 yield pd.DataFrame(make(ids[at : at + len(raws)][lines.text], lines))
                 at += len(raws)
+            release()
 
     return docs.mapInPandas(run, schema)
 

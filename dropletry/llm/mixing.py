@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dropletry.llm.shingles import mixed, slices, word_hashes
-from dropletry.llm.tables import checkpointed
+from dropletry.llm.tables import checkpointed, release
 
 
 @dataclass(frozen=True)
@@ -585,6 +585,7 @@ def text_tables(docs: DataFrame, shared, bits: list[int], s: Settings) -> list[n
                     one = np.ones(len(node), np.int32)
                     for table, slot in zip(tables, reading.slots(depth, node, bits)):
                         np.add.at(table, slot * 2 + bit, one)
+            release()
         yield from sliced(tables, TaskContext.get().partitionId(), s)
 
     rows = docs.where(~F.col("held_out")).select("text").mapInPandas(run, "task long, piece int, counts binary")
@@ -764,6 +765,7 @@ def score(docs: DataFrame, held_out: Column, settings: Settings | None = None, k
         n_tokens, n_known, base_score, model, size = (np.concatenate(c) for c in zip(*parts)) if parts else ([], [], [], [], [])
         size = np.asarray(size, np.float64)
         bits = np.where(size > 0, -np.asarray(model) * math.log2(10) / np.maximum(size, 1), np.nan)
+        release()
         return pa.table({
             key: texts[key], "held_out": texts["held_out"], "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(np.asarray(n_known, np.int64), pa.int64()),
             "train_tokens": pa.array([tokens] * len(n_tokens), pa.int64()), "base_score": pa.array(base_score, pa.float64()), "score": pa.array(model, pa.float64()),

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dropletry.llm import bpe
+from dropletry.llm.tables import release
 
 
 @dataclass(frozen=True)
@@ -46,7 +47,7 @@ class Settings:
     long: int = 192
     stretch: int = 64
     unpadded: tuple[int, ...] = (512, 1024, 2048)
-    block: int = 1_500_000
+    block: int = 1_000_000
     range_bytes: int = 16_000_000
 
 
@@ -166,6 +167,8 @@ def pack(df: DataFrame, path: str, settings: Settings | None = None, key: str =
                     out, sequence = packed(keys, ids, closes, sequence)
                     keys, ids, held = [], [], 0
                     yield out
+                    del out
+                    release()
         if ids:
             yield packed(keys, ids, closes, sequence)[0]
 

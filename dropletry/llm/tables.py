@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows that Spark hands to Python at a time, where the session keeps Spark's own default: texts are
@@ -46,3 +48,12 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def release() -> None:
+    """Gives memory that a finished batch has freed back to the system: workers that wait keep little of
+    the memory that all workers of an executor share."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dropletry.llm.tables import release
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -143,7 +145,9 @@ def score(df: DataFrame, model: Model, text: str = "text", score_column: str = "
 
     @F.pandas_udf("double")
     def toxicity(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.scores(texts.tolist()), index=texts.index)
+        out = pd.Series(shared.value.scores(texts.tolist()), index=texts.index)
+        release()
+        return out
 
     return df.withColumn(score_column, toxicity(F.col(text)))
 
