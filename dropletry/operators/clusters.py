@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,19 +11,78 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dropletry.functions.phred import added, hardy_weinberg
+from dropletry.functions.phred import added, hardy_weinberg, string_hash
 from dropletry.operators.demux import best_and_next, calls
 from dropletry.operators.likelihood import FLOOR
 
 
 def saved(df: DataFrame) -> DataFrame:
     """``df`` in the cluster's checkpoint folder, which every executor shares."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/dropletry-checkpoints")
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
 
 
+def merged_in_order(gl: DataFrame, assigned: DataFrame) -> DataFrame:
+    """(cluster, snp_id, n_cell, g: nine likelihoods): the members' likelihoods taken in one after another,
+    scaled, floored and scaled again each time.
+
+    assigned: (cell_id, cluster, rank); members come by rank.  A cluster's members at a variant are one
+    row's array; ``merged`` combines before the shuffle instead and floors once.
+    """
+    own = F.struct("rank", F.array(*(f"g{k}" for k in range(9))).alias("g"))
+    rows = gl.join(assigned, "cell_id").groupBy("cluster", "snp_id").agg(F.count("*").alias("n_cell"), F.transform(F.array_sort(F.collect_list(own)), lambda x: x["g"]).alias("gs"))
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+
+    def scaled(v: Column) -> Column:
+        # One step through an array of one, so that the sum is taken once.
+        return F.element_at(F.transform(F.array(F.struct(v.alias("v"), total(v).alias("t"))), lambda p: F.transform(p["v"], lambda x: x / p["t"])), 1)
+
+    taken = lambda held, own: scaled(F.transform(scaled(F.zip_with(held, own, lambda a, b: a * b)), lambda x: F.greatest(x, F.lit(FLOOR))))
+    return rows.select("cluster", "snp_id", "n_cell", F.aggregate("gs", F.array_repeat(F.lit(1.0), 9), taken).alias("g"))
+
+
+def initial_clusters(cells: DataFrame, listed: DataFrame) -> DataFrame:
+    """Every droplet (cell_id, barcode) with its listed cluster (barcode, cluster), null where it has none
+    or a negative one."""
+    return cells.join(listed.where("cluster >= 0").select("barcode", "cluster"), "barcode", "left").select("cell_id", "barcode", "cluster")
+
+
+def first_share(order: DataFrame, share: float) -> DataFrame:
+    """The droplets (cell_id, rank: from 1) of the first share of all: one more than its whole number."""
+    total = order.agg(F.count("*").alias("total"))  # one row
+    return order.join(F.broadcast(total)).where(F.col("rank") - 1 <= F.col("total") * share).drop("total")
+
+
+def shuffled(rows: DataFrame, key: str, seed: int = 0) -> DataFrame:
+    """(key, at): a random order, from 0, by the hash of the key and a seed."""
+    draw = string_hash(F.col(key).cast("string"), seed)
+    return rows.select(key, (F.row_number().over(Window.orderBy(draw, key)) - 1).cast("long").alias("at"))
+
+
+def voted_clusters(distances: DataFrame, assigned: DataFrame) -> DataFrame:
+    """(cell_id, cluster, votes): each droplet's cluster by the votes of all it was compared with: one for
+    the other's cluster where the same genotype is likelier than two, one against it otherwise.
+
+    distances: (cell_id, other_id, llk0, llk2), each pair once; assigned: (cell_id, cluster).
+    """
+    vote = F.when(F.col("llk2") > F.col("llk0"), 1).otherwise(-1).alias("vote")
+    both = distances.select("cell_id", "other_id", vote).unionByName(distances.select(F.col("other_id").alias("cell_id"), F.col("cell_id").alias("other_id"), vote))
+    of_other = assigned.select(F.col("cell_id").alias("other_id"), "cluster")
+    return votes(both.join(of_other, "other_id").select("cell_id", "cluster", "vote"))
+
+
+def next_level(edges: DataFrame, communities: DataFrame) -> DataFrame:
+    """(src, dst, w): the graph of communities, with the weights inside one as a loop."""
+    of = lambda side: communities.select(F.col("node").alias(side), F.col("community").alias(f"c_{side}"))
+    rows = edges.join(of("src"), "src").join(of("dst"), "dst")
+    return rows.groupBy(F.least("c_src", "c_dst").alias("src"), F.greatest("c_src", "c_dst").alias("dst")).agg(F.sum("w").alias("w"))
+
+
 def merged(gl: DataFrame, assigned: DataFrame) -> DataFrame:
     """(cluster, snp_id, n_cell, c0, c1, c2): the product of the members' likelihoods, floored.
 

@@ -16,6 +16,53 @@ def element_counts(segments: DataFrame, elements: DataFrame, width: int) -> Data
     return hits.groupBy("element", "cell_id").agg(F.count("*").alias("n_umi"))
 
 
+def with_parents(exons: DataFrame, transcripts: DataFrame, genes: DataFrame) -> DataFrame:
+    """Exons (exon_id, transcript_id) with their transcript's gene; one whose transcript or gene is not
+    listed, or lies on another contig or strand than the gene, is left out (chrom, strand of each)."""
+    sane = transcripts.select("transcript_id", "gene_id", "chrom", "strand").join(genes.select("gene_id", "chrom", "strand"), ["gene_id", "chrom", "strand"], "left_semi")
+    return exons.join(sane.select("transcript_id", "gene_id"), "transcript_id")
+
+
+def level_counts(hits: DataFrame) -> DataFrame:
+    """(level, element, cell_id, n_umi) of exons, transcripts and genes: each UMI (cell_id, umi) counts once
+    for each element that it hits (exon_id, transcript_id, gene_id)."""
+    levels = F.array(*(F.struct(F.lit(x).alias("level"), F.col(f"{x}_id").cast("string").alias("element")) for x in ("exon", "transcript", "gene")))
+    rows = hits.select("cell_id", "umi", F.explode(levels).alias("x")).select("cell_id", "umi", "x.*").distinct()
+    return rows.groupBy("level", "element", "cell_id").agg(F.count("*").alias("n_umi"))
+
+
+def longest(elements: DataFrame) -> DataFrame:
+    """The longest element (feature, beg, end) of each feature."""
+    return elements.groupBy("feature").agg(F.max(F.col("end") - F.col("beg") + 1).alias("longest"))
+
+
+def collapsed(counts: DataFrame, groups: int, seed: int = 0) -> DataFrame:
+    """(group, cell_id, n): genes put into so many groups by hash, their counts (gene, cell_id, n) summed."""
+    return counts.groupBy((string_hash(F.col("gene"), seed) % groups).alias("group"), "cell_id").agg(F.sum("n").cast("long").alias("n"))
+
+
+def frequent_genes(counts: DataFrame, least: int) -> DataFrame:
+    """Counts (gene, cell_id, n) of the genes that have so many in all cells together, with both sums."""
+    rows = counts.groupBy("gene").agg(F.sum("n").cast("long").alias("gene_total")).where(F.col("gene_total") >= least)
+    kept = counts.join(rows, "gene")
+    return kept.join(kept.groupBy("cell_id").agg(F.sum("n").cast("long").alias("cell_total")), "cell_id")
+
+
+def gibbs_sweep(logits: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """(cell_id, drawn): a component for each cell with the probabilities that x0, x1, ... give as logs.
+
+    The draw is a hash of the cell and the sweep's seed, so that a task that runs again draws the same.
+    """
+    top = F.greatest(*(F.col(f"x{j}") for j in range(k)))
+    e = [F.exp(F.col(f"x{j}") - top) for j in range(k)]
+    u = (string_hash(F.col("cell_id").cast("string"), seed) + 0.5) / 4294967296
+    total, upto, drawn = sum(e[1:], e[0]), e[0], F.lit(0)
+    for j in range(1, k):
+        drawn = drawn + (u * total >= upto).cast("int")
+        upto = upto + e[j]
+    return logits.select("cell_id", drawn.cast("int").alias("drawn"))
+
+
 def one_gene_per_locus(segments: DataFrame, genes: DataFrame, width: int, locus: int) -> DataFrame:
     """(cell_id, umi, chrom, bin, element): of the genes that a UMI hits in a locus bin, the first by name.
 
@@ -44,6 +91,13 @@ def least_mismatches(hits: DataFrame, most: int) -> DataFrame:
     return kept.withColumn("n_hit", F.count("*").over(read)).drop("least")
 
 
+def annotated_share(hits: DataFrame, prefix: str = "ENST") -> DataFrame:
+    """(cell_id, n_umi, n_annotated, share) of UMIs (cell_id, tx, umi) on transcripts whose name has the prefix."""
+    umis = hits.select("cell_id", "tx", "umi").distinct()
+    out = umis.groupBy("cell_id").agg(F.count("*").alias("n_umi"), F.count_if(F.col("tx").startswith(prefix)).alias("n_annotated"))
+    return out.withColumn("share", F.col("n_annotated") / F.col("n_umi"))
+
+
 def transcript_counts(hits: DataFrame) -> DataFrame:
     """Per droplet and transcript: UMIs, reads, and UMIs shared among their hits (1 / fewest hits)."""
     umis = hits.groupBy("cell_id", "tx", "umi").agg(F.count("*").alias("n_read"), F.min("n_hit").alias("n_hit"))

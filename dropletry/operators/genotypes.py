@@ -51,11 +51,71 @@ def mixed_with_mean(gp: list[Column], mean: list[Column], r2: Column, offset: fl
 def frequency_by_em(likelihoods: DataFrame, rounds: int = 10) -> DataFrame:
     """Allele frequency of each variant from (snp_id, l0, l1, l2) over samples, by EM from 0.5.
 
-    A round is an aggregate and a join by variant; there are few rounds, so the plan stays one job.
+    Equal likelihoods are counted first, so a variant is one row of few patterns, and all rounds run
+    within that row.
     """
-    af = likelihoods.groupBy("snp_id").agg(F.lit(0.5).alias("af"))
-    for _ in range(rounds):
-        rows = likelihoods.join(af, "snp_id")
-        w = [F.col(f"l{g}") * p for g, p in enumerate(hardy_weinberg(F.col("af")))]
-        af = rows.groupBy("snp_id").agg((F.sum((w[1] + 2 * w[2]) / added(w)) / (2 * F.count("*"))).alias("af"))
-    return af
+    patterns = likelihoods.groupBy("snp_id", "l0", "l1", "l2").agg(F.count("*").alias("n"))
+    rows = patterns.groupBy("snp_id").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("l0", "l1", "l2", "n"))).alias("x"))
+
+    def step(af: Column, _: Column) -> Column:
+        def share(x: Column) -> Column:
+            w = [x[f"l{g}"] * p for g, p in enumerate(hardy_weinberg(af))]
+            return x["n"] * (w[1] + 2 * w[2]) / added(w)
+
+        return F.aggregate("x", F.lit(0.0), lambda total, x: total + share(x)) / (2 * F.col("n"))
+
+    return rows.select("snp_id", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.lit(0.5), step).alias("af"))
+
+
+def likelihoods_of_pl(pl: Column) -> list[Column]:
+    """The likelihoods of 0, 1 and 2 copies from a PL field "a,b,c"; all 1 where it is missing."""
+    part = F.split(pl, ",")
+    return [F.coalesce(F.pow(F.lit(10.0), F.get(part, F.lit(g)).try_cast("double") / -10), F.lit(1.0)) for g in range(3)]
+
+
+def posterior_of_likelihoods(lik: list[Column], af: Column) -> list[Column]:
+    """Genotype probabilities from likelihoods and the frequency's prior."""
+    return normalized([x * p for x, p in zip(lik, hardy_weinberg(af))])
+
+
+def masked(gt: Column, depth: Column, quality: Column, min_depth: int = 0, min_quality: int = 0) -> Column:
+    """A genotype, null where its depth or quality is too low or, if asked for, unknown."""
+    low = (F.coalesce(depth, F.lit(-1)) < min_depth) if min_depth else F.lit(False)
+    bad = (F.coalesce(quality, F.lit(-1)) < min_quality) if min_quality else F.lit(False)
+    return F.when(~low & ~bad, gt)
+
+
+def with_filters(variants: DataFrame, wanted: list[str]) -> DataFrame:
+    """Variants (filters: array) that have one of the wanted filters; all, if none is wanted."""
+    return variants.where(F.arrays_overlap("filters", F.array(*(F.lit(w) for w in wanted)))) if wanted else variants
+
+
+def within_limits(
+    counts: DataFrame, min_qual: float = 0.0, alleles: tuple[int, int] = (2, 2), snps_only: bool = False, min_callrate: float = 0.0, ac: tuple[int, int] = (0, 1 << 30),
+    mac: tuple[int, int] = (0, 1 << 30), af: tuple[float, float] = (0.0, 1.0), maf: tuple[float, float] = (0.0, 1.0),
+) -> DataFrame:
+    """Variants (qual, n_allele, ref, alt, n_sample, an, ac) within all limits, which are inclusive.
+
+    A missing quality fails a limit above 0.  Frequencies have a tiny pseudo-count, so that a variant
+    without calls has one of a half.
+    """
+    freq = (F.col("ac") + 5e-11) / (F.col("an") + 1e-10)
+    rare, rest = F.least("ac", F.col("an") - F.col("ac")), F.least(freq, 1 - freq)
+    kept = (F.coalesce("qual", F.lit(0.0)) >= min_qual) & F.col("n_allele").between(*alleles) & (F.col("an") / (2 * F.col("n_sample")) >= min_callrate)
+    kept = kept & F.col("ac").between(*ac) & rare.between(*mac) & freq.between(*af) & rest.between(*maf)
+    if snps_only:
+        kept = kept & (F.length("ref") == 1) & (F.length("alt") == 1)
+    return counts.where(kept)
+
+
+def biallelic_snps(variants: DataFrame, strict: bool) -> DataFrame:
+    """Variants (ref, alts) with alt, one base each: by default the first base of the first alternative
+    stands for any variant; ``strict`` keeps those with one alternative of one base alone."""
+    rows = variants.where((F.size("alts") == 1) & (F.length("ref") == 1) & (F.length(F.col("alts")[0]) == 1)) if strict else variants
+    return rows.withColumns({"ref": F.left("ref", F.lit(1)), "alt": F.left(F.col("alts")[0], F.lit(1))}).drop("alts")
+
+
+def attached(snps: DataFrame, genotypes: DataFrame) -> DataFrame:
+    """Every variant of a pileup (chrom, pos, ref, alt) with its genotypes, null where place and alleles
+    are not in the panel; genotypes: chrom, pos, ref, alt once each, and what is to be attached."""
+    return snps.join(genotypes, ["chrom", "pos", "ref", "alt"], "left")

@@ -51,3 +51,33 @@ def parse_region(text: Column) -> Column:
     beg = F.when(is_dash, dashed[0].cast("long")).when(is_len, part[1].cast("long")).otherwise(F.lit(1))
     end = F.when(is_dash & (F.size(dashed) > 1), dashed[1].cast("long")).when(is_len, part[1].cast("long") + part[2].cast("long") - 1)
     return F.struct(part[0].alias("chrom"), beg.cast("long").alias("beg"), end.cast("long").alias("end"), F.when(F.size(part) >= 4, part[3]).alias("strand"))
+
+
+def overlap_bases(a_beg: Column, a_end: Column, b_beg: Column, b_end: Column) -> Column:
+    """The positions that two intervals share."""
+    return F.greatest(F.least(a_end, b_end) - F.greatest(a_beg, b_beg) + 1, F.lit(0))
+
+
+def within_region(rows: DataFrame, chrom: str, beg: int, end: int) -> DataFrame:
+    """Intervals (chrom, beg, end) cut to a region; those outside it are left out."""
+    cut = rows.where((F.col("chrom") == chrom) & (F.col("beg") <= end) & (F.col("end") >= beg))
+    return cut.withColumns({"beg": F.greatest("beg", F.lit(beg)), "end": F.least("end", F.lit(end))})
+
+
+def shared_contigs(reads: DataFrame, variants: DataFrame) -> DataFrame:
+    """(chrom, read_at, variant_at) of the contigs that both lists (chrom, at) name, and in_order: whether
+    the lists agree up to there; callers refuse lists that don't, or share nothing.  A row for each contig."""
+    both = reads.select("chrom", F.col("at").alias("read_at")).join(variants.select("chrom", F.col("at").alias("variant_at")), "chrom")
+    before = F.max("variant_at").over(Window.orderBy("read_at").rowsBetween(Window.unboundedPreceding, -1))
+    return both.withColumn("in_order", F.coalesce(before < F.col("variant_at"), F.lit(True)))
+
+
+def chunked_paths(contigs: DataFrame, pattern: str, unit: int) -> DataFrame:
+    """(chrom, beg, end, path) for each stretch of ``unit`` positions of the contigs (chrom, length): the
+    pattern with {CHR}, {BEG} and {END} filled in."""
+    rows = contigs.select("chrom", "length", F.explode(F.sequence(F.lit(1).cast("long"), F.col("length"), F.lit(unit).cast("long"))).alias("beg"))
+    rows = rows.withColumn("end", F.least(F.col("beg") + unit - 1, F.col("length")))
+    path = F.lit(pattern)
+    for name, column in (("{CHR}", F.col("chrom")), ("{BEG}", F.col("beg").cast("string")), ("{END}", F.col("end").cast("string"))):
+        path = F.replace(path, F.lit(name), column)
+    return rows.select("chrom", "beg", "end", path.alias("path"))

@@ -11,18 +11,18 @@ FLOOR = 1e-6
 STATES = [(g1, g2) for g1 in range(3) for g2 in range(3)]
 
 
-def genotype_pairs(unique: DataFrame, alpha: float = 0.5) -> DataFrame:
+def genotype_pairs(unique: DataFrame, alpha: float = 0.5, other_as_alt: bool = False) -> DataFrame:
     """(cell_id, snp_id, n_obs, g0 ... g8): likelihoods of nine pairs of genotypes, summing to 1.
 
     A droplet holds genotype g1 with share 1 - alpha and g2 with share alpha; other alleles count as
-    observations but say nothing.
+    observations but say nothing or, if asked, what an alternative one says.
     """
     e = error_probability(F.col("bq"))
     terms = []
     for g1, g2 in STATES:
         f = (g1 * (1 - alpha) + g2 * alpha) / 2
         terms.append(F.ln((1 - e) * F.when(F.col("allele") == 0, F.lit(1 - f)).otherwise(F.lit(f)) + e / 4))
-    told = F.col("allele") <= 1
+    told = F.col("allele") <= (2 if other_as_alt else 1)
     sums = unique.groupBy("cell_id", "snp_id").agg(F.count("*").alias("n_obs"), *(F.coalesce(F.sum(F.when(told, t)), F.lit(0.0)).alias(f"s{k}") for k, t in enumerate(terms)))
     top = F.greatest(*(F.col(f"s{k}") for k in range(9)))
     raw = sums.select("cell_id", "snp_id", "n_obs", *(F.exp(F.col(f"s{k}") - top).alias(f"e{k}") for k in range(9)))
@@ -32,6 +32,30 @@ def genotype_pairs(unique: DataFrame, alpha: float = 0.5) -> DataFrame:
     return floored.select("cell_id", "snp_id", "n_obs", *((F.col(f"h{k}") / total).alias(f"g{k}") for k in range(9)))
 
 
+def single_genotypes(unique: DataFrame) -> DataFrame:
+    """(cell_id, snp_id, n_obs, g0, g1, g2): likelihoods of one genotype, floored, summing to 1; each of
+    the other three bases has a third of the error."""
+    e = error_probability(F.col("bq"))
+    terms = [F.when(F.col("allele") == 0, 1 - e).otherwise(e / 3), 0.5 - e / 3, F.when(F.col("allele") == 1, 1 - e).otherwise(e / 3)]
+    told = F.col("allele") <= 1
+    sums = unique.groupBy("cell_id", "snp_id").agg(F.count("*").alias("n_obs"), *(F.coalesce(F.sum(F.when(told, F.ln(t))), F.lit(0.0)).alias(f"s{k}") for k, t in enumerate(terms)))
+    raw = [F.exp(F.col(f"s{k}") - F.greatest("s0", "s1", "s2")) for k in range(3)]
+    floored = sums.select("cell_id", "snp_id", "n_obs", *(F.greatest(x / added(raw), F.lit(FLOOR)).alias(f"h{k}") for k, x in enumerate(raw)))
+    return floored.select("cell_id", "snp_id", "n_obs", *((F.col(f"h{k}") / F.expr("h0 + h1 + h2")).alias(f"g{k}") for k in range(3)))
+
+
+def unspecified_pairs(mix: DataFrame, posteriors: DataFrame, donors: int, n: int = 1) -> DataFrame:
+    """(cell_id, llk0: of two unknown donors, llk: array, of each donor with an unknown one) at one share;
+    an unknown donor has the donors' mean genotype."""
+    p = lambda j, g: F.col("p")[3 * j + g]
+    mean = [added([p(j, g) for j in range(donors)]) / donors for g in range(3)]
+    rows = mix.join(posteriors, "snp_id").select("cell_id", "p", *(m.alias(f"u{g}") for g, m in enumerate(mean)), *(f"m{n}_{a}{b}" for a, b in STATES))
+    both = F.ln(added([F.col(f"u{a}") * F.col(f"u{b}") * F.col(f"m{n}_{a}{b}") for a, b in STATES]))
+    one = lambda j: F.ln(added([p(j, a) * F.col(f"u{b}") * F.col(f"m{n}_{a}{b}") for a, b in STATES]))
+    sums = rows.groupBy("cell_id").agg(F.sum(both).alias("llk0"), *(F.sum(one(j)).alias(f"x{j}") for j in range(donors)))
+    return sums.select("cell_id", "llk0", F.array(*(f"x{j}" for j in range(donors))).alias("llk"))
+
+
 def singlet_scores(gl: DataFrame, snps: DataFrame) -> DataFrame:
     """Per droplet the log likelihoods of one and of two unrelated genotypes, and their difference."""
     p = hardy_weinberg(F.col("af"))

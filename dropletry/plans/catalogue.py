@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dropletry.plans import counting, single_cell
+from dropletry.plans import alleles, counting, filtering, files, linking, single_cell
 
-QUERIES = {**single_cell.QUERIES, **counting.QUERIES}
-ORACLE_SQL = {**single_cell.ORACLE_SQL, **counting.ORACLE_SQL}
+_MODULES = (single_cell, counting, alleles, linking, filtering, files)
+QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}

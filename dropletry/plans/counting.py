@@ -1,11 +1,10 @@
-"""Queries on intervals, counts, graphs and the filter language."""
+"""Queries on intervals, counts and graphs."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dropletry.functions.predicate import Predicate
 from dropletry.functions.phred import string_hash
 from dropletry.operators import clusters, expression, intervals
 from dropletry.plans.adapters import table
@@ -123,46 +122,12 @@ def louvain_pass(s: SparkSession, f: str) -> DataFrame:
     return clusters.louvain_round(edges, start).withColumn("gain", F.round("gain", 6))
 
 
-def records(s: SparkSession, f: str) -> DataFrame:
-    """An order as a variant record: QUAL, TYPE, AC (several values, some missing), DP (one a sample)."""
-    lines = table(s, f, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_quantity", "l_suppkey").alias("x"))
-    many = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    ac = F.transform("xs", lambda x: F.when(x["l_partkey"] % 5 != 0, x["l_quantity"]))
-    dp = F.transform("xs", lambda x: (x["l_partkey"] % 40).cast("double"))
-    return table(s, f, "orders").join(many, F.col("o_orderkey") == F.col("l_orderkey")).select(
-        "o_orderkey", (F.col("o_totalprice") / 1000).alias("QUAL"), F.col("o_orderstatus").alias("STATUS"), F.col("o_orderpriority").alias("ID"), ac.alias("AC"), dp.alias("DP"), F.transform("xs", lambda x: x["l_quantity"]).alias("GQ")
-    )
-
-
-PREDICATES = {
-    "predicate_compare": ('QUAL>100 && (STATUS="O,F" || QUAL/2<30)', "qual > 100 AND (status IN ('O','F') OR qual / 2 < 30)"),
-    "predicate_any_element": ("AC>=45", "len(list_filter(ac, lambda x: x >= 45)) > 0"),
-    "predicate_missing": ("AC!=10 && MAX(AC)>40", "len(list_filter(ac, lambda x: x IS NULL OR x <> 10)) > 0 AND list_max(ac) > 40"),
-    "predicate_regex": ('ID~"^[12]-urg"/i || ID!~"[A-Z]"', "regexp_matches(id, '^[12]-urg', 'i') OR NOT regexp_matches(id, '[A-Z]')"),
-    "predicate_aggregates": ("AVG(GQ)>30 & MEDIAN(GQ)<35 & COUNT(GQ)>2", "list_avg(gq) > 30 AND list_median(gq) < 35 AND len(gq) > 2"),
-    "predicate_subscript": ("GQ[0]>25 && GQ[1-]<20", "gq[1] > 25 AND len(list_filter(gq[2:], lambda x: x < 20)) > 0"),
-    "predicate_same_sample": ("FMT/DP>20 & FMT/GQ>30", "len(list_filter(range(1, len(dp) + 1), lambda i: dp[i] > 20 AND gq[i] > 30)) > 0"),
-    "predicate_any_sample": ("FMT/DP>20 && FMT/GQ>30", "list_max(dp) > 20 AND list_max(gq) > 30"),
-    "predicate_pass_share": ("F_PASS(FMT/DP>20)>=0.5", "len(list_filter(dp, lambda x: x > 20)) / len(dp) >= 0.5"),
-}
-FIELDS = {"QUAL": "number", "STATUS": "string", "ID": "string", "AC": "numbers", "GQ": "numbers", "DP": "samples"}
-
-
-def predicate(text: str):
-    fields = FIELDS | ({"GQ": "samples"} if "FMT/GQ" in text else {})
-
-    def query(s: SparkSession, f: str) -> DataFrame:
-        return records(s, f).where(Predicate(fields).compile(text)).select("o_orderkey")
-
-    return query
-
-
 QUERIES = {
     "merge_intervals": merge_intervals, "interval_total_length": interval_total_length, "range_join_points": range_join_points, "range_join_contains": range_join_contains,
     "range_join_stranded": range_join_stranded, "region_parse": region_parse, "dge_counts": dge_counts, "dge_unique_gene": dge_unique_gene, "hash_chunks": hash_chunks,
     "barcode_prefix_hist": barcode_prefix_hist, "tx_fractional_counts": tx_fractional_counts, "multinom_em_step": multinom_em_step, "simulated_mux": simulated_mux,
     "variant_classify": variant_classify, "louvain_pass": louvain_pass,
-} | {name: predicate(text) for name, (text, _) in PREDICATES.items()}
+}
 
 # ---- The same in SQL ----
 _SPANS = "iv AS (SELECT DISTINCT o_orderpriority AS chrom, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) * 400 + o_orderkey % 400 AS beg, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) * 400 + o_orderkey % 400 + o_custkey % 20 AS \"end\" FROM orders)"
@@ -175,9 +140,6 @@ _SEGMENTS = f"""seg AS (SELECT l_suppkey AS cell_id, l_orderkey AS umi, l_return
   gene AS (SELECT p_brand || '-' || p_partkey AS element, {_CHROM.format('p_partkey')} AS chrom, CASE WHEN p_size % 2 = 0 THEN 'O' ELSE 'F' END AS strand, p_partkey * 10 AS b_beg, p_partkey * 10 + p_size AS b_end FROM part),
   hit AS (SELECT * FROM seg JOIN gene USING (chrom, strand) WHERE a_beg <= b_end AND b_beg <= a_end)"""
 _HASH = "list_reduce(list_prepend({1}::BIGINT, list_transform(string_split({0}, ''), lambda c: ord(c)::BIGINT)), lambda h, c: (h * 101 + c) % 4294967296)"
-_RECORDS = """x AS (SELECT l_orderkey, list(CASE WHEN l_partkey % 5 <> 0 THEN l_quantity END ORDER BY l_linenumber, l_partkey, l_quantity, l_suppkey) AS ac,
-    list(CAST(l_partkey % 40 AS DOUBLE) ORDER BY l_linenumber, l_partkey, l_quantity, l_suppkey) AS dp, list(l_quantity ORDER BY l_linenumber, l_partkey, l_quantity, l_suppkey) AS gq FROM lineitem GROUP BY 1),
-  rec AS (SELECT o_orderkey, CAST(o_totalprice / 1000 AS FLOAT) AS qual, o_orderstatus AS status, o_orderpriority AS id, ac, dp, gq FROM orders JOIN x ON o_orderkey = l_orderkey)"""
 ORACLE_SQL = {
     "merge_intervals": f"WITH {_MERGED} SELECT * FROM merged",
     "interval_total_length": f'WITH {_MERGED} SELECT chrom, CAST(sum("end" - beg + 1) AS BIGINT) AS bases FROM merged GROUP BY 1',
@@ -194,4 +156,4 @@ ORACLE_SQL = {
     "simulated_mux": f"SELECT CASE WHEN {_HASH.format("('u' || o_orderkey)", 0)} % 65535 < 32767 THEN o_custkey || '.' || (o_custkey + 1) ELSE (o_custkey + 1) || '.' || o_custkey END AS merged, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1",
     "variant_classify": "WITH v AS (SELECT substr('ACGTACGTAC', p_partkey % 7 % 4 + 1, p_partkey % 7 % 3 + 1) AS ref, CASE WHEN p_partkey % 11 = 10 THEN '<DEL>' ELSE substr('ACGTACGTAC', p_partkey % 11 % 4 + 1, p_partkey % 11 % 3 + 1) END AS alt FROM part) SELECT ref, alt, count(*) AS n, CASE WHEN alt[1] = '<' THEN 'SV' WHEN ref = alt THEN 'REF' WHEN len(ref) = len(alt) AND len(ref) = 1 THEN 'SNP' WHEN len(ref) = len(alt) THEN 'MNP' WHEN len(ref) < len(alt) AND starts_with(alt, ref) THEN 'INS' WHEN len(ref) > len(alt) AND starts_with(ref, alt) THEN 'DEL' ELSE 'COMPLEX' END AS class, (ref || alt) IN ('AG', 'GA', 'CT', 'TC') AS ts FROM v GROUP BY 1, 2",
     "louvain_pass": "WITH e AS (SELECT least(c_nationkey, s_nationkey) AS src, greatest(c_nationkey, s_nationkey) AS dst, CAST(count(*) AS DOUBLE) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY 1, 2), b AS (SELECT src, dst, w FROM e UNION ALL SELECT dst, src, w FROM e), d AS (SELECT src AS node, sum(w) AS degree FROM b GROUP BY 1), c AS (SELECT n_nationkey AS node, n_nationkey % 6 AS community FROM nation), m AS (SELECT sum(w) AS m2 FROM b), t AS (SELECT community, sum(degree) AS total FROM d JOIN c USING (node) GROUP BY 1), o AS (SELECT node, community, sum(w_in) AS w_in FROM (SELECT src AS node, community, w AS w_in FROM b JOIN c ON dst = node UNION ALL SELECT node, community, 0e0 FROM c) GROUP BY 1, 2), s AS (SELECT o.node, o.community, c.community AS own, w_in - degree * (total - CASE WHEN o.community = c.community THEN degree ELSE 0e0 END) / m2 AS gain FROM o JOIN c ON o.node = c.node JOIN d ON o.node = d.node JOIN t ON o.community = t.community CROSS JOIN m) SELECT node, community, round(gain, 6) AS gain FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, CASE WHEN community <> own THEN 1 ELSE 0 END, community) AS r FROM s) WHERE r = 1",
-} | {name: f"WITH {_RECORDS} SELECT o_orderkey FROM rec WHERE {sql}" for name, (_, sql) in PREDICATES.items()}
+}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Gene types usually counted; fixed values.
-COMMON_GENE_TYPES = ("protein_coding", "lincRNA", "antisense", "IG_LV_gene", "IG_V_gene", "IG_V_pseudogene", "IG_D_gene", "IG_J_gene", "IG_J_pseudogene", "IG_C_gene", "IG_C_pseudogene", "TR_V_gene", "TR_V_pseudogene", "TR_D_gene", "TR_J_gene", "TR_J_pseudogene", "TR_C_gene")
+COMMON_GENE_TYPES = ("protein_coding", "lincRNA", "antisense", "IG_LV_gene", "IG_V_gene", "IG_LV_pseudogene", "IG_D_gene", "IG_J_gene", "IG_J_pseudogene", "IG_C_gene", "IG_C_pseudogene", "TR_V_gene", "TR_V_pseudogene", "TR_D_gene", "TR_J_gene", "TR_J_pseudogene", "TR_C_gene")
 
 
 def read_gtf(spark: SparkSession, path: str, gene_types: tuple[str, ...] | None = None, add_chr: bool = False, remove_chr: bool = False) -> DataFrame:
@@ -95,3 +95,16 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     first = lines.agg(F.min("at").alias("first"))
     f = F.split("value", " ")
     return lines.join(F.broadcast(first)).where(F.col("at") != F.col("first")).select(F.get(f, F.lit(0)).try_cast("long").alias("i"), F.get(f, F.lit(1)).try_cast("long").alias("j"), F.get(f, F.lit(2)).try_cast("long").alias("n"))
+
+
+def gene_predictions(rows: DataFrame) -> DataFrame:
+    """A row for each transcript (transcript_id, gene_id, chrom, strand, feature, beg, end): its extent, coding
+    extent and exons as comma-ended lists, begins counted from 0; without coding rows both ends are its end."""
+    exons = F.array_sort(F.collect_list(F.when(F.col("feature") == "exon", F.struct("beg", "end"))))
+    listed = lambda side: F.array_join(F.transform("exons", lambda x: F.concat(side(x).cast("string"), F.lit(","))), "")
+    coding = lambda c: F.when(F.col("feature") == "CDS", F.col(c))
+    out = rows.groupBy("transcript_id").agg(
+        *(F.min(c).alias(c) for c in ("gene_id", "chrom", "strand")), (F.min("beg") - 1).alias("tx_beg"), F.max("end").alias("tx_end"),
+        F.coalesce(F.min(coding("beg")) - 1, F.max("end")).alias("cds_beg"), F.coalesce(F.max(coding("end")), F.max("end")).alias("cds_end"), exons.alias("exons"),
+    )
+    return out.select("*", F.size("exons").cast("long").alias("n_exon"), listed(lambda x: x["beg"] - 1).alias("exon_begs"), listed(lambda x: x["end"]).alias("exon_ends")).drop("exons")

@@ -42,8 +42,9 @@ def genotypes(variants: DataFrame, names: list[str], keep: list[str] | None = No
 
 
 def extracted(variants: DataFrame, keys: DataFrame) -> DataFrame:
-    """The variants whose chrom, pos and ref are listed."""
-    return variants.join(keys.select("chrom", "pos", "ref").distinct(), ["chrom", "pos", "ref"], "left_semi")
+    """The variants whose chrom, pos, ref and first alternative allele are listed."""
+    listed = keys.select("chrom", "pos", "ref", "alt").distinct()
+    return variants.withColumn("alt", F.col("alts")[0]).join(listed, ["chrom", "pos", "ref", "alt"], "left_semi").select(variants.columns)
 
 
 def write_vcf(calls: DataFrame, path: str, samples: int) -> None:
