@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,17 +13,7 @@ from pyspark.sql import functions as F
 from dropletry.functions.phred import added, hardy_weinberg, string_hash
 from dropletry.operators.demux import best_and_next, calls
 from dropletry.operators.likelihood import FLOOR
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` in the cluster's checkpoint folder, which every executor shares."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+from dropletry.operators.ranking import numbered, saved
 
 
 def merged_in_order(gl: DataFrame, assigned: DataFrame) -> DataFrame:
@@ -60,8 +49,7 @@ def first_share(order: DataFrame, share: float) -> DataFrame:
 
 def shuffled(rows: DataFrame, key: str, seed: int = 0) -> DataFrame:
     """(key, at): a random order, from 0, by the hash of the key and a seed."""
-    draw = string_hash(F.col(key).cast("string"), seed)
-    return rows.select(key, (F.row_number().over(Window.orderBy(draw, key)) - 1).cast("long").alias("at"))
+    return numbered(rows.select(key), "at", string_hash(F.col(key).cast("string"), seed), F.col(key))
 
 
 def voted_clusters(distances: DataFrame, assigned: DataFrame) -> DataFrame:

@@ -123,6 +123,17 @@ def mixture_step(counts: DataFrame, weights: DataFrame, k: int, pseudo: float =
     return scored.select("cell_id", F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b)).alias("w"))
 
 
+def mixture_tables(counts: DataFrame, weights: DataFrame, k: int, pseudo: float = 0.5) -> DataFrame:
+    """(table, gene, component, value): the share of each component, and of each gene in a component, that
+    responsibilities (cell_id, w) give."""
+    profile = counts.join(weights, "cell_id").groupBy("gene").agg(*((F.sum(F.col("n") * F.col("w")[j]) + pseudo).alias(f"p{j}") for j in range(k)))
+    totals = F.broadcast(profile.agg(*(F.sum(f"p{j}").alias(f"t{j}") for j in range(k))))  # one row
+    long = lambda value: F.explode(F.array(*(F.struct(F.lit(j).alias("component"), value(j).alias("value")) for j in range(k)))).alias("x")
+    genes = profile.join(totals).select(F.lit("profile").alias("table"), "gene", long(lambda j: F.col(f"p{j}") / F.col(f"t{j}"))).select("table", "gene", "x.*")
+    means = weights.agg(*(F.avg(F.col("w")[j]).alias(f"m{j}") for j in range(k))).select(F.lit("share").alias("table"), F.lit(None).cast(dict(profile.dtypes)["gene"]).alias("gene"), long(lambda j: F.col(f"m{j}"))).select("table", "gene", "x.*")
+    return means.unionByName(genes)
+
+
 def multiplexed(reads: DataFrame, partners: DataFrame, alpha: float = 0.5) -> DataFrame:
     """Reads (barcode, umi) whose barcode becomes "a.b" of a pair (barcode, partner) by their UMI's hash."""
     joined = reads.join(partners, "barcode")

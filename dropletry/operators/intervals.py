@@ -6,15 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def merge_overlaps(rows: DataFrame, touching: bool = False) -> DataFrame:
-    """(chrom, beg, end) with overlapping intervals merged; those that only touch merge if asked."""
-    before = Window.partitionBy("chrom").orderBy("beg", "end").rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.max("end").over(before)
+def merge_overlaps(rows: DataFrame, touching: bool = False, width: int = 1 << 16) -> DataFrame:
+    """(chrom, beg, end) with overlapping intervals merged; those that only touch merge if asked.
+
+    Intervals are walked within bins of ``width`` begins.  What reaches into a bin from before, and how
+    many merged ones begin before it, follow from a row for each bin; so no task walks a whole contig.
+    """
+    bins = Window.partitionBy("chrom").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("chrom", "bin").orderBy("beg", "end")
+    placed = rows.select("chrom", "beg", "end").distinct().withColumn("bin", F.floor(F.col("beg") / width))
+    before = placed.groupBy("chrom", "bin").agg(F.max("end").alias("most")).withColumn("reach", F.max("most").over(bins)).drop("most")
+    reach = F.greatest("reach", F.max("end").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
     new = F.when(reach.isNull() | (F.col("beg") > reach + int(touching)), 1).otherwise(0)
-    marked = rows.select("chrom", "beg", "end").distinct().withColumn("new", new)
-    upto = Window.partitionBy("chrom").orderBy("beg", "end").rowsBetween(Window.unboundedPreceding, 0)
-    islands = marked.withColumn("island", F.sum("new").over(upto))
-    return islands.groupBy("chrom", "island").agg(F.min("beg").alias("beg"), F.max("end").alias("end")).drop("island")
+    marked = placed.join(before, ["chrom", "bin"]).withColumn("new", new).drop("reach")
+    upto = marked.withColumn("own", F.sum("new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    starts = marked.groupBy("chrom", "bin").agg(F.sum("new").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(bins), F.lit(0))).drop("n")
+    islands = upto.join(starts, ["chrom", "bin"]).groupBy("chrom", (F.col("start") + F.col("own")).alias("island"))
+    return islands.agg(F.min("beg").alias("beg"), F.max("end").alias("end")).drop("island")
 
 
 def total_length(merged: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dropletry.functions.phred import added, error_probability, hardy_weinberg
+from dropletry.operators.ranking import numbered
 
 FLOOR = 1e-6
 STATES = [(g1, g2) for g1 in range(3) for g2 in range(3)]
@@ -67,7 +68,7 @@ def singlet_scores(gl: DataFrame, snps: DataFrame) -> DataFrame:
 
 def ranked(scores: DataFrame) -> DataFrame:
     """Droplets by score, best first; of equal ones the larger id comes first."""
-    return scores.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("cell_id"))))
+    return numbered(scores, "rank", F.desc("score"), F.desc("cell_id")).withColumn("rank", (F.col("rank") + 1).cast("int"))
 
 
 def distances(gl: DataFrame, clusters: DataFrame, snps: DataFrame) -> DataFrame:

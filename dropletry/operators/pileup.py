@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dropletry.operators.ranking import numbered
+
 
 def dedup_umis(obs: DataFrame, order: list[str]) -> DataFrame:
     """The first allele and quality of each (snp_id, cell_id, umi), and how many reads gave one."""
@@ -27,7 +29,7 @@ def passing_cells(cells: DataFrame, min_read: int = 0, min_umi: int = 0, min_snp
 def first_seen(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """(key, id): dense ids from 0 in the order in which keys appear."""
     seen = rows.groupBy(key).agg(F.min(F.struct(*order)).alias("first"))
-    return seen.select(key, (F.row_number().over(Window.orderBy("first", key)) - 1).cast("long").alias("id"))
+    return numbered(seen, "id", F.col("first"), F.col(key)).select(key, "id")
 
 
 def pileup_strings(unique: DataFrame) -> DataFrame:

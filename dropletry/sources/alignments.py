@@ -11,7 +11,12 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
 
     Compressed files are read by their suffix; a path may be a pattern.
     """
-    lines = spark.read.text(path).where(~F.col("value").startswith("@") & (F.col("value") != ""))
+    return parse_sam(spark.read.text(path))
+
+
+def parse_sam(lines: DataFrame) -> DataFrame:
+    """The records of lines (value), as ``read_sam`` gives them."""
+    lines = lines.where(~F.col("value").startswith("@") & (F.col("value") != ""))
     f = F.split("value", "\t")
     pair = lambda t: F.struct(F.substring(t, 1, 2).alias("key"), F.substring(t, 6, 1 << 30).alias("value"))
     tags = F.map_from_entries(F.transform(F.slice(f, 12, 1 << 20), pair))
@@ -21,9 +26,28 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def in_regions(reads: DataFrame, chrom: str, beg: int, end: int) -> DataFrame:
-    """Reads that start in a region, 1-based and closed."""
-    return reads.where((F.col("chrom") == chrom) & F.col("pos0").between(beg - 1, end - 1))
+def in_regions(reads: DataFrame, regions: list[tuple[str, int, int]]) -> DataFrame:
+    """Reads that start in one of some regions (chrom, beg, end), 1-based and closed: a predicate that a
+    sorted layout prunes by; a read that two regions hold comes once."""
+    test = F.lit(False)
+    for chrom, beg, end in regions:
+        test = test | ((F.col("chrom") == chrom) & F.col("pos0").between(beg - 1, end - 1))
+    return reads.where(test)
+
+
+def overlapping(reads: DataFrame, intervals: DataFrame, width: int = 1024) -> DataFrame:
+    """Reads that overlap an interval (chrom, beg, end; 1-based, closed) of a list of any length, once each;
+    by the places of the read's first and last aligned base."""
+    from dropletry.operators.alleles import read_ends
+    from dropletry.operators.intervals import merge_overlaps, range_join
+
+    targets = merge_overlaps(intervals).withColumnsRenamed({"beg": "b_beg", "end": "b_end"})
+    placed = reads.withColumns({"a_beg": F.col("pos0") + 1, "a_end": read_ends(F.col("pos0"), F.col("cigar"))["end"]})
+    hits = range_join(placed, targets, width)
+    # Merged targets are apart, so a read over several of them counts at the first.
+    first = hits.groupBy(*(c for c in reads.columns if c != "tags"), F.to_json("tags").alias("tags")) if "tags" in reads.columns else hits.groupBy(*reads.columns)
+    out = first.agg(F.min("b_beg").alias("b_beg")).drop("b_beg")
+    return out.withColumn("tags", F.from_json("tags", "map<string,string>")).select(reads.columns) if "tags" in reads.columns else out.select(reads.columns)
 
 
 def cigar_parts(cigar: Column) -> Column:

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dropletry.functions.filters import alleles_of
+
 
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     """chrom, pos (1-based), id, ref, alts, qual, filters, info (map; flags map to ""), and samples, an
     array of maps from FORMAT keys to values, in the header's order.  "." is null."""
-    lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.col("value") != ""))
+    return parse_vcf(spark.read.text(path))
+
+
+def parse_vcf(lines: DataFrame) -> DataFrame:
+    """The records of lines (value), as ``read_vcf`` gives them."""
+    lines = lines.where(~F.col("value").startswith("#") & (F.col("value") != ""))
     f = F.split("value", "\t")
     known = lambda c: F.when(c != ".", c)
     pair = lambda x: F.struct(F.split(x, "=", 2)[0].alias("key"), F.coalesce(F.get(F.split(x, "=", 2), F.lit(1)), F.lit("")).alias("value"))
@@ -23,21 +30,35 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def sample_names(spark: SparkSession, path: str) -> list[str]:
-    """The samples of a file, from its one header line."""
-    header = spark.read.text(path).where(F.col("value").startswith("#CHROM")).first()
-    return header["value"].split("\t")[9:] if header else []
+def sample_names(spark: SparkSession, path: str, header: str | None = None) -> list[str]:
+    """The samples of a file, from its one header line, or from that of another file named ``header``."""
+    line = spark.read.text(header or path).where(F.col("value").startswith("#CHROM")).first()
+    return line["value"].split("\t")[9:] if line else []
+
+
+def read_variants(spark: SparkSession, path: str, include: Column | None = None, exclude: Column | None = None, filters: list[str] | None = None, keys: DataFrame | None = None) -> DataFrame:
+    """``read_vcf`` with its filters: wanted FILTER values, a list of variants, and one condition to include
+    or to exclude records by."""
+    from dropletry.operators.genotypes import with_filters
+
+    if include is not None and exclude is not None:
+        raise ValueError("records are either included or excluded by a condition")
+    rows = with_filters(read_vcf(spark, path), filters or [])
+    rows = rows if keys is None else extracted(rows, keys)
+    return rows.where(F.coalesce(include, F.lit(False))) if include is not None else rows.where(~F.coalesce(exclude, F.lit(False))) if exclude is not None else rows
 
 
 def genotypes(variants: DataFrame, names: list[str], keep: list[str] | None = None) -> DataFrame:
-    """(chrom, pos, ref, alt, sample, gt: copies of the first alternative allele or null).
+    """(chrom, pos, ref, alt, sample, alleles: their numbers, gt: those that are not the reference's).
+
+    gt is null where an allele is missing; alleles holds null there, and one number where haploid.
 
     ``keep``: these samples only, in the order of their names.
     """
     rows = variants.select("chrom", "pos", "ref", F.col("alts")[0].alias("alt"), F.posexplode("samples").alias("at", "s"))
-    called = F.split(F.col("s")["GT"], "[/|]")
-    gt = F.when(F.exists(called, lambda a: a != "."), F.size(F.filter(called, lambda a: a == "1")).cast("long"))
-    rows = rows.withColumn("sample", F.get(F.array(*(F.lit(n) for n in names)), F.col("at"))).withColumn("gt", gt).drop("s", "at")
+    called = alleles_of(F.col("s")["GT"])
+    gt = F.when(F.forall(called, lambda a: a.isNotNull()), F.size(F.filter(called, lambda a: a > 0)).cast("long"))
+    rows = rows.withColumn("sample", F.get(F.array(*(F.lit(n) for n in names)), F.col("at"))).withColumns({"alleles": called, "gt": gt}).drop("s", "at")
     return rows.where(F.col("sample").isin(sorted(keep))) if keep else rows
 
 
@@ -47,10 +68,15 @@ def extracted(variants: DataFrame, keys: DataFrame) -> DataFrame:
     return variants.withColumn("alt", F.col("alts")[0]).join(listed, ["chrom", "pos", "ref", "alt"], "left_semi").select(variants.columns)
 
 
-def write_vcf(calls: DataFrame, path: str, samples: int) -> None:
-    """One line for each variant (chrom, pos, ref, alt, s0, s1, ...: the samples' GT:... texts), sorted."""
+def sample_text(fields: dict[str, Column]) -> tuple[str, Column]:
+    """FORMAT and a sample's text of fields in their order; a missing value is "."."""
+    return ":".join(fields), F.concat_ws(":", *(F.coalesce(c.cast("string"), F.lit(".")) for c in fields.values()))
+
+
+def write_vcf(calls: DataFrame, path: str, samples: int, form: str = "GT:GQ") -> None:
+    """One line for each variant (chrom, pos, ref, alt, s0, s1, ...: the samples' texts in ``form``), sorted."""
     columns = [f"s{k}" for k in range(samples)]
     head = "\n".join(["##fileformat=VCFv4.2", "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *columns])])
-    line = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.lit("."), "ref", "alt", F.lit("."), F.lit("PASS"), F.lit("."), F.lit("GT:GQ"), *(F.coalesce(c, F.lit("./.:0")) for c in columns))
+    line = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.lit("."), "ref", "alt", F.lit("."), F.lit("PASS"), F.lit("."), F.lit(form), *(F.coalesce(c, F.lit("./.")) for c in columns))
     body = calls.orderBy("chrom", "pos").select(line.alias("value"))
     calls.sparkSession.createDataFrame([(head,)], "value string").coalesce(1).unionByName(body).write.mode("overwrite").text(path, compression="gzip")

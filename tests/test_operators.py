@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from dropletry.functions.phred import error_probability
-from dropletry.functions.predicate import Predicate, PredicateError
-from dropletry.operators import clusters, demux, genotypes, intervals, likelihood, pileup, reads
+from dropletry.functions import filters
+from dropletry.operators import alleles, clusters, demux, genotypes, intervals, likelihood, pileup, ranking, reads
 
 
 def test_phred_edges(spark):
@@ -147,25 +147,74 @@ def test_dosage_counts(spark):
 RECORDS = [(1, 50.0, [1.0, None], ["hom", "x"], [10.0, 30.0], [5.0, 50.0]), (2, None, [], None, [40.0, 1.0], [1.0, 60.0]), (3, 20000000.0, [3.0], ["y"], [None, 2.0], [7.0, 8.0])]
 
 
-@pytest.mark.parametrize(
-    "text, wanted",
-    [
-        ("QUAL>30", {1, 3}), ('QUAL="."', set()), ("AC=1", {1}), ("AC!=1", {1, 2, 3}), ("QUAL!=50", {2, 3}), ("DP>20 && GQ>40", {1, 2}), ("DP>20 & GQ>40", {1}), ("DP>20 | GQ>7", {1, 2, 3}),
-        ("N_PASS(DP>5)=2", {1}), ("MAX(DP)-MIN(DP)>=20", {1, 2}), ("SUM(AC)*2=6", {3}), ("-AC<-2", {3}), ("STDEV(DP)=10", {1}), ('NAME~"^H/i" || NAME="y,z"', {3}), ('NAME~"^H"/i', {1}), ("DP[1]<2 && QUAL<1", set()),
-        ("(QUAL>30 || AC>100) && COUNT(DP)=2", {1}),
-    ],
-)
-def test_predicates(spark, text, wanted):
+def test_filters(spark):
     df = spark.createDataFrame(RECORDS, "id long, QUAL double, AC array<double>, NAME array<string>, DP array<double>, GQ array<double>")
-    p = Predicate({"QUAL": "number", "AC": "numbers", "NAME": "strings", "DP": "samples", "GQ": "samples"})
-    if text == 'QUAL="."':
-        with pytest.raises(PredicateError):
-            p.compile(text)
-        return
-    assert {r["id"] for r in df.where(p.compile(text)).collect()} == wanted
-
-
-@pytest.mark.parametrize("text", ["QUAL>", "NOPE=1", "QUAL", "QUAL>1 1", '"a">1', "QUAL ~ 3", "@"])
-def test_predicate_errors(text):
-    with pytest.raises(PredicateError):
-        Predicate({"QUAL": "number"}).compile(text)
+    qual, ac, dp, gq = F.array("QUAL"), F.col("AC"), F.col("DP"), F.col("GQ")
+    cases = [
+        (filters.any_value(qual, ">", 30), {1, 3}), (filters.any_value(ac, "==", 1), {1}), (filters.any_value(ac, "!=", 1), {1, 2, 3}), (filters.any_value(qual, "!=", 50), {2, 3}),
+        (filters.any_value(qual, "==", F.lit(None).cast("double")), {2}), (filters.any_value(dp, ">", 20) & filters.any_value(gq, ">", 40), {1, 2}),
+        (filters.same_sample(filters.by_sample(dp, ">", 20), filters.by_sample(gq, ">", 40)), {1}), (filters.passing_samples(filters.by_sample(dp, ">", 5)) == 2, {1}),
+        (filters.total(ac) * 2 == 6, {3}), (filters.stdev(dp) == 10, {1}), (filters.any_value(filters.at(dp, 1), "<", 2) & filters.any_value(qual, "<", 1), set()), (filters.median(gq) > 27, {1, 2}),
+    ]
+    for test, wanted in cases:
+        assert {r["id"] for r in df.where(test).collect()} == wanted, test
+
+
+def test_normal_form_against_single_steps(spark):
+    """Trimming and extending base by base, as the definition has it."""
+    r = random.Random(4)
+    rows = []
+    for k in range(300):
+        before = "".join(r.choice("AC") for _ in range(r.randint(1, 9)))
+        rows.append((k, 100, "".join(r.choice("AC") for _ in range(r.randint(1, 5))), "".join(r.choice("AC") for _ in range(r.randint(1, 5))), before))
+
+    def steps(pos, ref, alt, before):
+        if ref == alt:
+            return pos, ref, alt
+        while True:
+            if ref and alt and ref[-1] == alt[-1] and (before or min(len(ref), len(alt)) > 1):
+                ref, alt = ref[:-1], alt[:-1]
+            elif not ref or not alt:
+                before, base = before[:-1], before[-1]
+                pos, ref, alt = pos - 1, base + ref, base + alt
+            else:
+                break
+        while min(len(ref), len(alt)) > 1 and ref[0] == alt[0]:
+            pos, ref, alt = pos + 1, ref[1:], alt[1:]
+        return pos, ref, alt
+
+    df = spark.createDataFrame(rows, "k long, pos long, ref string, alt string, before string")
+    got = {x["k"]: tuple(x["v"]) for x in df.select("k", alleles.normalized(F.col("pos"), F.col("ref"), F.col("alt"), F.col("before")).alias("v")).collect()}
+    assert got == {k: steps(*row) for k, *row in rows}
+
+
+def test_numbering_goes_over_ranges(spark):
+    rows = spark.range(1000).select((F.col("id") * 7 % 1000).alias("v"))
+    got = ranking.numbered(rows, "at", F.desc("v")).collect()
+    assert all(r["at"] == 999 - r["v"] for r in got) and len(got) == 1000
+
+
+def test_intervals_over_bin_borders(spark):
+    r = random.Random(5)
+    rows = [("1", b, b + r.choice([0, 3, 40, 300])) for b in r.sample(range(3000), 150)]
+    merged, wanted = [], []
+    for _, b, e in sorted(rows):
+        if wanted and b <= wanted[-1][1]:
+            wanted[-1][1] = max(wanted[-1][1], e)
+        else:
+            wanted.append([b, e])
+    df = spark.createDataFrame(rows, "chrom string, beg long, end long")
+    for width in (16, 100, 1 << 16):
+        merged = sorted([x["beg"], x["end"]] for x in intervals.merge_overlaps(df, width=width).collect())
+        assert merged == wanted
+
+
+def test_stream_of_observations(spark, tmp_path):
+    from dropletry.streaming import pileup as stream
+
+    rows = [(1, 1, "u", f"2024-01-01 00:0{k}:00") for k in range(3)] + [(1, 1, "v", "2024-01-01 00:01:00")]
+    spark.createDataFrame(rows, "snp_id long, cell_id long, umi string, t string").select("snp_id", "cell_id", "umi", F.col("t").cast("timestamp").alias("t")).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("snp_id long, cell_id long, umi string, t timestamp").parquet(str(tmp_path / "in"))
+    query = stream.dedup_umis(source, "t").writeStream.format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted(r["umi"] for r in spark.table("seen").collect()) == ["u", "v"]

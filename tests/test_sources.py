@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from dropletry.operators import pileup
-from dropletry.sources import alignments, tables, variants
+from dropletry.sources import alignments, sequences, tables, variants
 
 SAM = "@HD\tVN:1.6\nr1\t0\t1\t101\t60\t5S10M2I3D10M100N20M\t*\t0\t0\t{seq}\t{qual}\tCB:Z:AA-1\tUB:Z:T:G\nr2\t4\t1\t5\t0\t4M\t*\t0\t0\tACGT\tIIII\n"
 
@@ -56,3 +56,37 @@ def test_pileup_and_matrix_files(spark, tmp_path):
     counts = spark.createDataFrame([("g1", 1, 3), ("g2", 1, 1), ("g2", 7, 2)], "element string, cell_id long, n_umi long")
     tables.write_matrix(counts, str(tmp_path / "m"))
     assert sorted(map(tuple, tables.read_matrix(spark, str(tmp_path / "m/matrix.mtx")).collect())) == [(1, 1, 3), (2, 1, 1), (2, 2, 2)]
+
+
+def test_sequences_from_files(spark, tmp_path):
+    (tmp_path / "a.fq").write_text("".join(f"@r{k} x\n{'ACGT'[: k % 4 + 1]}\n+\n{'@@@@'[: k % 4 + 1]}\n" for k in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    rows = sequences.fastq(sequences.numbered_lines(spark, str(tmp_path / "a.fq"))).collect()
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r["record"], r["name"], r["seq"]) for r in rows) == [(k, f"r{k}", "ACGT"[: k % 4 + 1]) for k in range(5000)]
+    (tmp_path / "a.fa").write_text(">c1 first\nacgt\nTTTT\ngg\n>c2\nNNCC\nA\n")
+    stretches = sequences.fasta(sequences.numbered_lines(spark, str(tmp_path / "a.fa")).select("at", "value"))
+    points = spark.createDataFrame([("c1", 2), ("c1", 5), ("c1", 10), ("c2", 3), ("c2", 5)], "chrom string, pos long")
+    assert sorted(map(tuple, sequences.bases_at(stretches, points, 4).select("chrom", "pos", "base").collect())) == [("c1", 2, "C"), ("c1", 5, "T"), ("c1", 10, "G"), ("c2", 3, "C"), ("c2", 5, "A")]
+
+
+def test_tables_stop_and_chunks_are_written(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("x 1 2.5\ny z 3\n\nq 1 1\n")
+    got = tables.read_tsv(spark, str(tmp_path / "a.tsv"), {"name": "string", "n": "int", "v": "double"}).collect()
+    assert sorted(map(tuple, got), key=str) == [("x", 1, 2.5), ("y", None, 3.0)]
+    tables.write_chunks(spark.createDataFrame([(k % 3, f"b{k}") for k in range(9)], "chunk int, barcode string"), str(tmp_path / "chunks"))
+    assert sorted(p.name for p in (tmp_path / "chunks").iterdir() if p.is_dir()) == ["chunk=0", "chunk=1", "chunk=2"]
+
+
+def test_filtered_variants_and_other_header(spark, tmp_path):
+    (tmp_path / "a.vcf").write_text("1\t10\t.\tA\tG\t30\tPASS\tDP=9\tGT\t0/2\t1/.\n1\t20\t.\tC\tT\t9\tq10\tDP=3\tGT\t1\t0/0\n1\t20\t.\tC\tA\t9\tPASS\tDP=30\tGT\t1|1\t0/0\n")
+    (tmp_path / "a.vcf.hdr").write_text("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts\tt\n")
+    path = str(tmp_path / "a.vcf")
+    assert variants.sample_names(spark, path, header=path + ".hdr") == ["s", "t"]
+    deep = F.col("info")["DP"].cast("int") > 5
+    assert [r["pos"] for r in variants.read_variants(spark, path, include=deep, filters=["PASS"]).orderBy("pos").collect()] == [10, 20]
+    assert [r["alts"] for r in variants.read_variants(spark, path, exclude=deep).collect()] == [["T"]]
+    keys = spark.createDataFrame([("1", 20, "C", "T"), ("1", 10, "A", "C")], "chrom string, pos long, ref string, alt string")
+    assert [r["alts"] for r in variants.read_variants(spark, path, keys=keys).collect()] == [["T"]]
+    calls = {(r["pos"], r["alt"], r["sample"]): (r["alleles"], r["gt"]) for r in variants.genotypes(variants.read_vcf(spark, path), ["s", "t"]).collect()}
+    assert calls[10, "G", "s"] == ([0, 2], 1) and calls[10, "G", "t"] == ([1, None], None) and calls[20, "T", "s"] == ([1], 1) and calls[20, "A", "s"] == ([1, 1], 2)
