@@ -5,15 +5,20 @@ hashed into buckets.  Each bucket's log ratio of smoothed document counts under
 scales its presence; a logistic regression over the scaled features gives the score.
 
 Fitting uses a bounded sample of labelled rows per class (``Settings.per_class``, the smallest by a
-hash of the id), weighted back to the classes' true sizes; scoring covers every whole text.
+hash of the id), weighted back to the classes' true sizes; scoring covers every whole text.  Tasks
+count the sample's features, then list each sampled text's few buckets that tell the labels apart; the
+gradient steps see only those lists.
+
 Defined results: a null or empty text is scored as one without features; labels that are null or
 not 0 or 1 are ignored; without rows of both labels every score is the share of label 1 (0.0 if
-there is none); repeated ids and equal texts get equal scores; other columns are kept, and one
-that has the score's name is replaced.
+there is none); of rows that share an id all are sampled, if it is; equal texts get equal scores; ties
+of the sample's hash go to smaller ids; very long texts are read whole; an empty table has no rows;
+other columns are kept, and one that has the score's name is replaced.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dropletry.llm.tables import release
+from dropletry.llm.tables import checkpointed, release
 
 
 @dataclass(frozen=True)
@@ -84,24 +89,42 @@ class Hasher:
         return buckets[self.last[buckets] == order]
 
 
-def fit(texts: list[str | None], labels: np.ndarray, row_weights: np.ndarray, settings: Settings) -> Model:
-    """The model of labelled texts; ``row_weights``: how many rows each stands for."""
-    size = 1 << settings.bits
+def ratios(seen: np.ndarray, docs: np.ndarray, settings: Settings) -> np.ndarray:
+    """The log ratio of each bucket from the texts that have it, 0 where it may be chance; seen, docs: by label."""
+    seen = seen + settings.smoothing
+    ratio = np.log(seen[1] / (docs[1] + 2 * settings.smoothing)) - np.log(seen[0] / (docs[0] + 2 * settings.smoothing))
+    return np.where(np.abs(ratio) >= settings.certain * np.sqrt((1 / seen).sum(axis=0)), ratio, 0.0).astype(np.float32)
+
+
+def prior(labels: np.ndarray, row_weights: np.ndarray, settings: Settings) -> Model | None:
+    """The model of labels that are all alike or absent."""
     total = row_weights.sum()
     share = float(row_weights @ labels / total) if total else 0.0
-    if not 0 < share < 1:
-        return Model(settings, np.zeros(size, np.float32), float(np.log(share + 1e-300) - np.log(1 - share + 1e-300)) if total else -500.0)
+    if 0 < share < 1:
+        return None
+    return Model(settings, np.zeros(1 << settings.bits, np.float32), float(np.log(share + 1e-300) - np.log(1 - share + 1e-300)) if total else -500.0)
+
+
+def fit(texts: list[str | None], labels: np.ndarray, row_weights: np.ndarray, settings: Settings) -> Model:
+    """The model of labelled texts; ``row_weights``: how many rows each stands for."""
+    plain = prior(labels, row_weights, settings)
+    if plain is not None:
+        return plain
     hashed = Hasher(settings)
-    seen = np.full((2, size), settings.smoothing)
+    seen = np.zeros((2, 1 << settings.bits))
     for t, label in zip(texts, labels):
         seen[int(label), hashed(t)] += 1
-    ratio = np.log(seen[1] / ((labels == 1).sum() + 2 * settings.smoothing)) - np.log(seen[0] / ((labels == 0).sum() + 2 * settings.smoothing))
-    ratio = np.where(np.abs(ratio) >= settings.certain * np.sqrt((1 / seen).sum(axis=0)), ratio, 0.0).astype(np.float32)
-    rows = [b[ratio[b] != 0].astype(np.int32) for b in map(hashed, texts)]  # read again: few buckets remain
+    ratio = ratios(seen, np.array([(labels == v).sum() for v in (0, 1)]), settings)
+    return descend([b[ratio[b] != 0].astype(np.int32) for b in map(hashed, texts)], ratio, labels, row_weights, settings)
+
+
+def descend(rows: list[np.ndarray], ratio: np.ndarray, labels: np.ndarray, row_weights: np.ndarray, settings: Settings) -> Model:
+    """Gradient steps over rows of buckets."""
     lengths = np.array([len(r) for r in rows])
     ends = np.cumsum(lengths)
     flat = np.concatenate(rows)
-    w, squares = np.zeros(size, np.float32), np.full(size, 1e-6, np.float32)
+    share = float(row_weights @ labels / row_weights.sum())
+    w, squares = np.zeros(len(ratio), np.float32), np.full(len(ratio), 1e-6, np.float32)
     bias = float(np.log(share / (1 - share)))
     order_of = np.random.default_rng(0)
     for _ in range(settings.epochs):
@@ -130,13 +153,44 @@ def sample(labelled: DataFrame, settings: Settings, label: str = "toxic", key: s
 
 
 def train(docs: DataFrame, labelled: DataFrame, settings: Settings | None = None, text: str = "text", key: str = "doc_id") -> Model:
-    """A model of the documents that ``labelled`` marks; at most 2 x per_class texts come to the driver."""
+    """A model of the documents that ``labelled`` marks.
+
+    The driver gets the counts of the buckets and the sampled rows' lists of telling ones, no texts.
+    """
     settings = settings or Settings()
+    spark = docs.sparkSession
     chosen = sample(labelled, settings, key=key)
-    rows = docs.select(key, text).join(F.broadcast(chosen), key).select(text, "label", "stands_for").toArrow().to_pydict()
-    order = sorted(range(len(rows["label"])), key=lambda i: (rows["label"][i], rows[text][i] or ""))
-    take = lambda c: [rows[c][i] for i in order]
-    return fit(take(text), np.array(take("label"), np.float64), np.array(take("stands_for"), np.float64), settings)
+    rows = checkpointed(docs.select(key, text).join(F.broadcast(chosen), key).select(F.col(text).alias("text"), "label", "stands_for"))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashed, seen = Hasher(settings), np.zeros((2, 1 << settings.bits), np.int32)
+        for batch in batches:
+            for t, label in zip(batch["text"].tolist(), batch["label"].tolist()):
+                seen[label, hashed(t)] += 1
+        for label in (0, 1):
+            bucket = np.flatnonzero(seen[label])
+            yield pd.DataFrame({"label": np.full(len(bucket), label), "bucket": bucket, "n": seen[label, bucket]})
+        release()
+
+    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    counts = rows.select("text", "label").mapInPandas(count, "label int, bucket int, n long").groupBy("bucket").pivot("label", [0, 1]).agg(F.sum("n")).toArrow()
+    seen = np.zeros((2, 1 << settings.bits))
+    for label in (0, 1):
+        seen[label, counts["bucket"].to_numpy()] = counts[str(label)].fill_null(0).to_numpy()
+    ratio = ratios(seen, np.array([sizes.get(v, 0) for v in (0, 1)]), settings)
+    shared = spark.sparkContext.broadcast(np.packbits(ratio != 0))
+
+    def telling(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashed, known = Hasher(settings), np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            found = [b[known[b]] for b in map(hashed, batch["text"].tolist())]
+            yield pd.DataFrame({"label": batch["label"], "stands_for": batch["stands_for"], "buckets": [np.sort(b).astype(np.int32) for b in found]})
+        release()
+
+    got = rows.mapInPandas(telling, "label int, stands_for double, buckets array<int>").toArrow().to_pylist()
+    got.sort(key=lambda r: (r["label"], r["buckets"]))  # equal rows do the same in any order
+    labels, weights = np.array([r["label"] for r in got], np.float64), np.array([r["stands_for"] for r in got], np.float64)
+    return prior(labels, weights, settings) or descend([np.array(r["buckets"], np.int32) for r in got], ratio, labels, weights, settings)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", score_column: str = "score") -> DataFrame:

@@ -1,3 +1,9 @@
+import itertools
+import time
+
+import numpy as np
+import pytest
+
 from dropletry.llm import blocks, extraction, op10_extraction
 
 
@@ -34,6 +40,33 @@ def test_only_what_is_hidden_is_hidden():
     assert extraction.main_text(f"<html><head><title>t</title><body><div class=overflow-hidden><article><h1>Head line</h1>{whole}</article></div></body>", field) == plain != ""
 
 
+def test_labels_and_posteriors_against_all_labellings():
+    rng = np.random.default_rng(0)
+    page = [blocks.Block(f"text {k}", "p", frozenset(), frozenset(), 0) for k in range(6)]
+    for _ in range(20):
+        scores, change = rng.normal(0, 2, 6), rng.normal(0, 2, (2, 2))
+        total = {y: scores @ y + sum(change[a, b] for a, b in zip(y, y[1:])) for y in itertools.product((0, 1), repeat=6)}
+        field = extraction.Field({}, change)
+        object.__setattr__(field, "scores", lambda _, s=scores: s.tolist())
+        assert total[tuple(field.labels(page))] == pytest.approx(max(total.values()))
+        z = sum(np.exp(v) for v in total.values())
+        p, pairs = extraction._posteriors(scores, change)
+        assert p == pytest.approx([sum(np.exp(v) for y, v in total.items() if y[k]) / z for k in range(6)])
+        assert pairs == pytest.approx(np.array([[sum(np.exp(v) * sum(c == (a, b) for c in zip(y, y[1:])) for y, v in total.items()) / z for b in (0, 1)] for a in (0, 1)]))
+
+
+def test_references_are_decoded_run_by_run():
+    assert [b.text for b in blocks.blocks("<p>&am<b>p;</b>x &l<i>t;</i> &amp;lt; &#65;")] == ["&amp;x &lt; &lt; A"]
+
+
+@pytest.mark.parametrize("part", ["<a ", "<b>", "<div>", '<a b="x" ', '<a b=">" ', "<p><b></i>", "<blockquote><li>x", "<x{}>", "<div class=c{}>x", "<a b='", "</div>", "<!", "&amp"])
+def test_broken_pages_take_time_in_proportion(part):
+    page = "".join(part.format(k) for k in range(1_000_000 // len(part)))
+    began = time.process_time()
+    blocks.blocks(page, frozenset())
+    assert time.process_time() - began < 25  # a square would take hours
+
+
 def test_article_among_boilerplate():
     page = "<html><body><nav><a href=x>Home</a></nav><div class=ad>Buy it now.</div><article><h1>Head line</h1><p>First text of it.<p>Second &lt;text&gt;.</article><div id=comments><p>I liked it.</p></div><form><p>Sign in here</p></form><footer>&copy; someone</footer>"
     assert extraction.main_text(page, extraction.trained()) == "Head line\n\nFirst text of it.\n\nSecond <text>."

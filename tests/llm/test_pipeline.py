@@ -44,3 +44,34 @@ def test_run_equals_the_stages(spark):
     pick = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     whole = sorted(corpus_pipeline.run(spark, FOLDER).select(pick).collect(), key=key)
     assert whole == sorted(docs.select(pick).collect(), key=key)
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _toxicity double, _gone int, id int, label string"
+
+
+def odd_documents(spark):
+    same = "one two three four five six seven eight nine ten"
+    texts = [(1, same), (2, same), (2, same), (3, None), (4, ""), (5, ""), (None, same), (6, "x " * 30_000), (7, same + " eleven"), (8, "a line of its own here\na line of its own here")]
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), 0.5, k, -k, "l") for k, (i, t) in enumerate(texts)], SCHEMA)
+
+
+def test_nulls_repeats_ties_and_clashing_names(spark):
+    docs = odd_documents(spark)
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["toxicity"](spark, docs, FOLDER)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} <= {r["doc_id"] for r in docs.collect()}
+    lined = stages["line dedup"](spark, docs, FOLDER)
+    rows = lined.collect()
+    assert lined.columns == docs.columns and len(rows) == 10
+    by = {(r["doc_id"], r["_gone"]): r["text"] for r in rows}
+    assert by[1, 0] and by[2, 1] == by[2, 2] == "" and by[3, 3] is None and by[4, 4] == "" and by[None, 6] and by[8, 9] == "a line of its own here"
+    near = stages["near copies"](spark, docs, FOLDER)
+    assert near.columns == docs.columns and sorted(str(r["doc_id"]) for r in near.collect()) == ["1", "3", "4", "5", "6", "8", "None"]
+    packed = stages["packing"](spark, docs, FOLDER).collect()
+    assert sum(r["start"] == 0 for r in packed) == 10 and all(0 < r["length"] <= 4096 for r in packed)
+
+
+def test_empty_table(spark):
+    docs = odd_documents(spark).limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, FOLDER).count() == 0

@@ -26,6 +26,37 @@ def test_edges():
     assert one.scores(["x"])[0] > 0.999
 
 
+def test_features_and_ratios_against_sets():
+    """The distinct n-grams by plain sets, each bucket's ratio by its formula."""
+    s = toxicity.Settings(grams=(4, 5), bits=30, certain=0.0)  # as good as no two n-grams share a bucket
+    hashed = toxicity.Hasher(toxicity.Settings(grams=(4, 5), bits=22))
+
+    def grams(t):
+        raw = f" {t} ".encode().lower() if t else b""
+        return {raw[i : i + n] for n in s.grams for i in range(len(raw) - n + 1)}
+
+    texts = ["Some bad text", "some good text", "", None, "BAD bad bad", "x" * 5000]
+    assert all(len(hashed(t)) == len(grams(t)) for t in texts)
+    assert set(hashed("Some Bad")) == set(hashed("sOME bAD")) < set(hashed("Some Bad text")) | set(hashed("Some Bad"))
+    seen, docs = np.array([[3.0, 0.0], [1.0, 4.0]]), np.array([10, 5])
+    got = toxicity.ratios(seen, docs, toxicity.Settings(certain=0.0))
+    assert np.allclose(got, [np.log(2 / 7) - np.log(4 / 12), np.log(5 / 7) - np.log(1 / 12)])
+    assert toxicity.ratios(seen, docs, toxicity.Settings(certain=1.5)).tolist()[0] == 0
+
+
+def test_training_on_lists_equals_training_on_texts(spark):
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(80)]
+    rows = [(k, " ".join(rng.choice(words, 30)) + (" zzfoul" if k % 4 == 0 else "")) for k in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(160)], "doc_id long, toxic int")
+    m = toxicity.train(docs, labels)
+    texts, y = [t for _, t in rows], np.array([float(k % 4 == 0) for k in range(160)])
+    plain = toxicity.fit(texts, y, np.ones(160), toxicity.Settings())
+    assert (plain.weights != 0).tolist() == (m.weights != 0).tolist()
+    assert np.array_equal(m.scores(texts) >= 0.7, plain.scores(texts) >= 0.7) and np.array_equal(m.scores(texts) >= 0.7, y == 1)
+
+
 def test_nulls_repeats_and_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "some text here", 9.0), (1, "some text here", 9.0), (2, None, 9.0), (3, "", 9.0), (None, "other", 9.0)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, None), (4, 7)], "doc_id long, toxic int")
