@@ -59,7 +59,7 @@ class Settings:
     the vocabulary; chunk_bytes: of text that ask for their words together; slice_slots: of a table's
     piece when counts are summed; fan: tasks whose pieces are summed at a time."""
 
-    frequent: int = 16_384
+    frequent: int = 2_048
     heads: int = 256
     text_bits: tuple[int, ...] = (19, 21, 21)
     text_prior: float = 0.3
