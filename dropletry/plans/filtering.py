@@ -44,7 +44,7 @@ def tests() -> dict[str, Column]:
         "predicate_pass_share": p.passing_share(p.by_sample(c["DP"], ">", 20)) >= 0.5,
         "predicate_sample_subscript": p.any_value(p.of_samples(c["DP"], ["a", "b", "c"], ["b", "c"]), ">", 35),
         "predicate_arithmetic": p.any_value(F.zip_with("DP", "GQ", lambda x, y: (x + y) * 2 - x / 4), ">", 150),
-        "predicate_stdev": (p.stdev(c["GQ"]) > 12) & (p.total(c["GQ"]) > 100) & (F.abs(F.array_min("GQ") - F.array_max("GQ")) < 40),
+        "predicate_stdev": (p.stdev(c["GQ"]) > 12.3) & (p.total(c["GQ"]) > 100) & (F.abs(F.array_min("GQ") - F.array_max("GQ")) < 40),
         "predicate_text_functions": (F.length("ID") > 7) & (p.phred(F.lit(1) / c["QUAL"]) > 20),
         "predicate_id_list": p.any_text(c["ID"], ["1-URGENT", "5-LOW"]),
         "predicate_smpl_aggregates": p.same_sample(F.transform(p.per_sample(F.arrays_zip("DP", "GQ"), lambda x: F.array_max(F.array(x["DP"], x["GQ"]))), lambda x: x > 45)),
@@ -87,7 +87,7 @@ WHERE = {
     "predicate_pass_share": "len(list_filter(dp, lambda x: x > 20)) / len(dp) >= 0.5",
     "predicate_sample_subscript": "dp[2] > 35 OR dp[3] > 35",
     "predicate_arithmetic": "len(list_filter(range(1, len(dp) + 1), lambda i: (dp[i] + gq[i]) * 2 - dp[i] / 4 > 150)) > 0",
-    "predicate_stdev": "list_stddev_pop(gq) > 12 AND list_sum(gq) > 100 AND abs(list_min(gq) - list_max(gq)) < 40",
+    "predicate_stdev": "list_stddev_pop(gq) > 12.3e0 AND list_sum(gq) > 100 AND abs(list_min(gq) - list_max(gq)) < 40",
     "predicate_text_functions": "len(id) > 7 AND -10 * log10(1 / qual) > 20",
     "predicate_id_list": "id IN ('1-URGENT', '5-LOW')",
     "predicate_smpl_aggregates": "len(list_filter(range(1, len(dp) + 1), lambda i: greatest(dp[i], gq[i]) > 45)) > 0",
