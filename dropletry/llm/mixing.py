@@ -77,7 +77,7 @@ class Settings:
     lanes: int = 2048
     words: int = 16_000
     shards: int = 32
-    chunk_bytes: int = 16_000_000
+    chunk_bytes: int = 32_000_000
     slice_slots: int = 1 << 18
     fan: int = 64
 
@@ -269,7 +269,8 @@ def packed(counts: np.ndarray, s: Settings) -> np.ndarray:
 class Mixer:
     """Weights of each text by gate and input, and its map; learnt block by block along the texts."""
 
-    def __init__(self, texts: int, start: np.ndarray, s: Settings):
+    def __init__(self, texts: int, start: np.ndarray, s: Settings, more: bool = False):
+        self.more = more  # whether what the last block teaches is still needed
         self.s, self.gates, self.inputs = s, *start.shape
         self.weights = np.tile(start.astype(np.float32).T[:, None, :], (1, texts, 1)).reshape(self.inputs, -1)
         self.seen = np.full(texts * self.gates, s.caution, np.float32)
@@ -303,6 +304,8 @@ class Mixer:
             p, q = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-z - self.map[knot]))
             both = (p + q) * half
             out[order[a:b]] = np.log10(np.clip(np.where(y > 0, both, 1 - both), CLIP, 1 - CLIP))
+            if b == len(order) and not self.more:
+                break
             # The mean error of all decisions so far moves each weight, and each knot in log odds.
             err = y - p
             self.seen += np.bincount(cell, minlength=len(self.seen)).astype(np.float32)
@@ -323,7 +326,7 @@ def running(reading: Reading, code: Code, tables: list[np.ndarray], known: np.nd
         sure += raw & 1
         inputs.append((raw >> 1).astype(np.float32) * np.float32(1 / 512))
     lp = mixers[0].score(inputs, sure, bit, np.repeat(reading.text, depth))
-    out = np.bincount(np.repeat(np.arange(len(depth)), depth), lp, len(depth))
+    out = np.add.reduceat(lp, np.cumsum(depth) - depth, dtype=np.float64) if len(depth) else np.zeros(0)
     other = reading.symbol == len(code.paths.depth) - 1
     out[other] -= 16 * math.log10(2)  # which first bytes
     flag = np.flatnonzero(reading.rare & ~other)
@@ -332,8 +335,8 @@ def running(reading: Reading, code: Code, tables: list[np.ndarray], known: np.nd
     return out
 
 
-def fresh_mixers(texts: int, s: Settings) -> list[Mixer]:
-    return [Mixer(texts, START, s), Mixer(texts, np.array([[1.0, 0.0]]), s)]
+def fresh_mixers(texts: int, s: Settings, more: bool = False) -> list[Mixer]:
+    return [Mixer(texts, START, s, more), Mixer(texts, np.array([[1.0, 0.0]]), s, more)]
 
 
 def pieces_of(raw: bytes, size: int) -> list[bytes]:
@@ -678,7 +681,7 @@ def scored(raws: list[bytes], code: Code, tables: list[np.ndarray], words: Looku
     parts: list[tuple] = []
     for part, carry, more in portions(raws, s):
         reading = Reading(part, code, s, carry[0], more)
-        mixers = carry[0].mixers if carry[0] else fresh_mixers(len(part), s)
+        mixers = carry[0].mixers if carry[0] else fresh_mixers(len(part), s, more)
         rare = np.flatnonzero(reading.rare)
         n = np.full(len(reading.symbol), train_docs, np.int64)
         often = reading.is_word & ~reading.rare
