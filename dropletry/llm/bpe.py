@@ -6,8 +6,8 @@ property of each adjacent pair alone; all pairs are tested together in numpy.  O
 a failing pair go through exact merging.
 
 Defined results: a null or empty text has no ids; equal texts have equal ids; special tokens
-written in a text become their special ids, as the tokenizers library does by default; extra
-columns are carried through.
+written in a text become their special ids, as the tokenizers library does by default; very long
+texts and words are encoded whole; an empty table has no rows; extra columns are carried through.
 """
 
 from __future__ import annotations

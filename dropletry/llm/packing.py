@@ -13,7 +13,8 @@ a monotone queue gives at constant cost; lengths that need no padding are tried
 The line is cut into ranges of ids that different tasks pack, and within a task into blocks, so that
 no task holds more than a block.  Defined results: a null or empty text is its end token alone; rows
 with a null id come first; rows with equal ids keep no particular order among them; each id lies in
-exactly one piece; extra columns are ignored.
+exactly one piece; of cuts of equal cost those that make longer windows are taken; very long texts are
+cut like others; extra columns are ignored, whatever their names; an empty table has no pieces.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from dropletry.llm import bpe
 from dropletry.llm.tables import release
@@ -38,7 +40,7 @@ class Settings:
     """size: of a sequence; end: id after each document; sentence, hard: penalties in tokens for a cut
     at a sentence's end and elsewhere in a document; stretch: tokens between hard cuts in a sentence
     that is longer than ``long``; unpadded: shorter lengths that stay as they are; block: tokens
-    packed at a time; range_bytes: text of a task's range."""
+    packed at a time; range_bytes: text of a task's range, unless there were more than ``ranges`` then."""
 
     size: int = 4096
     end: int = 2
@@ -49,6 +51,7 @@ class Settings:
     unpadded: tuple[int, ...] = (512, 1024, 2048)
     block: int = 1_000_000
     range_bytes: int = 16_000_000
+    ranges: int = 20_000
 
 
 def candidates(lengths: np.ndarray, ends_sentence: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -132,9 +135,9 @@ def pack(df: DataFrame, path: str, settings: Settings | None = None, key: str =
     s = settings or Settings()
     rows = df.select(key, text)
     total = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    ranges = max(1, -(-int(total) // s.range_bytes))
+    ranges = max(1, min(s.ranges, -(-int(total) // s.range_bytes)))
     ordered = rows.repartitionByRange(ranges, key, F.xxhash64(text), F.rand(0)).sortWithinPartitions(key)
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[dict(rows.dtypes)[key]]
+    kind = to_arrow_type(rows.schema[key].dataType)
     names = [key, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
     def packed(keys: list, ids: list[np.ndarray], closes: np.ndarray, sequence: int) -> tuple[pa.RecordBatch, int]:
