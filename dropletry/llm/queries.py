@@ -17,6 +17,9 @@ from dropletry.llm import (
     op08_mixing,
     op09_packing,
     op10_extraction,
+    op11_manifest,
+    op12_voronoi,
+    op13_negatives,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,5 +33,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op08_mixing.query,
     "op9_packing": op09_packing.query,
     "op10_extraction": op10_extraction.query,
+    "op11_manifest": op11_manifest.query,
+    "op12_voronoi": op12_voronoi.query,
+    "op13_negatives": op13_negatives.query,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op6_jaccard": op06_jaccard.SQL,
+    "op11_manifest": op11_manifest.SQL,
+    "op12_voronoi": op12_voronoi.SQL,
+    "op13_negatives": op13_negatives.SQL,
 }
-ORACLE_SQL: dict[str, str] = {"op6_jaccard": op06_jaccard.SQL}
