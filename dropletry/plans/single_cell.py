@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dropletry.operators import clusters, demux, genotypes, likelihood, pileup, reads
+from dropletry.operators.ranking import saved
 from dropletry.plans.adapters import CALLS, DONORS, OBS, ORDER, SNPS, UNIQUE, donor_calls, donor_posteriors, observations, table, variants
 
 ALPHAS = [0.0, 0.5]
