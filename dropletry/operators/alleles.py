@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dropletry.functions.phred import string_hash
+from dropletry.operators.ranking import saved
 
 # The part of X that males have once, 1-based and closed.
 X_BEGIN, X_END = 2699520, 154931044
@@ -25,21 +26,62 @@ def is_normalized(ref: Column, alts: Column) -> Column:
     return (F.size(alts) == 0) | plain | F.forall(every, lambda x: x == first) | ~bad
 
 
+def _bound(value: Column, then) -> Column:
+    """``then`` of a value that is worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _shared(x: Column, y: Column) -> Column:
+    """How many leading letters two strings share, less than the shorter one has."""
+    n = F.least(F.length(x), F.length(y))
+    same = F.zip_with(F.split(x, ""), F.split(y, ""), lambda p, q: F.coalesce(p == q, F.lit(False)))
+    upto = _bound(same, lambda v: F.when(F.array_position(v, False) == 0, F.size(v)).otherwise(F.array_position(v, False) - 1))
+    return F.greatest(F.least(upto, n - 1), F.lit(0)).cast("int")
+
+
 def normalized(pos: Column, ref: Column, alt: Column, before: Column) -> Column:
     """struct(pos, ref, alt): a pair of alleles trimmed from the right, moved left and trimmed from the left.
 
     ``before``: the reference's bases that end just before pos; the variant moves no further than they go.
     """
-    r, a = F.concat(before, ref), F.concat(before, alt)
-    shared = lambda x, y, cut: F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.least(F.length(x), F.length(y)) - 1, F.lit(1))), lambda k: (k < F.least(F.length(x), F.length(y))) & (cut(x, k) == cut(y, k))))
-    tail = shared(r, a, F.right)
-    r2, a2 = F.left(r, F.length(r) - tail), F.left(a, F.length(a) - tail)
-    head = shared(r2, a2, F.left)
-    keep = lambda x: F.right(x, F.length(x) - head)
-    moved = F.struct((pos - F.length(before) + head).alias("pos"), keep(r2).alias("ref"), keep(a2).alias("alt"))
+    whole = F.struct(F.concat(before, ref).alias("r"), F.concat(before, alt).alias("a"))
+    cut = lambda v, n: F.struct(F.left(v["r"], F.length(v["r"]) - n).alias("r"), F.left(v["a"], F.length(v["a"]) - n).alias("a"))
+    ended = _bound(whole, lambda v: _bound(_shared(F.reverse(v["r"]), F.reverse(v["a"])), lambda n: cut(v, n)))
+    begun = lambda v, n: F.struct((pos - F.length(before) + n).alias("pos"), F.right(v["r"], F.length(v["r"]) - n).alias("ref"), F.right(v["a"], F.length(v["a"]) - n).alias("alt"))
+    moved = _bound(ended, lambda v: _bound(_shared(v["r"], v["a"]), lambda n: begun(v, n)))
     return F.when(ref == alt, F.struct(pos.alias("pos"), ref.alias("ref"), alt.alias("alt"))).otherwise(moved)
 
 
+def normalized_by_reference(variants: DataFrame, blocks: DataFrame, width: int) -> DataFrame:
+    """``variants`` (chrom, pos: from 1, ref, alt and others) in normal form against a reference.
+
+    blocks: ``sequences.blocks`` of that width.  In a round every variant that can still move left meets the
+    block before it by an equality and moves up to that block's begin; only those that used it up go on.
+    Alleles are compared as they are written; the reference is taken in upper case.  A variant whose sequence is
+    not listed moves no further than its own alleles allow.
+    """
+    others = [c for c in variants.columns if c not in ("pos", "ref", "alt")]
+    ends_alike = (F.right("ref", F.lit(1)) == F.right("alt", F.lit(1))) & (F.col("ref") != F.col("alt"))
+    near = blocks.select("chrom", F.col("pos0").alias("_pos0"), F.col("seq").alias("_seq"))
+
+    def moved(rows: DataFrame, before: Column) -> DataFrame:
+        found = rows.select(*others, normalized(F.col("pos"), F.col("ref"), F.col("alt"), before).alias("_v"), (F.length(before) > 0).alias("_met"))
+        return found.select(*others, "_v.*", "_met")
+
+    todo = saved(moved(variants, F.lit("")))
+    done = todo.where(~F.coalesce(ends_alike, F.lit(False)))
+    todo = todo.where(ends_alike)
+    while True:
+        keyed = todo.drop("_met").withColumn("_pos0", F.floor((F.col("pos") - 2) / width) * width)
+        before = F.coalesce(F.substring("_seq", F.lit(1), (F.col("pos") - 1 - F.col("_pos0")).cast("int")), F.lit(""))
+        rows = saved(moved(keyed.join(near, ["chrom", "_pos0"], "left"), before))
+        more = rows.where(ends_alike & F.col("_met"))
+        done = done.unionByName(rows.where(~F.coalesce(ends_alike & F.col("_met"), F.lit(False))))
+        if more.isEmpty():
+            return done.select(variants.columns)
+        todo = more
+
+
 def reduced_sv_type(alt: Column) -> Column:
     """Numbered copy-number and repeat alleles by their kind alone."""
     return F.when(alt.rlike(r"^<CN\d+>$"), "<CNV>").when(alt.rlike(r"^<VN\d+>$"), "<VNTR>").otherwise(alt)

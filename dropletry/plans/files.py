@@ -93,9 +93,28 @@ def fastq_records(s: SparkSession, f: str) -> DataFrame:
 
 
 def fasta_bases(s: SparkSession, f: str) -> DataFrame:
-    body = table(s, f, "part").where("p_partkey <= 90").select(F.when(F.col("p_partkey") % 30 == 1, F.concat(F.lit(">c"), F.floor(F.col("p_partkey") / 30), F.lit(" text"))).otherwise(F.when(F.col("p_partkey") % 30 == 0, "acg").otherwise(F.concat(F.left(F.lit("acgtacgtac"), (F.col("p_partkey") % 10).cast("int")), F.right(F.lit("GGTTAACCNN"), F.lit(10) - (F.col("p_partkey") % 10).cast("int"))))).alias("value"), F.col("p_partkey").alias("at"))
-    points = table(s, f, "customer").select("c_custkey", F.concat(F.lit("c"), F.col("c_custkey") % 3).alias("chrom"), (F.col("c_custkey") * 7 % 300 + 1).alias("pos"))
-    return sequences.bases_at(sequences.fasta(body), points, 10).where("base <> ''").select("c_custkey", "base")
+    """Bases at points of sequences of 29 lines each, whose widths differ and may be 0."""
+    letters = F.substring(F.translate(F.md5(F.col("p_partkey").cast("string")), "0123456789abcdef", "ACGTacgtACGTacgt"), F.lit(1), (F.col("p_size") % 32).cast("int"))
+    value = F.when(F.col("p_partkey") % 30 == 1, F.concat(F.lit(">c"), F.floor(F.col("p_partkey") / 30), F.lit(" text"))).otherwise(letters)
+    body = table(s, f, "part").select(F.col("p_partkey").alias("at"), value.alias("value"))
+    points = table(s, f, "customer").select("c_custkey", F.concat(F.lit("c"), F.col("c_custkey") % 50).alias("chrom"), (F.col("c_custkey") * 7 % 300 + 1).alias("pos"))
+    return sequences.bases_at(sequences.blocks(sequences.fasta(body), 64), points, 64).where("base <> ''").select("c_custkey", "base")
+
+
+def variant_normalize_reference(s: SparkSession, f: str) -> DataFrame:
+    """Deletions and repeated insertions, in normal form against sequences with many repeats."""
+    letters = F.substring(F.translate(F.md5(F.col("p_partkey").cast("string")), "0123456789abcdef", "ACGTACGTACGTACGT"), F.lit(1), (F.col("p_size") % 32).cast("int"))
+    chrom = F.concat(F.lit("c"), F.floor((F.col("p_partkey") - 1) / 40))
+    parts = table(s, f, "part").select("p_partkey", "p_size", chrom.alias("chrom"))
+    value = F.when(F.col("p_partkey") % 40 == 1, F.concat(F.lit(">"), "chrom")).when(F.col("p_size") % 3 == 0, F.repeat(F.lit("ac"), F.lit(10))).otherwise(letters)
+    width = 16
+    blocks = clusters.saved(sequences.blocks(sequences.fasta(parts.select(F.col("p_partkey").alias("at"), value.alias("value"))), width))
+    placed = parts.withColumn("pos", F.col("p_partkey") % 40 * 12 + 3)
+    spans = placed.select(F.col("p_partkey").alias("key"), "chrom", F.col("pos").alias("beg"), (F.col("pos") + 1 + F.col("p_size") % 4).alias("end"))
+    rows = placed.join(sequences.bases_between(blocks, spans, width).withColumnRenamed("key", "p_partkey"), "p_partkey").where(F.length("bases") > 1)
+    first, deleted = F.left("bases", F.lit(1)), F.col("p_partkey") % 2 == 0
+    rows = rows.select("p_partkey", "chrom", "pos", F.when(deleted, F.col("bases")).otherwise(first).alias("ref"), F.when(deleted, first).otherwise(F.col("bases")).alias("alt"))
+    return alleles.normalized_by_reference(rows, blocks, width)
 
 
 def sex_map(s: SparkSession, f: str) -> DataFrame:
@@ -140,7 +159,7 @@ def matrix_nnz(s: SparkSession, f: str) -> DataFrame:
 
 QUERIES = {
     "sam_parse": sam_parse, "interval_scan": interval_scan, "vcf_parse": vcf_parse, "gtf_parse": gtf_parse, "gtf_parents": gtf_parents, "bed_merge": bed_merge, "matrix_names": matrix_names,
-    "dense_matrix": dense_matrix, "tsv_until_empty": tsv_until_empty, "fastq_records": fastq_records, "fasta_bases": fasta_bases, "sex_map": sex_map, "umi_table": umi_table,
+    "dense_matrix": dense_matrix, "tsv_until_empty": tsv_until_empty, "fastq_records": fastq_records, "fasta_bases": fasta_bases, "variant_normalize_reference": variant_normalize_reference, "sex_map": sex_map, "umi_table": umi_table,
     "cluster_vcf_text": cluster_vcf_text, "mixture_tables": mixture_tables, "tx_count_tables": tx_count_tables, "matrix_nnz": matrix_nnz,
 }
 
@@ -171,7 +190,16 @@ ORACLE_SQL = {
     "dense_matrix": "SELECT * FROM (SELECT 'g' || p_partkey AS gene, unnest(['a', 'b', 'c']) AS cell, unnest([p_size % 3, p_partkey % 2, p_size]::BIGINT[]) AS n FROM part) WHERE n <> 0",
     "tsv_until_empty": "SELECT p_partkey AS at, p_brand AS brand, p_size AS size, CASE WHEN p_size % 4 <> 0 THEN p_size / 4e0 END AS quarter FROM part WHERE p_partkey < 150",
     "fastq_records": "SELECT p_partkey AS record, 'r' || p_partkey AS name, p_size AS size FROM part WHERE p_partkey % 10 <> 0 OR p_size = 1",
-    "fasta_bases": "WITH l AS (SELECT 'c' || (p_partkey // 30) AS chrom, ((p_partkey - 1) % 30 - 1) * 10 AS pos0, upper(CASE WHEN p_partkey % 30 = 0 THEN 'acg' ELSE left('acgtacgtac', p_partkey % 10) || right('GGTTAACCNN', 10 - p_partkey % 10) END) AS seq FROM part WHERE p_partkey <= 90 AND p_partkey % 30 <> 1), m AS (SELECT CASE WHEN seq = 'ACG' THEN 'c' || (CAST(chrom[2:] AS INTEGER) - 1) ELSE chrom END AS chrom, pos0, seq FROM l) SELECT c_custkey, substr(seq, CAST(c_custkey * 7 % 300 - pos0 + 1 AS INTEGER), 1) AS base FROM customer JOIN m ON chrom = 'c' || (c_custkey % 3) AND c_custkey * 7 % 300 >= pos0 AND c_custkey * 7 % 300 < pos0 + len(seq)",
+    "fasta_bases": "WITH g AS (SELECT 'c' || ((p_partkey - 1) // 30) AS chrom, upper(string_agg(substr(translate(md5(p_partkey::VARCHAR), '0123456789abcdef', 'ACGTacgtACGTacgt'), 1, p_size % 32), '' ORDER BY p_partkey)) AS g FROM part WHERE p_partkey % 30 <> 1 AND p_partkey > 0 GROUP BY 1) SELECT c_custkey, substr(g, c_custkey * 7 % 300 + 1, 1) AS base FROM customer JOIN g ON chrom = 'c' || (c_custkey % 50) WHERE len(g) > c_custkey * 7 % 300",
+    "variant_normalize_reference": """WITH RECURSIVE l AS (SELECT p_partkey, p_size, 'c' || CAST(floor((p_partkey - 1) / 40) AS BIGINT) AS chrom, CASE WHEN p_size % 3 = 0 THEN repeat('AC', 10) ELSE substr(translate(md5(p_partkey::VARCHAR), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, p_size % 32) END AS seq FROM part),
+      g AS MATERIALIZED (SELECT chrom, string_agg(seq, '' ORDER BY p_partkey) AS g FROM l WHERE p_partkey % 40 <> 1 AND p_partkey > 0 GROUP BY 1),
+      b AS (SELECT p_partkey, chrom, p_partkey % 40 * 12 + 3 AS pos, substr(g, p_partkey % 40 * 12 + 3, 2 + p_size % 4) AS bases FROM l JOIN g USING (chrom)),
+      t AS (SELECT p_partkey, chrom, pos, CASE WHEN p_partkey % 2 = 0 THEN bases ELSE bases[1] END AS r, CASE WHEN p_partkey % 2 = 0 THEN bases[1] ELSE bases END AS a, 0 AS step FROM b WHERE len(bases) > 1 UNION ALL
+        SELECT p_partkey, chrom, CASE WHEN least(len(r), len(a)) > 1 THEN pos ELSE pos - 1 END, CASE WHEN least(len(r), len(a)) > 1 THEN r[:-2] ELSE substr(g, pos - 1, 1) || r END, CASE WHEN least(len(r), len(a)) > 1 THEN a[:-2] ELSE substr(g, pos - 1, 1) || a END, step + 1
+        FROM t JOIN g USING (chrom) WHERE right(r, 1) = right(a, 1) AND (least(len(r), len(a)) > 1 OR pos > 1)),
+      e AS (SELECT p_partkey, chrom, pos, r, a, 0 AS step FROM t QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY step DESC) = 1),
+      h AS (SELECT * FROM e UNION ALL SELECT p_partkey, chrom, pos + 1, r[2:], a[2:], step + 1 FROM h WHERE len(r) > 1 AND len(a) > 1 AND r[1] = a[1])
+      SELECT p_partkey, chrom, pos, r AS ref, a AS alt FROM h QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY step DESC) = 1""",
     "sex_map": "SELECT c_custkey % 4 <> 1 AS male, CASE WHEN c_custkey % 4 = 1 THEN 0 ELSE 1 END AS copies, count(*) AS n FROM customer WHERE c_custkey % 4 <> 3 GROUP BY 1, 2",
     "umi_table": "WITH r AS (SELECT DISTINCT l_suppkey AS cell_id, l_orderkey % 500 AS umi, l_returnflag AS chrom, CASE WHEN l_linestatus = 'O' THEN '+' ELSE '-' END AS strand, l_partkey * 10 AS beg, l_linenumber * 3 + 1 AS n FROM lineitem) SELECT cell_id, umi, CAST(coalesce(sum(n) FILTER (strand = '+'), 0) AS BIGINT) AS forward, CAST(coalesce(sum(n) FILTER (strand = '-'), 0) AS BIGINT) AS reverse, string_agg(chrom || ':' || beg || ':' || n || ':' || strand, chr(9) ORDER BY chrom, beg, n, strand) AS segments FROM r GROUP BY 1, 2",
     "cluster_vcf_text": _vcf_text(),

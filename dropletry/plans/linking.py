@@ -10,7 +10,6 @@ from dropletry.plans import counting, single_cell as sc
 from dropletry.plans.adapters import DONORS, OBS, ORDER, donor_calls, donor_posteriors, observations, table, variants
 
 r6 = sc.r6
-_SMALL = "s_suppkey % 7 < 4"
 
 
 # ---- Likelihoods ----
@@ -38,8 +37,7 @@ def demux_table(s: SparkSession, f: str) -> DataFrame:
 
 
 def pair_distance(s: SparkSession, f: str) -> DataFrame:
-    small = table(s, f, "supplier").where(_SMALL).select(F.col("s_suppkey").alias("cell_id"))
-    gl = clusters.saved(sc.likelihoods(s, f).join(small, "cell_id", "left_semi").where("snp_id % 3 = 0"))
+    gl = clusters.saved(sc.likelihoods(s, f))
     return r6(likelihood.pair_distances(gl, variants(s, f)), "llk0", "llk2")
 
 
@@ -320,7 +318,7 @@ _TABLE = f"""WITH {sc._demux()} {sc._BEST} {_POST}, cnt AS (SELECT cell_id, coun
   FROM cnt JOIN named USING (cell_id) JOIN post USING (cell_id) JOIN best USING (cell_id)"""
 _SAME = _plus([f"a.g{4 * g} * b.g{4 * g} * {_P[g]}" for g in range(3)])
 _APART = _plus([f"a.g{4 * x} * b.g{4 * y} * {_P[x]} * {_P[y]}" for x in range(3) for y in range(3)])
-_DIST = f"{sc._gl()}, {sc.SNPS}, few AS MATERIALIZED (SELECT * FROM gl WHERE snp_id % 3 = 0 AND cell_id IN (SELECT s_suppkey FROM supplier WHERE {_SMALL})), dist AS (SELECT a.cell_id, b.cell_id AS other_id, count(*) AS n_snp, round(sum(ln({_APART})), 6) AS llk0, round(sum(ln({_SAME})), 6) AS llk2 FROM few a JOIN few b ON a.snp_id = b.snp_id AND a.cell_id > b.cell_id JOIN snps ON snps.snp_id = a.snp_id GROUP BY 1, 2)"
+_DIST = f"{sc._gl()}, {sc.SNPS}, few AS MATERIALIZED (SELECT * FROM gl), dist AS (SELECT a.cell_id, b.cell_id AS other_id, count(*) AS n_snp, round(sum(ln({_APART})), 6) AS llk0, round(sum(ln({_SAME})), 6) AS llk2 FROM few a JOIN few b ON a.snp_id = b.snp_id AND a.cell_id > b.cell_id JOIN snps ON snps.snp_id = a.snp_id GROUP BY 1, 2)"
 
 
 def _removed() -> str:

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dropletry.sources.variants import first_of_each_key
+
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """qname, flag, chrom, pos0, mapq, cigar, seq, qual, tags (map) of every record; headers are left out.
+    """qname, flag, chrom, pos0, mapq, cigar, seq, qual, tags (map) of every record; headers are left out, and
+    of a repeated tag all but the first.
 
     Compressed files are read by their suffix; a path may be a pattern.
     """
@@ -19,7 +22,7 @@ def parse_sam(lines: DataFrame) -> DataFrame:
     lines = lines.where(~F.col("value").startswith("@") & (F.col("value") != ""))
     f = F.split("value", "\t")
     pair = lambda t: F.struct(F.substring(t, 1, 2).alias("key"), F.substring(t, 6, 1 << 30).alias("value"))
-    tags = F.map_from_entries(F.transform(F.slice(f, 12, 1 << 20), pair))
+    tags = first_of_each_key(F.transform(F.slice(f, 12, 1 << 20), pair))
     return lines.select(
         F.get(f, F.lit(0)).alias("qname"), F.get(f, F.lit(1)).try_cast("int").alias("flag"), F.get(f, F.lit(2)).alias("chrom"), (F.get(f, F.lit(3)).try_cast("long") - 1).alias("pos0"), F.get(f, F.lit(4)).try_cast("int").alias("mapq"),
         F.get(f, F.lit(5)).alias("cigar"), F.get(f, F.lit(9)).alias("seq"), F.get(f, F.lit(10)).alias("qual"), tags.alias("tags"),

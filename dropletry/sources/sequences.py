@@ -5,9 +5,11 @@ A line's number is what tells records apart, so lines come with ``at``, counted
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from dropletry.operators.ranking import saved
+
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, at, value): the lines of text files with their numbers.
@@ -32,20 +34,57 @@ def fastq(lines: DataFrame) -> DataFrame:
 
 def fasta(lines: DataFrame) -> DataFrame:
     """(chrom, pos0, seq) of lines (at, value): upper-cased stretches of the sequences, with the place of
-    each one's first base.  All lines of a sequence but its last are equally long."""
-    named = F.col("value").startswith(">")
-    heads = lines.where(named).select(F.col("at").alias("head"), F.regexp_extract("value", r"^>(\S*)", 1).alias("chrom"))
-    widths = lines.where(~named).select((F.col("at") - 1).alias("head"), F.length("value").alias("width"))
-    heads = heads.join(widths, "head")
-    spans = heads.select("head", "chrom", "width").collect()  # a row for each sequence
-    ends = [h["head"] for h in sorted(spans, key=lambda h: h["head"])][1:] + [1 << 62]
-    table = [(h["head"], e, h["chrom"], h["width"]) for h, e in zip(sorted(spans, key=lambda h: h["head"]), ends)]
-    listed = F.broadcast(lines.sparkSession.createDataFrame(table, "head long, next long, chrom string, width int"))
-    rows = lines.where(~named & (F.col("value") != "")).join(listed, (F.col("at") > F.col("head")) & (F.col("at") < F.col("next")))
-    return rows.select("chrom", ((F.col("at") - F.col("head") - 1) * F.col("width")).alias("pos0"), F.upper("value").alias("seq"))
+    each one's first base.  Lines may be of any width; those before the first header are left out.
+
+    Lines are sorted in ranges.  Within a range a running count of headers and a running sum of lengths tell
+    sequences and places; what the lines before a range's first header carry on comes from the ranges before
+    it: their last headers and the bases after those, a row for each range.
+    """
+    ranged = lines.select("at", "value").where(F.col("value") != "").repartitionByRange("at")
+    ranged = saved(ranged.withColumn("_range", F.spark_partition_id()))
+    head = F.when(F.col("value").startswith(">"), F.regexp_extract("value", r"^>(\S*)", 1))
+    bases = F.when(F.col("value").startswith(">"), 0).otherwise(F.length("value"))
+    upto = Window.partitionBy("_range").orderBy("at")
+    rows = ranged.withColumns({"head": head, "bases": bases, "turn": F.count(head).over(upto)})
+    upto = Window.partitionBy("_range", "turn").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({"own": F.first("head").over(upto), "pos0": F.sum("bases").over(upto) - F.col("bases")})
+    last = rows.groupBy("_range", "turn").agg(F.first("own").alias("own"), F.sum("bases").alias("bases"))
+    last = last.groupBy("_range").agg(F.max_by(F.struct("own", "bases"), "turn").alias("x")).orderBy("_range")
+    carried, chrom, place = [], None, 0
+    for r in last.collect():
+        carried.append((r["_range"], chrom, place))
+        chrom, place = (r["x"]["own"], r["x"]["bases"]) if r["x"]["own"] is not None else (chrom, place + r["x"]["bases"])
+    before = F.broadcast(lines.sparkSession.createDataFrame(carried, "_range int, _chrom string, _place long"))
+    rows = rows.where("head is null").join(before, "_range")
+    begun = F.col("turn") > 0
+    rows = rows.select(F.when(begun, F.col("own")).otherwise(F.col("_chrom")).alias("chrom"), (F.col("pos0") + F.when(begun, 0).otherwise(F.col("_place"))).alias("pos0"), F.upper("value").alias("seq"))
+    return rows.where("chrom is not null")
+
+
+def blocks(stretches: DataFrame, width: int) -> DataFrame:
+    """Stretches (chrom, pos0, seq) of any width cut and joined to blocks of one width; the last of a sequence
+    may be shorter."""
+    first, last = F.floor(F.col("pos0") / width), F.floor((F.col("pos0") + F.length("seq") - 1) / width)
+    rows = stretches.where(F.length("seq") > 0).withColumn("block", F.explode(F.sequence(first, last)))
+    beg = F.greatest(F.col("pos0"), F.col("block") * width)
+    piece = F.substring("seq", (beg - F.col("pos0") + 1).cast("int"), (F.least(F.col("pos0") + F.length("seq"), (F.col("block") + 1) * width) - beg).cast("int"))
+    rows = rows.select("chrom", "block", beg.alias("beg"), piece.alias("piece"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("beg", "piece"))), lambda x: x["piece"]), "")
+    return rows.groupBy("chrom", "block").agg(joined.alias("seq")).select("chrom", (F.col("block") * width).alias("pos0"), "seq")
 
 
 def bases_at(stretches: DataFrame, points: DataFrame, width: int) -> DataFrame:
-    """Points (chrom, pos: from 1) with the reference's base there; ``width``: of the stretches."""
+    """Points (chrom, pos: from 1) with the reference's base there; ``width``: of the blocks."""
     keyed = points.withColumn("pos0", F.floor((F.col("pos") - 1) / width) * width)
     return keyed.join(stretches, ["chrom", "pos0"]).withColumn("base", F.expr("substring(seq, cast(pos - pos0 as int), 1)")).drop("pos0", "seq")
+
+
+def bases_between(blocks: DataFrame, ranges: DataFrame, width: int) -> DataFrame:
+    """Ranges (key: one each, chrom, beg, end: from 1, closed) with the reference's bases there, over as many
+    blocks of that width as they touch; bases outside of the sequence are left out."""
+    keyed = ranges.withColumn("block", F.explode(F.sequence(F.floor((F.col("beg") - 1) / width), F.floor((F.col("end") - 1) / width))))
+    rows = keyed.withColumn("pos0", F.col("block") * width).join(blocks, ["chrom", "pos0"])
+    beg = F.greatest(F.col("beg") - 1 - F.col("pos0"), F.lit(0))
+    piece = F.substring("seq", (beg + 1).cast("int"), (F.least(F.col("end") - F.col("pos0"), F.lit(width)) - beg).cast("int"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", piece.alias("piece")))), lambda x: x["piece"]), "")
+    return rows.groupBy("key").agg(joined.alias("bases"))

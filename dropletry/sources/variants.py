@@ -8,9 +8,16 @@ from pyspark.sql import functions as F
 from dropletry.functions.filters import alleles_of
 
 
+def first_of_each_key(pairs: Column) -> Column:
+    """A map of pairs (key, value); of those that share a key the first one counts."""
+    keys = F.transform(pairs, lambda p: p["key"])
+    return F.map_from_entries(F.filter(pairs, lambda p, k: F.array_position(keys, p["key"]) == k + 1))
+
+
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     """chrom, pos (1-based), id, ref, alts, qual, filters, info (map; flags map to ""), and samples, an
-    array of maps from FORMAT keys to values, in the header's order.  "." is null."""
+    array of maps from FORMAT keys to values, in the header's order.  "." is null.  Of a key that is given more
+    than once the first value counts; values without a key are left out."""
     return parse_vcf(spark.read.text(path))
 
 
@@ -20,9 +27,10 @@ def parse_vcf(lines: DataFrame) -> DataFrame:
     f = F.split("value", "\t")
     known = lambda c: F.when(c != ".", c)
     pair = lambda x: F.struct(F.split(x, "=", 2)[0].alias("key"), F.coalesce(F.get(F.split(x, "=", 2), F.lit(1)), F.lit("")).alias("value"))
-    info = F.map_from_entries(F.transform(F.filter(F.split(F.get(f, F.lit(7)), ";"), lambda x: (x != ".") & (x != "")), pair))
+    info = first_of_each_key(F.transform(F.filter(F.split(F.get(f, F.lit(7)), ";"), lambda x: (x != ".") & (x != "")), pair))
     keys = F.split(F.get(f, F.lit(8)), ":")
-    sample = lambda x: F.map_from_arrays(F.slice(keys, 1, F.size(F.split(x, ":"))), F.split(x, ":"))
+    zipped = lambda v: F.zip_with(F.slice(keys, F.lit(1), F.size(v)), F.slice(v, F.lit(1), F.size(keys)), lambda k, x: F.struct(k.alias("key"), x.alias("value")))
+    sample = lambda x: first_of_each_key(zipped(F.split(x, ":")))
     return lines.select(
         F.get(f, F.lit(0)).alias("chrom"), F.get(f, F.lit(1)).try_cast("long").alias("pos"), known(F.get(f, F.lit(2))).alias("id"), F.get(f, F.lit(3)).alias("ref"), F.split(F.get(f, F.lit(4)), ",").alias("alts"), known(F.get(f, F.lit(5))).try_cast("float").alias("qual"),
         F.when(F.get(f, F.lit(6)) == ".", F.array().cast("array<string>")).otherwise(F.split(F.get(f, F.lit(6)), ";")).alias("filters"), info.alias("info"),
@@ -63,9 +71,11 @@ def genotypes(variants: DataFrame, names: list[str], keep: list[str] | None = No
 
 
 def extracted(variants: DataFrame, keys: DataFrame) -> DataFrame:
-    """The variants whose chrom, pos, ref and first alternative allele are listed."""
-    listed = keys.select("chrom", "pos", "ref", "alt").distinct()
-    return variants.withColumn("alt", F.col("alts")[0]).join(listed, ["chrom", "pos", "ref", "alt"], "left_semi").select(variants.columns)
+    """The variants whose chrom, pos, ref and alternative alleles, all of them in their order, are listed; keys:
+    (chrom, pos, ref, and alts: an array, or alt: its text with commas)."""
+    alts = F.col("alts") if "alts" in keys.columns else F.split("alt", ",")
+    listed = keys.select("chrom", "pos", "ref", alts.alias("alts")).distinct()
+    return variants.join(listed, ["chrom", "pos", "ref", "alts"], "left_semi").select(variants.columns)
 
 
 def sample_text(fields: dict[str, Column]) -> tuple[str, Column]:

@@ -1,8 +1,9 @@
 """Text formats: read what was written, and the corners of alignments."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from dropletry.operators import pileup
+from dropletry.operators import alleles, pileup
 from dropletry.sources import alignments, sequences, tables, variants
 
 SAM = "@HD\tVN:1.6\nr1\t0\t1\t101\t60\t5S10M2I3D10M100N20M\t*\t0\t0\t{seq}\t{qual}\tCB:Z:AA-1\tUB:Z:T:G\nr2\t4\t1\t5\t0\t4M\t*\t0\t0\tACGT\tIIII\n"
@@ -65,7 +66,7 @@ def test_sequences_from_files(spark, tmp_path):
     spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert sorted((r["record"], r["name"], r["seq"]) for r in rows) == [(k, f"r{k}", "ACGT"[: k % 4 + 1]) for k in range(5000)]
     (tmp_path / "a.fa").write_text(">c1 first\nacgt\nTTTT\ngg\n>c2\nNNCC\nA\n")
-    stretches = sequences.fasta(sequences.numbered_lines(spark, str(tmp_path / "a.fa")).select("at", "value"))
+    stretches = sequences.blocks(sequences.fasta(sequences.numbered_lines(spark, str(tmp_path / "a.fa")).select("at", "value")), 4)
     points = spark.createDataFrame([("c1", 2), ("c1", 5), ("c1", 10), ("c2", 3), ("c2", 5)], "chrom string, pos long")
     assert sorted(map(tuple, sequences.bases_at(stretches, points, 4).select("chrom", "pos", "base").collect())) == [("c1", 2, "C"), ("c1", 5, "T"), ("c1", 10, "G"), ("c2", 3, "C"), ("c2", 5, "A")]
 
@@ -90,3 +91,48 @@ def test_filtered_variants_and_other_header(spark, tmp_path):
     assert [r["alts"] for r in variants.read_variants(spark, path, keys=keys).collect()] == [["T"]]
     calls = {(r["pos"], r["alt"], r["sample"]): (r["alleles"], r["gt"]) for r in variants.genotypes(variants.read_vcf(spark, path), ["s", "t"]).collect()}
     assert calls[10, "G", "s"] == ([0, 2], 1) and calls[10, "G", "t"] == ([1, None], None) and calls[20, "T", "s"] == ([1], 1) and calls[20, "A", "s"] == ([1, 1], 2)
+
+
+def test_uneven_lines_over_many_ranges(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    wanted, lines = {}, ["junk before any header"]
+    for k in range(6):
+        lines.append(f">s{k} note")
+        wanted[f"s{k}"] = ""
+        for _ in range(int(rng.integers(0, 60))):
+            part = "".join(rng.choice(list("acgtACGTN"), int(rng.integers(0, 50))))
+            wanted[f"s{k}"] += part.upper()
+            lines.append(part)
+    (tmp_path / "u.fa").write_text("\n".join(lines) + "\n")
+    numbered = sequences.numbered_lines(spark, str(tmp_path / "u.fa")).select("at", "value").repartition(5)
+    stretches = sequences.fasta(numbered)
+    blocks = sequences.blocks(stretches, 17).cache()
+    got = {}
+    for r in blocks.orderBy("chrom", "pos0").collect():
+        assert r["pos0"] == len(got.get(r["chrom"], "")) and len(r["seq"]) <= 17
+        got[r["chrom"]] = got.get(r["chrom"], "") + r["seq"]
+    assert got == {k: v for k, v in wanted.items() if v}
+    spans = [(i, f"s{i % 6}", 1 + 13 * i % 400, 1 + 13 * i % 400 + i % 70) for i in range(80)]
+    found = {r["key"]: r["bases"] for r in sequences.bases_between(blocks, spark.createDataFrame(spans, "key long, chrom string, beg long, end long"), 17).collect()}
+    assert all(found.get(k, "") == wanted[c][a - 1 : b] for k, c, a, b in spans)
+    assert "BroadcastNestedLoopJoin" not in stretches._jdf.queryExecution().toString()
+
+
+def test_a_long_repeat_moves_to_its_begin(spark):
+    genome = "G" + "AC" * 5000 + "T" + "ACGT" * 10
+    blocks = spark.createDataFrame([("1", a, genome[a : a + 1024]) for a in range(0, len(genome), 1024)], "chrom string, pos0 long, seq string")
+    rows = spark.createDataFrame([(1, "1", 9990, "ACACA", "A"), (2, "1", 9991, "C", "CAC"), (3, "1", 10003, "A", "T"), (4, "1", 1, "G", "GA"), (5, "2", 50, "CA", "CACA"), (6, "1", 700, "A", "A"), (7, "1", 3, "CAC", "C")], "id int, chrom string, pos long, ref string, alt string")
+    got = {r["id"]: (r["pos"], r["ref"], r["alt"]) for r in alleles.normalized_by_reference(rows, blocks, 1024).collect()}
+    assert got == {1: (1, "GACAC", "G"), 2: (1, "G", "GAC"), 3: (10003, "A", "T"), 4: (1, "G", "GA"), 5: (50, "C", "CAC"), 6: (700, "A", "A"), 7: (1, "GAC", "G")}
+
+
+def test_repeated_keys_and_extra_values_do_no_harm(spark, tmp_path):
+    (tmp_path / "bad.vcf").write_text("1\t10\t.\tA\tG,T\t.\tPASS\tDP=9;DP=1;AF=0.5;H2;H2\tGT:DP:GT\t0/1:7:1/1:extra:more\t1/2\t.\n1\t11\n")
+    rows = {r["pos"]: r for r in variants.read_vcf(spark, str(tmp_path / "bad.vcf")).collect()}
+    assert rows[10]["info"] == {"DP": "9", "AF": "0.5", "H2": ""} and rows[10]["samples"] == [{"GT": "0/1", "DP": "7"}, {"GT": "1/2"}, {"GT": "."}]
+    keys = lambda *k: spark.createDataFrame(list(k), "chrom string, pos long, ref string, alt string")
+    found = variants.read_vcf(spark, str(tmp_path / "bad.vcf"))
+    assert [variants.extracted(found, keys(("1", 10, "A", x))).count() for x in ("G,T", "G", "T,G")] == [1, 0, 0]
+    (tmp_path / "bad.sam").write_text("r1\t0\t1\t5\t60\t3M\t*\t0\t0\tACG\tIII\tCB:Z:x\tUB:Z:u\tCB:Z:y\nr2\t0\n")
+    got = {r["qname"]: r["tags"] for r in alignments.read_sam(spark, str(tmp_path / "bad.sam")).collect()}
+    assert got["r1"] == {"CB": "x", "UB": "u"} and not got["r2"]
