@@ -136,7 +136,8 @@ def pack(df: DataFrame, path: str, settings: Settings | None = None, key: str =
     rows = df.select(key, text)
     total = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
     ranges = max(1, min(s.ranges, -(-int(total) // s.range_bytes)))
-    ordered = rows.repartitionByRange(ranges, key, F.xxhash64(text), F.rand(0)).sortWithinPartitions(key)
+    # By what rows hold alone, so that a task that runs again deals them out alike; wholly equal rows stay together.
+    ordered = rows.repartitionByRange(ranges, key, F.xxhash64(text)).sortWithinPartitions(key, F.xxhash64(text))
     kind = to_arrow_type(rows.schema[key].dataType)
     names = [key, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
