@@ -27,6 +27,8 @@ PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_SIZES = 317, 322, 323, 32
 FIELD_CODES = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 
+#: Bytes that the pages of one file hold at most, unless the caller says otherwise.
+MOST = 1 << 30
 #: Bytes of a page's samples at most: what a binary value holds.
 LARGEST = 1 << 30
 #: Bytes that one byte of a part can become, at most, by compression.
@@ -265,12 +267,16 @@ def encode(
     return bytes(out)
 
 
-def pages_of(raw: bytes) -> Iterator[tuple]:
-    """The values of PAGE_FIELDS for each page."""
-    n = 0
+def pages_of(raw: bytes, most: int = MOST) -> Iterator[tuple]:
+    """The values of PAGE_FIELDS for each page; a file whose pages hold more than ``most`` bytes together ends in
+    an error row."""
+    n, held = 0, 0
     try:
         for order, fields in directories(raw):
             pixels = image(raw, order, fields)
+            held += pixels.nbytes
+            if held > most:
+                raise ValueError(f"pages hold more than {most} bytes")
             h, w, c = pixels.shape
             counts = np.bincount(pixels.reshape(-1)).astype(np.float64) / pixels.size
             levels = np.arange(len(counts))
@@ -278,12 +284,16 @@ def pages_of(raw: bytes) -> Iterator[tuple]:
             p = counts[counts > 0]
             yield (n, w, h, c, pixels.dtype.itemsize * 8, pixels.tobytes(), mean, float(np.sqrt(max(0.0, counts @ (levels - mean) ** 2))), float(-(p @ np.log2(p))), None)
             n += 1
-    except (ValueError, KeyError, IndexError, OverflowError, struct.error, zlib.error) as e:
+    except (ValueError, KeyError, IndexError, OverflowError, MemoryError, struct.error, zlib.error) as e:
         yield (n, None, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}")
 
 
-def read_pages(df: DataFrame, media: str = "media") -> DataFrame:
-    """One row per page of each file; ``df``'s other columns stand before the page columns."""
+def read_pages(df: DataFrame, media: str = "media", most: int = MOST) -> DataFrame:
+    """One row per page of each file; ``df``'s other columns stand before the page columns.
+
+    Pages are handed on as they are decoded, some 32 MB at a time, so that no file's pages are held together;
+    ``most``: bytes that the pages of one file may hold before it ends in an error row.
+    """
     new = {f.name for f in PAGE_FIELDS}
     kept = [f for f in df.schema.fields if f.name not in new]
     kinds = to_arrow_schema(T.StructType(PAGE_FIELDS))
@@ -291,15 +301,21 @@ def read_pages(df: DataFrame, media: str = "media") -> DataFrame:
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, of, held = [], [], 0
+
+            def taken(batch=batch) -> pa.RecordBatch:
+                own = [batch.column(f.name).take(pa.array(of)) for f in kept]
+                pages = [pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)]
+                return pa.RecordBatch.from_arrays(own + pages, names=[f.name for f in kept] + kinds.names)
+
             for k, raw in enumerate(batch.column(media)):
-                for page in pages_of(raw.as_py()) if raw.is_valid else ():
+                for page in pages_of(raw.as_py(), most) if raw.is_valid else ():
                     rows.append(page)
                     of.append(k)
                     held += len(page[5] or b"")
-                if held > 32_000_000 or (k + 1 == batch.num_rows and rows):
-                    taken = [batch.column(f.name).take(pa.array(of)) for f in kept]
-                    pages = [pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)]
-                    yield pa.RecordBatch.from_arrays(taken + pages, names=[f.name for f in kept] + kinds.names)
-                    rows, of, held = [], [], 0
+                    if held > 32_000_000:
+                        yield taken()
+                        rows, of, held = [], [], 0
+            if rows:
+                yield taken()
 
     return df.mapInArrow(walk, T.StructType(kept + PAGE_FIELDS))

@@ -81,3 +81,12 @@ def test_query(spark):
         raw = texts[r["doc_id"]]
         full = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-32:]))
+
+
+def test_pages_come_one_after_another_and_a_file_has_a_bound(spark):
+    page = np.zeros((100, 100, 1), np.uint8)
+    raw = tiff.encode([page] * 8)
+    assert [(p[0], p[9] and p[9][:10]) for p in tiff.pages_of(raw, most=35_000)] == [(0, None), (1, None), (2, None), (3, "ValueError")]
+    big = tiff.encode([np.zeros((5000, 4000, 1), np.uint8)] * 4)
+    rows = tiff.read_pages(spark.createDataFrame([(1, big), (2, raw)], "doc_id long, media binary")).select("doc_id", "page", "width").collect()
+    assert sorted((r["doc_id"], r["page"]) for r in rows) == [(1, k) for k in range(4)] + [(2, k) for k in range(8)]
