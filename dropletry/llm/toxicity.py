@@ -11,13 +11,14 @@ gradient steps see only those lists.
 
 Defined results: a null or empty text is scored as one without features; labels that are null or
 not 0 or 1 are ignored; without rows of both labels every score is the share of label 1 (0.0 if
-there is none); of rows that share an id all are sampled, if it is; equal texts get equal scores; ties
+there is none); of rows that share an id all are sampled, if it is, up to ``per_class`` rows of a label; equal texts get equal scores; ties
 of the sample's hash go to smaller ids; very long texts are read whole; an empty table has no rows;
 other columns are kept, and one that has the score's name is replaced.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -161,6 +162,11 @@ def train(docs: DataFrame, labelled: DataFrame, settings: Settings | None = None
     spark = docs.sparkSession
     chosen = sample(labelled, settings, key=key)
     rows = checkpointed(docs.select(key, text).join(F.broadcast(chosen), key).select(F.col(text).alias("text"), "label", "stands_for"))
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    if max(counts.values(), default=0) > settings.per_class:
+        # Rows that share an id are all its label's; of too many the first by hash stand for the others too.
+        parts = [rows.where(F.col("label") == v).orderBy(F.xxhash64("text"), "text").limit(settings.per_class).withColumn("stands_for", F.col("stands_for") * max(1.0, n / settings.per_class)) for v, n in sorted(counts.items())]
+        rows = checkpointed(functools.reduce(DataFrame.unionByName, parts))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashed, seen = Hasher(settings), np.zeros((2, 1 << settings.bits), np.int32)

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from dropletry.llm import op02_toxicity, toxicity
 
@@ -74,3 +75,16 @@ def test_query_held_out_accuracy(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and r["predicted"] == int(r["score"] >= 0.7) for r in rows)
     held = [(r["predicted"], truth[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in truth]
     assert sum(p and not t for p, t in held) == 0 and sum(p == t for p, t in held) / len(held) > 0.93
+
+
+def test_an_id_that_many_rows_share_is_bounded(spark, monkeypatch):
+    seen = []
+    plain = toxicity.descend
+    monkeypatch.setattr(toxicity, "descend", lambda rows, ratio, labels, weights, s: seen.append((len(rows), labels, weights)) or plain(rows, ratio, labels, weights, s))
+    docs = spark.createDataFrame([(1, f"bad words number {k}") for k in range(300)] + [(k, f"good words number {k}") for k in range(2, 12)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)] + [(k, 0) for k in range(2, 12)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, toxicity.Settings(per_class=50))
+    (n, marks, weights), = seen
+    assert n == 60 and marks.sum() == 50 and weights[marks == 1].sum() == pytest.approx(300) and weights[marks == 0].sum() == pytest.approx(10)
+    low, high = model.scores(["good words number 3", "bad words number 7"])
+    assert low < 0.5 < high
