@@ -190,13 +190,14 @@ def train(docs: DataFrame, labelled: DataFrame, settings: Settings | None = None
         hashed, known = Hasher(settings), np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             found = [b[known[b]] for b in map(hashed, batch["text"].tolist())]
-            yield pd.DataFrame({"label": batch["label"], "stands_for": batch["stands_for"], "buckets": [np.sort(b).astype(np.int32) for b in found]})
+            yield pd.DataFrame({"label": batch["label"], "stands_for": batch["stands_for"], "buckets": [np.sort(b).astype(">i4").tobytes() for b in found]})
         release()
 
-    got = rows.mapInPandas(telling, "label int, stands_for double, buckets array<int>").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["label"], r["buckets"]))  # equal rows do the same in any order
-    labels, weights = np.array([r["label"] for r in got], np.float64), np.array([r["stands_for"] for r in got], np.float64)
-    return prior(labels, weights, settings) or descend([np.array(r["buckets"], np.int32) for r in got], ratio, labels, weights, settings)
+    got = rows.mapInPandas(telling, "label int, stands_for double, buckets binary").toArrow()
+    lists = got["buckets"].to_pylist()
+    order = sorted(range(len(lists)), key=lambda i: (got["label"][i].as_py(), lists[i]))  # equal rows do the same in any order
+    labels, weights = (got[c].to_numpy()[order].astype(np.float64) for c in ("label", "stands_for"))
+    return prior(labels, weights, settings) or descend([np.frombuffer(lists[i], ">i4").astype(np.int32) for i in order], ratio, labels, weights, settings)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", score_column: str = "score") -> DataFrame:
