@@ -51,8 +51,8 @@ def planted(groups, size, inside, outside, seed):
 
 
 def test_modularity_never_falls_and_equals_a_sequential_run(spark):
-    edges = planted(3, 8, 0.6, 0.06, 1) + [(50, k, 1.0) for k in range(51, 60)]
-    found, told = communities.louvain(spark.createDataFrame(edges, SCHEMA), rounds=4)
+    edges = planted(3, 7, 0.6, 0.06, 1) + [(50, k, 1.0) for k in range(51, 60)]
+    found, told = communities.louvain(spark.createDataFrame(edges, SCHEMA), rounds=3)
     of = {r["node"]: r["community"] for r in found.collect()}
     assert len(of) == len({x for s, d, _ in edges for x in (s, d)})
     assert told == sorted(told) and told[-1] == pytest.approx(quality(edges, of))

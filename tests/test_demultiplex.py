@@ -5,7 +5,7 @@ from dropletry.operators import demultiplex
 from dropletry.sources import alignments, variants
 
 
-def files(folder, donors=4, cells=12, snps=150, per_cell=160, seed=0):
+def files(folder, donors=4, cells=8, snps=150, per_cell=160, seed=0):
     """A SAM and a VCF file of planted droplets: even ones hold a donor, odd ones two."""
     rng = np.random.default_rng(seed)
     gt = rng.binomial(2, rng.uniform(0.2, 0.8, snps)[:, None], (snps, donors))

@@ -121,7 +121,7 @@ def test_draws_equal_a_sampler_over_a_full_matrix(spark):
 
 def test_sampler_finds_planted_components(spark):
     x, truth = planted(120, 40, 3, 120, seed=9)
-    rows = mixture.gibbs(mixture.packed(frame(spark, x), 3), 3, sweeps=12, burn_in=6, blocks=3, seed=1).collect()
+    rows = mixture.gibbs(mixture.packed(frame(spark, x), 3), 3, sweeps=6, burn_in=3, blocks=2, seed=1).collect()
     got = {r["cell_id"]: r["component"] for r in rows}
     best = [max((sum(truth[c] == (j,) for c in got if got[c] == z)) for j in range(3)) for z in range(3)]
     assert sum(best) >= 110 and min(best) > 20
