@@ -73,7 +73,7 @@ def documents(n, sources, seed=0):
     return [(k * 3, pick(*sources), pick("en", "dé", None), pick(None, k), pick(None, "", "a\nb", "ü\n" * 50, "none", "\n")) for k in range(n)]
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 4, 9, 10, 28, 81, 200])
+@pytest.mark.parametrize("n", [1, 2, 4, 28, 81])
 def test_one_source_of_any_length(spark, n):
     rows = documents(n, ["s"])
     assert found(spark, rows, rows=7, join=2) == plain(rows)
