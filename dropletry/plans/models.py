@@ -74,7 +74,7 @@ def files_to_calls(s: SparkSession, f: str) -> DataFrame:
     name = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
     tags = [F.concat(F.lit("CB:Z:B"), F.col("l_suppkey").cast("string")), F.concat(F.lit("UB:Z:"), (F.col("l_orderkey") % 4).cast("string"))]
     sam = table(s, f, "lineitem").select(tab(name, "0", "1", pos, "60", "5M", "*", "0", "0", F.concat(F.lit("CC"), base, F.lit("CC")), F.repeat(F.chr(F.col("l_quantity").cast("int") + 33), F.lit(5)), *tags))
-    gt = F.coalesce(F.element_at(F.array(F.lit("0/0"), F.lit("0/1"), F.lit("1/1")), (F.col("gt") + 1).cast("int")), F.lit("./."))
+    gt = F.when(F.col("gt") == 0, "0/0").when(F.col("gt") == 1, "0/1").when(F.col("gt") == 2, "1/1").otherwise("./.")
     rows = donor_calls(s, f).groupBy("snp_id").agg(F.array_sort(F.collect_list(F.struct("donor", gt.alias("gt")))).alias("x"))
     lines = rows.select(tab("1", (F.col("snp_id") * 10 + 100).cast("string"), ".", "A", "G", ".", "PASS", ".", "GT", F.array_join(F.transform("x", lambda x: x["gt"]), "\t")))
     found = demultiplex.call(alignments.parse_sam(sam), vcf.parse_vcf(lines), [f"d{k}" for k in range(DONORS)], demultiplex.Options(min_snp=5))
