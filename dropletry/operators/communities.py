@@ -1,10 +1,10 @@
 """Communities of a weighted graph by greedy modularity, level by level.
 
 A level starts with every node on its own.  In a round all nodes find the community that gains most, at once.
-Those that would move and have no neighbour of higher rank (by gain, then by hash) that would move too do so
-together: what such moves change is known exactly from the communities' totals, and where crowding would make
-modularity fall, only those move that are the best mover of both communities they touch, whose gains add up.
-So modularity never falls, however many nodes move at once.  After ``rounds`` rounds, or when none gains,
+Of those that would move, two sets could do so together: those without a neighbour of higher rank (by gain, then
+by hash) that would move too, for which the communities' totals tell exactly what all their moves change; and
+those that are the best mover of both communities they touch, whose gains add up.  The set that gains more
+moves, so modularity never falls, however many nodes move at once.  After ``rounds`` rounds, or when none gains,
 communities become the nodes of the next level, their inner edges loops; levels end when one changes nothing.
 At last single nodes move again, ``rounds`` rounds at most, in the graph of the first level.
 
@@ -64,12 +64,12 @@ def _moves(near: DataFrame, nodes: DataFrame, whole: float, turn: int) -> DataFr
     more, squares = shifts.agg(F.sum("more"), F.sum(F.col("shift") * (2 * F.col("total") + F.col("shift")))).first()
     if more is None:
         return None
-    if 2 * more - squares / whole > 0:
-        return apart.select("node", "community")
     touched = movers.select("rank", F.explode(F.array("own", "community")).alias("touched")).groupBy("touched").agg(F.max("rank").alias("first"))
     firsts = lambda side: touched.select(F.col("touched").alias(side), F.col("first").alias(f"first_{side}"))
-    rows = movers.join(firsts("own"), "own").join(firsts("community"), "community")
-    return rows.where((F.col("rank") == F.col("first_own")) & (F.col("rank") == F.col("first_community"))).select("node", "community")
+    matched = movers.join(firsts("own"), "own").join(firsts("community"), "community")
+    matched = saved(matched.where((F.col("rank") == F.col("first_own")) & (F.col("rank") == F.col("first_community"))).select("node", "community", F.col("rank.gain").alias("gain")))
+    crowd = matched.agg(2 * F.sum("gain")).first()[0]
+    return apart.select("node", "community") if 2 * more - squares / whole > crowd else matched.drop("gain")
 
 
 def _settled(near: DataFrame, nodes: DataFrame, whole: float, rounds: int, turn: int) -> tuple[DataFrame, bool]:
