@@ -197,7 +197,12 @@ def train(docs: DataFrame, labelled: DataFrame, settings: Settings | None = None
     lists = got["buckets"].to_pylist()
     order = sorted(range(len(lists)), key=lambda i: (got["label"][i].as_py(), lists[i]))  # equal rows do the same in any order
     labels, weights = (got[c].to_numpy()[order].astype(np.float64) for c in ("label", "stands_for"))
-    return prior(labels, weights, settings) or descend([np.frombuffer(lists[i], ">i4").astype(np.int32) for i in order], ratio, labels, weights, settings)
+    buckets = [np.frombuffer(lists[i], ">i4").astype(np.int32) for i in order]
+    del got, lists
+    model = prior(labels, weights, settings) or descend(buckets, ratio, labels, weights, settings)
+    del buckets
+    release()  # the driver goes on to other work
+    return model
 
 
 def score(df: DataFrame, model: Model, text: str = "text", score_column: str = "score") -> DataFrame:
