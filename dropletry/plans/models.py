@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dropletry.operators import alleles, communities, demultiplex, demux, likelihood, mixture, multiallelic, panel, refinement
+from dropletry.operators import alleles, communities, demultiplex, demux, likelihood, mixture, multiallelic, panel
 from dropletry.operators.genotypes import call_posterior
 from dropletry.plans import single_cell as sc
 from dropletry.plans.adapters import DONORS, CALLS, UNIQUE, donor_calls, table, variants
@@ -59,13 +59,6 @@ def louvain_full(s: SparkSession, f: str) -> DataFrame:
     return communities.louvain(edges, rounds=2)[0]
 
 
-def refined_calls(s: SparkSession, f: str) -> DataFrame:
-    """Calls by votes over all pairs, one visit in random order and two rounds."""
-    gl, snps = sc.saved(sc.likelihoods(s, f)), variants(s, f)
-    order = sc.saved(likelihood.ranked(likelihood.singlet_scores(gl, snps)).select("cell_id", "rank"))
-    return sc.r6(refinement.refined(gl, snps, order, sc.CLUSTERS, threshold=2.0, share=0.5, visits=1, rounds=2), "best_llk", "next_llk")
-
-
 def files_to_calls(s: SparkSession, f: str) -> DataFrame:
     """Calls from lines of reads and of genotypes: five bases a read, the third one on a variant."""
     tab = lambda *parts: F.concat_ws("\t", *(p if isinstance(p, Column) else F.lit(p) for p in parts)).alias("value")
@@ -103,7 +96,7 @@ def multiallelic_calls(s: SparkSession, f: str) -> DataFrame:
     return found.select("snp_id", "sample", *(F.round(F.col("p")[g], 6).alias(f"p{g}") for g in range(6)))
 
 
-QUERIES = {"multiallelic_em": multiallelic_em, "multiallelic_calls": multiallelic_calls, "files_to_calls": files_to_calls, "refined_calls": refined_calls, "demux_panel": demux_panel, "mixture_em": mixture_em, "mixture_gibbs": mixture_gibbs, "louvain_full": louvain_full}
+QUERIES = {"multiallelic_em": multiallelic_em, "multiallelic_calls": multiallelic_calls, "files_to_calls": files_to_calls, "demux_panel": demux_panel, "mixture_em": mixture_em, "mixture_gibbs": mixture_gibbs, "louvain_full": louvain_full}
 
 
 # ---- The same in SQL ----
