@@ -68,48 +68,53 @@ class Lines:
         n = np.diff(np.append(first, len(line)))
         text = np.searchsorted(offsets, starts[first], side="right") - 1
         self.number = line[first] - np.searchsorted(feeds, offsets[:-1])[text]
-        used = np.concatenate([[0], np.cumsum((data != 32) & ((data < 9) | (data > 13)))])
-        begins = np.concatenate([[0], feeds + 1])
-        keep = (n >= s.least_words) | (used[feeds[line[first]]] - used[begins[line[first]]] >= s.least_bytes)
+        keep = n >= s.least_words
+        few = np.flatnonzero(~keep)
+        begins = np.concatenate([[0], feeds + 1])[line[first[few]]]
+        keep[few] = [sum(map(len, data[a:b].tobytes().split())) >= s.least_bytes for a, b in zip(begins.tolist(), feeds[line[first[few]]].tolist())]
         self.first, self.n, self.text, self.number = first[keep], n[keep], text[keep], self.number[keep]
-        self.powers, self.backs, self.sums = [], [], []
-        longest = int(n.max()) + 1 if len(n) else 1
-        place = np.arange(len(line)) - np.repeat(first, n)
-        for f in _FACTORS:
-            powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(longest, np.uint64(f))]))
-            self.powers.append(powers)
-            self.backs.append(np.cumprod(np.concatenate([[np.uint64(1)], np.full(longest, np.uint64(pow(f, -1, 1 << 64)))])))
-            self.sums.append(np.concatenate([[np.uint64(0)], np.cumsum(words * powers[place])]))
+        self.words, self.longest = words, int(n.max()) + 1 if len(n) else 1
+        self.place = np.arange(len(line)) - np.repeat(first, n)
+        self.sums = self.running(0)
+        self.backs = self._powers(pow(_FACTORS[0], -1, 1 << 64))
+
+    def _powers(self, f: int) -> np.ndarray:
+        return np.cumprod(np.concatenate([[np.uint64(1)], np.full(self.longest, np.uint64(f))]))
+
+    def running(self, which: int) -> np.ndarray:
+        """The running sums over all words by one of the factors."""
+        return np.concatenate([[np.uint64(0)], np.cumsum(self.words * self._powers(_FACTORS[which])[self.place])])
 
     @staticmethod
     def _key(value: np.ndarray, length: np.ndarray, salt: int = 0) -> np.ndarray:
         return mixed(value + (length.astype(np.uint64) + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
     def whole(self, which: int = 0) -> np.ndarray:
-        return self._key(self.sums[which][self.first + self.n] - self.sums[which][self.first], self.n)
+        sums = self.sums if which == 0 else self.running(which)
+        return self._key(sums[self.first + self.n] - sums[self.first], self.n)
 
     def halves(self, edit_words: int) -> tuple[np.ndarray, np.ndarray]:
         """(line, key) of the parts of which a pair one edit apart shares one.
 
         Of n words the first n // 2 or the last; against a line with one word less, (n - 1) // 2.
         """
-        s, lines, keys = self.sums[0], [], []
+        s, lines, keys = self.sums, [], []
         at = np.flatnonzero(self.n >= edit_words)
         first, n = self.first[at], self.n[at]
         for length, use in ((n // 2, n > 0), ((n - 1) // 2, n % 2 == 0)):
             head = s[first + length] - s[first]
-            tail = (s[first + n] - s[first + n - length]) * self.backs[0][n - length]
+            tail = (s[first + n] - s[first + n - length]) * self.backs[n - length]
             lines += [at[use], at[use]]
             keys += [self._key(head, length, 1 << 40)[use], self._key(tail, length, 1 << 41)[use]]
         return np.concatenate(lines), np.concatenate(keys)
 
     def variants(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(line, place, key) of each variant with the word at ``place`` deleted."""
-        s, n, first = self.sums[0], self.n[lines], self.first[lines]
+        s, n, first = self.sums, self.n[lines], self.first[lines]
         of = np.repeat(np.arange(len(lines)), n)
         place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         at = first[of] + place
-        value = (s[at] - s[first[of]]) + (s[(first + n)[of]] - s[at + 1]) * self.backs[0][1]
+        value = (s[at] - s[first[of]]) + (s[(first + n)[of]] - s[at + 1]) * self.backs[1]
         return lines[of], place, self._key(value, n[of] - 1)
 
 
@@ -138,8 +143,11 @@ def near_lines(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     def halve(ids: np.ndarray, x: Lines) -> dict:
         line, key = x.halves(s.edit_words)
         a = x.whole(0)[line]
-        once = np.unique(np.stack([key, a]), axis=1) if len(key) else np.empty((2, 0), np.int64)
-        return {"half": once[0], "a": once[1]}
+        order = np.lexsort((a, key))
+        key, a = key[order], a[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (a[1:] != a[:-1])
+        return {"half": key[new], "a": a[new]}
 
     lines = checkpointed(_over_lines(docs, s, describe, "id long, number int, a long, b long"))
     bits = map_bits(lines.count())

@@ -2,7 +2,7 @@ from collections import defaultdict
 
 import numpy as np
 
-from dropletry.llm import lines, op03_lines
+from dropletry.llm import lines, op03_lines, shingles
 
 
 def expected(docs, s=lines.Settings()):
@@ -68,3 +68,22 @@ def test_query(spark):
     folder = "/root/testdata/sf0.001"
     docs = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
     assert {r["doc_id"]: r["text"] for r in op03_lines.query(spark, folder).collect()} == expected(docs)
+
+
+def test_hashes_by_their_definition():
+    """Of words and lines: sums over bytes and words, whatever their lengths, and the second of lines only when asked for."""
+    mask, r = (1 << 64) - 1, np.random.default_rng(8)
+    raws = [bytes(r.choice([0, 9, 10, 13, 32, 32, 65, 90, 97, 122, 200, 255], n).astype(np.uint8)) for n in (0, 1, 2, 3, 50, 400, 4000)] + [b"a" * 701 + b" b", b" \n"]
+    found, starts, offsets = shingles.word_hashes(raws)
+    words = [w for raw in raws for w in raw.lower().split()]
+    sums = [sum((b + 1) * pow(0x9E3779B97F4A7C15, k + 1, mask + 1) for k, b in enumerate(w)) & mask for w in words]
+    assert found.tolist() == shingles.mixed(np.array(sums, np.uint64)).tolist()
+    joined = b"\n".join(raws) + b"\n"
+    assert [joined[a : a + len(w)].lower() for a, w in zip(starts.tolist(), words)] == words and np.diff(offsets).tolist() == [len(x) + 1 for x in raws]
+    x = lines.Lines(raws, lines.Settings())
+    assert not isinstance(x.sums, list)
+    kept = [line for raw in raws for line in raw.split(b"\n") if len(line.split()) >= 2 or len(b"".join(line.split())) >= 24]
+    assert x.n.tolist() == [len(line.split()) for line in kept]
+    for which, f in enumerate(lines._FACTORS):
+        value = [sum(int(h) * pow(f, k, mask + 1) for k, h in enumerate(shingles.word_hashes([line])[0])) & mask for line in kept]
+        assert x.whole(which).tolist() == x._key(np.array(value, np.uint64), x.n).tolist()
