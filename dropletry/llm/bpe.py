@@ -13,10 +13,11 @@ texts and words are encoded whole; an empty table has no rows; extra columns are
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,10 +36,17 @@ END = "</w>"
 SLICE_CHARS = 1_500_000
 #: Words kept between batches before the table starts afresh.
 TABLE_WORDS = 250_000
+#: New words encoded at a time.
+NEW_WORDS = 20_000
 #: Bytes of a word beyond which exact merging uses a heap.
 LONG_WORD = 100
 #: A rank later than every merge.
 NEVER = np.int64(1 << 40)
+#: Of each byte of text in ASCII and LATIN: 0 white space, 1 of a letter, 2 a digit, 3 any other.
+KIND = np.full(256, 3, np.uint8)
+KIND[[9, 10, 11, 12, 13, 32]], KIND[65:91], KIND[97:123], KIND[128:], KIND[48:58] = 0, 1, 1, 1, 2
+#: What is a word of its own behind an apostrophe.
+CONTRACTIONS = (b"s", b"t", b"m", b"d", b"re", b"ve", b"ll")
 
 
 def _byte_chars() -> list[str]:
@@ -86,6 +94,39 @@ class _Hash:
         return out
 
 
+def latin_words(raws: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """The words of lower-cased texts in ASCII and LATIN, and how many each text has."""
+    joined = b"\n".join(raws) + b"\n\n\n"
+    data = np.frombuffer(joined, np.uint8)
+    kind = KIND[data]
+    # Words end where the kind changes, and behind each digit; an apostrophe that opens a word may take letters along.
+    cut = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    at = np.flatnonzero(data[:-3] == 39)
+    at = at[(at == 0) | (kind[at - 1] != 3)]
+    if len(at):
+        takes = np.zeros(len(at), np.int64)
+        for c in CONTRACTIONS:
+            takes[np.all([data[at + 1 + k] == b for k, b in enumerate(c)], axis=0)] = len(c)
+        at, takes = at[takes > 0], takes[takes > 0]
+        cut[at], cut[at + takes] = False, True
+    ends = np.flatnonzero(cut & (kind[:-1] != 0))
+    per_text = np.diff(np.searchsorted(ends, np.cumsum([0, *(len(r) + 1 for r in raws)])))
+    ends = ends[kind[ends + 1] != 0]
+    spaced = np.full(len(data) + len(ends), 32, np.uint8)
+    kept = np.ones(len(spaced), bool)
+    kept[ends + np.arange(1, len(ends) + 1)] = False
+    spaced[kept] = data
+    return spaced.tobytes().split(), per_text  # bytes split at the six ASCII white-space characters
+
+
+class _Numbers(dict):
+    """Numbers of values in the order in which they are first asked for."""
+
+    def __missing__(self, value: bytes) -> int:
+        n = self[value] = len(self)
+        return n
+
+
 class Codec:
     """Encoder and decoder of a tokenizers file with word-final symbols.
 
@@ -240,11 +281,10 @@ class Codec:
                     heapq.heappush(heap, (m[0], p, m[1], tokens[p], tokens[q]))
         return [t for t in tokens if t >= 0]
 
-    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The tokens of distinct words, one after another, and how many each has."""
-        raw = [w.encode() for w in words]
-        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-        symbols = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        symbols = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
         ends = np.cumsum(sizes)
         starts = ends - sizes
         symbols[ends - 1] += 256
@@ -297,12 +337,23 @@ class Codec:
         return out, counts_new
 
     def _reset(self) -> None:
-        self.known = {t: n for n, t in enumerate(self.special)}
-        self.flat = np.array(list(self.special.values()), np.int64)
+        self.known = _Numbers((b" " + t.encode(), n) for n, t in enumerate(self.special))  # no word has a space
+        self.flat = np.array(list(self.special.values()), np.int32)
         self.count = np.ones(len(self.special), np.int64)
 
+    def latin(self, text: str) -> bytes | None:
+        """A text in ASCII and LATIN after normalisation, in UTF-8; none of any other or with special tokens."""
+        if "<|" in text:
+            return None
+        if not text.isascii():
+            if not unicodedata.is_normalized("NFC", text):
+                text = unicodedata.normalize("NFC", text)
+            text = text.replace("Σ", "σ")
+        lower = text.lower()
+        return lower.encode() if lower.isascii() or self.plain(lower) else None
+
     def words(self, text: str) -> list[str]:
-        """The words of a text after normalisation; special tokens stay whole."""
+        """The words of a text after normalisation."""
         if text.isascii():
             return self.words_plain(text.lower())
         if not unicodedata.is_normalized("NFC", text):
@@ -343,36 +394,49 @@ class Codec:
         normalizer, cut, byte_of = self.library
         return [bytes(byte_of[c] for c in w).decode() for w, _ in cut.pre_tokenize_str(normalizer.normalize_str(text))]
 
-    def pieces(self, text: str) -> list[str]:
+    def pieces(self, text: str) -> list[bytes]:
+        """The words of a text in UTF-8; special tokens stay whole, behind a space."""
         if "<|" not in text or self.split is None:
-            return self.words(text)
-        out: list[str] = []
+            return [w.encode() for w in self.words(text)]
+        out: list[bytes] = []
         for k, part in enumerate(self.split.split(text)):
-            out += [part] if k % 2 else self.words(part)
+            out += [b" " + part.encode()] if k % 2 else [w.encode() for w in self.words(part)]
         return out
 
     def _encode_slice(self, texts: list[str]) -> list[np.ndarray]:
+        raws = [self.latin(t) for t in texts]
+        fast, slow = ([n for n, r in enumerate(raws) if (r is None) == none] for none in (False, True))
+        out = [np.empty(0, np.int32)] * len(texts)
+        for group, cut in ((fast, lambda: latin_words([raws[n] for n in fast])), (slow, lambda: self._words_of_each([texts[n] for n in slow]))):
+            if group:
+                for n, ids in zip(group, self._looked_up(*cut())):
+                    out[n] = ids
+        return out
+
+    def _words_of_each(self, texts: list[str]) -> tuple[list[bytes], np.ndarray]:
         words = [self.pieces(t) for t in texts]
-        every = [w for ws in words for w in ws]
+        return list(itertools.chain.from_iterable(words)), np.fromiter(map(len, words), np.int64, len(words))
+
+    def _looked_up(self, words: list[bytes], per_text: np.ndarray) -> list[np.ndarray]:
+        """The ids of each text, from the table of words; new words are added."""
         if len(self.known) > TABLE_WORDS:
             self._reset()
-        new = list(set(every) - self.known.keys())
-        if new:
-            flat, count = self.encode_words(new)
-            base = len(self.count)
-            self.known.update(zip(new, range(base, base + len(new))))
-            self.flat, self.count = np.concatenate([self.flat, flat]), np.concatenate([self.count, count])
-        codes = np.fromiter(map(self.known.__getitem__, every), np.int64, len(every))
+        base = len(self.known)
+        codes = np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
+        if len(self.known) > base:
+            new = list(itertools.islice(self.known, base, None))
+            found = [self.encode_words(new[a : a + NEW_WORDS]) for a in range(0, len(new), NEW_WORDS)]
+            self.flat = np.concatenate([self.flat, *(flat.astype(np.int32) for flat, _ in found)])
+            self.count = np.concatenate([self.count, *(count for _, count in found)])
         sizes = self.count[codes]
         firsts = (np.cumsum(self.count) - self.count)[codes]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(firsts - (ends - sizes), sizes) + np.arange(total)].astype(np.int32)
-        per_text = np.fromiter(map(len, words), np.int64, len(words))
+        ids = self.flat[np.repeat(firsts - (ends - sizes), sizes) + np.arange(total)]
         bounds = np.concatenate([[0], ends])[np.cumsum(per_text)]
         return np.split(ids, bounds[:-1])
 
-    def encode_each(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+    def encode_each(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text, a slice of texts at a time."""
         part: list[str] = []
         size = 0

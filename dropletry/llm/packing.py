@@ -163,7 +163,8 @@ def pack(df: DataFrame, path: str, settings: Settings | None = None, key: str =
         held = 0
         last = np.array([s.end], np.int32)
         for batch in batches:
-            for k, i in zip(batch.column(key).to_pylist(), codec.encode_each(batch.column(text).to_pylist())):
+            texts = (t for a in range(0, batch.num_rows, 256) for t in batch.column(text).slice(a, 256).to_pylist())
+            for k, i in zip(batch.column(key).to_pylist(), codec.encode_each(texts)):
                 keys.append(k)
                 ids.append(np.concatenate([i, last]))
                 held += len(ids[-1])
@@ -175,5 +176,7 @@ def pack(df: DataFrame, path: str, settings: Settings | None = None, key: str =
                     release()
         if ids:
             yield packed(keys, ids, closes, sequence)[0]
+        del keys, ids
+        release()
 
     return ordered.mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

@@ -58,3 +58,15 @@ def test_query(spark, library):
         ids = library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
         assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_only_new_words_are_encoded_and_few_at_a_time(library, monkeypatch):
+    c, asked = bpe.Codec(PATH), []
+    whole = c.encode_words
+    monkeypatch.setattr(bpe, "NEW_WORDS", 3)
+    monkeypatch.setattr(c, "encode_words", lambda words: (asked.append(list(words)), whole(words))[1])
+    texts = ["One two, three", "", "Fouré two. 日本", "<|endoftext|> <|ENDOFTEXT|> one"]
+    for _ in range(2):
+        assert [ids.tolist() for ids in c.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    flat = [w for words in asked for w in words]
+    assert len(flat) == len(set(flat)) and max(map(len, asked)) <= 3
