@@ -60,6 +60,17 @@ def test_query(spark, library):
         assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_latin_words_like_the_matcher(library):
+    r = np.random.default_rng(4)
+    texts = ["".join(r.choice([*"'''stmdrevl.,! \n\t\x1c\x8509", "ß", "é", "ſ", "ŉ", "÷", "é", "'ll", "'re", "Σ", "İ", "x"], r.integers(0, 40))) for _ in range(3000)]
+    check(library, texts)
+    c = bpe.codec(PATH)
+    raws = [raw for t in texts if (raw := c.latin(t)) is not None]
+    words, per_text = bpe.latin_words(raws)
+    wanted = [[w.encode() for w in c.words_plain(raw.decode())] for raw in raws]
+    assert len(raws) > 500 and words == [w for ws in wanted for w in ws] and per_text.tolist() == [len(ws) for ws in wanted]
+
+
 def test_only_new_words_are_encoded_and_few_at_a_time(library, monkeypatch):
     c, asked = bpe.Codec(PATH), []
     whole = c.encode_words
