@@ -31,6 +31,7 @@ table has no rows.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import math
 import zlib
@@ -94,6 +95,28 @@ NOTHING = 1 << 30
 # ---- Step 1 and 2: running text ----
 
 
+class Places:
+    """Where hashes would stand among sorted distinct ones: an index by their first bits, then single steps."""
+
+    def __init__(self, hashes: np.ndarray):
+        bits = min(20, max(4, len(hashes).bit_length() + 2))
+        self.shift = np.uint64(64 - bits)
+        self.hashes = np.append(hashes, np.int64((1 << 63) - 1))
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(self._bucket(hashes), minlength=1 << bits))[:-1]]).astype(np.int32)
+
+    def _bucket(self, hashes: np.ndarray) -> np.ndarray:
+        return ((hashes.view(np.uint64) ^ np.uint64(1 << 63)) >> self.shift).astype(np.int64)
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of the first that is not less, which may be behind the last."""
+        at = self.first[self._bucket(hashes)]
+        on = np.flatnonzero(self.hashes[at] < hashes)
+        while len(on):
+            at[on] += 1
+            on = on[self.hashes[at[on]] < hashes[on]]
+        return at
+
+
 @dataclass
 class Code:
     """The symbols of running text and their decisions.
@@ -113,6 +136,16 @@ class Code:
     paths: Paths
     spelling: Paths
 
+    @functools.cached_property
+    def places(self) -> Places:
+        return Places(self.hashes)
+
+    def is_often(self, hashes: np.ndarray) -> np.ndarray:
+        """Whether each is the hash of a frequent word."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), bool)
+        return self.hashes[np.minimum(self.places(hashes), len(self.hashes) - 1)] == hashes
+
 
 def hashes_of(words: list[bytes]) -> np.ndarray:
     return word_hashes([b"\n".join(words)])[0].view(np.int64)
@@ -192,7 +225,7 @@ class Reading:
         low = lambda b: np.where((b >= 65) & (b <= 90), b + 32, b).astype(np.int64)
         second = data[starts + 1]
         head = low(data[starts]) << 8 | np.where((second == 32) | ((second >= 9) & (second <= 13)), 0, low(second))
-        text = np.searchsorted(offsets, starts, side="right") - 1
+        text = np.repeat(np.arange(len(raws)), np.diff(np.searchsorted(starts, offsets)))
         ends = 0 if open_end else len(raws)
         n = len(found) + ends
         place = np.arange(len(found)) + (text if ends else 0)
@@ -201,7 +234,7 @@ class Reading:
         self.hash, self.head = np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.is_word = np.zeros(n, bool)
         hashes = found.view(np.int64)
-        at = np.minimum(np.searchsorted(code.hashes, hashes), max(0, len(code.hashes) - 1))
+        at = np.minimum(code.places(hashes), max(0, len(code.hashes) - 1))
         known = code.hashes[at] == hashes if len(code.hashes) else np.zeros(len(hashes), bool)
         symbol = np.where(known, code.symbol[at], code.of_head[head]) if len(code.hashes) else code.of_head[head]
         self.symbol[place] = np.where(symbol < 0, len(code.paths.depth) - 1, symbol)
@@ -232,8 +265,10 @@ class Reading:
 
     def _frequent(self, at: np.ndarray, carried: int) -> np.ndarray:
         """The last frequent word before each token of its text."""
-        count = np.searchsorted(at, np.arange(len(self.symbol)))  # of them before each token
-        first = np.searchsorted(at, np.flatnonzero(self.opens))[np.cumsum(self.opens) - 1] if len(self.opens) else count
+        is_one = np.zeros(len(self.symbol), np.int64)
+        is_one[at] = 1
+        count = np.cumsum(is_one) - is_one  # of them before each token
+        first = count[self.opens][np.cumsum(self.opens) - 1] if len(self.opens) else count
         symbols = np.append(self.symbol[at], carried)
         return symbols[np.where(count > first, count - 1, len(at))]
 
@@ -266,6 +301,13 @@ def packed(counts: np.ndarray, s: Settings) -> np.ndarray:
     return ((odds * 512).astype(np.int16) << 1) | (zeros + ones >= 2).astype(np.int16)
 
 
+def odds_to_probability(opposite: np.ndarray) -> np.ndarray:
+    """The probability of these log odds against it."""
+    p = np.exp(opposite)
+    p += 1
+    return np.divide(1, p, out=p)
+
+
 class Mixer:
     """Weights of each text by gate and input, and its map; learnt block by block along the texts."""
 
@@ -291,6 +333,7 @@ class Mixer:
         order = np.argsort(block.astype(np.int16) if block.max() < 1 << 15 else block, kind="stable")
         edges = np.concatenate([[0], np.cumsum(np.bincount(block))])
         inputs, cells, bits, texts = [i[order] for i in inputs], (text * self.gates + gate)[order], bit[order].astype(np.float32), text[order]
+        knots, scores = texts * len(KNOTS), np.zeros(len(bit), np.float32)
         step, half = np.float32(1 / (KNOTS[1] - KNOTS[0])), np.float32(0.5)
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
             if a == b:
@@ -298,12 +341,16 @@ class Mixer:
             x, cell, y = [i[a:b] for i in inputs], cells[a:b], bits[a:b]
             z = np.zeros(b - a, np.float32)
             for w, i in zip(self.weights, x):
-                z += w[cell] * i
+                part = w.take(cell)
+                part *= i
+                z += part
             np.clip(z, KNOTS[0], KNOTS[-1], out=z)
-            knot = texts[a:b] * len(KNOTS) + ((z - KNOTS[0]) * step + half).astype(np.int64)
-            p, q = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-z - self.map[knot]))
+            knot = knots[a:b] + ((z - KNOTS[0]) * step + half).astype(np.int64)
+            np.negative(z, out=z)
+            p, q = odds_to_probability(z), odds_to_probability(z - self.map.take(knot))
             both = (p + q) * half
-            out[order[a:b]] = np.log10(np.clip(np.where(y > 0, both, 1 - both), CLIP, 1 - CLIP))
+            np.subtract(1, both, out=both, where=y == 0)
+            scores[a:b] = np.log10(np.clip(both, CLIP, 1 - CLIP, out=both), out=both)
             if b == len(order) and not self.more:
                 break
             # The mean error of all decisions so far moves each weight, and each knot in log odds.
@@ -313,6 +360,7 @@ class Mixer:
                 w += (self.s.step * np.bincount(cell, err * i, len(self.seen)) / self.seen).astype(np.float32)
             self.map_seen += np.bincount(knot, minlength=len(self.map)).astype(np.float32)
             self.map += (6 * np.bincount(knot, y - q, len(self.map)) / self.map_seen).astype(np.float32)
+        out[order] = scores
         return out
 
 
@@ -479,33 +527,36 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     """(hash, word, n: occurrences in training texts) for the words of all texts, and for the empty word,
     of hash 0, the training texts; docs: text, held_out."""
 
-    def frames(held: Counter, texts: int) -> Iterator[pd.DataFrame]:
-        words = list(held)
+    def rows_of(hashes: np.ndarray | list, words: list[bytes], n: np.ndarray | list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(words, pa.binary()), pa.array(n, pa.int64())], names=["hash", "word", "n"])
+
+    def frames(held: Counter, texts: int) -> Iterator[pa.RecordBatch]:
+        words, n = list(held), np.fromiter(held.values(), np.int64, len(held))
+        held.clear()
         for a in range(0, len(words), 50_000):
             part = words[a : a + 50_000]
-            yield pd.DataFrame({"hash": hashes_of(part), "word": part, "n": np.fromiter((held[w] for w in part), np.int64, len(part))})
-        yield pd.DataFrame({"hash": [0], "word": [b""], "n": [texts]})
-        held.clear()
+            yield rows_of(hashes_of(part), part, n[a : a + 50_000])
+        yield rows_of([0], [b""], [texts])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
         texts = 0
         for batch in batches:
-            flags, at = batch["held_out"].to_numpy(), 0
-            for raws in slices(batch["text"].tolist()):
+            flags, at = batch.column("held_out").to_numpy(zero_copy_only=False), 0
+            for raws in slices(batch.column("text").to_pylist()):
                 out = flags[at : at + len(raws)]
                 at += len(raws)
                 # bytes.lower() changes A-Z alone and bytes.split() cuts at the six ASCII white-space characters.
                 held.update(b"\n".join([r for r, o in zip(raws, out) if not o]).lower().split())
                 texts += int((~out).sum())
-                for w in set(b"\n".join([r for r, o in zip(raws, out) if o]).lower().split()):
-                    held[w] += 0
+                for w in set(b"\n".join([r for r, o in zip(raws, out) if o]).lower().split()) - held.keys():
+                    held[w] = 0
                 if len(held) > 500_000:
                     yield from frames(held, texts)
                     texts = 0
         yield from frames(held, texts)
 
-    rows = docs.select("text", "held_out").mapInPandas(run, "hash long, word binary, n long")
+    rows = docs.select("text", "held_out").mapInArrow(run, "hash long, word binary, n long")
     return rows.groupBy("hash", "word").agg(F.sum("n").alias("n"))
 
 
@@ -671,8 +722,11 @@ class Lookup:
     n: np.ndarray
     lp: np.ndarray
 
+    def __post_init__(self) -> None:
+        self.places = Places(self.hashes)
+
     def __call__(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted(self.hashes, hashes)
+        at = self.places(hashes)
         return self.n[at], self.lp[at]
 
 
@@ -749,9 +803,8 @@ def score(docs: DataFrame, held_out: Column, settings: Settings | None = None, k
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for chunk, rows in batch.groupby("chunk"):
-                parts = [np.unique(word_hashes(raws)[0]) for raws in slices(rows["text"].tolist())]
-                found = np.unique(np.concatenate(parts)).view(np.int64)
-                found = found[~np.isin(found, code.value.hashes)]
+                parts = [np.unique(hashes[~code.value.is_often(hashes)]) for raws in slices(rows["text"].tolist()) if len(hashes := word_hashes(raws)[0].view(np.int64))]
+                found = np.unique(np.concatenate(parts)) if parts else np.empty(0, np.int64)
                 yield pd.DataFrame({"chunk": np.full(len(found), chunk), "hash": found})
 
     # All columns, though two are read: so the texts are exchanged once, for this pass and the last.

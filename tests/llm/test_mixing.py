@@ -169,3 +169,13 @@ def test_a_long_text_in_pieces_reads_on(spark):
     for d in (1, 2):
         assert (cut[d]["n_tokens"], cut[d]["n_known"]) == (whole[d]["n_tokens"], whole[d]["n_known"])
         assert cut[d]["base_score"] == pytest.approx(whole[d]["base_score"]) and cut[d]["score"] == pytest.approx(whole[d]["score"], rel=0.1)
+
+
+def test_places_are_those_of_a_search():
+    r = np.random.default_rng(6)
+    for n in (0, 1, 2, 300, 20_000):
+        hashes = np.unique(r.integers(-(1 << 63), 1 << 63, n))
+        for known in (hashes, hashes // 1_000_000 * 3, np.array([-(1 << 63), -1, 0, (1 << 63) - 1])):
+            known = np.unique(known)
+            asked = np.concatenate([known, r.integers(-(1 << 63), 1 << 63, 500), [-(1 << 63), -1, 0, 1, (1 << 63) - 1]])
+            assert mixing.Places(known)(asked).tolist() == np.searchsorted(known, asked).tolist()
