@@ -179,3 +179,37 @@ def test_places_are_those_of_a_search():
             known = np.unique(known)
             asked = np.concatenate([known, r.integers(-(1 << 63), 1 << 63, 500), [-(1 << 63), -1, 0, 1, (1 << 63) - 1]])
             assert mixing.Places(known)(asked).tolist() == np.searchsorted(known, asked).tolist()
+
+
+def test_vocabulary_counts_words_and_bytes_in_one_pass(spark):
+    docs = [("The the\x0bcat\x0c\x1cx\r\n ", False), (" É é z\u0085 new new", True), ("", False), ("\t \n", True), ("cat É", False), ("the NEW", True)]
+    c = Counter(w for t, out in docs if not out for w in tokens(t))
+    wanted = {w: c[w] for t, _ in docs for w in tokens(t)} | {None: sum(len(t.encode()) for t, _ in docs)}
+    for parts in (1, 4):
+        rows = mixing.vocabulary(spark.createDataFrame(docs, "text string, held_out boolean").repartition(parts)).collect()
+        assert {None if r["word"] is None else bytes(r["word"]): r["n"] for r in rows} == wanted and len(rows) == len(wanted)
+        assert all(r["hash"] == mixing.hashes_of([bytes(r["word"])])[0] for r in rows if r["word"])
+
+
+def test_decisions_of_equal_pairs_are_counted_at_once_and_in_full():
+    s, bits = mixing.Settings(frequent=4, heads=2), [8, 9, 10]
+    code = small_code(s)
+    words = np.random.default_rng(3).choice(["the", "of", "and", "spark", "park", "x", "zz"], 3000)
+    reading = mixing.Reading([" ".join(words).encode(), b"", b"of the"], code, s)
+    wanted, got = ([np.zeros(2 << b, np.int32) for b in bits] for _ in range(2))
+    depth, node, bit = code.paths(reading.symbol)
+    for table, slot in zip(wanted, reading.slots(depth, node, bits)):
+        np.add.at(table, slot * 2 + bit, 1)
+    mixing.add_pairs(got, [reading.symbol.astype(np.uint32), *reading.contexts], bits, code)
+    assert all((a == b).all() and a.sum() == len(bit) for a, b in zip(wanted, got))
+
+
+def test_blocks_hold_each_decision_once_in_the_order_of_learning():
+    s = mixing.Settings(first_block=4, last_block=16)
+    edges = [4, 12, *range(28, 400, 16)]
+    sizes, done = np.array([1, 50, 4, 130, 5]), np.array([0, 3, 0, 27, 4])
+    opens = np.cumsum(sizes) - sizes
+    order, cuts = mixing.Mixer(5, mixing.START, s)._blocks(opens, sizes, done)
+    block = [sum(e <= d + k for e in edges) for n, d in zip(sizes, done) for k in range(n)]
+    assert order.tolist() == sorted(range(len(block)), key=lambda k: block[k])
+    assert cuts.tolist() == [0, *np.cumsum([n for _, n in sorted(Counter(block).items())]).tolist()]
