@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,44 +25,55 @@ def pairs(alleles: int) -> np.ndarray:
     return np.array([(a, b) for b in range(alleles) for a in range(b + 1)])
 
 
-def priors(af: np.ndarray, ploidy: int) -> np.ndarray:
-    """The probabilities of all genotypes by frequency."""
-    a, b = pairs(len(af)).T
-    return np.where(a == b, af[a], 0.0) if ploidy == 1 else np.where(a == b, 1, 2) * af[a] * af[b]
-
-
-def em_step(af: np.ndarray, likelihoods: np.ndarray, ploidy: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The frequencies after one round; a row of likelihoods stands for n samples."""
-    held = np.stack([(pairs(len(af)) == x).sum(axis=1) for x in range(len(af))], axis=1)  # copies of each allele
-    w = likelihoods * np.stack([priors(af, 1), priors(af, 2)])[ploidy - 1]
-    share = (w / w.sum(axis=1, keepdims=True)) @ held * (ploidy / 2)[:, None]
-    return n @ share / (n @ ploidy)
+def _counted(x: pa.ListArray, k: int) -> tuple[np.ndarray, ...]:
+    """The patterns of some variants of k alleles one after another: the variant's place, likelihoods, copies, samples."""
+    flat, size = x.flatten(), k * (k + 1) // 2
+    lists, ploidy, n = (flat.field(c) for c in ("l", "ploidy", "n"))
+    lists = lists.fill_null(pa.scalar([1.0] * size, lists.type))
+    if lists.value_lengths().to_numpy(zero_copy_only=False).tolist() != [size] * len(lists):
+        raise ValueError("a sample's likelihoods are not those of all genotypes")
+    like = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+    return np.repeat(np.arange(len(x)), x.value_lengths().to_numpy(zero_copy_only=False)), like, ploidy.to_numpy(zero_copy_only=False), n.to_numpy(zero_copy_only=False)
+
+
+def _frequencies(x: pa.ListArray, k: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """The frequencies of some variants of k alleles after the last round and before it, a row each."""
+    af = before = np.full((len(x), k), 1 / k)
+    variant, like, ploidy, n = _counted(x, k)
+    if not len(variant):
+        return af, before
+    begins = np.flatnonzero(np.diff(variant, prepend=-1))
+    told, held = variant[begins], np.stack([(pairs(k) == a).sum(axis=1) for a in range(k)], axis=1)  # copies of each allele
+    (a, b), half, copies = pairs(k).T, (n * ploidy / 2)[:, None], np.add.reduceat(n * ploidy, begins)[:, None]
+    # What a frequency's product counts: one copy has equal alleles only.
+    times = np.where(a == b, 1.0, np.where(ploidy[:, None] == 1, 0.0, 2.0))
+    for _ in range(rounds):
+        own = af[variant]
+        w = like * times * own[:, a] * np.where((ploidy == 1)[:, None], 1.0, own[:, b])
+        share = (w / w.sum(axis=1, keepdims=True)) @ held * half
+        af, before = af.copy(), af
+        af[told] = np.add.reduceat(share, begins) / copies
+    return af, before
 
 
 def frequencies_by_em(likelihoods: DataFrame, rounds: int = 10) -> DataFrame:
     """(snp_id, af: of every allele, last: those of the round before) from (snp_id, n_allele, ploidy, l: the
     likelihoods of all genotypes) over samples, beginning with equal ones.
 
-    Equal likelihoods are counted first, so a variant is one row of few patterns, and its rounds run there.
+    Equal likelihoods are counted first, so a variant is one row of few patterns, and the rounds of a batch of
+    variants run together there.
     """
-    told = likelihoods.where(F.col("ploidy").isin(1, 2)).groupBy("snp_id", "n_allele", "ploidy", "l").agg(F.count("*").alias("n"))
-    rows = told.groupBy("snp_id", "n_allele").agg(F.array_sort(F.collect_list(F.struct("ploidy", "l", "n"))).alias("x"))
-    every = likelihoods.select("snp_id", "n_allele").distinct().join(rows, ["snp_id", "n_allele"], "left")
+    counted = likelihoods.groupBy("snp_id", "n_allele", "ploidy", "l").agg(F.count("*").alias("n"))
+    told = F.when(F.col("ploidy").isin(1, 2), F.struct("ploidy", "l", "n"))
+    every = counted.groupBy("snp_id", "n_allele").agg(F.array_sort(F.collect_list(told)).alias("x"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, last = [], []
-            for k, x in zip(batch.column("n_allele").to_pylist(), batch.column("x").to_pylist()):
-                af = before = np.full(k, 1 / k)
-                if x:
-                    like = np.array([p["l"] or [1.0] * (k * (k + 1) // 2) for p in x])
-                    ploidy, n = (np.array([p[c] for p in x]) for c in ("ploidy", "n"))
-                    for _ in range(rounds):
-                        af, before = em_step(af, like, ploidy, n), af
-                out.append(af)
-                last.append(before)
-            arrays = [pa.array(v, pa.list_(pa.float64())) for v in (out, last)]
-            yield pa.RecordBatch.from_arrays([batch.column("snp_id"), *arrays], names=["snp_id", "af", "last"])
+            alleles = batch.column("n_allele")
+            for k in alleles.unique().to_pylist():
+                own = batch.filter(pc.equal(alleles, k))
+                arrays = [pa.ListArray.from_arrays(np.arange(len(v) + 1, dtype=np.int32) * k, v.ravel()) for v in _frequencies(own.column("x"), k, rounds)]
+                yield pa.RecordBatch.from_arrays([own.column("snp_id"), *arrays], names=["snp_id", "af", "last"])
 
     return every.mapInArrow(run, f"snp_id {dict(likelihoods.dtypes)['snp_id']}, af array<double>, last array<double>")
 
@@ -84,15 +96,20 @@ def prior(alleles: Column, ploidy: Column, af: Column) -> Column:
 
 
 def _scaled(p: Column) -> Column:
-    return F.transform(p, lambda v: v / F.aggregate(p, F.lit(0.0), lambda s, x: s + x))
+    # One step through an array of one, so that the sum is taken once.
+    total = F.aggregate(p, F.lit(0.0), lambda s, x: s + x)
+    return F.when(p.isNotNull(), F.element_at(F.transform(F.array(total), lambda t: F.transform(p, lambda v: v / t)), 1))
 
 
 def likelihood_posteriors(likelihoods: DataFrame, rounds: int = 10) -> DataFrame:
-    """``likelihoods`` with p: the probabilities of all genotypes under the frequencies before the last round."""
+    """``likelihoods`` with p: the probabilities of all genotypes under the frequencies before the last round.
+
+    A row for each variant is no small table, whatever Spark guesses, so it is never broadcast.
+    """
     af = frequencies_by_em(likelihoods, rounds)
     ones = _of_genotypes(F.col("n_allele"), lambda at, b, a: F.lit(1.0))
     weighed = F.zip_with(F.coalesce("l", ones), prior(F.col("n_allele"), F.col("ploidy"), F.col("last")), lambda x, y: x * y)
-    rows = likelihoods.join(af, "snp_id").withColumn("p", weighed)
+    rows = likelihoods.join(af.hint("merge"), "snp_id").withColumn("p", weighed)
     return rows.withColumn("p", _scaled(F.col("p"))).drop("last")
 
 

@@ -65,3 +65,16 @@ def test_calls_of_three_alleles_and_one_copy(spark):
     assert p[1, 3] == pytest.approx([f[0] ** 2, 2 * f[0] * f[1], f[1] ** 2, 2 * f[0] * f[2], 2 * f[1] * f[2], f[2] ** 2])
     assert p[1, 4] == pytest.approx([f[0], 0, f[1], 0, 0, f[2]]) and p[1, 5] is None
     assert p[2, 0] == pytest.approx([0.25, 0.5, 0.25])
+
+
+def test_no_table_of_variants_is_broadcast(spark):
+    df = spark.range(18).selectExpr("id DIV 3 AS snp_id", "id % 3 AS sample", "3 AS n_allele", "CAST(id DIV 3 % 2 * 2 AS INT) AS ploidy", "array(0.5D, 0.1D, 0.2D, 0.3D, 0.4D, id + 1.0D) AS l")
+    found = multiallelic.likelihood_posteriors(df)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r["snp_id"]: r["p"] is None for r in found.collect()} == {v: v % 2 == 0 for v in range(6)}
+
+
+def test_likelihoods_of_another_number_of_alleles_fail(spark):
+    df = spark.createDataFrame([(1, 0, 3, 2, [0.5, 0.1, 0.2]), (1, 1, 3, 2, [0.5, 0.1, 0.2, 0.3, 0.4, 0.1, 0.7, 0.8, 0.9])], "snp_id long, sample int, n_allele int, ploidy int, l array<double>")
+    with pytest.raises(Exception, match="all genotypes"):
+        multiallelic.frequencies_by_em(df).collect()
