@@ -85,7 +85,8 @@ def geno_error_mix(s: SparkSession, f: str) -> DataFrame:
     rows = donor_calls(s, f).select("snp_id", "donor", "r2", *(c.alias(f"gp{g}") for g, c in enumerate(gp)))
     mean = rows.groupBy("snp_id").agg(*(F.avg(f"gp{g}").alias(f"m{g}") for g in range(3)))
     mixed = genotypes.mixed_with_mean([F.col(f"gp{g}") for g in range(3)], [F.col(f"m{g}") for g in range(3)], F.col("r2"), 0.1, 0.2)
-    return r6(rows.join(mean, "snp_id").select("snp_id", "donor", *(c.alias(f"x{g}") for g, c in enumerate(mixed))), "x0", "x1", "x2")
+    # A row for each variant is no small table, whatever Spark guesses.
+    return r6(rows.join(mean.hint("merge"), "snp_id").select("snp_id", "donor", *(c.alias(f"x{g}") for g, c in enumerate(mixed))), "x0", "x1", "x2")
 
 
 def gp_normalize(s: SparkSession, f: str) -> DataFrame:

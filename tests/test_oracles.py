@@ -33,3 +33,8 @@ def test_query_equals_sql(spark, db, name):
 def test_clustering_runs_to_calls(spark):
     rows = catalogue.QUERIES["em_full"](spark, FOLDER).collect()
     assert rows and {r["type"] for r in rows} <= {"SNG", "DBL", "AMB"}
+
+
+@pytest.mark.parametrize("name", ["geno_error_mix"])
+def test_rows_of_variants_are_not_broadcast(spark, name):
+    assert "Broadcast" not in catalogue.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
