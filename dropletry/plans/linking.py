@@ -67,7 +67,8 @@ def pl_posterior(s: SparkSession, f: str) -> DataFrame:
     lik = [c.alias(f"l{g}") for g, c in enumerate(genotypes.likelihoods_of_pl(F.col("pl")))]
     rows = pl_text(s, f).select("snp_id", "donor", *lik)
     out = genotypes.posterior_of_likelihoods([F.col(f"l{g}") for g in range(3)], F.col("af"))
-    joined = rows.join(genotypes.frequency_by_em(rows), "snp_id").select("snp_id", "donor", "af", *(c.alias(f"p{g}") for g, c in enumerate(out)))
+    # A row for each variant is no small table, whatever Spark guesses.
+    joined = rows.join(genotypes.frequency_by_em(rows).hint("merge"), "snp_id").select("snp_id", "donor", "af", *(c.alias(f"p{g}") for g, c in enumerate(out)))
     return r6(joined, "af", "p0", "p1", "p2")
 
 

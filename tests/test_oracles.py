@@ -35,6 +35,6 @@ def test_clustering_runs_to_calls(spark):
     assert rows and {r["type"] for r in rows} <= {"SNG", "DBL", "AMB"}
 
 
-@pytest.mark.parametrize("name", ["geno_error_mix"])
+@pytest.mark.parametrize("name", ["geno_error_mix", "pl_posterior"])
 def test_rows_of_variants_are_not_broadcast(spark, name):
     assert "Broadcast" not in catalogue.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
