@@ -7,10 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dropletry.functions.phred import added, hardy_weinberg, string_hash
+from dropletry.operators import packed
 from dropletry.operators.demux import best_and_next, calls
 from dropletry.operators.likelihood import FLOOR
 from dropletry.operators.ranking import numbered, saved
@@ -165,41 +167,35 @@ def _unpacked(state, k: int) -> list[list[float] | None]:
     return [None if state[3 * j] < 0 else [float(x) for x in state[3 * j : 3 * j + 3]] for j in range(k)]
 
 
-def walked(rows: DataFrame, state: DataFrame | None, k: int) -> DataFrame:
-    """(cell_id, rank, cluster) of the droplets of ``rows``, one after another in one task."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list[list[float] | None]] = {}
-        out: list[tuple[int, int, int]] = []
-
-        def place(rank: int, cell: list[tuple]) -> None:
-            terms: list[list[float]] = [[] for _ in range(k)]
-            for snp, own, prior, _ in cell:
-                for j, c in enumerate(held.get(snp, ())):
-                    if c is not None:
-                        terms[j].append(_score(own, prior, c))
-            scores = [math.fsum(x) for x in terms]
-            best = scores.index(max(scores))
-            for snp, own, _, _ in cell:
-                at = held.setdefault(snp, [None] * k)
-                at[best] = _taken(own, at[best])
-            out.append((cell[0][3], rank, best))
-
-        now, cell = 0, []
-        for snp, rank, cell_id, _, own, prior, before in _observed(batches):
-            if rank == 0:
-                held[snp] = _unpacked(before, k)
-                continue
-            if rank != now and cell:
-                place(now, cell)
-                cell = []
-            now = rank
-            cell.append((snp, own, prior, cell_id))
-        if cell:
-            place(now, cell)
-        yield pd.DataFrame(out, columns=["cell_id", "rank", "cluster"])
-
-    return _with_state(rows, state).repartition(1).sortWithinPartitions("rank", "snp_id").mapInPandas(run, "cell_id long, rank long, cluster int")
+def walked(cells: DataFrame, k: int) -> DataFrame:
+    """(cell_id, rank, cluster) of droplets (cell_id, rank, cluster: null if not yet known, pack), one after another
+    in one task; a droplet's variants are scored together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_of: dict[int, int] = {}
+        held = np.full((1024, k, 3), -1.0)  # -1 where no member covers the variant
+        for batch in batches:
+            ids, ranks, known = (batch.column(c).to_pylist() for c in ("cell_id", "rank", "cluster"))
+            for i, pack in enumerate(batch.column("pack")):
+                snp, af, codes, table = packed.got(pack.as_py())
+                own, at = table[codes, ::4], np.array([at_of.setdefault(x, len(at_of)) for x in snp.tolist()], dtype=np.int64)
+                if len(at_of) > len(held):
+                    held = np.concatenate([held, np.full((max(len(held), len(at_of) - len(held)), k, 3), -1.0)])
+                if known[i] is None:
+                    prior = np.stack([(1 - af) ** 2, 2 * af * (1 - af), af**2], axis=1)
+                    there = held[at, :, 0] >= 0
+                    c = np.where(there[..., None], held[at], 1.0)
+                    mine = own * prior
+                    same, apart = (c * mine[:, None]).sum(axis=2), mine.sum(axis=1)[:, None] * (c * prior[:, None]).sum(axis=2)
+                    scores = [math.fsum(x) for x in np.where(there, np.log(same) - np.log(apart), 0.0).T.tolist()]
+                    known[i] = scores.index(max(scores))
+                before = held[at, known[i]]
+                m = own * np.where(before[:, :1] >= 0, before, 1.0)
+                m = np.maximum(m / m.sum(axis=1, keepdims=True), FLOOR)
+                held[at, known[i]] = m / m.sum(axis=1, keepdims=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ranks, pa.int64()), pa.array(known, pa.int32())], names=["cell_id", "rank", "cluster"])
+
+    return cells.repartition(1).sortWithinPartitions("rank").mapInArrow(run, "cell_id long, rank long, cluster int")
 
 
 def replayed(rows: DataFrame, state: DataFrame | None, k: int, scores: bool) -> DataFrame:
@@ -242,33 +238,37 @@ def replayed(rows: DataFrame, state: DataFrame | None, k: int, scores: bool) ->
 
 
 def greedy_seeds(gl: DataFrame, snps: DataFrame, order: DataFrame, k: int, seeds: int = 1000, fraction: float = 1.0, rounds: int = 8) -> DataFrame:
+    """``greedy_packed`` of likelihoods (cell_id, snp_id, g0 ... g8) and variants (snp_id, af)."""
+    return greedy_packed(packed.of_likelihoods(gl, snps), order, k, seeds, fraction, rounds)
+
+
+def greedy_packed(cells: DataFrame, order: DataFrame, k: int, seeds: int = 1000, fraction: float = 1.0, rounds: int = 8) -> DataFrame:
     """(cell_id, cluster) of the droplets of ``order`` (cell_id, rank), as if they came one after another.
 
-    Each goes to the cluster with the largest log likelihood ratio of the same against unrelated
-    genotypes; an empty cluster scores 0 and the first of equals wins; then the cluster takes its
-    likelihoods in.  ``fraction``: of the droplets to take; ``seeds``: droplets that one task walks at
-    a time.  The first ``seeds`` are walked.  The others come in blocks that double: all droplets of a
-    block are scored at once behind those that a guess puts before them, which gives the next guess.
-    Up to the first droplet whose cluster changed, a guess is the result of strict order; so a block
-    is done when nothing changes.  One that isn't after ``rounds`` keeps what is certain, and walks
-    the next ``seeds`` where that is more.
+    cells: (cell_id, pack) of ``packed.singlet_scores``.  Each goes to the cluster with the largest log likelihood
+    ratio of the same against unrelated genotypes; an empty cluster scores 0 and the first of equals wins; then the
+    cluster takes its likelihoods in.  ``fraction``: of the droplets to take; ``seeds``: droplets that one task
+    walks at first.  The others come in blocks that double: all droplets of a block are scored at once behind those
+    that a guess puts before them, which gives the next guess.  Up to the first droplet whose cluster changed, a
+    guess is the result of strict order; so a block is done when nothing changes.  If one isn't after ``rounds``, or
+    proceeds too slowly for that, droplets have no clear clusters, and one task walks all that aren't certain.
     """
     total = order.count()
     order = saved(order.where(F.col("rank") - 1 <= total * fraction).select(F.col("cell_id").cast("long"), F.col("rank").cast("long")))
     total, done, block = order.count(), min(seeds, total), seeds
-    rows = gl.join(order, "cell_id").join(snps, "snp_id")
-    rows = saved(rows.select(F.col("snp_id").cast("long"), "rank", "cell_id", F.col("af").cast("double"), "g0", "g4", "g8").withColumn("cluster", F.lit(-1)))
-    found = saved(walked(rows.where(F.col("rank") <= done), None, k))
+    cells = saved(cells.select("cell_id", "pack").join(order, "cell_id"))
+    found = saved(walked(cells.where(F.col("rank") <= done).withColumn("cluster", F.lit(None).cast("int")), k))
     state, last = None, 0
     while done < total:
         # The settled droplets join the state; their guesses are the result of strict order.
-        newly = rows.where((F.col("rank") > last) & (F.col("rank") <= done)).drop("cluster").join(found.select("cell_id", "cluster"), "cell_id")
+        between = lambda a, b: packed.unpacked(cells.where((F.col("rank") > a) & (F.col("rank") <= b)))
+        newly = between(last, done).drop("cluster").join(found.select("cell_id", "cluster"), "cell_id")
         after = replayed(newly, state, k, scores=False)
         state = saved(after if state is None else after.unionByName(state.join(after.select("snp_id"), "snp_id", "left_anti")))
         last, end = done, min(total, done + block)
-        part = saved(rows.where((F.col("rank") > done) & (F.col("rank") <= end)))
+        part = saved(between(done, end))
         guess, certain = None, done
-        for _ in range(rounds):
+        for r in range(rounds):
             guessed = part if guess is None else part.drop("cluster").join(guess.select("cell_id", "cluster"), "cell_id")
             # Sums of decimals don't depend on the order of rows, so equal guesses give equal results.
             sums = replayed(guessed, state, k, scores=True).groupBy("cell_id", "rank").agg(*(F.sum(F.col("s")[j].cast("decimal(38,18)")).alias(f"s{j}") for j in range(k)))
@@ -278,14 +278,13 @@ def greedy_seeds(gl: DataFrame, snps: DataFrame, order: DataFrame, k: int, seeds
                 other = now.join(guess.select("cell_id", F.col("cluster").alias("was")), "cell_id").where("cluster != was").agg(F.min("rank")).first()[0]
                 certain = end if other is None else other
             guess = now
-            if certain == end:
+            if certain == end or r and (certain - done) * rounds < (end - done) * r:
                 break
-        if certain - done < min(seeds, end - done):
-            certain = min(total, done + seeds)
-            guess = walked(rows.where((F.col("rank") > done) & (F.col("rank") <= certain)), state, k)
         found = saved(found.unionByName(guess.where(F.col("rank") <= certain)))
         block = 2 * (certain - done)
         done = certain
+        if certain < end:
+            found, done = saved(walked(cells.join(found.select("cell_id", "cluster"), "cell_id", "left"), k)), total
     # A droplet without variants scores 0 everywhere.
     return order.select("cell_id").join(found.select("cell_id", "cluster"), "cell_id", "left").select("cell_id", F.coalesce("cluster", F.lit(0)).alias("cluster"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dropletry.operators import clusters, demux, genotypes, likelihood, pileup, reads
+from dropletry.operators import clusters, demux, genotypes, likelihood, packed, pileup, reads
 from dropletry.operators.ranking import saved
 from dropletry.plans.adapters import CALLS, DONORS, OBS, ORDER, SNPS, UNIQUE, donor_calls, donor_posteriors, observations, table, variants
 
@@ -144,10 +144,16 @@ def em_calls(s: SparkSession, f: str) -> DataFrame:
     return r6(demux.calls(demux.best_and_next(em_llk(s, f))), "best_llk", "next_llk")
 
 
+def droplets(s: SparkSession, f: str) -> DataFrame:
+    """Packed droplets with their singlet scores; reads are dealt by droplet once, and nothing is shuffled after."""
+    dealt = observations(s, f).repartition("cell_id")
+    return packed.of_likelihoods(likelihood.genotype_pairs(pileup.dedup_umis(dealt, ORDER)), variants(s, f))
+
+
 def greedy_clusters(s: SparkSession, f: str) -> DataFrame:
-    gl = clusters.saved(likelihoods(s, f))
-    order = likelihood.ranked(likelihood.singlet_scores(gl, variants(s, f))).select("cell_id", "rank")
-    return clusters.greedy_seeds(gl, variants(s, f), order, CLUSTERS)
+    cells = droplets(s, f)
+    order = likelihood.ranked(cells.select("cell_id", "score")).select("cell_id", "rank")
+    return clusters.greedy_packed(cells, order, CLUSTERS)
 
 
 def em_full(s: SparkSession, f: str) -> DataFrame:
