@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -110,17 +110,73 @@ def pair_likelihoods(gl: DataFrame, posterior: DataFrame, k: int) -> DataFrame:
             return F.ln(added([F.col(f"g{4 * g}") * F.col("q")[3 * a + g] for g in range(3)]))
         return F.ln(added([F.col(f"g{3 * g1 + g2}") * F.col("q")[3 * a + g1] * F.col("q")[3 * b + g2] for g1 in range(3) for g2 in range(3)]))
 
-    sums = gl.join(posterior, "snp_id").groupBy("cell_id").agg(*(F.sum(likelihood(a, b)).alias(f"l{a}_{b}") for a, b in pairs))
+    return _entries(gl.join(posterior, "snp_id").groupBy("cell_id").agg(*(F.sum(likelihood(a, b)).alias(f"l{a}_{b}") for a, b in pairs)), pairs)
+
+
+def _entries(sums: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
+    """(cell_id, j, k, n, llk) from a droplet's columns of all pairs."""
     entries = F.array(*(F.struct(F.lit(a).alias("j"), F.lit(b).alias("k"), F.lit(int(a != b)).alias("n"), F.col(f"l{a}_{b}").alias("llk")) for a, b in pairs))
     return sums.select("cell_id", F.explode(entries).alias("x")).select("cell_id", "x.*")
 
 
 def em(gl: DataFrame, snps: DataFrame, assigned: DataFrame, k: int, rounds: int = 10, geno_error: float = 0.1) -> DataFrame:
     """Calls after refinement: clusters are rebuilt from droplets called single until nothing changes."""
+    return _refined(lambda now: pair_likelihoods(gl, cluster_posteriors(merged(gl, now), snps, k, geno_error), k), assigned, rounds)
+
+
+def em_packed(cells: DataFrame, assigned: DataFrame, k: int, rounds: int = 10, geno_error: float = 0.1) -> DataFrame:
+    """``em`` of droplets (cell_id, n, pack) of ``packed.singlet_scores``.
+
+    Likelihoods are dealt by variant once, into packs.  A round takes a pack and where the droplets are (a broadcast
+    row of few bytes a droplet), and gives a row of sums for each droplet of the pack.
+    """
+    pairs = [(a, b) for a in range(k) for b in range(a + 1)]
+    parts = saved(packed.by_variant(cells))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pack, where in zip(batch.column("pack"), batch.column("assigned")):
+                at, af, ids, cell, codes, table = packed.got(pack.as_py())
+                told = [packed.got(x.as_py()) for x in where]
+                cluster = np.full(len(ids), -1)
+                for told_ids, own in told:
+                    place = np.minimum(np.searchsorted(told_ids, ids), len(told_ids) - 1)
+                    cluster[told_ids[place] == ids] = own[place][told_ids[place] == ids]
+                q = _posteriors(at, af, cluster[cell], np.log(table[:, ::4])[codes], k, geno_error)
+                sums = np.zeros((len(pairs), len(ids)))
+                for i in range(0, len(at), 1 << 16):
+                    g, own, c = table[codes[i : i + (1 << 16)]], q[at[i : i + (1 << 16)]], cell[i : i + (1 << 16)]
+                    for j, (a, b) in enumerate(pairs):
+                        like = np.einsum("ei,ei->e", g[:, ::4], own[:, a]) if a == b else np.einsum("ei,ei->e", np.einsum("eij,ej->ei", g.reshape(-1, 3, 3), own[:, b]), own[:, a])
+                        sums[j] += np.bincount(c, np.log(like), len(ids))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(x) for x in sums)], names=["cell_id", *(f"l{a}_{b}" for a, b in pairs)])
+
+    def llk(now: DataFrame) -> DataFrame:
+        rows = parts.crossJoin(F.broadcast(packed.places(now)))
+        sums = rows.mapInArrow(run, "cell_id long, " + ", ".join(f"l{a}_{b} double" for a, b in pairs))
+        return _entries(sums.groupBy("cell_id").agg(*(F.sum(f"l{a}_{b}").alias(f"l{a}_{b}") for a, b in pairs)), pairs)
+
+    return _refined(llk, assigned, rounds)
+
+
+def _posteriors(at: np.ndarray, af: np.ndarray, cluster: np.ndarray, logs: np.ndarray, k: int, geno_error: float) -> np.ndarray:
+    """``cluster_posteriors`` of ``merged`` for the variants of af, from the places ``at`` of droplets' variants, the
+    droplets' clusters (-1: none) and the logarithms of their likelihoods: variants x k x 3."""
+    own = cluster >= 0
+    key = at[own] * k + cluster[own]
+    s = np.stack([np.bincount(key, logs[own, g], len(af) * k) for g in range(3)], axis=1)
+    e = np.exp(s - s.max(axis=1, keepdims=True))
+    h = np.maximum(e / e.sum(axis=1, keepdims=True), FLOOR)
+    held = np.where((np.bincount(key, minlength=len(af) * k) > 0)[:, None], h / h.sum(axis=1, keepdims=True), 1.0).reshape(-1, k, 3)
+    prior = np.stack([(1 - af) * (1 - af), 2 * af * (1 - af), af * af], axis=1)[:, None]
+    raw = held * prior
+    return (1 - geno_error) * raw / raw.sum(axis=2, keepdims=True) + geno_error * prior
+
+
+def _refined(llk: Callable[[DataFrame], DataFrame], assigned: DataFrame, rounds: int) -> DataFrame:
     found = None
     for _ in range(rounds):
-        llk = pair_likelihoods(gl, cluster_posteriors(merged(gl, assigned), snps, k, geno_error), k)
-        now = saved(calls(best_and_next(llk)))
+        now = saved(calls(best_and_next(llk(assigned))))
         changed = found is None or now.select("cell_id", "type", "best_guess").exceptAll(found.select("cell_id", "type", "best_guess")).limit(1).count()
         found = now
         if not changed:
@@ -173,26 +229,25 @@ def walked(cells: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at_of: dict[int, int] = {}
-        held = np.full((1024, k, 3), -1.0)  # -1 where no member covers the variant
+        held, covered = np.ones((1024, k, 3)), np.zeros((1024, k), bool)
         for batch in batches:
             ids, ranks, known = (batch.column(c).to_pylist() for c in ("cell_id", "rank", "cluster"))
             for i, pack in enumerate(batch.column("pack")):
                 snp, af, codes, table = packed.got(pack.as_py())
                 own, at = table[codes, ::4], np.array([at_of.setdefault(x, len(at_of)) for x in snp.tolist()], dtype=np.int64)
                 if len(at_of) > len(held):
-                    held = np.concatenate([held, np.full((max(len(held), len(at_of) - len(held)), k, 3), -1.0)])
+                    more = max(len(held), len(at_of) - len(held))
+                    held, covered = np.concatenate([held, np.ones((more, k, 3))]), np.concatenate([covered, np.zeros((more, k), bool)])
                 if known[i] is None:
                     prior = np.stack([(1 - af) ** 2, 2 * af * (1 - af), af**2], axis=1)
-                    there = held[at, :, 0] >= 0
-                    c = np.where(there[..., None], held[at], 1.0)
-                    mine = own * prior
-                    same, apart = (c * mine[:, None]).sum(axis=2), mine.sum(axis=1)[:, None] * (c * prior[:, None]).sum(axis=2)
-                    scores = [math.fsum(x) for x in np.where(there, np.log(same) - np.log(apart), 0.0).T.tolist()]
+                    c, mine = held[at], own * prior
+                    alone = mine[:, 0] + mine[:, 1] + mine[:, 2]
+                    ratio = np.einsum("eki,ei->ke", c, mine) / (np.einsum("eki,ei->ke", c, prior) * alone)
+                    scores = [math.fsum(x) for x in np.where(covered[at].T, np.log(ratio), 0.0).tolist()]
                     known[i] = scores.index(max(scores))
-                before = held[at, known[i]]
-                m = own * np.where(before[:, :1] >= 0, before, 1.0)
-                m = np.maximum(m / m.sum(axis=1, keepdims=True), FLOOR)
-                held[at, known[i]] = m / m.sum(axis=1, keepdims=True)
+                m = own * held[at, known[i]]
+                m = np.maximum(m / (m[:, 0] + m[:, 1] + m[:, 2])[:, None], FLOOR)
+                held[at, known[i]], covered[at, known[i]] = m / (m[:, 0] + m[:, 1] + m[:, 2])[:, None], True
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ranks, pa.int64()), pa.array(known, pa.int32())], names=["cell_id", "rank", "cluster"])
 
     return cells.repartition(1).sortWithinPartitions("rank").mapInArrow(run, "cell_id long, rank long, cluster int")

@@ -150,16 +150,17 @@ def droplets(s: SparkSession, f: str) -> DataFrame:
     return packed.of_likelihoods(likelihood.genotype_pairs(pileup.dedup_umis(dealt, ORDER)), variants(s, f))
 
 
+def greedy(cells: DataFrame) -> DataFrame:
+    return clusters.greedy_packed(cells, likelihood.ranked(cells.select("cell_id", "score")).select("cell_id", "rank"), CLUSTERS)
+
+
 def greedy_clusters(s: SparkSession, f: str) -> DataFrame:
-    cells = droplets(s, f)
-    order = likelihood.ranked(cells.select("cell_id", "score")).select("cell_id", "rank")
-    return clusters.greedy_packed(cells, order, CLUSTERS)
+    return greedy(droplets(s, f))
 
 
 def em_full(s: SparkSession, f: str) -> DataFrame:
-    gl, snps = clusters.saved(likelihoods(s, f)), variants(s, f)
-    order = likelihood.ranked(likelihood.singlet_scores(gl, snps)).select("cell_id", "rank")
-    return r6(clusters.em(gl, snps, clusters.greedy_seeds(gl, snps, order, CLUSTERS), CLUSTERS), "best_llk", "next_llk")
+    cells = droplets(s, f)
+    return r6(clusters.em_packed(cells, greedy(cells), CLUSTERS), "best_llk", "next_llk")
 
 
 def vote_clusters(s: SparkSession, f: str) -> DataFrame:

@@ -42,3 +42,15 @@ def test_droplets_without_clear_clusters_take_two_walks(spark, monkeypatch):
     monkeypatch.setattr(clusters, "walked", lambda *a: walks.append(a) or walked(*a))
     assert got(seeds=4, rounds=2) == want
     assert len(walks) <= 2 and len(set(want.values())) == 3
+
+
+def test_packed_refinement_equals_that_of_rows(spark, monkeypatch):
+    rows, af = unclear(40, 30, 12, seed=2)
+    gl, snps = spark.createDataFrame(rows, GL), spark.createDataFrame(af, "snp_id long, af double")
+    start = spark.createDataFrame([(c, c % 3) for c in range(35)], "cell_id long, cluster int")
+    want = {r["cell_id"]: r.asDict() for r in clusters.em(gl, snps, start, 3, rounds=2).collect()}
+    monkeypatch.setattr(packed, "ENTRIES", 100)
+    found = clusters.em_packed(packed.of_likelihoods(gl, snps), start, 3, rounds=2).collect()
+    assert len(found) == len(want) == 40
+    for r in found:
+        assert r.asDict() == pytest.approx(want[r["cell_id"]])
