@@ -7,10 +7,10 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dropletry.operators import alleles, communities, demultiplex, demux, likelihood, mixture, multiallelic, panel
+from dropletry.operators import alleles, communities, demultiplex, demux, likelihood, mixture, multiallelic, panel, pileup
 from dropletry.operators.genotypes import call_posterior
 from dropletry.plans import single_cell as sc
-from dropletry.plans.adapters import DONORS, CALLS, UNIQUE, donor_calls, table, variants
+from dropletry.plans.adapters import DONORS, CALLS, ORDER, UNIQUE, donor_calls, observations, table, variants
 from dropletry.sources import alignments
 from dropletry.sources import variants as vcf
 
@@ -21,14 +21,15 @@ ROUNDS, DOUBLETS, ALPHA = 3, 0.1, 0.05
 
 def panel_posteriors(s: SparkSession, f: str) -> DataFrame:
     """snp_id and the 3 genotype probabilities of every donor of the panel, one after another."""
-    rows = variants(s, f).withColumn("donor", F.explode(F.sequence(F.lit(0), F.lit(PANEL - 1))))
-    gt = F.when((F.col("snp_id") + F.col("donor")) % 11 != 0, (F.col("snp_id") * (F.col("donor") + 3)) % 97 % 3)
-    rows = rows.select("snp_id", "donor", F.array(*call_posterior(gt, F.col("af"), 0.01)).alias("gp"))
-    return rows.groupBy("snp_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("donor", "gp"))), lambda x: x["gp"])).alias("p"))
+    gt = lambda d: F.when((F.col("snp_id") + d) % 11 != 0, (F.col("snp_id") * (d + 3)) % 97 % 3)
+    rows = variants(s, f).repartition(s.sparkContext.defaultParallelism)
+    return rows.select("snp_id", F.array(*(p for d in range(PANEL) for p in call_posterior(gt(d), F.col("af"), 0.01))).alias("p"))
 
 
 def demux_panel(s: SparkSession, f: str) -> DataFrame:
-    best = panel.panel_best(likelihood.mixtures(sc.unique(s, f), sc.ALPHAS), panel_posteriors(s, f), PANEL, sc.ALPHAS)
+    # Reads are dealt by droplet once, and nothing is shuffled up to the packed droplets.
+    unique = pileup.dedup_umis(observations(s, f).repartition("cell_id"), ORDER)
+    best = panel.panel_best(likelihood.mixtures(unique, sc.ALPHAS), panel_posteriors(s, f), PANEL, sc.ALPHAS)
     best = sc.saved(best)
     rows = demux.calls(best).join(best.select("cell_id", "sng_posterior", "log_total"), "cell_id")
     return sc.r6(rows, "best_llk", "next_llk", "sng_posterior", "log_total")

@@ -108,3 +108,21 @@ def test_variants_of_one_side_say_nothing(spark):
     assert panel.panel_pairs(mix.limit(0), posteriors, 4, ALPHAS).count() == 0
     with pytest.raises(Exception, match="not those of all donors"):
         panel.panel_pairs(mix, posteriors.withColumn("p", F.slice("p", 1, 3)), 4, ALPHAS).count()
+
+
+def test_neither_sums_nor_panel_are_shuffled_by_block(spark):
+    p, _, bases = planted(5, 12, 60, 80)
+    plan = panel.panel_best(*frames(spark, p, bases), 5, ALPHAS)._jdf.queryExecution().executedPlan().toString()
+    assert "GroupsInArrow" not in plan
+
+
+@pytest.mark.parametrize("kinds", [3, 20])
+def test_few_and_many_probabilities_of_a_variant_give_equal_sums(kinds):
+    rng = np.random.default_rng(kinds)
+    given = rng.dirichlet([1, 1, 1], (50, kinds))
+    p = np.take_along_axis(given, rng.integers(0, kinds, (50, 20))[..., None], axis=1)
+    codes, table = panel._coded(p)
+    assert (np.take_along_axis(table, codes[..., None].astype(int), axis=1) == p).all() and table.shape[1] == (3 if kinds == 3 else 20)
+    m, pairs, begins = rng.uniform(0.1, 1, (50, 2, 3, 3)), panel.all_pairs(20, ALPHAS), np.array([0, 7, 30])
+    want = [panel._sums(p[a:b], m[a:b], pairs) for a, b in ((0, 7), (7, 30), (30, 50))]
+    assert panel._few_sums(codes, table, m, begins, pairs) == pytest.approx(np.array(want))
